@@ -13,42 +13,47 @@ from pyspark.sql import types as T
 
 from gridpanel.functions.scalars import exponential_decay
 
-START = (1.0, 1.0, 1.0)
-MAX_STEPS = 200
+# Rates tried at the start: 1, and these multiples of one over the range of x, both signs.
+RATES = np.geomspace(1e-2, 700, 48)
+GROWTH_RATES = np.geomspace(1e-2, 30, 16)
+MAX_STEPS = 50
+# Relative change of the residual squares, or of the parameters, that ends the search.
+TOLERANCE = 1e-10
 
 
 @dataclass
 class _State:
     """Levenberg-Marquardt state of one group."""
 
-    at: tuple[float, float, float]
+    at: tuple[float, float, float] | None
     damping: float = 1e-3
     best: dict | None = None
     trial: tuple[float, float, float] | None = None
     done: bool = False
 
 
-def _by_group(by: Sequence[str], values: dict[tuple, float]) -> Column:
-    """A literal per group; groups are the segments of a report, so few."""
-    out = F.lit(None).cast("double")
-    for key, value in values.items():
-        test = F.lit(True)
-        for column, part in zip(by, key):
-            test = test & F.col(column).eqNullSafe(F.lit(part))
-        out = F.when(test, F.lit(float(value))).otherwise(out)
-    return out
+def _pick(values: list[float]) -> Column:
+    """The value of a row's group, by its number `_g`."""
+    return F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("_g"))
 
 
-def _normal_equations(points: DataFrame, by: Sequence[str], at: dict) -> dict[tuple, dict]:
-    """J'J, J'r and the residual squares of all groups in one aggregate."""
-    a, b, c = (_by_group(by, {k: v[i] for k, v in at.items()}) for i in range(3))
+def _normal_equations(points: DataFrame, at: list, means: list) -> dict[int, dict]:
+    """J'J, J'r and the squares of all groups in one aggregate; groups without `at` rest."""
+    asked = F.array(*[F.lit(p is not None) for p in at])
+    a, b, c = (_pick([p[i] if p else 0.0 for p in at]) for i in range(3))
     n, x = F.col("_n"), F.col("_x")
-    placed = points.withColumns({"_a": a, "_b": b, "_c": c}).filter(F.col("_a").isNotNull())
+    placed = points.filter(F.get(asked, F.col("_g")))
+    placed = placed.withColumns({"_a": a, "_b": b, "_c": c, "_m": _pick(means)})
     slope = F.exp(-F.col("_b") * x)
-    jac = [slope, -F.col("_a") * x * slope, F.lit(1.0)]
-    resid = F.col("_y") - exponential_decay(x, F.col("_a"), F.col("_b"), F.col("_c"))
+    fitted = exponential_decay(x, F.col("_a"), F.col("_b"), F.col("_c"))
     placed = placed.withColumns(
-        {"_j0": jac[0], "_j1": jac[1], "_j2": jac[2], "_e": resid}
+        {
+            "_j0": slope,
+            "_j1": -F.col("_a") * x * slope,
+            "_j2": F.lit(1.0),
+            "_e": F.col("_y") - fitted,
+            "_d": fitted - F.col("_m"),
+        }
     )
     sums = [
         F.sum(n * F.col(f"_j{i}") * F.col(f"_j{j}")).alias(f"h{i}{j}")
@@ -56,27 +61,59 @@ def _normal_equations(points: DataFrame, by: Sequence[str], at: dict) -> dict[tu
         for j in range(i, 3)
     ]
     sums += [F.sum(n * F.col(f"_j{i}") * F.col("_e")).alias(f"g{i}") for i in range(3)]
-    sums += [F.sum(n * F.col("_e") * F.col("_e") + F.col("_spread")).alias("ss")]
+    sums += [
+        F.sum(n * F.col("_e") * F.col("_e") + F.col("_spread")).alias("ss"),
+        F.sum(n * F.col("_d") * F.col("_d")).alias("total"),
+    ]
     out = {}
-    for row in placed.groupBy(*by).agg(*sums).collect():
+    for row in placed.groupBy("_g").agg(*sums).collect():
         h = np.zeros((3, 3))
         for i in range(3):
             for j in range(i, 3):
                 h[i, j] = h[j, i] = row[f"h{i}{j}"]
-        out[tuple(row[c] for c in by)] = {
-            "h": h,
-            "g": np.array([row[f"g{i}"] for i in range(3)]),
-            "ss": row["ss"],
-        }
+        gradient = np.array([row[f"g{i}"] for i in range(3)])
+        out[row["_g"]] = {"h": h, "g": gradient, "ss": row["ss"], "total": row["total"]}
     return out
 
 
+def _starts(points: DataFrame, groups: int, low: float, high: float) -> list:
+    """Best (a, b, c) of each group over the tried rates; for a given b the rest is linear."""
+    span = max(high - low, 1e-12)
+    rates = [1.0, *(RATES / span), *(-GROWTH_RATES / span)]
+    tried = points.withColumn("_b", F.explode(F.array(*[F.lit(float(b)) for b in rates])))
+    n, e, y = F.col("_n"), F.col("_e"), F.col("_y")
+    sums = (
+        tried.withColumn("_e", F.exp(-F.col("_b") * F.col("_x")))
+        .groupBy("_g", "_b")
+        .agg(
+            F.sum(n).alias("n"),
+            F.sum(n * e).alias("e"),
+            F.sum(n * e * e).alias("ee"),
+            F.sum(n * y).alias("y"),
+            F.sum(n * e * y).alias("ey"),
+        )
+    )
+    best: list = [None] * groups
+    gains = [-math.inf] * groups
+    for row in sums.collect():
+        spread = row["ee"] - row["e"] ** 2 / row["n"]
+        if not math.isfinite(spread) or spread <= 1e-12 * row["ee"]:
+            continue
+        a = (row["ey"] - row["e"] * row["y"] / row["n"]) / spread
+        gain, g = a * a * spread, row["_g"]
+        if gain > gains[g]:
+            gains[g] = gain
+            best[g] = (a, row["_b"], (row["y"] - a * row["e"]) / row["n"])
+    return best
+
+
 def fit_decay(
     df: DataFrame, x: str = "Nof_Mths", y: str = "csmo_fact", by: Sequence[str] = ()
 ) -> DataFrame:
-    """a * exp(-b x) + c by Levenberg-Marquardt from (1, 1, 1), per group.
+    """a * exp(-b x) + c by least squares, per group.
 
-    Rows with equal x are added up first, so the iterations run over distinct x only.
+    Rows with equal x are added up first. One aggregate tries a range of rates b at
+    once; Levenberg-Marquardt steps, one aggregate each for all groups, do the rest.
     One row per group: a, b, c, their covariance as cov_aa .. cov_cc, r_squared and n.
     The total squares of r_squared are those of the fitted values around the mean of
     the data. A fit that fails gives NULLs.
@@ -84,32 +121,36 @@ def fit_decay(
     by = list(by)
     rows = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_v"))
     rows = rows.filter(F.col("_x").isNotNull() & F.col("_v").isNotNull())
-    points = (
-        rows.groupBy(*by, "_x")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.avg("_v").alias("_y"),
-            # Squares around the mean of each x stay in the residual of any curve.
-            F.coalesce(F.var_pop("_v") * F.count(F.lit(1)), F.lit(0.0)).alias("_spread"),
-        )
-        .persist()
+    sums = rows.groupBy(*by, "_x").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.avg("_v").alias("_y"),
+        # Squares around the mean of each x stay in the residual of any curve.
+        F.coalesce(F.var_pop("_v") * F.count(F.lit(1)), F.lit(0.0)).alias("_spread"),
     )
+    sums = sums.persist()
+    sizes = sums.groupBy(*by).agg(
+        F.sum("_n").alias("n"), (F.sum(F.col("_n") * F.col("_y")) / F.sum("_n")).alias("m")
+    )
+    # One row per group, that is per segment of a report.
+    groups = [r for r in sizes.collect() if r["n"]]
+    keys = [tuple(r[c] for c in by) for r in groups]
+    number = F.lit(0)
+    for g, key in enumerate(keys):
+        number = F.when(_is(by, key), g).otherwise(number)
+    points = sums.select(number.cast("int").alias("_g"), "_n", "_x", "_y", "_spread").persist()
+    means = [float(r["m"]) for r in groups]
     try:
-        sizes = points.groupBy(*by).agg(
-            F.sum("_n").alias("n"), (F.sum(F.col("_n") * F.col("_y")) / F.sum("_n")).alias("m")
-        )
-        totals = {tuple(r[c] for c in by): (r["n"], r["m"]) for r in sizes.collect()}
-        totals = {k: v for k, v in totals.items() if v[0]}
-        states = {k: _State(START) for k in totals}
-        pending = dict.fromkeys(states, START)
+        edges = points.agg(F.min("_x").alias("low"), F.max("_x").alias("high")).first()
+        pending = _starts(points, len(keys), edges["low"], edges["high"]) if keys else []
+        states = [_State(at, done=at is None) for at in pending]
         for _ in range(MAX_STEPS):
-            if not pending:
+            if not any(pending):
                 break
-            found = _normal_equations(points, by, pending)
-            pending = _advance(states, found)
-        table = [_result(k, s, totals[k], points, by) for k, s in states.items()]
+            pending = _advance(states, _normal_equations(points, pending, means))
     finally:
         points.unpersist()
+        sums.unpersist()
+    table = [_result(k, s, int(r["n"])) for k, s, r in zip(keys, states, groups)]
     names = ["a", "b", "c", "cov_aa", "cov_ab", "cov_ac", "cov_bb", "cov_bc", "cov_cc", "r_squared"]
     schema = T.StructType(
         [df.schema[c] for c in by]
@@ -119,67 +160,66 @@ def fit_decay(
     return df.sparkSession.createDataFrame(table, schema)
 
 
-def _advance(states: dict[tuple, _State], found: dict[tuple, dict]) -> dict[tuple, tuple]:
-    """Accept or reject each group's trial and propose the next one."""
-    pending = {}
-    for key, state in states.items():
-        if state.done:
-            continue
-        new = found.get(key)
-        usable = new is not None and math.isfinite(new["ss"]) and np.isfinite(new["h"]).all()
-        if state.best is None:
-            if not usable:
-                state.done = True
-                continue
-            state.best = new
-        else:
-            gain = state.best["ss"] - new["ss"] if usable else -1.0
-            if usable and gain >= 0:
-                settled = gain <= 1e-14 * max(state.best["ss"], 1e-300)
-                state.at, state.best = state.trial, new
-                state.damping = max(state.damping / 10, 1e-12)
-                if settled:
-                    state.done = True
-                    continue
-            else:
-                state.damping *= 10
-                if state.damping > 1e16:
-                    state.done = True
-                    continue
-        h, g = state.best["h"], state.best["g"]
-        scale = np.diag(np.maximum(np.diag(h), 1e-12))
-        try:
-            step = np.linalg.solve(h + state.damping * scale, g)
-        except np.linalg.LinAlgError:
-            state.done, state.best = True, None
-            continue
-        if np.all(np.abs(step) <= 1e-12 * (np.abs(np.array(state.at)) + 1e-12)):
-            state.done = True
-            continue
-        state.trial = tuple(float(v) for v in np.array(state.at) + step)
-        pending[key] = state.trial
-    return pending
+def _is(by: Sequence[str], key: tuple) -> Column:
+    test = F.lit(True)
+    for column, value in zip(by, key):
+        test = test & F.col(column).eqNullSafe(F.lit(value))
+    return test
+
+
+def _advance(states: list[_State], found: dict[int, dict]) -> list:
+    """Accept or reject each group's trial and propose the next one; None when settled."""
+    return [
+        None if state.done else _next_trial(state, found.get(g)) for g, state in enumerate(states)
+    ]
 
 
-def _result(key: tuple, state: _State, total: tuple, points: DataFrame, by: Sequence[str]) -> tuple:
-    n, mean = total
-    failed = (*key, *[None] * 10, int(n))
+def _next_trial(state: _State, new: dict | None) -> tuple | None:
+    usable = new is not None and math.isfinite(new["ss"]) and bool(np.isfinite(new["h"]).all())
+    if state.best is None:
+        if not usable:
+            state.done = True
+            return None
+        state.best = new
+    elif usable and new["ss"] <= state.best["ss"]:
+        settled = state.best["ss"] - new["ss"] <= TOLERANCE * state.best["ss"]
+        state.at, state.best = state.trial, new
+        state.damping = max(state.damping / 10, 1e-12)
+        if settled:
+            state.done = True
+            return None
+    else:
+        state.damping *= 10
+        if state.damping > 1e16:
+            state.done = True
+            return None
+    h, g = state.best["h"], state.best["g"]
+    scale = np.diag(np.maximum(np.diag(h), 1e-12))
+    try:
+        step = np.linalg.solve(h + state.damping * scale, g)
+    except np.linalg.LinAlgError:
+        state.done, state.best = True, None
+        return None
+    at = np.array(state.at)
+    if np.all(np.abs(step) <= TOLERANCE * (np.abs(at) + TOLERANCE)):
+        state.done = True
+        return None
+    state.trial = tuple(float(v) for v in at + step)
+    return state.trial
+
+
+def _result(key: tuple, state: _State, n: int) -> tuple:
+    failed = (*key, *[None] * 10, n)
     if state.best is None or n <= 3:
         return failed
     try:
         covariance = np.linalg.inv(state.best["h"]) * (state.best["ss"] / (n - 3))
     except np.linalg.LinAlgError:
         return failed
-    a, b, c = state.at
-    # Squares of the fitted values around the mean, from this group's points.
-    test = F.lit(True)
-    for column, part in zip(by, key):
-        test = test & F.col(column).eqNullSafe(F.lit(part))
-    gap = exponential_decay(F.col("_x"), F.lit(a), F.lit(b), F.lit(c)) - F.lit(mean)
-    ss_tot = points.filter(test).agg(F.sum(F.col("_n") * gap * gap)).first()[0]
-    r2 = 1 - state.best["ss"] / ss_tot if ss_tot else None
-    upper = [covariance[i, j] for i in range(3) for j in range(i, 3)]
-    return (*key, a, b, c, *[float(v) for v in upper], r2, int(n))
+    total = state.best["total"]
+    r2 = float(1 - state.best["ss"] / total) if total else None
+    upper = [float(covariance[i, j]) for i in range(3) for j in range(i, 3)]
+    return (*key, *state.at, *upper, r2, n)
 
 
 def fitted_curve(df: DataFrame, fits: DataFrame, x: str = "Nof_Mths", by: Sequence[str] = ()) -> DataFrame:

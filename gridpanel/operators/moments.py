@@ -6,51 +6,85 @@ whose size depends on the number of variables and groups, reaches the driver.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cross_products(
-    df: DataFrame,
-    columns: Sequence[Column],
-    weights: Mapping[str, Column | None],
-    by: Sequence[str] = (),
-    extra: Mapping[str, Column] | None = None,
-) -> dict[tuple, dict]:
-    """Per group: for every weight w the symmetric matrix of sum(w * a * b), and extras."""
+# Distinct numbers of rows per customer the driver takes; a panel has at most its periods.
+MAX_LENGTHS = 10_000
+
+Weight = Callable[[Any], Any]
+
+
+def _sums(columns: Sequence[Column], weight: Column | None, name: str) -> list[Column]:
     k = len(columns)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    named = df.select(
-        *by,
-        *[c.cast("double").alias(f"_c{i}") for i, c in enumerate(columns)],
-        *[w.cast("double").alias(f"_w_{n}") for n, w in weights.items() if w is not None],
-        *[e.alias(f"_x_{n}") for n, e in (extra or {}).items()],
-    )
-    sums = []
-    for name, weight in weights.items():
-        for i, j in pairs:
-            term = F.col(f"_c{i}") * F.col(f"_c{j}")
-            if weight is not None:
-                term = F.col(f"_w_{name}") * term
-            sums.append(F.sum(term).alias(f"_s_{name}_{i}_{j}"))
-    sums += [F.sum(f"_x_{n}").alias(f"_x_{n}") for n in (extra or {})]
-    out = {}
-    for row in named.groupBy(*by).agg(*sums).collect():
-        found = {}
-        for name in weights:
-            m = np.zeros((k, k))
-            for i, j in pairs:
-                m[i, j] = m[j, i] = row[f"_s_{name}_{i}_{j}"] or 0.0
-            found[name] = m
-        for n in extra or {}:
-            found[n] = row[f"_x_{n}"]
-        out[tuple(row[b] for b in by)] = found
+    out = []
+    for i in range(k):
+        for j in range(i, k):
+            term = columns[i] * columns[j]
+            out.append(F.sum(term if weight is None else weight * term).alias(f"{name}_{i}_{j}"))
     return out
 
 
+def _matrix(row, k: int, name: str) -> np.ndarray:
+    m = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            m[i, j] = m[j, i] = row[f"{name}_{i}_{j}"] or 0.0
+    return m
+
+
+def cross_products(
+    df: DataFrame, columns: Sequence[Column], by: Sequence[str] = ()
+) -> dict[tuple, np.ndarray]:
+    """Per group the symmetric matrix of sum(a * b)."""
+    k = len(columns)
+    named = df.select(*by, *[c.alias(f"_c{i}") for i, c in enumerate(columns)])
+    found = named.groupBy(*by).agg(*_sums([F.col(f"_c{i}") for i in range(k)], None, "s"))
+    return {tuple(row[b] for b in by): _matrix(row, k, "s") for row in found.collect()}
+
+
+class CustomerProducts:
+    """sum w(T) m m' over customers with T rows and means m, for any weight w.
+
+    The products are added up per group and T. These few rows are kept on the driver;
+    should there be too many, every weight is an aggregate of its own.
+    """
+
+    def __init__(
+        self,
+        ids: DataFrame,
+        columns: Sequence[Column],
+        length: str,
+        by: Sequence[str] = (),
+        max_lengths: int = MAX_LENGTHS,
+    ):
+        self.k, self.by, self.length = len(columns), list(by), length
+        self.ids = ids.select(
+            *by, length, *[c.alias(f"_c{i}") for i, c in enumerate(columns)]
+        )
+        self.columns = [F.col(f"_c{i}") for i in range(self.k)]
+        table = self.ids.groupBy(*by, length).agg(*_sums(self.columns, None, "s"))
+        rows = table.limit(max_lengths + 1).collect()
+        self.rows = rows if len(rows) <= max_lengths else None
+
+    def total(self, weight: Weight, group: tuple) -> np.ndarray:
+        """The weighted matrix of one group."""
+        if self.rows is not None:
+            parts = [r for r in self.rows if tuple(r[b] for b in self.by) == group]
+            return sum(weight(r[self.length]) * _matrix(r, self.k, "s") for r in parts)
+        rows = self.ids
+        for column, value in zip(self.by, group):
+            rows = rows.filter(F.col(column).eqNullSafe(F.lit(value)))
+        w = weight(F.col(self.length))
+        w = w if isinstance(w, Column) else F.lit(w)
+        return _matrix(rows.agg(*_sums(self.columns, w, "s")).first(), self.k, "s")
+
+
 def independent(gram: np.ndarray, tolerance: float = 1e-9) -> list[int]:
     """Columns, in order, that are not linear combinations of earlier ones."""
     rest, scale, kept = gram.astype(float).copy(), np.diag(gram).copy(), []

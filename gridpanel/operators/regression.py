@@ -26,7 +26,12 @@ from pyspark.sql import types as T
 
 from gridpanel import constants as C
 from gridpanel.functions import tails
-from gridpanel.operators.moments import cross_products, least_squares, trace_product
+from gridpanel.operators.moments import (
+    CustomerProducts,
+    cross_products,
+    least_squares,
+    trace_product,
+)
 from gridpanel.operators.panel import demean_within
 from gridpanel.operators.segments import resolve_dummy
 
@@ -72,11 +77,11 @@ class Fit:
         }
 
     def rows(self, name: str | None = None) -> list[tuple]:
-        out = []
+        out, r2 = [], None if math.isnan(self.r2) else float(self.r2)
         for i, term in enumerate(self.terms):
             b, variance = float(self.coefficients[i]), float(self.covariance[i, i])
             if math.isnan(b):
-                out.append((name or self.model, term, None, None, None, None, self.r2, self.n))
+                out.append((name or self.model, term, None, None, None, None, r2, self.n))
                 continue
             se = math.sqrt(variance) if variance > 0 else None
             stat = b / se if se else None
@@ -85,8 +90,8 @@ class Fit:
             elif self.model == "random":
                 p = tails.normal_p(stat)
             else:
-                p = tails.student_p(stat, self.df)
-            out.append((name or self.model, term, b, se, stat, p, self.r2, self.n))
+                p = tails.student_p(stat, float(self.df))
+            out.append((name or self.model, term, b, se, stat, p, r2, self.n))
         return out
 
 
@@ -157,8 +162,18 @@ def _solve(model, terms, gram, n, df_base, tss, means, group) -> Fit:
     return Fit(model, list(terms), b, covariance, r2, int(n), df, group, extra={"ssr": ssr, "kept": kept})
 
 
-def _swamy_arora(a, b1, s2, n_rows, n_ids) -> tuple[float, float]:
+def _flattened(a: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    """A - B1, with nothing left of variables that do not vary within customers."""
     w = a - b1
+    flat = np.diag(w) <= 1e-10 * np.maximum(np.diag(a), 1e-300)
+    flat[-1] = False
+    w[flat, :] = 0.0
+    w[:, flat] = 0.0
+    return w
+
+
+def _swamy_arora(a, b1, s2, n_rows, n_ids) -> tuple[float, float]:
+    w = _flattened(a, b1)
     _, ssr, _, kept = least_squares(w[1:-1, 1:-1], w[1:-1, -1], w[-1, -1])
     s_e = ssr / max(n_rows - n_ids - len(kept), 1)
     _, q_b, _, used = least_squares(b1[:-1, :-1], b1[:-1, -1], b1[-1, -1])
@@ -187,102 +202,136 @@ def _wallace_hussain(a, b1, s2, n_rows, n_ids) -> tuple[float, float]:
 COMPONENTS = {"swar": _swamy_arora, "walhus": _wallace_hussain}
 
 
-def _weight_of(t: Column, s_e: float, s_u: float) -> Column:
-    """h for a customer with `t` rows."""
-    return 1 - F.sqrt(F.lit(s_e) / (s_e + t * s_u)) if s_u > 0 else F.lit(0.0)
+def _pull(t, s_e: float, s_u: float):
+    """h for a customer with `t` rows, a number or a Column."""
+    return 1 - (s_e / (s_e + t * s_u)) ** 0.5
 
 
-def _is_group(by: Sequence[str], key: tuple) -> Column:
-    tests = [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, key)]
-    return reduce(Column.__and__, tests, F.lit(True))
+@dataclass(frozen=True)
+class Spec:
+    """Variables of a model and the estimators to apply."""
 
+    xs: tuple[str, ...]
+    models: tuple[str, ...] = ("random",)
+    method: str = "swar"
 
-def panel_fits(
+
+def fit_family(
     df: DataFrame,
-    y: str = C.OUTCOME,
-    xs: Sequence[str] = C.CONTINUOUS_VARS,
-    models: Sequence[str] = ("pooling", "random", "within"),
-    method: str = "swar",
+    y: str,
+    specs: Mapping[str, Spec],
     id_col: str = "nis_rad",
     by: Sequence[str] = (),
 ) -> dict[tuple, Fit]:
-    """Several models, for every group of `by`, from shared cross products.
+    """All models of a family, for every group of `by`; keys are (group..., spec, model).
 
-    Keys of the result are (group..., model).
+    The models share one set of cross products over all their variables. Where values
+    are missing, each model has its own rows, those complete in its variables.
     """
-    unknown = set(models) - set(MODELS)
-    if unknown or method not in COMPONENTS:
-        raise ValueError(f"unknown model or method: {sorted(unknown) or method}")
-    xs, by = list(xs), list(by)
-    variables = [*xs, y]
-    rows = _model_rows(df, y, xs, [*by, id_col]).persist()
+    for spec in specs.values():
+        if set(spec.models) - set(MODELS) or spec.method not in COMPONENTS:
+            raise ValueError(f"unknown model or method: {spec}")
+    variables = list(dict.fromkeys(x for spec in specs.values() for x in spec.xs))
+    numbers = [F.col(f"`{c}`").cast("double").alias(c) for c in [*variables, y]]
+    keys = [c for c in dict.fromkeys([*by, id_col]) if c not in (*variables, y)]
+    rows = df.select(*keys, *numbers).dropna(subset=[y]).persist()
     try:
-        centre = rows.agg(*[F.avg(c).alias(c) for c in variables]).first()
-        means = [centre[c] or 0.0 for c in variables]
-        columns = [F.lit(1.0), *[F.col(c) - m for c, m in zip(variables, means)]]
-        whole = cross_products(rows, columns, {"a": None}, by)
-        ids = rows.groupBy(*by, id_col).agg(
-            F.count(F.lit(1)).cast("double").alias("_t"), *[F.avg(c).alias(c) for c in variables]
-        )
-        t = F.col("_t")
-        weights = {"b1": t}
-        if "between" in models:
-            weights["b2"] = F.lit(1.0)
-        if "random" in models:
-            weights["s2"] = t * t
-        per_id = cross_products(ids, columns, weights, by, {"ids": F.lit(1)})
-        fits, parts = {}, {}
-        for key, found in per_id.items():
-            a, b1, n_ids = whole[key]["a"], found["b1"], found["ids"]
-            n_rows = a[0, 0]
-            terms = [CONSTANT, *xs]
-            if "pooling" in models:
-                tss = a[-1, -1] - a[0, -1] ** 2 / n_rows
-                fits[(*key, "pooling")] = _solve(
-                    "pooling", terms, a, n_rows, n_rows, tss, means, key
-                )
-            if "within" in models:
-                w = (a - b1)[1:, 1:]
-                # A column that does not vary within customers leaves only rounding behind.
-                flat = np.diag(w)[:-1] <= 1e-10 * np.maximum(np.diag(a)[1:-1], 1e-300)
-                w[:-1][flat, :] = 0.0
-                w[:, :-1][:, flat] = 0.0
-                fits[(*key, "within")] = _solve(
-                    "within", xs, w, n_rows, n_rows - n_ids, w[-1, -1], None, key
-                )
-            if "between" in models:
-                b2 = found["b2"]
-                tss = b2[-1, -1] - b2[0, -1] ** 2 / n_ids
-                fits[(*key, "between")] = _solve(
-                    "between", terms, b2, n_ids, n_ids, tss, means, key
-                )
-            if "random" in models:
-                s_e, s_u = COMPONENTS[method](a, b1, found["s2"], n_rows, n_ids)
-                parts[key] = (s_e, s_u)
-        if "random" in models:
-            h = F.coalesce(
-                *[F.when(_is_group(by, k), _weight_of(t, *p)) for k, p in parts.items()],
-                F.lit(0.0),
-            )
-            pulled = cross_products(
-                ids,
-                columns,
-                {"g": (2 * h - h * h) * t},
-                by,
-                {"y": (1 - h) * t * columns[-1]},
-            )
-            for key, found in pulled.items():
-                a = whole[key]["a"]
-                gram, n_rows = a - found["g"], a[0, 0]
-                tss = gram[-1, -1] - found["y"] ** 2 / n_rows
-                fit = _solve("random", [CONSTANT, *xs], gram, n_rows, n_rows, tss, means, key)
-                fit.s_e, fit.s_u = parts[key]
-                fits[(*key, "random")] = fit
+        found = rows.agg(
+            F.count(F.lit(1)).alias("_n"),
+            *[F.avg(c).alias(f"m_{c}") for c in [*variables, y]],
+            *[F.count(c).alias(f"n_{c}") for c in variables],
+        ).first()
+        # Any constant would do for centring; it keeps the sums small.
+        means = {c: found[f"m_{c}"] or 0.0 for c in [*variables, y]}
+        if all(found[f"n_{c}"] == found["_n"] for c in variables):
+            return _fit_complete(rows, y, specs, means, id_col, by)
+        fits = {}
+        for name, spec in specs.items():
+            complete = rows.dropna(subset=list(spec.xs))
+            fits.update(_fit_complete(complete, y, {name: spec}, means, id_col, by))
         return fits
     finally:
         rows.unpersist()
 
 
+def _fit_complete(
+    rows: DataFrame,
+    y: str,
+    specs: Mapping[str, Spec],
+    means: Mapping[str, float],
+    id_col: str,
+    by: Sequence[str],
+) -> dict[tuple, Fit]:
+    variables = list(dict.fromkeys(x for spec in specs.values() for x in spec.xs))
+    columns = [F.lit(1.0), *[F.col(c) - F.lit(means[c]) for c in [*variables, y]]]
+    ids = rows.groupBy(*by, id_col).agg(
+        F.count(F.lit(1)).cast("double").alias("_t"),
+        *[F.avg(c).alias(c) for c in [*variables, y]],
+    )
+    whole = cross_products(rows, columns, by)
+    per_id = CustomerProducts(ids, columns, "_t", by)
+    fits = {}
+    for group, a_all in whole.items():
+        shared = {
+            "b1": per_id.total(lambda t: t, group),
+            "b2": per_id.total(lambda t: 1.0, group),
+            "s2": per_id.total(lambda t: t * t, group),
+        }
+        for name, spec in specs.items():
+            at = [0, *[variables.index(x) + 1 for x in spec.xs], len(variables) + 1]
+            pick = np.ix_(at, at)
+            parts = {"a": a_all[pick], **{k: m[pick] for k, m in shared.items()}}
+            centre = [*[means[x] for x in spec.xs], means[y]]
+            for model in spec.models:
+                fit = _fit_one(model, spec, parts, centre, group, per_id, pick)
+                fits[(*group, name, model)] = fit
+    return fits
+
+
+def _fit_one(model, spec, parts, means, group, per_id, pick) -> Fit:
+    a, b1, b2 = parts["a"], parts["b1"], parts["b2"]
+    n_rows, n_ids = a[0, 0], b2[0, 0]
+    terms = [CONSTANT, *spec.xs]
+    if model == "pooling":
+        tss = a[-1, -1] - a[0, -1] ** 2 / n_rows
+        return _solve(model, terms, a, n_rows, n_rows, tss, means, group)
+    if model == "within":
+        w = _flattened(a, b1)[1:, 1:]
+        return _solve(model, spec.xs, w, n_rows, n_rows - n_ids, w[-1, -1], None, group)
+    if model == "between":
+        tss = b2[-1, -1] - b2[0, -1] ** 2 / n_ids
+        return _solve(model, terms, b2, n_ids, n_ids, tss, means, group)
+    s_e, s_u = COMPONENTS[spec.method](a, b1, parts["s2"], n_rows, n_ids)
+
+    def pulled(t):
+        h = _pull(t, s_e, s_u)
+        return (2 * h - h * h) * t
+
+    gram = a - per_id.total(pulled, group)[pick]
+    # Squares of the transformed outcome around its mean, before centring by m.
+    left = per_id.total(lambda t: (1 - _pull(t, s_e, s_u)) * t, group)[pick]
+    m = means[-1]
+    squares = gram[-1, -1] + 2 * m * gram[0, -1] + m * m * gram[0, 0]
+    tss = squares - (left[0, -1] + m * left[0, 0]) ** 2 / n_rows
+    fit = _solve(model, terms, gram, n_rows, n_rows, tss, means, group)
+    fit.s_e, fit.s_u = s_e, s_u
+    return fit
+
+
+def panel_fits(
+    df: DataFrame,
+    y: str = C.OUTCOME,
+    xs: Sequence[str] = C.CONTINUOUS_VARS,
+    models: Sequence[str] = ("pooling", "random", "within"),
+    method: str = "swar",
+    id_col: str = "nis_rad",
+    by: Sequence[str] = (),
+) -> dict[tuple, Fit]:
+    """Several estimators of one model, for every group of `by`: (group..., estimator)."""
+    found = fit_family(df, y, {"": Spec(tuple(xs), tuple(models), method)}, id_col, by)
+    return {(*key[:-2], key[-1]): fit for key, fit in found.items()}
+
+
 def panel_fit(
     df: DataFrame,
     y: str = C.OUTCOME,
@@ -302,7 +351,7 @@ def ols(df: DataFrame, y: str, xs: Sequence[str]) -> Fit:
     centre = rows.agg(*[F.avg(c).alias(c) for c in variables]).first()
     means = [centre[c] or 0.0 for c in variables]
     columns = [F.lit(1.0), *[F.col(c) - m for c, m in zip(variables, means)]]
-    a = cross_products(rows, columns, {"a": None})[()]["a"]
+    a = cross_products(rows, columns)[()]
     tss = a[-1, -1] - a[0, -1] ** 2 / a[0, 0]
     return _solve("ols", ["const", *xs], a, a[0, 0], a[0, 0], tss, means, ())
 
@@ -386,12 +435,13 @@ def dummy_effects(
 ) -> dict[str, Fit]:
     """One random-effects model per dummy."""
     rows, names = _high(df, dummies)
-    return {
-        d.replace("_dummy", ""): panel_fit(
-            rows, y, [*_controls(df, [d], controls), names[d]], "random", "walhus"
+    specs = {
+        d.replace("_dummy", ""): Spec(
+            (*_controls(df, [d], controls), names[d]), method="walhus"
         )
         for d in dummies
     }
+    return {name: fit for (name, _), fit in fit_family(rows, y, specs).items()}
 
 
 def subsamples(
@@ -401,15 +451,28 @@ def subsamples(
     y: str = C.OUTCOME,
 ) -> dict[str, Fit]:
     """Random-effects models of the Low and the High rows of every dummy."""
-    out = {}
-    for d in dummies:
-        column = resolve_dummy(df, d)
-        xs = _controls(df, [d], controls)
-        rows = df.filter(F.col(column).isin("Low", "High"))
-        fits = panel_fits(rows, y, xs, ["random"], "walhus", by=[column])
-        for (level, _), fit in sorted(fits.items(), reverse=True):
-            out[f"{d.replace('_dummy', '')}.{level.lower()}"] = fit
-    return out
+    levels = F.array(
+        *[
+            F.struct(
+                F.lit(d.replace("_dummy", "")).alias("_dummy"),
+                F.col(resolve_dummy(df, d)).alias("_level"),
+            )
+            for d in dummies
+        ]
+    )
+    rows = df.select("nis_rad", y, *controls, F.inline(levels))
+    rows = rows.filter(F.col("_level").isin("Low", "High"))
+    specs = {
+        d.replace("_dummy", ""): Spec(tuple(_controls(df, [d], controls)), method="walhus")
+        for d in dummies
+    }
+    fits = fit_family(rows, y, specs, by=["_dummy", "_level"])
+    return {
+        f"{name}.{level.lower()}": fits[(name, level, name, "random")]
+        for name in specs
+        for level in ("Low", "High")
+        if (name, level, name, "random") in fits
+    }
 
 
 def interactions(
@@ -419,16 +482,15 @@ def interactions(
     y: str = C.OUTCOME,
 ) -> dict[str, Fit]:
     """Random-effects models with two dummies and their product, on demeaned data."""
-    demeaned = demean_within(df)
-    out = {}
+    rows, names = _high(demean_within(df), list(dict.fromkeys(d for p in pairs for d in p)))
+    specs = {}
     for d1, d2 in pairs:
-        rows, names = _high(demeaned, [d1, d2])
         product = f"{names[d1]}:{names[d2]}"
         rows = rows.withColumn(product, F.col(names[d1]) * F.col(names[d2]))
-        xs = [*_controls(df, [d1, d2], controls), names[d1], names[d2], product]
         label = f"{d1.replace('_dummy', '')}_x_{d2.replace('_dummy', '')}"
-        out[label] = panel_fit(rows, y, xs, "random", "walhus")
-    return out
+        xs = (*_controls(df, [d1, d2], controls), names[d1], names[d2], product)
+        specs[label] = Spec(xs, method="walhus")
+    return {name: fit for (name, _), fit in fit_family(rows, y, specs).items()}
 
 
 def quasi_demeaned(
@@ -439,7 +501,7 @@ def quasi_demeaned(
     means = panel_moments(df, y, xs, id_col).select(
         id_col, "T", *[F.col(c).alias(f"_m_{c}") for c in [*xs, y]]
     )
-    h = _weight_of(F.col("T"), fit.s_e, fit.s_u)
+    h = _pull(F.col("T"), fit.s_e, fit.s_u)
     joined = rows.join(means, id_col).withColumn("_h", h)
     pulled = joined.withColumns(
         {c: F.col(c) - F.col("_h") * F.col(f"_m_{c}") for c in [*xs, y]}
@@ -517,7 +579,6 @@ def newey_west(
     scores = rows.select(
         id_col,
         time_col,
-        *[F.col(c).alias(f"_z{i}") for i, c in enumerate(columns)],
         *[(F.col(c) * F.col("_resid")).alias(f"_u{i}") for i, c in enumerate(columns)],
     )
     longest = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("t")).agg(F.max("t")).first()[0]
@@ -538,17 +599,11 @@ def newey_west(
         for i in range(k)
         for j in range(k)
     ]
-    sums += [
-        F.sum(F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"g{i}_{j}")
-        for i in range(k)
-        for j in range(k)
-    ]
     found = both.agg(*sums).first()
     cross = np.array([[found[f"m{i}_{j}"] for j in range(k)] for i in range(k)])
-    gram = np.array([[found[f"g{i}_{j}"] for j in range(k)] for i in range(k)])
-    bread = np.linalg.inv(gram)
-    robust = bread @ (cross + cross.T) @ bread
     at = [fit.terms.index(t) for t in used]
+    bread = fit.covariance[np.ix_(at, at)] / (fit.extra["ssr"] / fit.df)
+    robust = bread @ (cross + cross.T) @ bread
     fit.covariance = _embed(robust, at, len(fit.terms))
     fit.extra["lags"] = lags
     return fit

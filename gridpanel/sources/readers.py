@@ -95,9 +95,11 @@ def road_segments(
     )
     pairs = F.when(
         F.size("_v") > 1,
-        F.arrays_zip(
-            F.slice("_v", F.lit(1), F.size("_v") - 1).alias("a"),
-            F.slice("_v", F.lit(2), F.size("_v") - 1).alias("b"),
+        F.transform(
+            F.sequence(F.lit(1), F.size("_v") - 1),
+            lambda i: F.struct(
+                F.element_at("_v", i).alias("a"), F.element_at("_v", i + 1).alias("b")
+            ),
         ),
     )
     steps = (
@@ -108,10 +110,10 @@ def road_segments(
             class_col,
             "_part",
             "_at",
-            F.col("_p")["0"][0].alias("x1"),
-            F.col("_p")["0"][1].alias("y1"),
-            F.col("_p")["1"][0].alias("x2"),
-            F.col("_p")["1"][1].alias("y2"),
+            F.col("_p.a")[0].alias("x1"),
+            F.col("_p.a")[1].alias("y1"),
+            F.col("_p.b")[0].alias("x2"),
+            F.col("_p.b")[1].alias("y2"),
         )
     )
     return steps.withColumnsRenamed({"_part": "part", "_at": "seg"}).select(

@@ -790,11 +790,11 @@ def _(v):
     return quality.summary_stats(v("features"), variables=QUALITY_VARS)
 
 
-def _corr_sql(rows: str) -> str:
+def _corr_sql(rows: str, names: tuple[str, ...] = QUALITY_VARS) -> str:
     return " union all ".join(
         f"select '{a}' as var1, '{b}' as var2, {r(f'corr({a}, {b})')} as correlation from {rows}"
-        for a in QUALITY_VARS
-        for b in QUALITY_VARS
+        for a in names
+        for b in names
         if a != b
     )
 
@@ -825,18 +825,18 @@ def _(v):
     return quality.correlations(v("features"), QUALITY_VARS, "spearman")
 
 
+REPORT_VARS = ("nis_rad", "Nof_Mths", *QUALITY_VARS)
+
+
 @query(
     "strong_correlations",
     "features",
     sql=f"""with ok as (select * from features where {COMPLETE_ROWS})
-            select * from ({_corr_sql('ok')}) where abs(correlation) > 0.7""",
+            select * from ({_corr_sql('ok', REPORT_VARS)}) where abs(correlation) > 0.7""",
 )
 def _(v):
-    rows = v("features").select("nis_rad", "Nof_Mths", "rural_urban", *QUALITY_VARS)
-    report = quality.quality_report(rows)["high_correlations"]
-    return report.filter(
-        F.col("var1").isin(*QUALITY_VARS) & F.col("var2").isin(*QUALITY_VARS)
-    )
+    report = quality.quality_report(v("features").select("rural_urban", *REPORT_VARS))
+    return report["high_correlations"]
 
 
 @query("quality_report", "features")
