@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel import constants as C
@@ -77,17 +78,9 @@ def segment_distance(px, py, x1, y1, x2, y2) -> Column:
     return F.sqrt(ex * ex + ey * ey)
 
 
-def clipped_length(px, py, radius, x1, y1, x2, y2) -> Column:
-    """Length of the part of a segment inside the buffer polygon around (px, py).
-
-    The segment is p1 + t * d, t in [0, 1]; every side of the polygon bounds t from
-    above or below. Segments with both ends well inside keep their whole length.
-    """
-    px, py, x1, y1, x2, y2 = map(_col, (px, py, x1, y1, x2, y2))
-    radius = _col(radius) if isinstance(radius, str) else radius
+def _share_by_sides() -> Column:
+    """Share of a segment inside the polygon, bounded by each side in turn."""
     step = 2 * math.pi / C.BUFFER_SIDES
-    apothem = radius * math.cos(step / 2)
-    ax, ay, dx, dy = x1 - px, y1 - py, x2 - x1, y2 - y1
     sides = F.array(
         *[
             F.struct(
@@ -99,8 +92,8 @@ def clipped_length(px, py, radius, x1, y1, x2, y2) -> Column:
     )
 
     def narrow(acc: Column, side: Column) -> Column:
-        speed = side["nx"] * dx + side["ny"] * dy
-        room = apothem - (side["nx"] * ax + side["ny"] * ay)
+        speed = side["nx"] * F.col("_dx") + side["ny"] * F.col("_dy")
+        room = F.col("_h") - (side["nx"] * F.col("_ax") + side["ny"] * F.col("_ay"))
         hit = room / F.when(speed != 0, speed)
         return F.struct(
             F.when(speed < 0, F.greatest(acc["lo"], hit))
@@ -111,13 +104,90 @@ def clipped_length(px, py, radius, x1, y1, x2, y2) -> Column:
         )
 
     start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-    share = F.aggregate(
+    return F.aggregate(
         sides, start, narrow, lambda acc: F.greatest(F.lit(0.0), acc["hi"] - acc["lo"])
     )
-    whole = F.greatest(ax * ax + ay * ay, (x2 - px) * (x2 - px) + (y2 - py) * (y2 - py)) < (
-        apothem * apothem
+
+
+def with_clipped_length(
+    df: DataFrame, out: str, px: str, py: str, radius: str, ends: Sequence[str], grazing=True
+) -> DataFrame:
+    """Add the length of the part of each segment inside the buffer polygon around (px, py).
+
+    The segment is a + t * d, t in [0, 1], around the centre. A line that cuts the
+    polygon's inner circle enters through a side between the points where it meets the
+    outer and the inner circle, which lie in the same or in neighbouring sectors; only
+    those two sides are looked at, and two more for the exit. Lines that graze the rim
+    are bounded by all sides. `grazing=False` bounds every segment by all sides.
+    """
+    step = 2 * math.pi / C.BUFFER_SIDES
+    x1, y1, x2, y2 = (F.col(c) for c in ends)
+    keep = df.columns
+    at = df.withColumns(
+        {
+            "_ax": x1 - F.col(px),
+            "_ay": y1 - F.col(py),
+            "_dx": x2 - x1,
+            "_dy": y2 - y1,
+            "_h": F.col(radius) * math.cos(step / 2),
+        }
+    )
+    at = at.withColumns(
+        {
+            "_dd": F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"),
+            "_ad": F.col("_ax") * F.col("_dx") + F.col("_ay") * F.col("_dy"),
+            "_aa": F.col("_ax") * F.col("_ax") + F.col("_ay") * F.col("_ay"),
+        }
+    )
+    squared = F.col("_ad") * F.col("_ad")
+    at = at.withColumns(
+        {
+            "_do": squared - F.col("_dd") * (F.col("_aa") - F.col(radius) * F.col(radius)),
+            "_di": squared - F.col("_dd") * (F.col("_aa") - F.col("_h") * F.col("_h")),
+        }
+    )
+    outer, inner = (F.sqrt(F.greatest(F.lit(0.0), F.col(n))) for n in ("_do", "_di"))
+
+    def sector(root: Column) -> Column:
+        t = (root - F.col("_ad")) / F.when(F.col("_dd") > 0, F.col("_dd"))
+        angle = F.atan2(F.col("_ay") + t * F.col("_dy"), F.col("_ax") + t * F.col("_dx"))
+        return F.floor(angle / step)
+
+    def bound(k: Column) -> Column:
+        nx, ny = F.cos((k + 0.5) * step), F.sin((k + 0.5) * step)
+        speed = nx * F.col("_dx") + ny * F.col("_dy")
+        room = F.col("_h") - (nx * F.col("_ax") + ny * F.col("_ay"))
+        return F.struct(speed.alias("speed"), (room / F.when(speed != 0, speed)).alias("hit"))
+
+    # As arrays: written out, the generated method would be too long for the JVM to compile.
+    at = at.withColumn("_k", F.transform(F.array(-outer, -inner, inner, outer), sector))
+    at = at.withColumn("_b", F.transform("_k", bound))
+
+    def hit(i: int) -> Column:
+        side = F.get("_b", F.lit(i))
+        ahead = side["speed"] < 0 if i < 2 else side["speed"] > 0
+        return F.when(ahead, side["hit"])
+
+    def gap(first: int, second: int) -> Column:
+        turn = F.get("_k", F.lit(second)) - F.get("_k", F.lit(first))
+        return F.pmod(turn, F.lit(C.BUFFER_SIDES))
+
+    near = (0, 1, C.BUFFER_SIDES - 1)
+    clear = (
+        (F.col("_di") > 0)
+        & gap(0, 1).isin(*near)
+        & gap(2, 3).isin(*near)
+        & F.coalesce(hit(0), hit(1)).isNotNull()
+        & F.coalesce(hit(2), hit(3)).isNotNull()
     )
-    return F.when(whole, F.lit(1.0)).otherwise(share) * segment_length(x1, y1, x2, y2)
+    entry = F.greatest(F.lit(0.0), F.greatest(hit(0), hit(1)))
+    leave = F.least(F.lit(1.0), F.least(hit(2), hit(3)))
+    easy = F.greatest(F.lit(0.0), leave - entry)
+    share = F.when(F.col("_do").isNull() | (F.col("_do") <= 0), F.lit(0.0))
+    if grazing:
+        share = share.when(F.coalesce(clear, F.lit(False)), easy)
+    share = share.otherwise(_share_by_sides())
+    return at.withColumn(out, share * F.sqrt("_dd")).select(*keep, out)
 
 
 def pixel_coordinates(lat, lon) -> tuple[Column, Column]:

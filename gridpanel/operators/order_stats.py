@@ -54,12 +54,13 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 def _ranged(df: DataFrame, value: str, by: Sequence[str], buckets: int) -> tuple[DataFrame, DataFrame]:
     """Value counts with their range `_b`, and per (group, range) the rows before it."""
     share = [i / buckets for i in range(1, buckets)]
-    splits = df.agg(
-        F.percentile_approx(F.col(value).cast("double"), share, 10000).alias("splits")
+    counts = value_counts(df, value, by)
+    # The filter keeps the counts in this plan, so that it reads the same shuffle as the rest.
+    splits = counts.filter(F.col("n") > 0).agg(
+        F.percentile_approx(value, share, 10000).alias("splits")
     )
     counts = (
-        value_counts(df, value, by)
-        .withColumn("_splits", splits.scalar())
+        counts.withColumn("_splits", splits.scalar())
         .withColumn("_b", _bucket(F.col("_splits"), F.col(value), buckets))
         .drop("_splits")
     )
@@ -86,6 +87,11 @@ def cumulative_counts(
     )
 
 
+def _largest_group(df: DataFrame, value: str, by: Sequence[str]) -> int:
+    sizes = df.groupBy(*by).agg(F.count(value).alias("n"))
+    return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -97,11 +103,10 @@ def exact_quantiles(
     """Linearly interpolated quantiles per group; groups without values give no row.
 
     `probs` maps output names to probabilities in [0, 1]. The size of the largest group
-    is measured first and decides between the built-in aggregate and the ranged counts.
+    is measured first and decides between the built-in aggregate and the ranged counts;
+    with `max_group_rows=0` the counts are used without measuring.
     """
-    sizes = df.groupBy(*by).agg(F.count(value).alias("n"))
-    largest = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
-    if largest <= max_group_rows:
+    if max_group_rows and _largest_group(df, value, by) <= max_group_rows:
         rows = df.filter(F.col(value).isNotNull()) if by else df
         wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
         values = rows.groupBy(*by).agg(

@@ -90,9 +90,11 @@ def segment_length_in_buffer(
     found = pyr.search(centers, grid, [], radius, spatial.INNER_SHARE["polygon"])
     items = pyr.leaf_items(grid, [class_col, "_len", *ENDS])
     targets = pyr.with_totals(items, grid, radius, [class_col], "_len")
-    clipped = spatial.clipped_length("_x", "_y", F.col("_r"), *ENDS)
-    length = F.when(F.col("_whole"), F.col("_len")).otherwise(clipped)
-    hits = found.join(targets, ["_lvl", "_cell", "_whole"]).withColumn("_part", length)
+    hits = found.join(targets, ["_lvl", "_cell", "_whole"])
+    clipped = spatial.with_clipped_length(hits, "_clip", "_x", "_y", "_r", ENDS)
+    hits = clipped.withColumn(
+        "_part", F.when(F.col("_whole"), F.col("_len")).otherwise(F.col("_clip"))
+    )
     names = {c: f"road_class_{c}_length" for c in classes}
     sums = hits.groupBy("_x", "_y").agg(
         *[F.sum(F.when(F.col(class_col) == c, F.col("_part"))).alias(n) for c, n in names.items()]
