@@ -123,16 +123,16 @@ def correlations(
             ranked = ranked.join(average_ranks(rows, v, f"_rank_{v}"), v)
         rows, columns = ranked, {v: f"_rank_{v}" for v in variables}
     pairs = list(combinations(variables, 2))
-    measured = rows.agg(*[
-        F.corr(columns[a], columns[b]).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)
-    ])
+    measured = rows.agg(
+        *[F.covar_pop(columns[a], columns[b]).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)],
+        *[F.stddev_pop(columns[v]).alias(f"_s_{v}") for v in variables],
+    )
 
     def entry(a: str, b: str, i: int):
-        r = F.col(f"_c{i}")
+        # Not `corr`, which fails on a constant column.
+        r = F.try_divide(F.col(f"_c{i}"), F.col(f"_s_{a}") * F.col(f"_s_{b}"))
         return F.struct(
-            F.lit(a).alias("var1"),
-            F.lit(b).alias("var2"),
-            F.when(~F.isnan(r), r).alias("correlation"),
+            F.lit(a).alias("var1"), F.lit(b).alias("var2"), r.alias("correlation")
         )
 
     both = [e for i, (a, b) in enumerate(pairs) for e in (entry(a, b, i), entry(b, a, i))]
