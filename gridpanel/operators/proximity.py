@@ -40,7 +40,7 @@ def _weights_around(
     """
     radius = spatial.radius_degrees(meters)
     grid = pyr.build_pyramid(_boxed(points, "_px", "_py", [*by, weight]), leaf_items)
-    found = pyr.search(centers, grid, [], radius, spatial.INNER_SHARE[shape])
+    found = pyr.search(pyr.spread(centers), grid, [], radius, spatial.INNER_SHARE[shape])
     items = pyr.leaf_items(grid, [*by, weight, "_xlo", "_ylo"])
     targets = pyr.with_totals(items, grid, radius, by, weight)
     inside = spatial.INSIDE_TESTS[shape](
@@ -120,7 +120,7 @@ def points_in_buffer(
     at = centers.dropna(subset=list(left_xy)).select(
         key, F.col(left_xy[0]).alias("_x"), F.col(left_xy[1]).alias("_y")
     )
-    found = pyr.search(at, grid, [key], radius)
+    found = pyr.search(pyr.spread(at), grid, [key], radius)
     inside = spatial.INSIDE_TESTS[shape](
         F.col("_xlo") - F.col("_x"), F.col("_ylo") - F.col("_y"), F.col("_r")
     )

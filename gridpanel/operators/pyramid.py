@@ -118,6 +118,17 @@ def build_pyramid(items: DataFrame, leaf_items: int = LEAF_ITEMS) -> Pyramid:
     return Pyramid(located, depth, extent["x0"], extent["y0"], side, extent["w"] / 2)
 
 
+def spread(centers: DataFrame) -> DataFrame:
+    """Centers over all shuffle partitions, whatever their size in bytes.
+
+    One center meets many cells and items, so a partition that looks small is not. No
+    keys are named: by its keys, the shuffle would be merged with the one before it.
+    """
+    return centers.repartition(
+        int(centers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    )
+
+
 def start_level(pyramid: Pyramid, radius: float) -> int:
     """Finest level whose cells are at least as wide as the radius."""
     level = 0

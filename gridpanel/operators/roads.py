@@ -37,7 +37,7 @@ def _distinct_segments(segments: DataFrame, columns: Sequence[str] = ()) -> Data
 
 def _places(points: DataFrame, key: str, xy: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
     at = points.select(key, F.col(xy[0]).alias("_x"), F.col(xy[1]).alias("_y"))
-    return at, at.dropna(subset=["_x", "_y"]).select("_x", "_y").distinct()
+    return at, pyr.spread(at.dropna(subset=["_x", "_y"]).select("_x", "_y").distinct())
 
 
 def nearest_segment_distance(
