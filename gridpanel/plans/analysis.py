@@ -19,10 +19,14 @@ def prepare_datasets(
     rural_share: float = C.RURAL_SHARE,
     seed: int = 1,
 ) -> dict[str, dict[str, DataFrame]]:
-    """Raw, standardized and log-standardized panels, each urban, rural and combined."""
+    """Raw, standardized and log-standardized panels, each urban, rural and combined.
+
+    The nine are filters over the sampled panel, which is kept (memory, then disk) since
+    every table and model of an analysis reads it again.
+    """
     cleaned = panel.prepare_panel(raw)
     sampled = panel.balanced_sample(cleaned, sample_size, rural_share, seed)
-    final = panel.merge_gcp(panel.median_dummies(sampled), gcp)
+    final = panel.merge_gcp(panel.median_dummies(sampled), gcp).persist()
     logged = panel.log_transform(final)
     return {
         "raw": panel.split_by_location(final),

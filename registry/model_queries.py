@@ -250,13 +250,10 @@ def _(v):
 )
 def _(v):
     # As many customers as there are: every stratum is taken whole.
-    ids = v("features").select("nis_rad").distinct()
     raw = v("features")
-    prepared = panel.prepare_panel(raw)
-    customers = panel.complete_customers(prepared)
-    del ids
-    size = customers.groupBy("rural_urban").count()
-    counts = {row["rural_urban"]: row["count"] for row in size.collect()}
+    customers = panel.complete_customers(panel.prepare_panel(raw))
+    sizes = customers.groupBy("rural_urban").count().collect()
+    counts = {row["rural_urban"]: row["count"] for row in sizes}
     total = sum(counts.values())
     share = counts.get("Rural", 0) / total
     data = analysis.prepare_datasets(raw, v("gcp"), total, share)

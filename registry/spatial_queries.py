@@ -399,7 +399,7 @@ def _(v):
     pixels = v("raster_pixels")
     old = pixels.withColumn("value", F.col("value") * 2).withColumn("part", F.lit("a"))
     both = old.unionByName(pixels.withColumn("part", F.lit("b")))
-    name = F.concat(F.lit("dir/ken_ppp_"), F.col("year").cast("string"), F.lit("_"), "part", F.lit(".tif"))
+    name = F.concat(F.lit("dir/pop_grid_"), F.col("year").cast("string"), F.lit("_"), "part", F.lit(".tif"))
     listed = both.withColumn("path", name).drop("year")
     found = readers.raster_catalogue(listed, readers.population_year(F.col("path")))
     return found.groupBy("year").agg(
