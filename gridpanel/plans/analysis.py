@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -35,25 +36,29 @@ def prepare_datasets(
     }
 
 
-def plot_tables(df: DataFrame, max_months: int = C.MAX_MONTHS_PLOT) -> dict[str, DataFrame]:
-    """The tables behind the plots of a panel."""
+def plot_tables(
+    df: DataFrame, max_months: int = C.MAX_MONTHS_PLOT, only: tuple[str, ...] = ("",)
+) -> dict[str, DataFrame]:
+    """The tables behind the plots of a panel, or those whose names begin as in `only`."""
     rows = within_tenure(df, max_months, inclusive=False)
     means = distributions.customer_means(df)
-    tables = {
-        "median_consumption": growth.growth_curve(rows),
-        "median_by_location": growth.growth_curve(rows, ["rural_urban", "Nof_Mths"]),
-        "consumption_by_year": growth.connection_year_curve(df, max_months),
-        "interactions": segments.interaction_curves(df, max_months=max_months),
+    made = {
+        "median_consumption": lambda: growth.growth_curve(rows),
+        "median_by_location": lambda: growth.growth_curve(rows, ["rural_urban", "Nof_Mths"]),
+        "consumption_by_year": lambda: growth.connection_year_curve(df, max_months),
+        "interactions": lambda: segments.interaction_curves(df, max_months=max_months),
     }
     if "Month" in df.columns:
-        tables["seasonal_patterns"] = growth.calendar_curve(df)
+        made["seasonal_patterns"] = lambda: growth.calendar_curve(df)
     for v in distributions.ECDF_VARS:
-        tables[f"distribution_{v}"] = distributions.ecdf(means, v, "rural_urban", "non_null")
+        made[f"distribution_{v}"] = partial(
+            distributions.ecdf, means, v, "rural_urban", "non_null"
+        )
     for v in ("csmo_fact", "total_structs", "population", "fsp"):
-        tables[f"histogram_{v}"] = distributions.histogram(df, v, by="rural_urban")
+        made[f"histogram_{v}"] = partial(distributions.histogram, df, v, by="rural_urban")
     for d in ("fsp_dummy", "Electrification_dummy", "population_dummy"):
-        tables[f"segment_{d}"] = segments.dummy_curve(df, d, max_months=max_months)
-    return tables
+        made[f"segment_{d}"] = partial(segments.dummy_curve, df, d, max_months=max_months)
+    return {name: make() for name, make in made.items() if name.startswith(only)}
 
 
 def location_models(name: str, parts: dict[str, DataFrame], fitter) -> dict[str, Fit]:
@@ -126,20 +131,17 @@ def quick_analysis(raw: DataFrame, gcp: DataFrame, sample_size: int = 10000) ->
     """Curves, distributions, summaries and the basic models on a smaller sample."""
     datasets = prepare_datasets(raw, gcp, sample_size)
     combined = datasets["raw"]["combined"]
-    tables = plot_tables(combined)
-    wanted = ("median_consumption", "distribution_")
     return Analysis(
         datasets,
         summary_stats=quality.summary_stats(combined),
-        plots={n: t for n, t in tables.items() if n.startswith(wanted)},
+        plots=plot_tables(combined, only=("median_consumption", "distribution_")),
         models=regression.panel_regression(datasets["standardized"]["combined"]),
     )
 
 
 def plots_only(raw: DataFrame, gcp: DataFrame) -> dict[str, DataFrame]:
-    tables = plot_tables(prepare_datasets(raw, gcp)["raw"]["combined"])
-    wanted = ("median_", "distribution_", "segment_fsp_dummy")
-    return {n: t for n, t in tables.items() if n.startswith(wanted)}
+    combined = prepare_datasets(raw, gcp)["raw"]["combined"]
+    return plot_tables(combined, only=("median_", "distribution_", "segment_fsp_dummy"))
 
 
 def regressions_only(raw: DataFrame, gcp: DataFrame) -> dict[str, Fit]:
