@@ -24,8 +24,9 @@ Before sets are compared, pairs are tested against the distances to 64 further p
 counts of a set's shingles in 64 parts of the hash range change by at most one per shingle added
 or removed, so the sum of their differences bounds the symmetric difference from below.
 
-Equal sets are one class from the start. Sets are 64-bit hashes; those that are needed are computed
-once, where a Bloom filter of fixed size names their documents, and are written.
+Equal sets are one class from the start. Sets are 64-bit hashes. Only the sets of pairs that pass the
+bounds are computed again and written, from one document of each class; a Bloom
+filter of fixed size names these documents.
 
 Defined results: a null or empty text has no shingles and is alone; fewer than five words are
 one shingle; rows that repeat a doc_id are rows of their own, and links lead through
@@ -49,7 +50,7 @@ SHINGLE = 5
 EPSILON = 0.25
 PARTS = 64
 COMMON = 3
-LOG2_BITS = 25
+LOG2_BITS = 24
 
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -91,7 +92,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _sets(batch.column(0)):
             kept.append(found)
             size += len(found)
-            if size > 1 << 22:
+            if size > 1 << 21:
                 yield _counted(kept)
                 kept, size = [], 0
         if kept:
@@ -153,21 +154,20 @@ def _documents(common: bloom.Bloom, shared: bloom.Bloom):
 
 
 def _needed_sets(needed: bloom.Bloom):
-    """(doc_id, class, shingles) of documents whose key the filter holds."""
+    """(class, shingles) of documents whose key the filter holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             rows = np.flatnonzero(needed.holds(keys))
-            sets = [found for _, found in _sets(batch.column(2).take(pa.array(rows)))]
+            sets = [found for _, found in _sets(batch.column(1).take(pa.array(rows)))]
             none = np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(rows)),
                     pa.array([_class(s) for s in sets], pa.int64()),
                     text.nested(np.concatenate([none, *sets]).view(np.int64), [len(s) for s in sets], pa.int64()),
                 ],
-                names=["doc_id", "class", "shingles"],
+                names=["class", "shingles"],
             )
 
     return run
@@ -216,37 +216,47 @@ def _faced(known: DataFrame, pivots: DataFrame) -> DataFrame:
     )
 
 
-def _distances(pairs: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, d, exact, linked) of pairs (a, b, n_a, n_b); where the parts tell enough, d is a lower bound."""
+def _bounded(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, total, differ) of pairs (a, b, n_a, n_b): sizes together, and how much the parts differ at least."""
     a_parts = parts.select(F.col("node").alias("a"), F.col("parts").alias("a_parts"))
     b_parts = parts.select(F.col("node").alias("b"), F.col("parts").alias("b_parts"))
     differ = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    total = F.col("n_a") + F.col("n_b")
-    bounded = materialise(
-        pairs.join(b_parts, "b")
-        .join(a_parts, "a")
-        .select("a", "b", total.alias("total"), differ.alias("differ")),
-        "bounded",
-    )
-    near = F.col("total") >= 7 * F.col("differ")
+    joined = pairs.join(b_parts, "b").join(a_parts, "a")
+    return joined.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), differ.alias("differ"))
+
+
+#: Linked pairs differ in a seventh of their sizes together at most.
+_NEAR = "total >= 7 * differ"
+
+
+def _far(bounded: DataFrame) -> DataFrame:
+    """(a, b, d, exact, linked) of pairs that the parts exclude; d is a lower bound."""
     most = (F.col("total") - F.col("differ")) / 2
-    far = bounded.where(~near).select(
-        "a", "b", (1 - most / (F.col("total") - most)).alias("d"), F.lit(False).alias("exact"), F.lit(False).alias("linked")
+    lower = 1 - most / (F.col("total") - most)
+    return bounded.where(f"not {_NEAR}").select(
+        "a", "b", lower.alias("d"), F.lit(False).alias("exact"), F.lit(False).alias("linked")
     )
+
+
+def _measured(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, d, exact, linked) from the sets themselves."""
     a_sets = sets.select(F.col("class").alias("a"), F.col("shingles").alias("a_set"))
     b_sets = sets.select(F.col("class").alias("b"), F.col("shingles").alias("b_set"))
     both = F.size(F.array_intersect("a_set", "b_set")).cast("long")
     union = F.col("total") - F.col("both")
-    measured = (
-        bounded.where(near)
-        .join(b_sets, "b")
+    return (
+        near.join(b_sets, "b")
         .join(a_sets, "a")
         .select("a", "b", "total", both.alias("both"))
+        .distinct()
         .select(
-            "a", "b", (1 - F.col("both") / union).alias("d"), F.lit(True).alias("exact"), (100 * F.col("both") >= 75 * union).alias("linked")
+            "a",
+            "b",
+            (1 - F.col("both") / union).alias("d"),
+            F.lit(True).alias("exact"),
+            (100 * F.col("both") >= 75 * union).alias("linked"),
         )
     )
-    return far.union(measured)
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -321,15 +331,19 @@ def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataF
         )
         if known.isEmpty():
             break
-        if sets is None:
-            sets = _sets_of(docs, leaders, kind, log2_bits)
         pivots = materialise(_pivots(known, 1 if level == 0 else 4 << level), "pivots")
         faced = materialise(_faced(known, pivots), "faced")
         pairs = faced.where(F.col("low") <= EPSILON).select("a", "b", "n_a", "n_b").distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        measured = materialise(_distances(materialise(pairs, "pairs"), leaders, sets), "measured")
-        tested = measured if tested is None else materialise(tested.union(measured), "tested")
+        bounded = materialise(_bounded(materialise(pairs, "pairs"), leaders), "bounded")
+        near = bounded.where(_NEAR)
+        sets = _with_sets(docs, near, leaders, sets, log2_bits)
+        measured = _far(bounded)
+        if sets is not None:
+            measured = measured.union(_measured(near, sets))
+        measured = materialise(measured, "measured")
+        tested = measured if tested is None else tested.union(measured)
         edges = measured.where("linked").select("a", "b")
         if not edges.isEmpty():
             labels = components(edges, labels)
@@ -340,21 +354,26 @@ def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataF
     return base, labels
 
 
-def _sets_of(docs: DataFrame, leaders: DataFrame, kind: str, log2_bits: int) -> DataFrame:
-    """(class, shingles) of the leaders' classes, computed from one document of each."""
+def _with_sets(
+    docs: DataFrame, near: DataFrame, leaders: DataFrame, sets: DataFrame | None, log2_bits: int
+) -> DataFrame | None:
+    """(class, shingles) for both ends of all pairs: the sets so far, and those that are new."""
+    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    if sets is not None:
+        ends = ends.join(sets.select(F.col("class").alias("node")), "node", "left_anti")
     key = F.xxhash64("doc_id")
-    needed = bloom.build(leaders.select(key.alias("key")), "key", log2_bits)
-    found = docs.select("doc_id", key.alias("key"), "text").mapInArrow(
-        _needed_sets(needed), f"doc_id {kind}, class bigint, shingles array<bigint>"
-    )
-    leader = leaders.select(F.col("node").alias("class"), F.col("doc_id").alias("of"))
-    return materialise(
-        found.join(leader, "class")
-        .where(F.col("doc_id").eqNullSafe(F.col("of")))
-        .select("class", "shingles")
-        .dropDuplicates(["class"]),
+    wanted = materialise(leaders.join(ends, "node", "left_semi").select(key.alias("key")), "wanted")
+    if wanted.isEmpty():
+        return sets
+    needed = bloom.build(wanted, "key", log2_bits)
+    # A class comes once for each row with its leader's doc_id; what the filter lets through besides joins nothing.
+    found = materialise(
+        docs.select(key.alias("key"), "text").mapInArrow(
+            _needed_sets(needed), "class bigint, shingles array<bigint>"
+        ),
         "sets",
     )
+    return found if sets is None else sets.union(found)
 
 
 def classes(docs: DataFrame, log2_bits: int = LOG2_BITS) -> DataFrame:
