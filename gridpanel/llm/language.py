@@ -72,8 +72,7 @@ def gram_hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
     wide = codes.astype(np.uint64)
     total, out = np.zeros(len(codes), np.uint64), []
     for k in range(order):
-        factor = np.uint64(((2 * k + 1) * 0x9E3779B97F4A7C15 | 1) & ((1 << 64) - 1))
-        total[k:] += wide[: len(wide) - k] * factor
+        total[k:] += wide[: len(wide) - k] * texts.factor(k)
         out.append(texts.mix(total + np.uint64(k + 1)))
     return out
 

@@ -123,6 +123,12 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
     return Words(start, end, found, np.searchsorted(start, offsets))
 
 
+@lru_cache(maxsize=64)
+def factor(k: int) -> np.uint64:
+    """An odd number for place k; those of different places have no simple relation."""
+    return mix(np.array([(k + 1) * _BASE & _MASK], dtype=np.uint64))[0] | np.uint64(1)
+
+
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of `size` words, at the place of its first word."""
     n = len(hashes) - size + 1
@@ -130,7 +136,7 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.full(n, np.uint64(size), dtype=np.uint64)
     for k in range(size):
-        out += hashes[k : n + k] * np.uint64(((2 * k + 3) * 0xD6E8FEB86659FD93 | 1) & _MASK)
+        out += hashes[k : n + k] * factor(k)
     return mix(out)
 
 

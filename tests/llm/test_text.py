@@ -42,6 +42,16 @@ def test_shingles_tell_order_and_length_apart():
     assert text.shingles(hashes[:4], 4)[0] != text.shingles(hashes[:5], 5)[0]
 
 
+def test_shingles_of_rearranged_words_differ():
+    """No two arrangements of a few words hash alike, as they do if places weigh in simple proportions."""
+    from itertools import product
+
+    words = text.mix(np.arange(7, 10, dtype=np.uint64))
+    rows = np.array(list(product(range(3), repeat=5)))
+    keys = [text.shingles(words[row], 5)[0] for row in rows]
+    assert len(set(keys)) == len(rows)
+
+
 def test_bloom_filter_holds_all_members(spark):
     members = text.mix(np.arange(2000, dtype=np.uint64))
     rows = spark.createDataFrame([(int(x),) for x in members.view(np.int64)] + [(None,)], "h bigint")
