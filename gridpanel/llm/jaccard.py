@@ -20,8 +20,8 @@ many at each level. No pair is ever compared within a component, so a group of n
 one comparison per member, and every pair that could be a link either is compared, is excluded
 by the triangle inequality or by sizes, or lies within one component.
 
-Before sets are compared, pairs are tested against the distances to 64 further pivots: the
-counts of a set's shingles in 64 parts of the hash range change by at most one per shingle added
+Before sets are compared, pairs are tested against the distances to 256 further pivots: the
+counts of a set's shingles in 256 parts of the hash range change by at most one per shingle added
 or removed, so the sum of their differences bounds the symmetric difference from below.
 
 Equal sets are one class from the start. Sets are 64-bit hashes. Only the sets of pairs that pass the
@@ -48,7 +48,7 @@ from gridpanel.llm.scratch import delete, materialise
 
 SHINGLE = 5
 EPSILON = 0.25
-PARTS = 64
+PARTS = 256
 COMMON = 3
 LOG2_BITS = 24
 
@@ -123,6 +123,12 @@ def _class(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
+def _parts(shingles: np.ndarray) -> np.ndarray:
+    """Shingles in each part of the hash range, 127 at most, which keeps differences from growing."""
+    part = (shingles >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=PARTS), 127)
+
+
 def _documents(common: bloom.Bloom, shared: bloom.Bloom):
     """(doc_id, class, n, tokens): necessary shingles that another document may have, too."""
 
@@ -135,7 +141,7 @@ def _documents(common: bloom.Bloom, shared: bloom.Bloom):
                 classes.append(_class(found))
                 sizes.append(len(found))
                 tokens.append(prefix)
-                counts.append(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=PARTS) if len(prefix) else ())
+                counts.append(_parts(found) if len(prefix) else ())
             none = np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -144,7 +150,7 @@ def _documents(common: bloom.Bloom, shared: bloom.Bloom):
                     pa.array(sizes, pa.int64()),
                     text.nested(np.concatenate([none, *tokens]).view(np.int64), [len(t) for t in tokens], pa.int64()),
                     text.nested(
-                        np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int32), [len(c) for c in counts], pa.int32()
+                        np.concatenate([np.zeros(0, np.int8), *counts]).astype(np.int8), [len(c) for c in counts], pa.int8()
                     ),
                 ],
                 names=["doc_id", "class", "n", "tokens", "parts"],
@@ -220,7 +226,7 @@ def _bounded(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """(a, b, total, differ) of pairs (a, b, n_a, n_b): sizes together, and how much the parts differ at least."""
     a_parts = parts.select(F.col("node").alias("a"), F.col("parts").alias("a_parts"))
     b_parts = parts.select(F.col("node").alias("b"), F.col("parts").alias("b_parts"))
-    differ = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    differ = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
     joined = pairs.join(b_parts, "b").join(a_parts, "a")
     return joined.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), differ.alias("differ"))
 
@@ -304,7 +310,7 @@ def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = materialise(
         docs.select("doc_id", "text").mapInArrow(
-            _documents(common, shared), f"doc_id {kind}, class bigint, n bigint, tokens array<bigint>, parts array<int>"
+            _documents(common, shared), f"doc_id {kind}, class bigint, n bigint, tokens array<bigint>, parts array<tinyint>"
         ),
         "documents",
     )
