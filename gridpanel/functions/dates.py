@@ -49,7 +49,7 @@ def bill_year(df: DataFrame, allow_date: bool = True, default: int = C.DEFAULT_R
     if "year" in df.columns:
         return F.col("year").cast("int")
     if "f_fact" in df.columns:
-        return F.year("f_fact")
+        return F.year(parse_day_first(df, "f_fact"))
     if allow_date and "date" in df.columns:
-        return F.year("date")
+        return F.year(parse_day_first(df, "date"))
     return F.lit(default)

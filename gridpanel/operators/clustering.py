@@ -38,11 +38,13 @@ def kmeans_scan(
     key: str = "nis_rad",
     ks: Iterable[int] = range(1, 11),
     seed: int = 42,
+    max_iter: int = 300,
 ) -> tuple[DataFrame, DataFrame]:
     """Scores (k, score) and labels (key, k, label) for every number of clusters.
 
     The score is minus the squared distances to the centres. One cluster needs no
-    iteration: its centre is the origin of the scaled data.
+    iteration: its centre is the origin of the scaled data. The others take `max_iter`
+    rounds at most, or end when no centre moves.
     """
     columns = list(columns)
     rows = df.select(key, *columns).dropna(subset=columns)
@@ -56,7 +58,7 @@ def kmeans_scan(
             scores.append((1, -float(data.agg(F.sum(squares)).first()[0] or 0.0)))
             labels.append(data.select(key, F.lit(1).alias("k"), F.lit(0).alias("label")))
             continue
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(data)
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="label").fit(data)
         scores.append((k, -float(model.summary.trainingCost)))
         labels.append(model.transform(data).select(key, F.lit(k).alias("k"), "label"))
     table = df.sparkSession.createDataFrame(scores, "k int, score double")

@@ -2,48 +2,80 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridpanel.functions.scalars import exponential_decay
+from gridpanel.operators.order_stats import null_safe_join
+from gridpanel.session import ensure_checkpoint_dir
 
 # Rates tried at the start: 1, and these multiples of one over the range of x, both signs.
 RATES = np.geomspace(1e-2, 700, 48)
 GROWTH_RATES = np.geomspace(1e-2, 30, 16)
-MAX_STEPS = 50
+MAX_STEPS = 200
 # Relative change of the residual squares, or of the parameters, that ends the search.
 TOLERANCE = 1e-10
 
+UPPER = [(i, j) for i in range(3) for j in range(i, 3)]
+SUMS = [*(f"h{i}{j}" for i, j in UPPER), "g0", "g1", "g2", "ss", "total"]
+AT = ("a", "b", "c")
 
-@dataclass
-class _State:
-    """Levenberg-Marquardt state of one group."""
 
-    at: tuple[float, float, float] | None
-    damping: float = 1e-3
-    best: dict | None = None
-    trial: tuple[float, float, float] | None = None
-    done: bool = False
+def _points(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
+    """(group, _x, _n, _y, _spread): rows with equal x added up."""
+    rows = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_v"))
+    rows = rows.filter(F.col("_x").isNotNull() & F.col("_v").isNotNull())
+    return rows.groupBy(*by, "_x").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.avg("_v").alias("_y"),
+        # Squares around the mean of each x stay in the residual of any curve.
+        F.coalesce(F.var_pop("_v") * F.count(F.lit(1)), F.lit(0.0)).alias("_spread"),
+    )
+
+
+def _starts(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(group, n, _m, a, b, c): the best of the tried rates; for a given b the rest is linear."""
+    n, e, y = F.col("_n"), F.col("_e"), F.col("_y")
+    span = points.agg(F.greatest(F.max("_x") - F.min("_x"), F.lit(1e-12))).scalar()
+    rates = [F.lit(1.0), *(F.lit(float(r)) / F.col("_s") for r in (*RATES, *(-GROWTH_RATES)))]
+    sums = (
+        points.withColumn("_s", span)
+        .withColumn("_b", F.explode(F.array(*rates)))
+        .withColumn("_e", F.exp(-F.col("_b") * F.col("_x")))
+        .groupBy(*by, "_b")
+        .agg(
+            F.sum(n).alias("n"),
+            F.sum(n * e).alias("e"),
+            F.sum(n * e * e).alias("ee"),
+            F.sum(n * y).alias("y"),
+            F.sum(n * e * y).alias("ey"),
+        )
+    )
+    spread = F.col("ee") - F.col("e") * F.col("e") / F.col("n")
+    usable = _finite(spread) & (spread > 1e-12 * F.col("ee"))
+    a = F.try_divide(F.col("ey") - F.col("e") * F.col("y") / F.col("n"), spread)
+    tried = F.struct(
+        (a * a * spread).alias("gain"), a.alias("a"), F.col("_b").alias("b"), ((F.col("y") - a * F.col("e")) / F.col("n")).alias("c")
+    )
+    best = sums.groupBy(*by).agg(
+        F.max("n").alias("n"), F.max(F.col("y") / F.col("n")).alias("_m"), F.max(F.when(usable, tried)).alias("_t")
+    )
+    return best.select(*by, "n", "_m", *[F.col(f"_t.{p}").alias(p) for p in AT])
 
 
-def _pick(values: list[float]) -> Column:
-    """The value of a row's group, by its number `_g`."""
-    return F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("_g"))
+def _finite(value: Column) -> Column:
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
 
 
-def _normal_equations(points: DataFrame, at: list, means: list) -> dict[int, dict]:
-    """J'J, J'r and the squares of all groups in one aggregate; groups without `at` rest."""
-    asked = F.array(*[F.lit(p is not None) for p in at])
-    a, b, c = (_pick([p[i] if p else 0.0 for p in at]) for i in range(3))
+def _normal_equations(points: DataFrame, states: DataFrame, by: Sequence[str]) -> DataFrame:
+    """J'J, J'r and the squares of every unsettled group at its trial, in one aggregate."""
+    trial = states.filter(~F.col("done")).select(*by, "_m", *[F.col(f"t{p}").alias(f"_{p}") for p in AT])
+    placed = null_safe_join(points, trial, by, "inner")
     n, x = F.col("_n"), F.col("_x")
-    placed = points.filter(F.get(asked, F.col("_g")))
-    placed = placed.withColumns({"_a": a, "_b": b, "_c": c, "_m": _pick(means)})
     slope = F.exp(-F.col("_b") * x)
     fitted = exponential_decay(x, F.col("_a"), F.col("_b"), F.col("_c"))
     placed = placed.withColumns(
@@ -55,171 +87,129 @@ def _normal_equations(points: DataFrame, at: list, means: list) -> dict[int, dic
             "_d": fitted - F.col("_m"),
         }
     )
-    sums = [
-        F.sum(n * F.col(f"_j{i}") * F.col(f"_j{j}")).alias(f"h{i}{j}")
-        for i in range(3)
-        for j in range(i, 3)
-    ]
-    sums += [F.sum(n * F.col(f"_j{i}") * F.col("_e")).alias(f"g{i}") for i in range(3)]
+    sums = [F.sum(n * F.col(f"_j{i}") * F.col(f"_j{j}")).alias(f"_h{i}{j}") for i, j in UPPER]
+    sums += [F.sum(n * F.col(f"_j{i}") * F.col("_e")).alias(f"_g{i}") for i in range(3)]
     sums += [
-        F.sum(n * F.col("_e") * F.col("_e") + F.col("_spread")).alias("ss"),
-        F.sum(n * F.col("_d") * F.col("_d")).alias("total"),
+        F.sum(n * F.col("_e") * F.col("_e") + F.col("_spread")).alias("_ss"),
+        F.sum(n * F.col("_d") * F.col("_d")).alias("_total"),
     ]
-    out = {}
-    for row in placed.groupBy("_g").agg(*sums).collect():
-        h = np.zeros((3, 3))
-        for i in range(3):
-            for j in range(i, 3):
-                h[i, j] = h[j, i] = row[f"h{i}{j}"]
-        gradient = np.array([row[f"g{i}"] for i in range(3)])
-        out[row["_g"]] = {"h": h, "g": gradient, "ss": row["ss"], "total": row["total"]}
-    return out
-
-
-def _starts(points: DataFrame, groups: int, low: float, high: float) -> list:
-    """Best (a, b, c) of each group over the tried rates; for a given b the rest is linear."""
-    span = max(high - low, 1e-12)
-    rates = [1.0, *(RATES / span), *(-GROWTH_RATES / span)]
-    tried = points.withColumn("_b", F.explode(F.array(*[F.lit(float(b)) for b in rates])))
-    n, e, y = F.col("_n"), F.col("_e"), F.col("_y")
-    sums = (
-        tried.withColumn("_e", F.exp(-F.col("_b") * F.col("_x")))
-        .groupBy("_g", "_b")
-        .agg(
-            F.sum(n).alias("n"),
-            F.sum(n * e).alias("e"),
-            F.sum(n * e * e).alias("ee"),
-            F.sum(n * y).alias("y"),
-            F.sum(n * e * y).alias("ey"),
+    return placed.groupBy(*by).agg(*sums)
+
+
+def _scaled(damping: Column | float) -> tuple[list[Column], dict[tuple[int, int], Column], Column]:
+    """Scales of the parameters, and adjugate and determinant of the scaled, damped J'J."""
+    scale = [F.sqrt(F.greatest(F.col(f"h{i}{i}"), F.lit(1e-12))) for i in range(3)]
+    m = {}
+    for i, j in UPPER:
+        m[i, j] = m[j, i] = F.col(f"h{i}{j}") / (scale[i] * scale[j]) + (damping if i == j else 0.0)
+    others = {0: (1, 2), 1: (0, 2), 2: (0, 1)}
+    adjugate = {}
+    for i in range(3):
+        for j in range(3):
+            (r, s), (p, q) = others[j], others[i]
+            minor = m[r, p] * m[s, q] - m[r, q] * m[s, p]
+            adjugate[i, j] = minor if (i + j) % 2 == 0 else -minor
+    determinant = reduce(Column.__add__, [m[0, j] * adjugate[j, 0] for j in range(3)])
+    return scale, adjugate, determinant
+
+
+def _advance(states: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Accept or reject each group's trial and propose the next one, or settle."""
+    rows = null_safe_join(states, found, by)
+    finite = reduce(Column.__and__, [_finite(F.col(f"_{s}")) for s in SUMS])
+    first = F.col("ss").isNull()
+    rows = rows.withColumns(
+        {
+            "_first": first,
+            "_ok": finite & (first | F.coalesce(F.col("_ss") <= F.col("ss"), F.lit(False))),
+            "_gain": F.col("ss") - F.col("_ss"),
+            "_was": F.col("ss"),
+        }
+    )
+    ok, first, open_ = F.col("_ok"), F.col("_first"), ~F.col("done")
+    moved = {p: F.when(open_ & ok, F.col(f"t{p}")).otherwise(F.col(p)) for p in AT}
+    kept = {s: F.when(open_ & ok, F.col(f"_{s}")).otherwise(F.col(s)) for s in SUMS}
+    damping = (
+        F.when(first, F.col("damping"))
+        .when(ok, F.greatest(F.col("damping") / 10, F.lit(1e-12)))
+        .otherwise(F.col("damping") * 10)
+    )
+    rows = rows.withColumns({**moved, **kept, "damping": damping})
+    # No step lowers the squares any more, or the last one hardly did.
+    settled = (ok & ~first & (F.col("_gain") <= TOLERANCE * F.col("_was"))) | (~ok & ~first & (F.col("damping") > 1e16))
+    scale, adjugate, determinant = _scaled(F.col("damping"))
+    step = {
+        p: F.try_divide(
+            reduce(Column.__add__, [adjugate[i, j] * F.col(f"g{j}") / scale[j] for j in range(3)]), determinant * scale[i]
         )
+        for i, p in enumerate(AT)
+    }
+    rows = rows.withColumns({f"_s{p}": step[p] for p in AT})
+    still = reduce(
+        Column.__and__, [F.abs(F.col(f"_s{p}")) <= TOLERANCE * (F.abs(F.col(p)) + TOLERANCE) for p in AT]
+    )
+    lost = (~ok & first) | ~reduce(Column.__and__, [_finite(F.col(f"_s{p}")) for p in AT])
+    ends = F.coalesce(~lost & (settled | still), F.lit(False))
+    return rows.select(
+        *by,
+        "n",
+        "_m",
+        *AT,
+        *SUMS,
+        "damping",
+        *[(F.col(p) + F.col(f"_s{p}")).alias(f"t{p}") for p in AT],
+        (F.col("done") | lost | ends).alias("done"),
+        F.when(F.col("done"), F.col("converged")).otherwise(ends).alias("converged"),
     )
-    best: list = [None] * groups
-    gains = [-math.inf] * groups
-    for row in sums.collect():
-        spread = row["ee"] - row["e"] ** 2 / row["n"]
-        if not math.isfinite(spread) or spread <= 1e-12 * row["ee"]:
-            continue
-        a = (row["ey"] - row["e"] * row["y"] / row["n"]) / spread
-        gain, g = a * a * spread, row["_g"]
-        if gain > gains[g]:
-            gains[g] = gain
-            best[g] = (a, row["_b"], (row["y"] - a * row["e"]) / row["n"])
-    return best
 
 
 def fit_decay(
-    df: DataFrame, x: str = "Nof_Mths", y: str = "csmo_fact", by: Sequence[str] = ()
+    df: DataFrame,
+    x: str = "Nof_Mths",
+    y: str = "csmo_fact",
+    by: Sequence[str] = (),
+    max_steps: int = MAX_STEPS,
 ) -> DataFrame:
     """a * exp(-b x) + c by least squares, per group.
 
-    Rows with equal x are added up first. One aggregate tries a range of rates b at
-    once; Levenberg-Marquardt steps, one aggregate each for all groups, do the rest.
-    One row per group: a, b, c, their covariance as cov_aa .. cov_cc, r_squared and n.
-    The total squares of r_squared are those of the fitted values around the mean of
-    the data. A fit that fails gives NULLs.
+    Rows with equal x are added up first and written to the checkpoint folder. One aggregate tries a range of
+    65 rates b at once and starts from the best (a library fitter would start at 1, 1, 1 and may
+    end in another local minimum); Levenberg-Marquardt steps, one aggregate each for all groups,
+    do the rest. The groups' states are rows of a table, so their number is free. One row per
+    group: a, b, c, their covariance as cov_aa .. cov_cc, r_squared, n and `converged`. The total
+    squares of r_squared are those of the fitted values around the mean of the data. A fit that
+    fails, or has not settled after `max_steps`, gives NULLs and `converged` false.
     """
-    by = list(by)
-    rows = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_v"))
-    rows = rows.filter(F.col("_x").isNotNull() & F.col("_v").isNotNull())
-    sums = rows.groupBy(*by, "_x").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.avg("_v").alias("_y"),
-        # Squares around the mean of each x stay in the residual of any curve.
-        F.coalesce(F.var_pop("_v") * F.count(F.lit(1)), F.lit(0.0)).alias("_spread"),
-    )
-    sums = sums.persist()
-    sizes = sums.groupBy(*by).agg(
-        F.sum("_n").alias("n"), (F.sum(F.col("_n") * F.col("_y")) / F.sum("_n")).alias("m")
+    keys = list(by) or ["_all"]
+    ensure_checkpoint_dir(df.sparkSession)
+    points = _points(df if by else df.withColumn("_all", F.lit(1)), x, y, keys).checkpoint()
+    empty = {s: F.lit(None).cast("double") for s in SUMS}
+    states = _starts(points, keys).withColumns(
+        {
+            **empty,
+            "damping": F.lit(1e-3),
+            **{f"t{p}": F.col(p) for p in AT},
+            "done": F.col("a").isNull(),
+            "converged": F.lit(False),
+        }
     )
-    # One row per group, that is per segment of a report.
-    groups = [r for r in sizes.collect() if r["n"]]
-    keys = [tuple(r[c] for c in by) for r in groups]
-    number = F.lit(0)
-    for g, key in enumerate(keys):
-        number = F.when(_is(by, key), g).otherwise(number)
-    points = sums.select(number.cast("int").alias("_g"), "_n", "_x", "_y", "_spread").persist()
-    means = [float(r["m"]) for r in groups]
-    try:
-        edges = points.agg(F.min("_x").alias("low"), F.max("_x").alias("high")).first()
-        pending = _starts(points, len(keys), edges["low"], edges["high"]) if keys else []
-        states = [_State(at, done=at is None) for at in pending]
-        for _ in range(MAX_STEPS):
-            if not any(pending):
-                break
-            pending = _advance(states, _normal_equations(points, pending, means))
-    finally:
-        points.unpersist()
-        sums.unpersist()
-    table = [_result(k, s, int(r["n"])) for k, s, r in zip(keys, states, groups)]
-    names = ["a", "b", "c", "cov_aa", "cov_ab", "cov_ac", "cov_bb", "cov_bc", "cov_cc", "r_squared"]
-    schema = T.StructType(
-        [df.schema[c] for c in by]
-        + [T.StructField(n, T.DoubleType()) for n in names]
-        + [T.StructField("n", T.LongType())]
+    states = states.checkpoint()
+    for _ in range(max_steps):
+        if states.filter(~F.col("done")).isEmpty():
+            break
+        states = _advance(states, _normal_equations(points, states, keys), keys).checkpoint()
+    scale, adjugate, determinant = _scaled(0.0)
+    noise = F.try_divide(F.col("ss"), F.col("n") - 3)
+    covariance = {
+        f"cov_{AT[i]}{AT[j]}": F.try_divide(adjugate[i, j], determinant * scale[i] * scale[j]) * noise for i, j in UPPER
+    }
+    # Three points leave no residual, and equal columns of the Jacobian no covariance.
+    good = F.col("converged") & (F.col("n") > 3) & _finite(reduce(Column.__add__, covariance.values()))
+    r2 = F.try_divide(F.col("total") - F.col("ss"), F.col("total"))
+    shown = {**{p: F.col(p) for p in AT}, **covariance, "r_squared": r2}
+    return states.select(
+        *by, *[F.when(good, value).alias(name) for name, value in shown.items()], "n", good.alias("converged")
     )
-    return df.sparkSession.createDataFrame(table, schema)
-
-
-def _is(by: Sequence[str], key: tuple) -> Column:
-    test = F.lit(True)
-    for column, value in zip(by, key):
-        test = test & F.col(column).eqNullSafe(F.lit(value))
-    return test
-
-
-def _advance(states: list[_State], found: dict[int, dict]) -> list:
-    """Accept or reject each group's trial and propose the next one; None when settled."""
-    return [
-        None if state.done else _next_trial(state, found.get(g)) for g, state in enumerate(states)
-    ]
-
-
-def _next_trial(state: _State, new: dict | None) -> tuple | None:
-    usable = new is not None and math.isfinite(new["ss"]) and bool(np.isfinite(new["h"]).all())
-    if state.best is None:
-        if not usable:
-            state.done = True
-            return None
-        state.best = new
-    elif usable and new["ss"] <= state.best["ss"]:
-        settled = state.best["ss"] - new["ss"] <= TOLERANCE * state.best["ss"]
-        state.at, state.best = state.trial, new
-        state.damping = max(state.damping / 10, 1e-12)
-        if settled:
-            state.done = True
-            return None
-    else:
-        state.damping *= 10
-        if state.damping > 1e16:
-            state.done = True
-            return None
-    h, g = state.best["h"], state.best["g"]
-    scale = np.diag(np.maximum(np.diag(h), 1e-12))
-    try:
-        step = np.linalg.solve(h + state.damping * scale, g)
-    except np.linalg.LinAlgError:
-        state.done, state.best = True, None
-        return None
-    at = np.array(state.at)
-    if np.all(np.abs(step) <= TOLERANCE * (np.abs(at) + TOLERANCE)):
-        state.done = True
-        return None
-    state.trial = tuple(float(v) for v in at + step)
-    return state.trial
-
-
-def _result(key: tuple, state: _State, n: int) -> tuple:
-    failed = (*key, *[None] * 10, n)
-    if state.best is None or n <= 3:
-        return failed
-    try:
-        covariance = np.linalg.inv(state.best["h"]) * (state.best["ss"] / (n - 3))
-    except np.linalg.LinAlgError:
-        return failed
-    total = state.best["total"]
-    r2 = float(1 - state.best["ss"] / total) if total else None
-    upper = [float(covariance[i, j]) for i in range(3) for j in range(i, 3)]
-    return (*key, *state.at, *upper, r2, n)
 
 
 def fitted_curve(df: DataFrame, fits: DataFrame, x: str = "Nof_Mths", by: Sequence[str] = ()) -> DataFrame:
@@ -227,7 +217,7 @@ def fitted_curve(df: DataFrame, fits: DataFrame, x: str = "Nof_Mths", by: Sequen
     fitted = exponential_decay(F.col(x), F.col("_f.a"), F.col("_f.b"), F.col("_f.c"))
     params = F.struct("a", "b", "c").alias("_f")
     if by:
-        joined = df.join(F.broadcast(fits.select(*by, params)), list(by), "left")
+        joined = null_safe_join(df, fits.select(*by, params), list(by))
     else:
         joined = df.withColumn("_f", fits.select(params).scalar())
     return joined.withColumn("fitted", fitted).drop("_f")

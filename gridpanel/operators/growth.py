@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel import constants as C
-from gridpanel.operators.order_stats import exact_quantiles, null_safe_join
+from gridpanel.operators.order_stats import grouped_statistics, null_safe_join
 
 QUARTILES = {"Qrtl1": 0.25, "Median": 0.5, "Qrtl3": 0.75}
 
@@ -28,11 +28,9 @@ def growth_curve(
     """
     by = list(by)
     rows = df if keep_null_groups else df.dropna(subset=by)
-    quartiles = exact_quantiles(rows, value, QUARTILES, by)
-    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
+    curve = grouped_statistics(rows, value, by, QUARTILES, {"count": "rows"})
     if min_count is not None:
-        counts = counts.filter(F.col("count") >= min_count)
-    curve = null_safe_join(counts, quartiles, by)
+        curve = curve.filter(F.col("count") >= min_count)
     if attach:
         return null_safe_join(df, curve.drop("count"), by)
     return curve.select(*by, *QUARTILES, "count")

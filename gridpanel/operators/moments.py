@@ -13,9 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-# Distinct numbers of rows per customer the driver takes; a panel has at most its periods.
-MAX_LENGTHS = 10_000
+from gridpanel.session import ensure_checkpoint_dir
 
 Weight = Callable[[Any], Any]
 
@@ -51,38 +49,31 @@ def cross_products(
 class CustomerProducts:
     """sum w(T) m m' over customers with T rows and means m, for any weight w.
 
-    The products are added up per group and T. These few rows are kept on the driver;
-    should there be too many, every weight is an aggregate of its own.
+    The products are added up once per group and T and written to the checkpoint folder; every
+    weighted matrix is one aggregate over these few rows, however many groups there are.
     """
 
     def __init__(
-        self,
-        ids: DataFrame,
-        columns: Sequence[Column],
-        length: str,
-        by: Sequence[str] = (),
-        max_lengths: int = MAX_LENGTHS,
+        self, ids: DataFrame, columns: Sequence[Column], length: str, by: Sequence[str] = ()
     ):
         self.k, self.by, self.length = len(columns), list(by), length
-        self.ids = ids.select(
-            *by, length, *[c.alias(f"_c{i}") for i, c in enumerate(columns)]
-        )
-        self.columns = [F.col(f"_c{i}") for i in range(self.k)]
-        table = self.ids.groupBy(*by, length).agg(*_sums(self.columns, None, "s"))
-        rows = table.limit(max_lengths + 1).collect()
-        self.rows = rows if len(rows) <= max_lengths else None
+        named = ids.select(*by, length, *[c.alias(f"_c{i}") for i, c in enumerate(columns)])
+        sums = _sums([F.col(f"_c{i}") for i in range(self.k)], None, "s")
+        ensure_checkpoint_dir(ids.sparkSession)
+        self.table = named.groupBy(*by, length).agg(*sums).checkpoint()
 
     def total(self, weight: Weight, group: tuple) -> np.ndarray:
         """The weighted matrix of one group."""
-        if self.rows is not None:
-            parts = [r for r in self.rows if tuple(r[b] for b in self.by) == group]
-            return sum(weight(r[self.length]) * _matrix(r, self.k, "s") for r in parts)
-        rows = self.ids
+        rows = self.table
         for column, value in zip(self.by, group):
             rows = rows.filter(F.col(column).eqNullSafe(F.lit(value)))
         w = weight(F.col(self.length))
-        w = w if isinstance(w, Column) else F.lit(w)
-        return _matrix(rows.agg(*_sums(self.columns, w, "s")).first(), self.k, "s")
+        sums = [
+            F.sum(w * F.col(f"s_{i}_{j}")).alias(f"s_{i}_{j}")
+            for i in range(self.k)
+            for j in range(i, self.k)
+        ]
+        return _matrix(rows.agg(*sums).first(), self.k, "s")
 
 
 def independent(gram: np.ndarray, tolerance: float = 1e-9) -> list[int]:

@@ -1,10 +1,13 @@
 """Exact order statistics that never hold a large group in one task.
 
-Quantiles of groups whose size is checked to be small use the built-in `percentile`.
-Otherwise rows are first counted by (group, value), so repeated values cost one row. The value
-axis is cut at sketched quantiles into `buckets` ranges; whole ranges are passed over
-by their counts and only the rows of one (group, range) are sorted together. The
-sketch decides nothing but how evenly the ranges are filled: results are exact.
+Rows are counted by (group, value) with map-side combination, so repeated values cost one row
+and the input is read once; sums, means and extremes come from the same counts. The counts
+are located in two steps: first in ranges of equal width on a logarithmic scale, which fit any
+spread of values, then in equal parts between the least and the greatest value of a range. Ranges are passed
+over by their counts, and only the parts that hold a wanted rank are sorted. A window orders at most the
+ranges of a group, the parts of a range or the values of a part; each of the three is bounded
+by the number of doubles that differ there, about four million, whatever the data. There is one
+path for groups of all sizes, and nothing runs before the result is asked for.
 """
 
 from __future__ import annotations
@@ -15,9 +18,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 128
-# `percentile` keeps the values of a group in memory; beyond this many rows it is not used.
-MAX_GROUP_ROWS = 500_000
+# Ranges per doubling of a value, and parts of a range.
+RANGES = 1 << 10
+PARTS = 1 << 20
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -28,124 +31,167 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return joined.drop(*[f"_r_{c}" for c in on])
 
 
-def _bucket(splits: Column, value: Column, buckets: int) -> Column:
-    """Number of split points below the value, by bisection."""
-    steps, step = [], buckets // 2
-    while step:
-        steps.append(F.lit(step))
-        step //= 2
-    return F.aggregate(
-        F.array(*steps),
-        F.lit(0),
-        lambda at, step: at + F.when(F.get(splits, at + step - 1) < value, step).otherwise(0),
-    )
-
-
-def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Non-NULL rows per (group, value) as `n`."""
-    return (
-        df.select(*by, F.col(value).cast("double").alias(value))
-        .filter(F.col(value).isNotNull())
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), keep_missing: bool = False) -> DataFrame:
+    """Rows per (group, value) as `n`; NULL and NaN count as missing."""
+    number = F.col(value).cast("double")
+    counts = (
+        df.select(*by, F.when(~F.isnan(number), number + 0.0).alias(value))
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return counts if keep_missing else counts.filter(F.col(value).isNotNull())
 
 
-def _ranged(df: DataFrame, value: str, by: Sequence[str], buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Value counts with their range `_b`, and per (group, range) the rows before it."""
-    share = [i / buckets for i in range(1, buckets)]
-    counts = value_counts(df, value, by)
-    # The filter keeps the counts in this plan, so that it reads the same shuffle as the rest.
-    splits = counts.filter(F.col("n") > 0).agg(
-        F.percentile_approx(value, share, 10000).alias("splits")
-    )
-    counts = (
-        counts.withColumn("_splits", splits.scalar())
-        .withColumn("_b", _bucket(F.col("_splits"), F.col(value), buckets))
-        .drop("_splits")
-    )
-    ranges = counts.groupBy(*by, "_b").agg(F.sum("n").alias("_in"))
-    group = Window.partitionBy(*by)
-    ranges = ranges.withColumns(
-        {
-            "_before": F.sum("_in").over(group.orderBy("_b")) - F.col("_in"),
-            "total": F.sum("_in").over(group),
-        }
+def _range(value: Column) -> Column:
+    """Number of the range of a value: rising with it, and symmetric around zero."""
+    size = F.abs(value)
+    scale = F.when(size == float("inf"), float(1 << 11)).otherwise(F.log2(size))
+    step = F.floor((scale + 1100) * RANGES).cast("long")
+    return F.when(value == 0, 0).when(value > 0, step).otherwise(-step).cast("long")
+
+
+def _part(value: Column, low: Column, high: Column) -> Column:
+    """Number of the part of a range that a value lies in."""
+    wide = (high > low) & (high - low < float("inf"))
+    return F.when(wide, F.floor((value - low) / (high - low) * PARTS)).otherwise(0).cast("long")
+
+
+def _before(counts: DataFrame, keys: Sequence[str], at: str, level: int) -> DataFrame:
+    """(keys, at, extremes): rows in each range or part, and rows of the same keys before it."""
+    sums = counts.groupBy(*keys, at).agg(
+        F.sum("n").alias(f"_in{level}"), F.min("_v").alias(f"_lo{level}"), F.max("_v").alias(f"_hi{level}")
     )
-    return counts, ranges
+    order = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn(f"_before{level}", F.coalesce(F.sum(f"_in{level}").over(order), F.lit(0)))
 
 
-def cumulative_counts(
-    df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = BUCKETS
+def _located(
+    counts: DataFrame, value: str, by: Sequence[str], wanted: Mapping[str, Column] | None
 ) -> DataFrame:
-    """One row per (group, value): rows `n`, rows up to the value `cum`, rows `total`."""
-    counts, ranges = _ranged(df, value, by, buckets)
-    joined = null_safe_join(counts, ranges, [*by, "_b"], "inner")
-    within = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn("cum", F.col("_before") + F.sum("n").over(within)).select(
-        *by, value, "n", "cum", "total"
+    """Value counts (by, _v, n) with rows up to each value as `cum` and the group's rows as `total`.
+
+    With `wanted`, numbers of rows counted from 0 in terms of `total`, only values of
+    the parts that hold one of them are kept.
+    """
+    by = list(by)
+    counts = counts.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), "n")
+    counts = counts.withColumn("_b1", _range(F.col("_v")))
+
+    def holds(start: Column, rows: Column) -> Column:
+        if wanted is None:
+            return F.lit(True)
+        return reduce(Column.__or__, [(start <= rank) & (rank < start + rows) for rank in wanted.values()])
+
+    ranges = _before(counts, by, "_b1", 1).withColumn(
+        "total", F.sum("_in1").over(Window.partitionBy(*by))
+    )
+    ranges = ranges.filter(holds(F.col("_before1"), F.col("_in1")))
+    counts = null_safe_join(counts, ranges, [*by, "_b1"], "inner").withColumn(
+        "_b2", _part(F.col("_v"), F.col("_lo1"), F.col("_hi1"))
     )
+    parts = _before(counts, [*by, "_b1"], "_b2", 2).select(*by, "_b1", "_b2", "_in2", "_before2")
+    counts = null_safe_join(counts, parts, [*by, "_b1", "_b2"], "inner")
+    start = F.col("_before1") + F.col("_before2")
+    counts = counts.filter(holds(start, F.col("_in2")))
+    within = Window.partitionBy(*by, "_b1", "_b2").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("cum", start + F.sum("n").over(within)).select(*by, "_v", "n", "cum", "total")
 
 
-def _largest_group(df: DataFrame, value: str, by: Sequence[str]) -> int:
-    sizes = df.groupBy(*by).agg(F.count(value).alias("n"))
-    return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row per (group, value): rows `n`, rows up to the value `cum`, rows `total`."""
+    located = _located(value_counts(df, value, by), value, by, None)
+    return located.select(*by, F.col("_v").alias(value), "n", "cum", "total")
 
 
 def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Mapping[str, float],
-    by: Sequence[str] = (),
-    buckets: int = BUCKETS,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Linearly interpolated quantiles per group; groups without values give no row.
 
-    `probs` maps output names to probabilities in [0, 1]. The size of the largest group
-    is measured first and decides between the built-in aggregate and the ranged counts;
-    with `max_group_rows=0` the counts are used without measuring.
+    `probs` maps output names to probabilities in [0, 1].
     """
-    if max_group_rows and _largest_group(df, value, by) <= max_group_rows:
-        rows = df.filter(F.col(value).isNotNull()) if by else df
-        wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
-        values = rows.groupBy(*by).agg(
-            F.percentile(F.col(value).cast("double"), wanted).alias("_q")
-        )
-        return values.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
-    counts, ranges = _ranged(df, value, by, buckets)
+    return quantiles_of_counts(value_counts(df, value, by), value, probs, by)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()
+) -> DataFrame:
+    """The same from (by, value, n)."""
+    by = list(by)
     last = F.col("total") - 1
     at = {name: F.lit(float(p)) * last for name, p in probs.items()}
     low = {name: F.floor(pos) for name, pos in at.items()}
     high = {name: F.ceil(pos) for name, pos in at.items()}
-
-    def holds(rank: Column) -> Column:
-        return (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_in"))
-
-    wanted = reduce(Column.__or__, [holds(r) for n in probs for r in (low[n], high[n])])
-    kept = null_safe_join(counts, ranges.filter(wanted), [*by, "_b"], "inner")
-    within = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    kept = kept.withColumn("_cum", F.col("_before") + F.sum("n").over(within))
-    picks = []
-    for name in probs:
-        picks.append(F.min(F.when(F.col("_cum") > low[name], F.col(value))).alias(f"_lo_{name}"))
-        picks.append(F.min(F.when(F.col("_cum") > high[name], F.col(value))).alias(f"_hi_{name}"))
+    wanted = {f"{name}_{side}": ranks[name] for name in probs for side, ranks in (("lo", low), ("hi", high))}
+    kept = _located(counts, value, by, wanted)
+    picks = [F.min(F.when(F.col("cum") > rank, F.col("_v"))).alias(f"_{name}") for name, rank in wanted.items()]
     # `total` is one number per group, so its maximum is itself.
     picked = kept.groupBy(*by).agg(F.max("total").alias("total"), *picks)
-    lo, hi = (lambda n: F.col(f"_lo_{n}")), (lambda n: F.col(f"_hi_{n}"))
-    out = [(lo(n) + (hi(n) - lo(n)) * (at[n] - low[n])).alias(n) for n in probs]
-    if not by:
-        # A total aggregate over nothing yields one row of NULLs, as an aggregate does.
-        return picked.select(*out)
+    lo, hi = (lambda n: F.col(f"_{n}_lo")), (lambda n: F.col(f"_{n}_hi"))
+    # Equal neighbours need no interpolation, which would not be exact for infinite ones.
+    out = [
+        F.when(lo(n) == hi(n), lo(n)).otherwise(lo(n) + (hi(n) - lo(n)) * (at[n] - low[n])).alias(n)
+        for n in probs
+    ]
+    # Without groups this is a total aggregate, which yields one row of NULLs over nothing.
     return picked.select(*by, *out)
 
 
+def grouped_statistics(
+    df: DataFrame,
+    value: str,
+    by: Sequence[str],
+    probs: Mapping[str, float],
+    stats: Mapping[str, str],
+) -> DataFrame:
+    """Quantiles and other statistics per group, all from one count by (group, value).
+
+    `stats` maps output names to rows, count, mean, std, min or max; `rows` counts rows without
+    a value as well. Groups without values have NULL quantiles.
+    """
+    by = list(by)
+    counts = value_counts(df, value, by, keep_missing=True)
+    v, n = F.col(value), F.col("n")
+    known = F.sum(F.when(v.isNotNull(), n))
+    mean = F.sum(v * n) / known
+    kinds = {
+        "rows": F.sum("n"),
+        "count": F.coalesce(known, F.lit(0)),
+        "mean": mean,
+        "min": F.min(v),
+        "max": F.max(v),
+    }
+    wanted = [kinds[kind].alias(name) for name, kind in stats.items() if kind != "std"]
+    spreads = [name for name, kind in stats.items() if kind == "std"]
+    # Squares are summed around a value of the group, which keeps them from cancelling.
+    spread = F.when(
+        F.col("_n") > 1,
+        F.sqrt(F.greatest((F.col("_sq") - F.col("_d") * F.col("_d") / F.col("_n")) / (F.col("_n") - 1), F.lit(0.0))),
+    )
+    if spreads:
+        anchors = counts.groupBy(*by).agg((F.sum(v * n) / known).alias("_anchor"))
+        counts_ = null_safe_join(counts, anchors, by)
+        off = v - F.col("_anchor")
+        wanted += [known.alias("_n"), F.sum(off * n).alias("_d"), F.sum(off * off * n).alias("_sq")]
+    else:
+        counts_ = counts
+    table = counts_.groupBy(*by).agg(*wanted)
+    table = table.withColumns({name: spread for name in spreads}) if spreads else table
+    return null_safe_join(table, quantiles_of_counts(counts, value, probs, by), by).select(
+        *by, *stats, *probs
+    )
+
+
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """(value, rank) with ties given their average rank."""
-    cum = cumulative_counts(df, value)
-    return cum.select(
-        value, (F.col("cum") - F.col("n") + (F.col("n") + 1) / 2.0).alias(out)
-    )
+    return ranks_of_counts(value_counts(df, value), value, out)
+
+
+def ranks_of_counts(counts: DataFrame, value: str, out: str) -> DataFrame:
+    """The same from (value, n)."""
+    cum = _located(counts, value, [], None)
+    rank = F.col("cum") - F.col("n") + (F.col("n") + 1) / 2.0
+    return cum.select(F.col("_v").alias(value), rank.alias(out))
 
 
 def smallest_by_hash(
@@ -154,7 +200,7 @@ def smallest_by_hash(
     key: str,
     take: Column,
     seed: int,
-    split_bits: int = 10,
+    split_bits: int = 16,
 ) -> DataFrame:
     """Keep the `take` rows of every stratum whose key hashes lowest.
 

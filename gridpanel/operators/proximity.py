@@ -11,8 +11,6 @@ from gridpanel import constants as C
 from gridpanel.functions import dates, spatial
 from gridpanel.operators import pyramid as pyr
 
-MAX_PIVOT = 10000
-
 
 def _boxed(points: DataFrame, x: str, y: str, columns: Sequence[str]) -> DataFrame:
     return points.select(
@@ -31,7 +29,7 @@ def _weights_around(
     shape: str,
     by: Sequence[str],
     weight: str,
-    leaf_items: int,
+    levels: int,
 ) -> DataFrame:
     """Sum of `weight` per center (`_x`, `_y`) and group over the points within reach.
 
@@ -39,7 +37,7 @@ def _weights_around(
     the weight, with equal places already added up.
     """
     radius = spatial.radius_degrees(meters)
-    grid = pyr.build_pyramid(_boxed(points, "_px", "_py", [*by, weight]), leaf_items)
+    grid = pyr.radius_grid(_boxed(points, "_px", "_py", [*by, weight]), radius, levels)
     found = pyr.search(pyr.spread(centers), grid, [], radius, spatial.INNER_SHARE[shape])
     items = pyr.leaf_items(grid, [*by, weight, "_xlo", "_ylo"])
     targets = pyr.with_totals(items, grid, radius, by, weight)
@@ -61,12 +59,13 @@ def count_in_radius(
     right_xy: tuple[str, str] = ("Lon", "Lat"),
     pivot: bool = False,
     values: Sequence[str] | None = None,
-    leaf_items: int = pyr.LEAF_ITEMS,
+    levels: int = pyr.RADIUS_LEVELS,
 ) -> DataFrame:
     """Points of `right` around each row of `left`, in total or per value of `by`.
 
     Long form: (key, by, n) for groups that occur around a row; with `pivot` one column
-    per group, 0 where none is near. Without `by`: (key, n) with 0.
+    per group, 0 where none is near. Without `by`: (key, n) with 0. The columns are `values`, or
+    else all groups that `right` has: name them, or use the long form, where groups are many.
     """
     groups = [by] if by else []
     places = (
@@ -77,16 +76,14 @@ def count_in_radius(
     )
     at = left.select(key, F.col(left_xy[0]).alias("_x"), F.col(left_xy[1]).alias("_y"))
     centers = at.dropna(subset=["_x", "_y"]).select("_x", "_y").distinct()
-    counts = _weights_around(centers, places, meters, shape, groups, "n", leaf_items)
+    counts = _weights_around(centers, places, meters, shape, groups, "n", levels)
     if by and not pivot:
         return at.join(counts, ["_x", "_y"]).select(key, by, "n")
     if by:
         if values is None:
-            # Column names must be known; the categories of the points, not of the hits.
+            # The groups of the points, not of the hits; each becomes a column.
             kinds = right.filter(F.col(by).isNotNull()).select(by).distinct().orderBy(by)
-            values = [row[0] for row in kinds.limit(MAX_PIVOT + 1).collect()]
-            if len(values) > MAX_PIVOT:
-                raise ValueError(f"{by} has more than {MAX_PIVOT} values; use the long form")
+            values = [row[0] for row in kinds.collect()]
         wide = counts.groupBy("_x", "_y").pivot(by, list(values)).agg(F.sum("n"))
         names = [c for c in wide.columns if c not in ("_x", "_y")]
     else:
@@ -104,9 +101,12 @@ def points_in_buffer(
     left_xy: tuple[str, str] = ("LON", "LAT"),
     right_xy: tuple[str, str] = ("LON", "LAT"),
     columns: Sequence[str] | None = None,
-    leaf_items: int = pyr.LEAF_ITEMS,
+    levels: int = pyr.RADIUS_LEVELS,
 ) -> DataFrame:
-    """One row per center and point inside its buffer, with the point's columns."""
+    """One row per center and point inside its buffer, with the point's columns.
+
+    Every such pair is a row: that is what this operator is for. Counts don't form pairs.
+    """
     radius = spatial.radius_degrees(meters)
     columns = list(columns or points.columns)
     clashing = {c: f"point_{c}" for c in columns if c.lower() == key.lower()}
@@ -116,7 +116,7 @@ def points_in_buffer(
         F.col(right_xy[1]).alias("_py"),
     )
     names = [clashing.get(c, c) for c in columns]
-    grid = pyr.build_pyramid(_boxed(side, "_px", "_py", names), leaf_items)
+    grid = pyr.radius_grid(_boxed(side, "_px", "_py", names), radius, levels)
     at = centers.dropna(subset=list(left_xy)).select(
         key, F.col(left_xy[0]).alias("_x"), F.col(left_xy[1]).alias("_y")
     )
@@ -177,7 +177,7 @@ def electrified_structures(
     transformers: DataFrame,
     meters: float = C.BUFFER_METERS,
     order: Sequence[str] = ("LAT", "LON"),
-    leaf_items: int = pyr.LEAF_ITEMS,
+    levels: int = pyr.RADIUS_LEVELS,
 ) -> DataFrame:
     """Structures electrified by the bill month around the customer of each bill.
 
@@ -192,18 +192,17 @@ def electrified_structures(
         .groupBy(F.col("LON").alias("_px"), F.col("LAT").alias("_py"), "installation")
         .agg(F.sum("n").alias("n"))
     )
-    # The customer's own place: the first row with that id, and no place without coordinates.
-    places = customers.groupBy(F.col("NIS_RAD").alias("nis_rad")).agg(
+    # The customer's own place: of the rows with that id and coordinates, the first in `order`.
+    places = customers.dropna(subset=["LAT", "LON"]).groupBy(F.col("NIS_RAD").alias("nis_rad")).agg(
         F.min(F.struct(*order, F.col("LAT").alias("_y"), F.col("LON").alias("_x"))).alias("_p")
     )
     asked = bills.select("nis_rad", dates.month(dates.parse_day_first(bills, "period")).alias("period"))
     asked = asked.distinct()
     billed = asked.select("nis_rad").distinct()
     at = places.join(billed, "nis_rad", "left_semi").select("nis_rad", "_p._x", "_p._y")
-    at = at.dropna(subset=["_x", "_y"])
     centers = at.select("_x", "_y").distinct()
     around = _weights_around(
-        centers, additions, meters, "polygon", ["installation"], "n", leaf_items
+        centers, additions, meters, "polygon", ["installation"], "n", levels
     )
     steps = at.join(around, ["_x", "_y"]).select(
         "nis_rad", F.col("installation").alias("period"), "n", F.lit(False).alias("_asked")

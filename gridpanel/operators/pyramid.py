@@ -7,9 +7,12 @@ few cells a circle can touch there; a search without one starts at the root. Eac
 further level is an equi-join on the cell; levels with at most 16 ** 4 cells are
 broadcast.
 
-The number of levels follows the densest place, so that a leaf holds few items however
-many of them crowd together, and cells that lie wholly inside a search circle are
-answered from their totals without visiting their items.
+Where the radius is known, the grid is fixed: it divides the globe, its levels follow from
+the radius alone, and nothing is measured beforehand. Coordinates off the globe fall
+into the cells at its rim and change no other cell. Without a radius (the nearest
+item), the extent and the number of levels follow the items, so that a leaf holds few of
+them however many crowd together. Cells that lie wholly inside a search circle are answered
+from their totals without visiting their items.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ from gridpanel.functions import spatial
 BROADCAST_LEVELS = 4  # 16 ** 4 = 65,536 cells at most
 MAX_LEVELS = 12
 LEAF_ITEMS = 64
+# The globe in degrees, and cell numbers that fit one half of a long.
+GLOBE_LOW, GLOBE_SIDE, FINEST = -180.0, 360.0, 15
+# Levels below the one whose cells are about as wide as the radius: 16 to 64 cells across it.
+RADIUS_LEVELS = 3
 BOX = ("_xlo", "_ylo", "_xhi", "_yhi")
 # Pruning must not lose a point to rounding.
 SLACK = 1.0 + 1e-12
@@ -40,7 +47,7 @@ class Pyramid:
     x0: float
     y0: float
     side: float
-    reach: float  # half the widest item box
+    reach: float | Column  # half the widest item box
 
     def cell(self, level: int) -> Column:
         """Cell id of an item at a level, from its leaf coordinates."""
@@ -65,6 +72,35 @@ class Pyramid:
         return F.broadcast(nodes) if level <= BROADCAST_LEVELS else nodes
 
 
+def _leaf(value: Column, low: float, side: float, depth: int) -> Column:
+    """Leaf coordinate; what lies outside the grid falls into its outermost cells."""
+    at = F.floor((value - low) / (side / 4**depth))
+    return F.least(F.lit(4**depth - 1), F.greatest(F.lit(0), at)).cast("long")
+
+
+def _middle(low: str, high: str) -> Column:
+    return (F.col(low) + F.col(high)) / 2
+
+
+def radius_grid(items: DataFrame, radius: float, levels: int = RADIUS_LEVELS, boxes: bool = False) -> Pyramid:
+    """Pyramid for searches with one radius; `boxes` says that items are more than points."""
+    depth = 0
+    while GLOBE_SIDE / 4 ** (depth + 1) >= radius and depth < FINEST:
+        depth += 1
+    depth = max(1, min(depth + levels, FINEST))
+    reach = 0.0
+    if boxes:
+        width = F.greatest(F.col("_xhi") - F.col("_xlo"), F.col("_yhi") - F.col("_ylo"))
+        reach = items.agg(F.coalesce(F.max(width), F.lit(0.0)) / 2).scalar()
+    located = items.withColumns(
+        {
+            "_ix": _leaf(_middle("_xlo", "_xhi"), GLOBE_LOW, GLOBE_SIDE, depth),
+            "_iy": _leaf(_middle("_ylo", "_yhi"), GLOBE_LOW, GLOBE_SIDE, depth),
+        }
+    )
+    return Pyramid(located, depth, GLOBE_LOW, GLOBE_LOW, GLOBE_SIDE, reach)
+
+
 def build_pyramid(items: DataFrame, leaf_items: int = LEAF_ITEMS) -> Pyramid:
     """Pyramid over items that carry the box columns.
 
@@ -72,8 +108,7 @@ def build_pyramid(items: DataFrame, leaf_items: int = LEAF_ITEMS) -> Pyramid:
     of each level holds. The depth is the first level whose fullest cell holds no more
     than `leaf_items`, or no more than the finest grid could reach.
     """
-    mx = (F.col("_xlo") + F.col("_xhi")) / 2
-    my = (F.col("_ylo") + F.col("_yhi")) / 2
+    mx, my = _middle("_xlo", "_xhi"), _middle("_ylo", "_yhi")
     extent = items.agg(
         F.min(mx).alias("x0"),
         F.max(mx).alias("x1"),
@@ -87,13 +122,10 @@ def build_pyramid(items: DataFrame, leaf_items: int = LEAF_ITEMS) -> Pyramid:
         return Pyramid(items.withColumns({"_ix": zero, "_iy": zero}), 1, 0.0, 0.0, 1.0, 0.0)
     side = max(extent["x1"] - extent["x0"], extent["y1"] - extent["y0"], 1e-9) * (1 + 1e-9)
 
-    def leaf(value: Column, low: float, depth: int) -> Column:
-        at = F.floor((value - low) / (side / 4**depth))
-        return F.least(F.lit(4**depth - 1), F.greatest(F.lit(0), at)).cast("long")
-
     first = max(1, min(MAX_LEVELS, math.ceil(math.log(max(extent["n"] / leaf_items, 1), 16))))
     finest = items.groupBy(
-        leaf(mx, extent["x0"], MAX_LEVELS).alias("ix"), leaf(my, extent["y0"], MAX_LEVELS).alias("iy")
+        _leaf(mx, extent["x0"], side, MAX_LEVELS).alias("ix"),
+        _leaf(my, extent["y0"], side, MAX_LEVELS).alias("iy"),
     ).agg(F.count(F.lit(1)).alias("n"))
     levels = F.explode(F.sequence(F.lit(first), F.lit(MAX_LEVELS))).alias("level")
     shift = (F.lit(2) * (F.lit(MAX_LEVELS) - F.col("level"))).cast("int")
@@ -113,7 +145,10 @@ def build_pyramid(items: DataFrame, leaf_items: int = LEAF_ITEMS) -> Pyramid:
     goal = max(leaf_items, most[MAX_LEVELS])
     depth = min(level for level, n in most.items() if n <= goal)
     located = items.withColumns(
-        {"_ix": leaf(mx, extent["x0"], depth), "_iy": leaf(my, extent["y0"], depth)}
+        {
+            "_ix": _leaf(mx, extent["x0"], side, depth),
+            "_iy": _leaf(my, extent["y0"], side, depth),
+        }
     )
     return Pyramid(located, depth, extent["x0"], extent["y0"], side, extent["w"] / 2)
 
@@ -138,13 +173,11 @@ def start_level(pyramid: Pyramid, radius: float) -> int:
 
 
 def _touched(pyramid: Pyramid, level: int, at: str, low: float, reach: Column) -> Column:
-    """Cell coordinates along one axis that a circle can touch; none outside the grid."""
-    side, last = pyramid.cell_side(level), 4**level - 1
-    first = F.greatest(F.lit(0), F.floor((F.col(at) - reach - low) / side))
-    final = F.least(F.lit(last), F.floor((F.col(at) + reach - low) / side))
-    return F.when(first <= final, F.sequence(first, final)).otherwise(
-        F.array().cast("array<bigint>")
-    )
+    """Cell coordinates along one axis that a circle can touch, with the rim as in `_leaf`."""
+    side, last = pyramid.cell_side(level), F.lit(4**level - 1)
+    first = F.greatest(F.lit(0), F.least(last, F.floor((F.col(at) - reach - low) / side)))
+    final = F.greatest(F.lit(0), F.least(last, F.floor((F.col(at) + reach - low) / side)))
+    return F.sequence(first, final)
 
 
 def search(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel.functions import scalars
-from gridpanel.operators.order_stats import average_ranks, exact_quantiles, null_safe_join
+from gridpanel.operators.order_stats import exact_quantiles, grouped_statistics, ranks_of_counts
 
 
 def validate_panel(
@@ -88,21 +88,24 @@ def summary_stats(
 ) -> DataFrame:
     """Mean, median, sample deviation, minimum and maximum per variable, and rows, by group."""
     variables = list(variables or scalars.numeric_columns(df, [group]))
-    stats = []
-    for v in variables:
-        stats += [
-            F.avg(v).alias(f"{v}_mean"),
-            F.stddev_samp(v).alias(f"{v}_sd"),
-            F.min(v).alias(f"{v}_min"),
-            F.max(v).alias(f"{v}_max"),
-        ]
-    table = df.groupBy(group).agg(*stats, F.count(F.lit(1)).alias("n"))
     long = scalars.to_long(df, variables, [group])
-    medians = exact_quantiles(long, "value", {"m": 0.5}, [group, "variable"])
-    wide = medians.groupBy(group).pivot("variable", variables).agg(F.first("m"))
-    wide = wide.select(group, *[F.col(v).alias(f"{v}_median") for v in variables])
-    order = [f"{v}_{s}" for v in variables for s in ("mean", "median", "sd", "min", "max")]
-    return null_safe_join(table, wide, [group]).select(group, *order, "n")
+    table = grouped_statistics(
+        long,
+        "value",
+        [group, "variable"],
+        {"median": 0.5},
+        {"mean": "mean", "sd": "std", "min": "min", "max": "max", "n": "rows"},
+    )
+    # Every variable has all rows of a group, so any of them counts the group.
+    wide = table.groupBy(group).agg(
+        *[
+            F.max(F.when(F.col("variable") == v, F.col(s))).alias(f"{v}_{s}")
+            for v in variables
+            for s in ("mean", "median", "sd", "min", "max")
+        ],
+        F.max("n").alias("n"),
+    )
+    return wide
 
 
 def correlations(
@@ -116,17 +119,14 @@ def correlations(
         raise ValueError(f"unknown method: {method}")
     variables = list(variables or scalars.numeric_columns(df))
     rows = df.select(*[F.col(v).cast("double").alias(v) for v in variables]).dropna()
-    columns = {v: v for v in variables}
-    if method == "spearman":
-        ranked = rows
-        for v in variables:
-            ranked = ranked.join(average_ranks(rows, v, f"_rank_{v}"), v)
-        rows, columns = ranked, {v: f"_rank_{v}" for v in variables}
     pairs = list(combinations(variables, 2))
-    measured = rows.agg(
-        *[F.covar_pop(columns[a], columns[b]).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)],
-        *[F.stddev_pop(columns[v]).alias(f"_s_{v}") for v in variables],
-    )
+    if method == "spearman":
+        measured = _rank_moments(rows, variables, pairs)
+    else:
+        measured = rows.agg(
+            *[F.covar_pop(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)],
+            *[F.stddev_pop(v).alias(f"_s_{v}") for v in variables],
+        )
 
     def entry(a: str, b: str, i: int):
         # Not `corr`, which fails on a constant column.
@@ -140,6 +140,21 @@ def correlations(
     return table.orderBy(F.abs("correlation").desc_nulls_last(), "var1", "var2")
 
 
+def _rank_moments(rows: DataFrame, variables: Sequence[str], pairs) -> DataFrame:
+    """Covariances and deviations of the ranks; equal rows are counted before they are ranked."""
+    counted = rows.groupBy(*variables).agg(F.count(F.lit(1)).alias("_n"))
+    middle = counted.agg((F.sum("_n") + 1) / 2.0).scalar()
+    ranked = counted
+    for v in variables:
+        counts = counted.groupBy(v).agg(F.sum("_n").alias("n"))
+        ranked = ranked.join(ranks_of_counts(counts, v, f"_rank_{v}"), v)
+    off = {v: F.col(f"_rank_{v}") - F.col("_middle") for v in variables}
+    return ranked.withColumn("_middle", middle).agg(
+        *[(F.sum(F.col("_n") * off[a] * off[b]) / F.sum("_n")).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)],
+        *[F.sqrt(F.sum(F.col("_n") * off[v] * off[v]) / F.sum("_n")).alias(f"_s_{v}") for v in variables],
+    )
+
+
 def correlation_matrix(long: DataFrame) -> DataFrame:
     """Square table of a long one, with ones on the diagonal."""
     names = [r[0] for r in long.select("var1").distinct().orderBy("var1").collect()]
@@ -237,15 +252,11 @@ def report_lines(report: dict[str, DataFrame]) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column."""
     long = scalars.to_long(df, columns)
-    stats = long.groupBy("variable").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(
-        long, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["variable"]
+    table = grouped_statistics(
+        long,
+        "value",
+        ["variable"],
+        {"q25": 0.25, "q50": 0.5, "q75": 0.75},
+        {name: name for name in ("count", "mean", "std", "min", "max")},
     )
-    order = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
-    return stats.join(quartiles, "variable", "left").select("variable", *order)
+    return table.select("variable", "count", "mean", "std", "min", "q25", "q50", "q75", "max")

@@ -73,7 +73,7 @@ def segment_length_in_buffer(
     key: str = "NIS_RAD",
     xy: tuple[str, str] = ("LON", "LAT"),
     class_col: str = "ROADCLASS",
-    leaf_items: int = pyr.LEAF_ITEMS,
+    levels: int = pyr.RADIUS_LEVELS,
 ) -> DataFrame:
     """Length in degrees of each class within the buffer, and the classes' total.
 
@@ -85,7 +85,7 @@ def segment_length_in_buffer(
     lined = _distinct_segments(wanted, [class_col]).withColumn(
         "_len", spatial.segment_length(*ENDS)
     )
-    grid = pyr.build_pyramid(lined, leaf_items)
+    grid = pyr.radius_grid(lined, radius, levels, boxes=True)
     at, centers = _places(points, key, xy)
     found = pyr.search(centers, grid, [], radius, spatial.INNER_SHARE["polygon"])
     items = pyr.leaf_items(grid, [class_col, "_len", *ENDS])

@@ -10,33 +10,28 @@ from pyspark.sql import functions as F
 
 from gridpanel import constants as C
 from gridpanel.operators.growth import growth_curve
-from gridpanel.operators.order_stats import exact_quantiles, null_safe_join
+from gridpanel.operators.order_stats import (
+    exact_quantiles,
+    grouped_statistics,
+    quantiles_of_counts,
+    value_counts,
+)
 
 
 def consumption_summary(df: DataFrame, by: str = "nis_rad", value: str = "csmo_fact") -> DataFrame:
     """Mean, median, sample deviation and count per group; NULL groups are left out."""
+    stats = {"Mean_Kwh": "mean", "Std_Kwh": "std", "Count": "count"}
     rows = df.filter(F.col(by).isNotNull())
-    stats = rows.groupBy(by).agg(
-        F.avg(value).alias("Mean_Kwh"),
-        F.stddev_samp(value).alias("Std_Kwh"),
-        F.count(value).alias("Count"),
-    )
-    medians = exact_quantiles(rows, value, {"Median_Kwh": 0.5}, [by])
-    return stats.join(medians, by, "left").select(by, "Mean_Kwh", "Median_Kwh", "Std_Kwh", "Count")
+    table = grouped_statistics(rows, value, [by], {"Median_Kwh": 0.5}, stats)
+    return table.select(by, "Mean_Kwh", "Median_Kwh", "Std_Kwh", "Count")
 
 
 def customer_statistics(df: DataFrame, by: str = "nis_rad", value: str = "csmo_fact") -> DataFrame:
     """Mean, median, maximum, minimum, sample deviation and count per customer."""
+    stats = {"Mean": "mean", "Max": "max", "Min": "min", "Std": "std", "Count": "count"}
     rows = df.filter(F.col(by).isNotNull())
-    stats = rows.groupBy(by).agg(
-        F.avg(value).alias("Mean"),
-        F.max(value).alias("Max"),
-        F.min(value).alias("Min"),
-        F.stddev_samp(value).alias("Std"),
-        F.count(value).alias("Count"),
-    )
-    medians = exact_quantiles(rows, value, {"Median": 0.5}, [by])
-    return stats.join(medians, by, "left").select(by, "Mean", "Median", "Max", "Min", "Std", "Count")
+    table = grouped_statistics(rows, value, [by], {"Median": 0.5}, stats)
+    return table.select(by, "Mean", "Median", "Max", "Min", "Std", "Count")
 
 
 def consumption_tiers(
@@ -71,19 +66,20 @@ def segment_report(
 ) -> DataFrame:
     """Customers (all labelled), bills, mean and median per segment that has bills."""
     rows = label_bills(bills, labels, label)
-    stats = rows.groupBy(label).agg(
-        F.count(F.lit(1)).alias("bill_count"), F.avg(value).alias("avg_consumption")
+    stats = grouped_statistics(
+        rows,
+        value,
+        [label],
+        {"median_consumption": 0.5},
+        {"bill_count": "rows", "avg_consumption": "mean"},
     )
-    medians = exact_quantiles(rows, value, {"median_consumption": 0.5}, [label])
     customers = (
         labels.filter(F.col(label).isNotNull())
         .groupBy(label)
         .agg(F.count(F.lit(1)).alias("customer_count"))
     )
-    return (
-        stats.join(customers, label)
-        .join(medians, label, "left")
-        .select(label, "customer_count", "bill_count", "avg_consumption", "median_consumption")
+    return stats.join(customers, label).select(
+        label, "customer_count", "bill_count", "avg_consumption", "median_consumption"
     )
 
 
@@ -129,9 +125,9 @@ def dummy_curve(
     by = (["rural_urban"] if by_location else []) + [column, "Nof_Mths"]
     if by_location:
         rows = rows.filter(F.col("rural_urban").isin("Rural", "Urban"))
-    medians = exact_quantiles(rows, "csmo_fact", {"med": 0.5}, by)
-    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
-    return null_safe_join(counts, medians, by).select(*by, "med", "count")
+    return grouped_statistics(rows, "csmo_fact", by, {"med": 0.5}, {"count": "rows"}).select(
+        *by, "med", "count"
+    )
 
 
 def combined_dummy(dummy1: str, dummy2: str, level1: Column, level2: Column) -> Column:
@@ -160,8 +156,11 @@ def interaction_curves(
         levels.append(F.struct(F.lit(pair).alias("pair"), label.alias("dummy_comb")))
     # Equal rows are counted before they are copied once per pair.
     needed = sorted({resolve_dummy(df, d) for d in dummies})
-    exploded = rows.select("rural_urban", "Nof_Mths", "csmo_fact", *needed).select(
-        "rural_urban", "Nof_Mths", "csmo_fact", F.inline(F.array(*levels))
+    keys = ["rural_urban", "Nof_Mths", *needed]
+    counted = value_counts(rows, "csmo_fact", keys)
+    exploded = counted.select(
+        "rural_urban", "Nof_Mths", "csmo_fact", "n", F.inline(F.array(*levels))
     )
     by = ["pair", "rural_urban", "dummy_comb", "Nof_Mths"]
-    return exact_quantiles(exploded, "csmo_fact", {"med": 0.5}, by)
+    merged = exploded.groupBy(*by, "csmo_fact").agg(F.sum("n").alias("n"))
+    return quantiles_of_counts(merged, "csmo_fact", {"med": 0.5}, by)

@@ -89,6 +89,7 @@ class Analysis:
     def tables(self) -> dict[str, DataFrame]:
         """What a results sink saves."""
         out = {f"plot_{n}": t for n, t in self.plots.items()}
+        out |= {f"quality_{n}": t for n, t in self.quality.items()}
         if self.summary_stats is not None:
             out["summary_stats"] = self.summary_stats
         if self.models:

@@ -127,22 +127,24 @@ def population_year(path: Column) -> Column:
 
 
 def lights_year(path: Column) -> Column:
-    """Year of a night-light file from its name, 2015 if the name tells none.
+    """Year of a night-light file from its name.
 
-    Names containing SVDNB carry it at the start of their third token; other names of
-    three tokens or more in the first token that begins with four digits.
+    Names containing SVDNB carry it at the start of their third token, and such a file without a
+    readable year is skipped (NULL). Other names of three tokens or more carry it in the
+    first token that begins with four digits; 2015 if the name tells none.
     """
     name = F.element_at(F.split(path, "/"), -1)
     tokens = F.split(name, "_")
     dated = F.get(F.filter(tokens, lambda t: t.rlike(r"^\d{4}")), F.lit(0))
-    year = F.when(F.contains(name, F.lit("SVDNB")), F.substring(F.get(tokens, F.lit(2)), 1, 4))
-    year = year.when(F.size(tokens) > 2, F.substring(dated, 1, 4))
-    return F.coalesce(year.try_cast("int"), F.lit(C.DEFAULT_RASTER_YEAR))
+    other = F.when(F.size(tokens) > 2, F.substring(dated, 1, 4)).try_cast("int")
+    return F.when(
+        F.contains(name, F.lit("SVDNB")), F.substring(F.get(tokens, F.lit(2)), 1, 4).try_cast("int")
+    ).otherwise(F.coalesce(other, F.lit(C.DEFAULT_RASTER_YEAR)))
 
 
 def raster_catalogue(pixels: DataFrame, year: Column, path: str = "path") -> DataFrame:
-    """Pixels with their year; of several files for a year the last in name order counts."""
-    dated = pixels.withColumn("year", year)
+    """Pixels with their year, if they have one; of several files for a year the last in name order counts."""
+    dated = pixels.withColumn("year", year).filter(F.col("year").isNotNull())
     # One row per year.
     last = dated.groupBy("year").agg(F.max(path).alias(path))
     return dated.join(last, ["year", path], "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,31 +28,44 @@ def save_results(
     timestamp: bool | str = True,
     kind: str = "parquet",
 ) -> dict[str, str]:
-    """Each part under `folder/prefix_<part>[_<timestamp>].<kind>`; the paths written."""
+    """Each part under `folder/prefix_<part>[_<timestamp>].<kind>`; the paths written.
+
+    The manifest `folder/prefix_manifest.<kind>` lists the parts of the last save.
+    """
     stamp = ""
     if timestamp:
         stamp = "_" + (timestamp if isinstance(timestamp, str) else datetime.now().strftime("%Y%m%d_%H%M%S"))
-    written = {}
+    written, spark = {}, None
     for part, df in results.items():
-        written[part] = f"{folder.rstrip('/')}/{prefix}_{part}{stamp}.{kind}"
+        name = f"{prefix}_{part}{stamp}.{kind}"
+        written[part] = f"{folder.rstrip('/')}/{name}"
         write_table(df, written[part])
+        spark = df.sparkSession
+    if spark is not None:
+        rows = [(part, path.rpartition("/")[2]) for part, path in written.items()]
+        write_table(spark.createDataFrame(rows, "part string, name string"), _manifest(folder, prefix, kind))
     return written
 
 
+def _manifest(folder: str, prefix: str, kind: str) -> str:
+    return f"{folder.rstrip('/')}/{prefix}_manifest.{kind}"
+
+
 def load_results(
     spark: SparkSession,
     folder: str,
-    parts: tuple[str, ...] = ("models", "plots", "summary_stats"),
+    parts: Sequence[str] | None = None,
     prefix: str = "analysis",
     kind: str = "parquet",
 ) -> dict[str, DataFrame]:
-    """The parts that were saved without a timestamp; missing ones are skipped."""
-    found = {}
-    for part in parts:
-        path = f"{folder.rstrip('/')}/{prefix}_{part}.{kind}"
-        if path_exists(spark, path):
-            found[part] = read_table(spark, path)
-    return found
+    """The parts of the last save, or those named; names that were not saved are skipped."""
+    manifest = _manifest(folder, prefix, kind)
+    if not path_exists(spark, manifest):
+        return {}
+    # One row per part of an analysis.
+    saved = {row["part"]: row["name"] for row in read_table(spark, manifest).collect()}
+    wanted = saved if parts is None else [p for p in parts if p in saved]
+    return {part: read_table(spark, f"{folder.rstrip('/')}/{saved[part]}") for part in wanted}
 
 
 def write_report(report: Mapping[str, DataFrame], path: str) -> None:

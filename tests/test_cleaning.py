@@ -98,6 +98,13 @@ def test_results_are_saved_and_loaded(spark, tmp_path):
     assert list(found) == ["summary_stats"] and found["summary_stats"].count() == 1
     stamped = sinks.save_results({"models": df}, str(tmp_path), "run")
     assert stamped["models"].startswith(f"{tmp_path}/run_models_2")
+    # Parts are found by the manifest, whatever their names and time stamps.
+    parts = {"plot_median_consumption": df, "quality_outliers": df.limit(0)}
+    sinks.save_results(parts, str(tmp_path), "run")
+    found = sinks.load_results(spark, str(tmp_path), prefix="run")
+    assert {name: part.count() for name, part in found.items()} == {"plot_median_consumption": 1, "quality_outliers": 0}
+    assert list(sinks.load_results(spark, str(tmp_path), ["quality_outliers", "no"], "run")) == ["quality_outliers"]
+    assert sinks.load_results(spark, str(tmp_path), prefix="other") == {}
 
 
 def test_provider_dates(spark):
@@ -136,6 +143,8 @@ def test_road_text(spark):
         ("d/lights_v1_2017x_y.tif", 2017),
         ("d/a_b_c.tif", 2015),
         ("d/plain.tif", 2015),
+        ("d/SVDNB_npp_unknown_x.tif", None),
+        ("d/SVDNB_2015.tif", None),
     ],
 )
 def test_lights_year(spark, name, year):
@@ -155,3 +164,9 @@ def test_assembly_keeps_rows_and_rejects_repeated_features(spark):
     assert table.count() == 3
     with pytest.raises(Exception, match="not unique"):
         plan.assemble_features(bills, locations, feature.union(feature)).collect()
+
+
+@pytest.mark.parametrize("column", ["f_fact", "date"])
+def test_bill_year_of_text(spark, column):
+    df = spark.createDataFrame([("25/12/2015",), ("3-1-2016",), ("none",), (None,)], f"{column} string")
+    assert [r[0] for r in df.select(dates.bill_year(df)).collect()] == [2015, 2016, None, None]

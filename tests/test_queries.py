@@ -21,5 +21,5 @@ def test_every_query_has_a_name_that_runs(spark):
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, connection, name):
     problem = compare(spark, connection, name, SF)
-    # Few rows may leave a report empty at this scale.
-    assert problem in (None, "no rows"), problem
+    # Few rows may leave a report empty at this scale, in the SQL as well.
+    assert problem in (None, "no rows on either side"), problem

@@ -125,14 +125,14 @@ def test_gaps_leave_each_model_its_own_rows(rows, toy):
     assert family[("b", "pooling")].n == (toy.Nof_Mths != 3).sum()
 
 
-def test_customer_products_without_the_length_table(rows):
+def test_customer_products_take_any_weight(rows):
     ids = rows.groupBy("nis_rad").agg(F.count(F.lit(1)).cast("double").alias("t"), F.avg("x1").alias("x1"))
-    columns = [F.lit(1.0), F.col("x1")]
-    small = moments.CustomerProducts(ids, columns, "t")
-    large = moments.CustomerProducts(ids, columns, "t", max_lengths=2)
-    assert large.rows is None
+    made = moments.CustomerProducts(ids, [F.lit(1.0), F.col("x1")], "t")
+    known = ids.toPandas()
+    means = np.column_stack([np.ones(len(known)), known.x1])
     for weight in (lambda t: t, lambda t: 1.0, lambda t: (1 / (1 + t)) ** 0.5):
-        assert np.allclose(small.total(weight, ()), large.total(weight, ()))
+        w = np.array([weight(t) for t in known.t])
+        assert np.allclose(made.total(weight, ()), (means * w[:, None]).T @ means)
 
 
 def test_newey_west_equals_loops(rows, toy):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridpanel.functions import scalars, spatial
-from gridpanel.operators import proximity, raster, roads
+from gridpanel.operators import proximity, pyramid, raster, roads
 
 R500 = 500 / 110540
 
@@ -40,13 +40,13 @@ def places():
 
 
 @pytest.mark.parametrize("shape", ["circle", "polygon"])
-@pytest.mark.parametrize("leaf", [4, 64, 5000])
-def test_counts_equal_brute_force(spark, places, shape, leaf):
+@pytest.mark.parametrize("levels", [0, 1, 3])
+def test_counts_equal_brute_force(spark, places, shape, levels):
     left, right = places
     got = (
         proximity.count_in_radius(
             spark.createDataFrame(left), spark.createDataFrame(right), 500, by="kind",
-            shape=shape, pivot=True, leaf_items=leaf,
+            shape=shape, pivot=True, levels=levels,
         )
         .toPandas()
         .sort_values("NIS_RAD")
@@ -65,7 +65,7 @@ def test_pairs_equal_brute_force(spark, places):
     left, right = places
     pairs = proximity.points_in_buffer(
         spark.createDataFrame(left), spark.createDataFrame(right), 300,
-        right_xy=("Lon", "Lat"), leaf_items=16,
+        right_xy=("Lon", "Lat"), levels=2,
     ).toPandas()
     dx = right.Lon.values[None] - left.LON.values[:, None]
     dy = right.Lat.values[None] - left.LAT.values[:, None]
@@ -91,6 +91,45 @@ def test_rim_belongs_to_circle_not_to_polygon(spark):
         assert proximity.count_in_radius(left, right, 500, shape=shape).first().n == n
 
 
+def test_far_points_leave_the_grid_as_it_is(spark):
+    """A coordinate off the globe neither coarsens the cells nor changes a count, and is found itself."""
+    rng = np.random.default_rng(12)
+    right = pd.DataFrame({"kind": "k", "Lon": rng.normal(37, 0.05, 4000), "Lat": rng.normal(-1, 0.05, 4000)})
+    left = pd.DataFrame({"NIS_RAD": range(60), "LON": rng.normal(37, 0.05, 60), "LAT": rng.normal(-1, 0.05, 60)})
+    far = pd.DataFrame({"kind": ["k", "k"], "Lon": [5e7, 5e7], "Lat": [5e7, 5e7]})
+    away = pd.DataFrame({"NIS_RAD": [99], "LON": [5e7], "LAT": [5e7]})
+
+    def run(points):
+        boxes = spark.createDataFrame(points).select(
+            F.col("Lon").alias("_xlo"), F.col("Lat").alias("_ylo"), F.col("Lon").alias("_xhi"), F.col("Lat").alias("_yhi")
+        )
+        grid = pyramid.radius_grid(boxes, 500 / 110540)
+        fullest = grid.items.groupBy("_ix", "_iy").count().agg(F.max("count")).first()[0]
+        counts = proximity.count_in_radius(
+            spark.createDataFrame(pd.concat([left, away])), spark.createDataFrame(points), 500
+        )
+        return fullest, {r.NIS_RAD: r.n for r in counts.collect()}
+
+    fullest, counts = run(right)
+    also, with_far = run(pd.concat([right, far]))
+    assert also == fullest < 50
+    assert with_far == {**counts, 99: 2} and counts[99] == 0
+
+
+def test_own_place_skips_rows_without_coordinates(spark):
+    """A second row of the customer without coordinates changes nothing, wherever it stands."""
+    schema = "NIS_RAD long, LAT double, LON double, installation string"
+    whole = [(1, -1.0, 37.0, "01/02/2010"), (2, -1.0, 37.001, "01/03/2010")]
+    gap = [(1, None, None, "01/01/2010"), (1, None, 37.0, "01/01/2010")]
+    bills = spark.createDataFrame([(1, "15/06/2010")], "nis_rad long, period string")
+    none = spark.createDataFrame([], "tx_id long, LAT double, LON double")
+    got = [
+        proximity.electrified_structures(bills, spark.createDataFrame(rows, schema), none).first().electrified_structures
+        for rows in (whole, gap + whole, whole + gap)
+    ]
+    assert got[0] == got[1] == got[2] == 2
+
+
 def test_no_hits_and_no_points_give_zero(spark):
     left = spark.createDataFrame(
         [(1, 0.0, 0.0), (2, None, 0.0)], "NIS_RAD long, LON double, LAT double"
@@ -153,14 +192,14 @@ def test_nearest_segment_equals_brute_force(spark, road_case, leaf):
     assert np.allclose(got.distance_to_road.values, brute_distance(left, seg).min(axis=1), atol=1e-12)
 
 
-@pytest.mark.parametrize("leaf", [4, 64])
-def test_lengths_equal_brute_force(spark, road_case, leaf):
+@pytest.mark.parametrize("levels", [1, 3])
+def test_lengths_equal_brute_force(spark, road_case, levels):
     left, seg = road_case
     # A road drawn twice, the second time backwards, counts once.
     back = seg.head(30).rename(columns={"x1": "x2", "x2": "x1", "y1": "y2", "y2": "y1"})
     doubled = pd.concat([seg, seg.head(50), back[seg.columns]])
     got = roads.segment_length_in_buffer(
-        spark.createDataFrame(left), spark.createDataFrame(doubled), 2000, leaf_items=leaf
+        spark.createDataFrame(left), spark.createDataFrame(doubled), 2000, levels=levels
     ).toPandas().sort_values("NIS_RAD")
     lengths = brute_length(left, seg, 2000 / 110540)
     for name in "AB":

@@ -30,32 +30,73 @@ def spark_frame(spark, frame):
     return df.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_quantiles_equal_pandas(spark, values, limit):
+def test_quantiles_equal_pandas(spark, values):
     probs = {"lo": 0.0, "q": 0.25, "m": 0.5, "z": 0.95, "hi": 1.0}
     df = spark_frame(spark, values)
-    got = order_stats.exact_quantiles(df, "v", probs, ["g"], buckets=8, max_group_rows=limit)
+    got = order_stats.exact_quantiles(df, "v", probs, ["g"])
     rows = {r.g: r for r in got.collect()}
     assert set(rows) == {"a", "b", None}
     for name, part in values.groupby("g", dropna=False):
         row = rows[None if pd.isna(name) else name]
         for out, p in probs.items():
             assert np.isclose(row[out], part.v.quantile(p))
-    whole = order_stats.exact_quantiles(df, "v", probs, buckets=8, max_group_rows=limit).first()
+    whole = order_stats.exact_quantiles(df, "v", probs).first()
     assert np.isclose(whole.z, values.v.quantile(0.95))
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_quantiles_of_nothing(spark, limit):
+def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([], "g string, v double")
-    assert order_stats.exact_quantiles(df, "v", {"m": 0.5}, ["g"], max_group_rows=limit).count() == 0
-    whole = order_stats.exact_quantiles(df, "v", {"m": 0.5}, max_group_rows=limit).collect()
+    assert order_stats.exact_quantiles(df, "v", {"m": 0.5}, ["g"]).count() == 0
+    whole = order_stats.exact_quantiles(df, "v", {"m": 0.5}).collect()
     assert [r.m for r in whole] == [None]
 
 
+def test_quantiles_of_extreme_values(spark):
+    """Values of any size and sign, equal or one unit in the last place apart."""
+    rng = np.random.default_rng(7)
+    tiny = np.nextafter(1.0, 2.0)
+    parts = [
+        rng.normal(size=400) * 10.0 ** rng.integers(-300, 300, 400),
+        [0.0, -0.0, 1.0, tiny, -1.0, -tiny, 5e-324, -5e-324, 1.7e308, -1.7e308],
+        np.full(90, 1.0),
+        np.full(80, tiny),
+    ]
+    frame = pd.DataFrame({"v": np.concatenate(parts)})
+    probs = {f"p{i}": i / 40 for i in range(41)}
+    got = order_stats.exact_quantiles(spark.createDataFrame(frame), "v", probs).first()
+    for name, p in probs.items():
+        assert np.isclose(got[name], frame.v.quantile(p), rtol=1e-12), name
+    cum = order_stats.cumulative_counts(spark.createDataFrame(frame), "v").toPandas().sort_values("v")
+    assert (cum.n.cumsum() == cum.cum).all() and cum.cum.iloc[-1] == len(frame)
+
+
+def test_large_and_small_groups_take_one_path(spark):
+    """Nothing runs before the result is asked for, and the plan doesn't depend on the data."""
+    def plan(rows):
+        df = spark.range(rows).select((F.col("id") % 7).alias("g"), F.rand(1).alias("v"))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+        made = order_stats.exact_quantiles(df, "v", {"m": 0.5}, ["g"])
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == jobs
+        text = made._jdf.queryExecution().optimizedPlan().toString()
+        return [line.strip(" :+-").split(" ")[0] for line in text.splitlines()]
+
+    assert plan(70) == plan(10**6)
+
+
+def test_grouped_statistics_equal_pandas(spark, values):
+    stats = {"r": "rows", "c": "count", "a": "mean", "s": "std", "lo": "min", "hi": "max"}
+    got = order_stats.grouped_statistics(spark_frame(spark, values), "v", ["g"], {"m": 0.5}, stats)
+    rows = {r.g: r for r in got.collect()}
+    for name, part in values.groupby("g", dropna=False):
+        row = rows[None if pd.isna(name) else name]
+        assert (row.r, row.c) == (len(part), part.v.count())
+        expected = [part.v.mean(), part.v.std(), part.v.min(), part.v.max(), part.v.median()]
+        assert np.allclose([row.a, row.s, row.lo, row.hi, row.m], expected)
+
+
 def test_cumulative_counts_and_ranks(spark, values):
     df = spark_frame(spark, values)
-    cum = order_stats.cumulative_counts(df, "v", ["g"], buckets=8).toPandas()
+    cum = order_stats.cumulative_counts(df, "v", ["g"]).toPandas()
     for name, part in values.dropna(subset=["v"]).groupby("g", dropna=False):
         counts = part.v.value_counts().sort_index()
         mine = cum[cum.g.isna() if pd.isna(name) else cum.g == name].sort_values("v")
