@@ -11,17 +11,15 @@ from pyspark.sql import functions as F
 
 from gridpanel.functions.scalars import exponential_decay
 from gridpanel.operators.order_stats import null_safe_join
-from gridpanel.session import ensure_checkpoint_dir
 
-# Rates tried at the start: 1, and these multiples of one over the range of x, both signs.
-RATES = np.geomspace(1e-2, 700, 48)
-GROWTH_RATES = np.geomspace(1e-2, 30, 16)
-MAX_STEPS = 200
-# Relative change of the residual squares, or of the parameters, that ends the search.
-TOLERANCE = 1e-10
+# Rates tried at first, in multiples of one over the range of x.
+RATES = sorted([*np.geomspace(1e-2, 700, 48), *(-np.geomspace(1e-2, 30, 16))])
+# Every round divides the bracket around the best rate into so many steps.
+STEPS = 64
+# Brackets shrink by 32 each round, from about a quarter of the rate to a billionth of it.
+ROUNDS = 6
 
 UPPER = [(i, j) for i in range(3) for j in range(i, 3)]
-SUMS = [*(f"h{i}{j}" for i, j in UPPER), "g0", "g1", "g2", "ss", "total"]
 AT = ("a", "b", "c")
 
 
@@ -37,15 +35,11 @@ def _points(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _starts(points: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(group, n, _m, a, b, c): the best of the tried rates; for a given b the rest is linear."""
+def _best(tried: DataFrame, by: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
+    """(group, n, _m, a, b, c, carried): the best of the tried rates `_b`; for a given rate the rest is linear."""
     n, e, y = F.col("_n"), F.col("_e"), F.col("_y")
-    span = points.agg(F.greatest(F.max("_x") - F.min("_x"), F.lit(1e-12))).scalar()
-    rates = [F.lit(1.0), *(F.lit(float(r)) / F.col("_s") for r in (*RATES, *(-GROWTH_RATES)))]
     sums = (
-        points.withColumn("_s", span)
-        .withColumn("_b", F.explode(F.array(*rates)))
-        .withColumn("_e", F.exp(-F.col("_b") * F.col("_x")))
+        tried.withColumn("_e", F.exp(-F.col("_b") * F.col("_x")))
         .groupBy(*by, "_b")
         .agg(
             F.sum(n).alias("n"),
@@ -53,55 +47,81 @@ def _starts(points: DataFrame, by: Sequence[str]) -> DataFrame:
             F.sum(n * e * e).alias("ee"),
             F.sum(n * y).alias("y"),
             F.sum(n * e * y).alias("ey"),
+            *[F.max(c).alias(c) for c in carried],
         )
     )
     spread = F.col("ee") - F.col("e") * F.col("e") / F.col("n")
     usable = _finite(spread) & (spread > 1e-12 * F.col("ee"))
     a = F.try_divide(F.col("ey") - F.col("e") * F.col("y") / F.col("n"), spread)
-    tried = F.struct(
-        (a * a * spread).alias("gain"), a.alias("a"), F.col("_b").alias("b"), ((F.col("y") - a * F.col("e")) / F.col("n")).alias("c")
+    fit = F.struct(
+        (a * a * spread).alias("gain"),
+        a.alias("a"),
+        F.col("_b").alias("b"),
+        ((F.col("y") - a * F.col("e")) / F.col("n")).alias("c"),
     )
     best = sums.groupBy(*by).agg(
-        F.max("n").alias("n"), F.max(F.col("y") / F.col("n")).alias("_m"), F.max(F.when(usable, tried)).alias("_t")
+        F.max("n").alias("n"),
+        F.max(F.col("y") / F.col("n")).alias("_m"),
+        F.max(F.when(usable, fit)).alias("_t"),
+        *[F.max(c).alias(c) for c in carried],
+    )
+    return best.select(*by, "n", "_m", *[F.col(f"_t.{p}").alias(p) for p in AT], *carried)
+
+
+def _bracketed(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The best of the first rates, and its neighbours `_lo` and `_hi`; NULL beyond the first and last rate."""
+    span = points.agg(F.greatest(F.max("_x") - F.min("_x"), F.lit(1e-12)).alias("s")).scalar()
+    rates = F.array(*[F.lit(float(r)) / F.col("_s") for r in RATES])
+    rated = points.withColumn("_s", span)
+    best = _best(rated.withColumn("_b", F.explode(rates)), by, ["_s"])
+    return best.withColumns(
+        {
+            "_lo": F.array_max(F.filter(rates, lambda r: r < F.col("b"))),
+            "_hi": F.array_min(F.filter(rates, lambda r: r > F.col("b"))),
+        }
+    ).drop("_s")
+
+
+def _narrowed(points: DataFrame, state: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The best rate inside each group's bracket, with the bracket around it."""
+    width = (F.col("_hi") - F.col("_lo")) / STEPS
+    rates = F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda i: F.col("_lo") + i * width)
+    joined = null_safe_join(points, state.select(*by, "_lo", "_hi"), by, "inner")
+    best = _best(joined.withColumn("_b", F.explode(F.coalesce(rates, F.array(F.lit(1.0))))), by, ["_lo", "_hi"])
+    return best.withColumns(
+        {
+            "_lo": F.greatest(F.col("_lo"), F.col("b") - width),
+            "_hi": F.least(F.col("_hi"), F.col("b") + width),
+        }
     )
-    return best.select(*by, "n", "_m", *[F.col(f"_t.{p}").alias(p) for p in AT])
 
 
 def _finite(value: Column) -> Column:
     return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
 
 
-def _normal_equations(points: DataFrame, states: DataFrame, by: Sequence[str]) -> DataFrame:
-    """J'J, J'r and the squares of every unsettled group at its trial, in one aggregate."""
-    trial = states.filter(~F.col("done")).select(*by, "_m", *[F.col(f"t{p}").alias(f"_{p}") for p in AT])
-    placed = null_safe_join(points, trial, by, "inner")
+def _normal_equations(points: DataFrame, fits: DataFrame, by: Sequence[str]) -> DataFrame:
+    """J'J, and squares of the residuals and of the fitted values around the mean, of every group."""
+    at = fits.select(*by, "_m", *[F.col(p).alias(f"_{p}") for p in AT])
+    placed = null_safe_join(points, at, by, "inner")
     n, x = F.col("_n"), F.col("_x")
     slope = F.exp(-F.col("_b") * x)
     fitted = exponential_decay(x, F.col("_a"), F.col("_b"), F.col("_c"))
-    placed = placed.withColumns(
-        {
-            "_j0": slope,
-            "_j1": -F.col("_a") * x * slope,
-            "_j2": F.lit(1.0),
-            "_e": F.col("_y") - fitted,
-            "_d": fitted - F.col("_m"),
-        }
+    jacobian = [slope, -F.col("_a") * x * slope, F.lit(1.0)]
+    off, around = F.col("_y") - fitted, fitted - F.col("_m")
+    return placed.groupBy(*by).agg(
+        *[F.sum(n * jacobian[i] * jacobian[j]).alias(f"h{i}{j}") for i, j in UPPER],
+        F.sum(n * off * off + F.col("_spread")).alias("ss"),
+        F.sum(n * around * around).alias("total"),
     )
-    sums = [F.sum(n * F.col(f"_j{i}") * F.col(f"_j{j}")).alias(f"_h{i}{j}") for i, j in UPPER]
-    sums += [F.sum(n * F.col(f"_j{i}") * F.col("_e")).alias(f"_g{i}") for i in range(3)]
-    sums += [
-        F.sum(n * F.col("_e") * F.col("_e") + F.col("_spread")).alias("_ss"),
-        F.sum(n * F.col("_d") * F.col("_d")).alias("_total"),
-    ]
-    return placed.groupBy(*by).agg(*sums)
-
-
-def _scaled(damping: Column | float) -> tuple[list[Column], dict[tuple[int, int], Column], Column]:
-    """Scales of the parameters, and adjugate and determinant of the scaled, damped J'J."""
-    scale = [F.sqrt(F.greatest(F.col(f"h{i}{i}"), F.lit(1e-12))) for i in range(3)]
+
+
+def _inverse() -> dict[tuple[int, int], Column]:
+    """Inverse of J'J, scaled to a unit diagonal first."""
+    scale = [F.sqrt(F.greatest(F.col(f"h{i}{i}"), F.lit(1e-300))) for i in range(3)]
     m = {}
     for i, j in UPPER:
-        m[i, j] = m[j, i] = F.col(f"h{i}{j}") / (scale[i] * scale[j]) + (damping if i == j else 0.0)
+        m[i, j] = m[j, i] = F.col(f"h{i}{j}") / (scale[i] * scale[j])
     others = {0: (1, 2), 1: (0, 2), 2: (0, 1)}
     adjugate = {}
     for i in range(3):
@@ -110,105 +130,46 @@ def _scaled(damping: Column | float) -> tuple[list[Column], dict[tuple[int, int]
             minor = m[r, p] * m[s, q] - m[r, q] * m[s, p]
             adjugate[i, j] = minor if (i + j) % 2 == 0 else -minor
     determinant = reduce(Column.__add__, [m[0, j] * adjugate[j, 0] for j in range(3)])
-    return scale, adjugate, determinant
-
-
-def _advance(states: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Accept or reject each group's trial and propose the next one, or settle."""
-    rows = null_safe_join(states, found, by)
-    finite = reduce(Column.__and__, [_finite(F.col(f"_{s}")) for s in SUMS])
-    first = F.col("ss").isNull()
-    rows = rows.withColumns(
-        {
-            "_first": first,
-            "_ok": finite & (first | F.coalesce(F.col("_ss") <= F.col("ss"), F.lit(False))),
-            "_gain": F.col("ss") - F.col("_ss"),
-            "_was": F.col("ss"),
-        }
-    )
-    ok, first, open_ = F.col("_ok"), F.col("_first"), ~F.col("done")
-    moved = {p: F.when(open_ & ok, F.col(f"t{p}")).otherwise(F.col(p)) for p in AT}
-    kept = {s: F.when(open_ & ok, F.col(f"_{s}")).otherwise(F.col(s)) for s in SUMS}
-    damping = (
-        F.when(first, F.col("damping"))
-        .when(ok, F.greatest(F.col("damping") / 10, F.lit(1e-12)))
-        .otherwise(F.col("damping") * 10)
-    )
-    rows = rows.withColumns({**moved, **kept, "damping": damping})
-    # No step lowers the squares any more, or the last one hardly did.
-    settled = (ok & ~first & (F.col("_gain") <= TOLERANCE * F.col("_was"))) | (~ok & ~first & (F.col("damping") > 1e16))
-    scale, adjugate, determinant = _scaled(F.col("damping"))
-    step = {
-        p: F.try_divide(
-            reduce(Column.__add__, [adjugate[i, j] * F.col(f"g{j}") / scale[j] for j in range(3)]), determinant * scale[i]
-        )
-        for i, p in enumerate(AT)
-    }
-    rows = rows.withColumns({f"_s{p}": step[p] for p in AT})
-    still = reduce(
-        Column.__and__, [F.abs(F.col(f"_s{p}")) <= TOLERANCE * (F.abs(F.col(p)) + TOLERANCE) for p in AT]
-    )
-    lost = (~ok & first) | ~reduce(Column.__and__, [_finite(F.col(f"_s{p}")) for p in AT])
-    ends = F.coalesce(~lost & (settled | still), F.lit(False))
-    return rows.select(
-        *by,
-        "n",
-        "_m",
-        *AT,
-        *SUMS,
-        "damping",
-        *[(F.col(p) + F.col(f"_s{p}")).alias(f"t{p}") for p in AT],
-        (F.col("done") | lost | ends).alias("done"),
-        F.when(F.col("done"), F.col("converged")).otherwise(ends).alias("converged"),
-    )
+    return {(i, j): F.try_divide(adjugate[i, j], determinant * scale[i] * scale[j]) for i, j in UPPER}
 
 
 def fit_decay(
-    df: DataFrame,
-    x: str = "Nof_Mths",
-    y: str = "csmo_fact",
-    by: Sequence[str] = (),
-    max_steps: int = MAX_STEPS,
+    df: DataFrame, x: str = "Nof_Mths", y: str = "csmo_fact", by: Sequence[str] = ()
 ) -> DataFrame:
     """a * exp(-b x) + c by least squares, per group.
 
-    Rows with equal x are added up first and written to the checkpoint folder. One aggregate tries a range of
-    65 rates b at once and starts from the best (a library fitter would start at 1, 1, 1 and may
-    end in another local minimum); Levenberg-Marquardt steps, one aggregate each for all groups,
-    do the rest. The groups' states are rows of a table, so their number is free. One row per
-    group: a, b, c, their covariance as cov_aa .. cov_cc, r_squared, n and `converged`. The total
-    squares of r_squared are those of the fitted values around the mean of the data. A fit that
-    fails, or has not settled after `max_steps`, gives NULLs and `converged` false.
+    For a given rate b the rest is a line, so only b is searched: over 64 rates of both signs
+    first, then six times within the bracket around the best, which leaves a billionth of it. (A
+    library fitter would start at 1, 1, 1 and may end in another local minimum.) Rows with equal
+    x are added up first; each round is one aggregate for all groups, whose brackets are rows of
+    a table, and nothing runs before the result is asked for. One row per group: a, b, c, their
+    covariance as cov_aa .. cov_cc, r_squared, n and `converged`. The total squares of r_squared
+    are those of the fitted values around the mean of the data. Where the best rate is the first
+    or the last of all, as for values that do not depend on x, there is no fit: NULLs, and
+    `converged` is false.
     """
     keys = list(by) or ["_all"]
-    ensure_checkpoint_dir(df.sparkSession)
-    points = _points(df if by else df.withColumn("_all", F.lit(1)), x, y, keys).checkpoint()
-    empty = {s: F.lit(None).cast("double") for s in SUMS}
-    states = _starts(points, keys).withColumns(
-        {
-            **empty,
-            "damping": F.lit(1e-3),
-            **{f"t{p}": F.col(p) for p in AT},
-            "done": F.col("a").isNull(),
-            "converged": F.lit(False),
-        }
-    )
-    states = states.checkpoint()
-    for _ in range(max_steps):
-        if states.filter(~F.col("done")).isEmpty():
-            break
-        states = _advance(states, _normal_equations(points, states, keys), keys).checkpoint()
-    scale, adjugate, determinant = _scaled(0.0)
+    points = _points(df if by else df.withColumn("_all", F.lit(1)), x, y, keys)
+    state = _bracketed(points, keys)
+    for _ in range(ROUNDS):
+        state = _narrowed(points, state, keys)
+    fits = null_safe_join(state, _normal_equations(points, state, keys), keys)
     noise = F.try_divide(F.col("ss"), F.col("n") - 3)
-    covariance = {
-        f"cov_{AT[i]}{AT[j]}": F.try_divide(adjugate[i, j], determinant * scale[i] * scale[j]) * noise for i, j in UPPER
-    }
+    covariance = {f"cov_{AT[i]}{AT[j]}": v * noise for (i, j), v in _inverse().items()}
     # Three points leave no residual, and equal columns of the Jacobian no covariance.
-    good = F.col("converged") & (F.col("n") > 3) & _finite(reduce(Column.__add__, covariance.values()))
+    good = (
+        F.col("_lo").isNotNull()
+        & F.col("_hi").isNotNull()
+        & (F.col("n") > 3)
+        & _finite(reduce(Column.__add__, covariance.values()))
+    )
     r2 = F.try_divide(F.col("total") - F.col("ss"), F.col("total"))
     shown = {**{p: F.col(p) for p in AT}, **covariance, "r_squared": r2}
-    return states.select(
-        *by, *[F.when(good, value).alias(name) for name, value in shown.items()], "n", good.alias("converged")
+    return fits.select(
+        *by,
+        *[F.when(good, value).alias(name) for name, value in shown.items()],
+        "n",
+        F.coalesce(good, F.lit(False)).alias("converged"),
     )
 
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridpanel.session import ensure_checkpoint_dir
+from gridpanel.session import written
 
 Weight = Callable[[Any], Any]
 
@@ -59,8 +59,7 @@ class CustomerProducts:
         self.k, self.by, self.length = len(columns), list(by), length
         named = ids.select(*by, length, *[c.alias(f"_c{i}") for i, c in enumerate(columns)])
         sums = _sums([F.col(f"_c{i}") for i in range(self.k)], None, "s")
-        ensure_checkpoint_dir(ids.sparkSession)
-        self.table = named.groupBy(*by, length).agg(*sums).checkpoint()
+        self.table = written(named.groupBy(*by, length).agg(*sums))
 
     def total(self, weight: Weight, group: tuple) -> np.ndarray:
         """The weighted matrix of one group."""

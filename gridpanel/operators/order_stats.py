@@ -1,13 +1,12 @@
 """Exact order statistics that never hold a large group in one task.
 
-Rows are counted by (group, value) with map-side combination, so repeated values cost one row
-and the input is read once; sums, means and extremes come from the same counts. The counts
-are located in two steps: first in ranges of equal width on a logarithmic scale, which fit any
-spread of values, then in equal parts between the least and the greatest value of a range. Ranges are passed
-over by their counts, and only the parts that hold a wanted rank are sorted. A window orders at most the
-ranges of a group, the parts of a range or the values of a part; each of the three is bounded
-by the number of doubles that differ there, about four million, whatever the data. There is one
-path for groups of all sizes, and nothing runs before the result is asked for.
+Rows are counted by (group, value) with map-side combination, so repeated values cost one row;
+sums, means, deviations and extremes come from the same counts. The counts fall into ranges on a
+logarithmic scale, 65,536 to a doubling, which fit values of any size and do not depend on the
+data. Ranges are passed over by their counts, and only those that hold a wanted rank are
+sorted: a window orders the ranges of a group (65,536 for each doubling between its least and
+greatest value at most), or the distinct values of one range. There is one path for groups of all sizes, and
+nothing runs before the result is asked for.
 """
 
 from __future__ import annotations
@@ -18,9 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ranges per doubling of a value, and parts of a range.
-RANGES = 1 << 10
-PARTS = 1 << 20
+# Ranges per doubling of a value.
+RANGES = 1 << 16
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -50,57 +48,83 @@ def _range(value: Column) -> Column:
     return F.when(value == 0, 0).when(value > 0, step).otherwise(-step).cast("long")
 
 
-def _part(value: Column, low: Column, high: Column) -> Column:
-    """Number of the part of a range that a value lies in."""
-    wide = (high > low) & (high - low < float("inf"))
-    return F.when(wide, F.floor((value - low) / (high - low) * PARTS)).otherwise(0).cast("long")
+def _anchor(at: Column) -> Column:
+    """A value near those of a range, from the number of the range alone."""
+    size = F.pow(F.lit(2.0), F.least(F.abs(at) / RANGES - 1100, F.lit(1000.0)))
+    return F.when(at == 0, 0.0).when(at > 0, size).otherwise(-size)
 
 
-def _before(counts: DataFrame, keys: Sequence[str], at: str, level: int) -> DataFrame:
-    """(keys, at, extremes): rows in each range or part, and rows of the same keys before it."""
-    sums = counts.groupBy(*keys, at).agg(
-        F.sum("n").alias(f"_in{level}"), F.min("_v").alias(f"_lo{level}"), F.max("_v").alias(f"_hi{level}")
+def _ranges(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per (group, range): rows, rows before it, and the group's statistics on every row.
+
+    Rows without a value are a range of their own, `_at` NULL, that holds no rank.
+    """
+    n, off = F.col("n"), F.col("_v") - _anchor(F.col("_at"))
+    sums = counts.groupBy(*by, "_at").agg(
+        F.sum("n").alias("_all"),
+        F.min("_v").alias("_lo"),
+        F.max("_v").alias("_hi"),
+        # Around a value of the range, squares and sums do not cancel.
+        F.sum(n * off).alias("_d"),
+        F.sum(n * off * off).alias("_q"),
+    )
+    known = F.col("_at").isNotNull()
+    sums = sums.withColumns(
+        {"_in": F.when(known, F.col("_all")).otherwise(0), "_a": F.when(known, _anchor(F.col("_at")))}
+    )
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy(F.col("_at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    table = sums.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_in").over(earlier), F.lit(0)),
+            "rows": F.sum("_all").over(group),
+            "total": F.sum("_in").over(group),
+            "min": F.min("_lo").over(group),
+            "max": F.max("_hi").over(group),
+        }
+    )
+    table = table.withColumn(
+        "mean", F.try_divide(F.sum(F.col("_a") * F.col("_in") + F.col("_d")).over(group), F.col("total"))
     )
-    order = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    return sums.withColumn(f"_before{level}", F.coalesce(F.sum(f"_in{level}").over(order), F.lit(0)))
+    away = F.col("_a") - F.col("mean")
+    squares = F.sum(F.col("_q") + 2 * away * F.col("_d") + F.col("_in") * away * away).over(group)
+    return table.withColumn(
+        "std",
+        F.when(F.col("total") > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (F.col("total") - 1))),
+    ).drop("_all", "_lo", "_hi", "_d", "_q", "_a")
+
+
+STATISTICS = ("rows", "total", "mean", "std", "min", "max")
 
 
 def _located(
     counts: DataFrame, value: str, by: Sequence[str], wanted: Mapping[str, Column] | None
 ) -> DataFrame:
-    """Value counts (by, _v, n) with rows up to each value as `cum` and the group's rows as `total`.
+    """Value counts (by, _v, n) with rows up to each value as `cum` and the group's statistics.
 
-    With `wanted`, numbers of rows counted from 0 in terms of `total`, only values of
-    the parts that hold one of them are kept.
+    With `wanted`, numbers of rows counted from 0 in terms of `total`, only the ranges
+    that hold one of them are kept, and a group without values keeps a row.
     """
     by = list(by)
-    counts = counts.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), "n")
-    counts = counts.withColumn("_b1", _range(F.col("_v")))
-
-    def holds(start: Column, rows: Column) -> Column:
-        if wanted is None:
-            return F.lit(True)
-        return reduce(Column.__or__, [(start <= rank) & (rank < start + rows) for rank in wanted.values()])
-
-    ranges = _before(counts, by, "_b1", 1).withColumn(
-        "total", F.sum("_in1").over(Window.partitionBy(*by))
-    )
-    ranges = ranges.filter(holds(F.col("_before1"), F.col("_in1")))
-    counts = null_safe_join(counts, ranges, [*by, "_b1"], "inner").withColumn(
-        "_b2", _part(F.col("_v"), F.col("_lo1"), F.col("_hi1"))
+    counts = counts.select(*by, F.col(value).alias("_v"), "n").withColumn("_at", _range(F.col("_v")))
+    ranges = _ranges(counts, by)
+    if wanted is None:
+        ranges = ranges.filter(F.col("_at").isNotNull())
+    else:
+        start = F.col("_before")
+        holds = [(start <= rank) & (rank < start + F.col("_in")) for rank in wanted.values()]
+        ranges = ranges.filter((F.col("total") == 0) | reduce(Column.__or__, holds))
+    kept = null_safe_join(counts, ranges, [*by, "_at"], "inner")
+    within = Window.partitionBy(*by, "_at").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    return kept.withColumn("cum", F.col("_before") + F.sum("n").over(within)).select(
+        *by, "_v", "n", "cum", *[F.col(s).alias(f"_{s}") for s in STATISTICS]
     )
-    parts = _before(counts, [*by, "_b1"], "_b2", 2).select(*by, "_b1", "_b2", "_in2", "_before2")
-    counts = null_safe_join(counts, parts, [*by, "_b1", "_b2"], "inner")
-    start = F.col("_before1") + F.col("_before2")
-    counts = counts.filter(holds(start, F.col("_in2")))
-    within = Window.partitionBy(*by, "_b1", "_b2").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("cum", start + F.sum("n").over(within)).select(*by, "_v", "n", "cum", "total")
 
 
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per (group, value): rows `n`, rows up to the value `cum`, rows `total`."""
     located = _located(value_counts(df, value, by), value, by, None)
-    return located.select(*by, F.col("_v").alias(value), "n", "cum", "total")
+    return located.select(*by, F.col("_v").alias(value), "n", "cum", F.col("_total").alias("total"))
 
 
 def exact_quantiles(
@@ -114,27 +138,37 @@ def exact_quantiles(
 
 
 def quantiles_of_counts(
-    counts: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()
+    counts: DataFrame,
+    value: str,
+    probs: Mapping[str, float],
+    by: Sequence[str] = (),
+    stats: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """The same from (by, value, n)."""
+    """The same from (by, value, n), with statistics as in `grouped_statistics`."""
     by = list(by)
-    last = F.col("total") - 1
-    at = {name: F.lit(float(p)) * last for name, p in probs.items()}
-    low = {name: F.floor(pos) for name, pos in at.items()}
-    high = {name: F.ceil(pos) for name, pos in at.items()}
-    wanted = {f"{name}_{side}": ranks[name] for name in probs for side, ranks in (("lo", low), ("hi", high))}
-    kept = _located(counts, value, by, wanted)
-    picks = [F.min(F.when(F.col("cum") > rank, F.col("_v"))).alias(f"_{name}") for name, rank in wanted.items()]
-    # `total` is one number per group, so its maximum is itself.
-    picked = kept.groupBy(*by).agg(F.max("total").alias("total"), *picks)
-    lo, hi = (lambda n: F.col(f"_{n}_lo")), (lambda n: F.col(f"_{n}_hi"))
+
+    def ranks(total: Column) -> tuple[dict, dict, dict]:
+        at = {name: F.lit(float(p)) * (total - 1) for name, p in probs.items()}
+        return at, {k: F.floor(v) for k, v in at.items()}, {k: F.ceil(v) for k, v in at.items()}
+
+    _, low, high = ranks(F.col("total"))
+    kept = _located(counts, value, by, {**{f"l{k}": v for k, v in low.items()}, **{f"h{k}": v for k, v in high.items()}})
+    _, low, high = ranks(F.col("_total"))
+    picks = [F.min(F.when(F.col("cum") > low[name], F.col("_v"))).alias(f"_lo_{name}") for name in probs]
+    picks += [F.min(F.when(F.col("cum") > high[name], F.col("_v"))).alias(f"_hi_{name}") for name in probs]
+    # Each statistic is one number per group, so its maximum is itself.
+    picked = kept.groupBy(*by).agg(*[F.max(f"_{s}").alias(f"_{s}") for s in STATISTICS], *picks)
+    at, low, _ = ranks(F.col("_total"))
+    lo, hi = (lambda n: F.col(f"_lo_{n}")), (lambda n: F.col(f"_hi_{n}"))
     # Equal neighbours need no interpolation, which would not be exact for infinite ones.
     out = [
         F.when(lo(n) == hi(n), lo(n)).otherwise(lo(n) + (hi(n) - lo(n)) * (at[n] - low[n])).alias(n)
         for n in probs
     ]
+    names = {"count": "total"}
+    extra = [F.col(f"_{names.get(kind, kind)}").alias(name) for name, kind in (stats or {}).items()]
     # Without groups this is a total aggregate, which yields one row of NULLs over nothing.
-    return picked.select(*by, *out)
+    return picked.select(*by, *extra, *out)
 
 
 def grouped_statistics(
@@ -149,37 +183,8 @@ def grouped_statistics(
     `stats` maps output names to rows, count, mean, std, min or max; `rows` counts rows without
     a value as well. Groups without values have NULL quantiles.
     """
-    by = list(by)
     counts = value_counts(df, value, by, keep_missing=True)
-    v, n = F.col(value), F.col("n")
-    known = F.sum(F.when(v.isNotNull(), n))
-    mean = F.sum(v * n) / known
-    kinds = {
-        "rows": F.sum("n"),
-        "count": F.coalesce(known, F.lit(0)),
-        "mean": mean,
-        "min": F.min(v),
-        "max": F.max(v),
-    }
-    wanted = [kinds[kind].alias(name) for name, kind in stats.items() if kind != "std"]
-    spreads = [name for name, kind in stats.items() if kind == "std"]
-    # Squares are summed around a value of the group, which keeps them from cancelling.
-    spread = F.when(
-        F.col("_n") > 1,
-        F.sqrt(F.greatest((F.col("_sq") - F.col("_d") * F.col("_d") / F.col("_n")) / (F.col("_n") - 1), F.lit(0.0))),
-    )
-    if spreads:
-        anchors = counts.groupBy(*by).agg((F.sum(v * n) / known).alias("_anchor"))
-        counts_ = null_safe_join(counts, anchors, by)
-        off = v - F.col("_anchor")
-        wanted += [known.alias("_n"), F.sum(off * n).alias("_d"), F.sum(off * off * n).alias("_sq")]
-    else:
-        counts_ = counts
-    table = counts_.groupBy(*by).agg(*wanted)
-    table = table.withColumns({name: spread for name in spreads}) if spreads else table
-    return null_safe_join(table, quantiles_of_counts(counts, value, probs, by), by).select(
-        *by, *stats, *probs
-    )
+    return quantiles_of_counts(counts, value, probs, by, stats)
 
 
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -189,7 +194,7 @@ def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
 
 def ranks_of_counts(counts: DataFrame, value: str, out: str) -> DataFrame:
     """The same from (value, n)."""
-    cum = _located(counts, value, [], None)
+    cum = _located(counts.filter(F.col(value).isNotNull()), value, [], None)
     rank = F.col("cum") - F.col("n") + (F.col("n") + 1) / 2.0
     return cum.select(F.col("_v").alias(value), rank.alias(out))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -35,3 +36,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table, written once below the checkpoint folder and read back.
+
+    Unlike `checkpoint`, nothing of the plan before it is kept, not even its constraints, which
+    would double with every round of an iteration.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

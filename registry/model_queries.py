@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from gridpanel import constants as C
@@ -115,6 +117,37 @@ def _(v):
     return _coefficients(v, {"between": fit})
 
 
+def _tagged(text: str, tag: str) -> str:
+    """The closed form under names of its own, to stand beside others."""
+    return re.sub(r"\b(mm|bb|ee)\b", rf"\1_{tag}", text)
+
+
+def _location_sql() -> str:
+    parts, rows = [], []
+    for location in ("Urban", "Rural"):
+        tag = location[0].lower()
+        parts.append(f"l{tag} as (select * from prep where rural_urban = '{location}')")
+        parts.append(
+            f"""d{tag} as (select nis_rad, population - avg(population) over w as population,
+                  Night_Lights - avg(Night_Lights) over w as Night_Lights,
+                  csmo_fact - avg(csmo_fact) over w as csmo_fact
+                from l{tag} window w as (partition by nis_rad))"""
+        )
+        parts.append(_tagged(_two_slopes(f"l{tag}", *PAIR, "csmo_fact", "n - 3"), f"p{tag}"))
+        free = f"n - (select count(distinct nis_rad) from l{tag}) - 2"
+        parts.append(_tagged(_two_slopes(f"d{tag}", *PAIR, "csmo_fact", free), f"w{tag}"))
+        rows.append(_tagged(_rows_sql(f"pool_{tag}", "(Intercept)"), f"p{tag}"))
+        rows.append(_tagged(_rows_sql(f"fe_{tag}", None), f"w{tag}"))
+    return f"with {PREPARED_SQL}, {', '.join(parts)} {' union all '.join(rows)}"
+
+
+@query("location_models", "features", sql=_location_sql())
+def _(v):
+    fits = regression.panel_regression(_prepared(v), xs=PAIR)
+    table = _coefficients(v, {name: fit for name, fit in fits.items() if not name.startswith("re_")})
+    return table
+
+
 RANDOM_SQL = f"""{PREPARED_SQL},
     q as (select nis_rad, population as x, csmo_fact as y, avg(population) over w as mx,
             avg(csmo_fact) over w as my, count(*) over w as t from prep
@@ -223,6 +256,19 @@ def _(v):
     return scores
 
 
+@query(
+    "kmeans_one_cluster",
+    "bills",
+    sql="""select 1 as k, -2.0 * count(*) as score
+           from (select stddev_samp(csmo_fact) as s from bills group by nis_rad) where s is not null""",
+)
+def _(v):
+    # One cluster of scaled columns: each has as many squares as rows.
+    stats = segments.customer_statistics(v("bills"))
+    scores, _ = clustering.kmeans_scan(stats, ["Mean", "Std"], ks=[1])
+    return scores
+
+
 @query("kmeans_labels", "bills")
 def _(v):
     stats = segments.customer_statistics(v("bills"))
@@ -235,6 +281,29 @@ def _(v):
     return curves.fit_decay(v("panel"), by=["rural_urban"])
 
 
+@query(
+    "decay_normal_equations",
+    "panel",
+    sql="""select rural_urban, 0.0 as g0, 0.0 as g1, 0.0 as g2 from panel
+           where csmo_fact is not null and Nof_Mths is not null group by 1""",
+)
+def _(v):
+    """Residuals of the fit are orthogonal to its derivatives; so they are, trivially, where there is no fit."""
+    rows = v("panel")
+    fits = curves.fit_decay(rows, by=["rural_urban"])
+    at = rows.join(fits.select("rural_urban", "a", "b", "c"), "rural_urban")
+    x, slope = F.col("Nof_Mths"), F.exp(-F.col("b") * F.col("Nof_Mths"))
+    off = F.col("csmo_fact") - (F.col("a") * slope + F.col("c"))
+    gradient = {"g0": slope, "g1": F.col("a") * x * slope, "g2": F.lit(1.0)}
+    share = [
+        (F.sum(off * g) / F.sqrt(F.sum(off * off) * F.sum(g * g))).alias(name) for name, g in gradient.items()
+    ]
+    table = at.groupBy("rural_urban").agg(*share)
+    return table.select(
+        "rural_urban", *[(F.round(F.coalesce(F.col(n), F.lit(0.0)), 3) + 0.0).alias(n) for n in gradient]
+    )
+
+
 @query(
     "prepared_datasets",
     "features",
