@@ -15,8 +15,8 @@ Members within EPSILON join the pivot's component. Then the triangle inequality
 member y of the pivot p's component can only link with an x outside of it if
 d(x, p) <= d(y, p) + EPSILON, so y leaves the region if no such x is in it, and is kept as a
 boundary document otherwise. The pivot leaves in any case; what is left, as long as it holds
-two components, is joined again with new pivots, from its smallest components first and twice as
-many at each level. No pair is ever compared within a component, so a group of near copies costs about
+two components, is joined again with new pivots, from its smallest components first and four
+times as many at each level. No pair is ever compared within a component, so a group of near copies costs about
 one comparison per member, and every pair that could be a link either is compared, is excluded
 by the triangle inequality or by sizes, or lies within one component.
 
@@ -337,7 +337,7 @@ def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataF
         )
         if known.isEmpty():
             break
-        pivots = materialise(_pivots(known, 1 if level == 0 else 4 << level), "pivots")
+        pivots = materialise(_pivots(known, 4 ** (level + 1) if level else 1), "pivots")
         faced = materialise(_faced(known, pivots), "faced")
         pairs = faced.where(F.col("low") <= EPSILON).select("a", "b", "n_a", "n_b").distinct()
         if tested is not None:
