@@ -6,17 +6,18 @@ metric, is at most EPSILON = 0.25. The result is the connected components of the
 Regions. Between unrelated texts every distance is 1, so a Voronoi diagram of a few pivots over
 all documents would replicate everything everywhere (2 * EPSILON reaches 1 from 0.5 on). Space is
 therefore first cut by necessary shingles: under any order of all shingles, two linked
-documents share one of the first |x| - ceil(0.75 |x|) + 1 of each. Shingles seen at least three
-times in some batch come last in the order, so that common passages rarely decide. A region is the
-set of documents that share such a shingle; regions with equal members are one.
+documents share one of the first |x| - ceil(0.75 |x|) + 1 of each. Shingles that three texts of some batch
+hold are counted, and the order puts the rarer ones first in five steps, so that common passages rarely decide. A region is the
+set of documents that share such a shingle with its first pivot: the set with the fewest rare shingles,
+which in a group of copies is one with few changes of its own, near the middle of the group.
 
 Join. In every region a pivot is compared with all members that no link has joined to it yet.
 Members within EPSILON join the pivot's component. Then the triangle inequality is a window: a
 member y of the pivot p's component can only link with an x outside of it if
 d(x, p) <= d(y, p) + EPSILON, so y leaves the region if no such x is in it, and is kept as a
 boundary document otherwise. The pivot leaves in any case; what is left, as long as it holds
-two components, is joined again with new pivots, from its smallest components first and four
-times as many at each level. No pair is ever compared within a component, so a group of near copies costs about
+two components, is joined again with new pivots, from its smallest components first and twice
+as many at each level. No pair is ever compared within a component, so a group of near copies costs about
 one comparison per member, and every pair that could be a link either is compared, is excluded
 by the triangle inequality or by sizes, or lies within one component.
 
@@ -49,7 +50,9 @@ from gridpanel.llm.scratch import delete, materialise
 SHINGLE = 5
 EPSILON = 0.25
 PARTS = 256
-COMMON = 3
+#: Occurrences that make a shingle commoner by one step; what COMMON texts of a batch hold is counted.
+STEPS = (3, 12, 48, 192, 768)
+COMMON = STEPS[0]
 LOG2_BITS = 24
 
 
@@ -72,13 +75,14 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, found[keep]
 
 
-def _prefix(shingles: np.ndarray, common: bloom.Bloom) -> np.ndarray:
-    """The necessary shingles of a set: first in the order (common or not, hash)."""
+def _prefix(shingles: np.ndarray, common: list[bloom.Bloom]) -> tuple[np.ndarray, int]:
+    """The necessary shingles of a set, first in the order (how common, hash), and how many of all are rare."""
     n = len(shingles)
     length = n - -(-3 * n // 4) + 1 if n else 0
-    late = common.holds(shingles)
-    rare = shingles[~late]
-    return rare[:length] if len(rare) >= length else np.concatenate([rare, shingles[late][: length - len(rare)]])
+    step = np.zeros(n, np.int8)
+    for filter_ in common:
+        step += filter_.holds(shingles)
+    return shingles[np.sort(np.argsort(step, kind="stable")[:length])], int((step == 0).sum())
 
 
 def _longs(hashes: np.ndarray) -> pa.Array:
@@ -100,17 +104,19 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-    every = np.sort(np.concatenate(sets))
-    again = every[COMMON - 1 :][every[COMMON - 1 :] == every[: len(every) - COMMON + 1]]
-    return pa.RecordBatch.from_arrays([_longs(np.unique(again))], names=["h"])
+    found, counts = np.unique(np.concatenate(sets), return_counts=True)
+    again = counts >= COMMON
+    return pa.RecordBatch.from_arrays(
+        [_longs(found[again]), pa.array(counts[again].astype(np.int64))], names=["h", "n"]
+    )
 
 
-def _prefixes(common: bloom.Bloom):
+def _prefixes(common: list[bloom.Bloom]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.zeros(0, np.uint64)]
             for _, found in _sets(batch.column(0)):
-                out.append(_prefix(found, common))
+                out.append(_prefix(found, common)[0])
             yield pa.RecordBatch.from_arrays([_longs(np.concatenate(out))], names=["h"])
 
     return run
@@ -129,17 +135,18 @@ def _parts(shingles: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(part, minlength=PARTS), 127)
 
 
-def _documents(common: bloom.Bloom, shared: bloom.Bloom):
-    """(doc_id, class, n, tokens): necessary shingles that another document may have, too."""
+def _documents(common: list[bloom.Bloom], shared: bloom.Bloom):
+    """(doc_id, class, n, rare, tokens, parts): necessary shingles that another document may have, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, sizes, tokens, counts = [], [], [], []
+            classes, sizes, rares, tokens, counts = [], [], [], [], []
             for _, found in _sets(batch.column(1)):
-                prefix = _prefix(found, common)
+                prefix, rare = _prefix(found, common)
                 prefix = prefix[shared.holds(prefix)]
                 classes.append(_class(found))
                 sizes.append(len(found))
+                rares.append(rare)
                 tokens.append(prefix)
                 counts.append(_parts(found) if len(prefix) else ())
             none = np.zeros(0, np.uint64)
@@ -148,12 +155,13 @@ def _documents(common: bloom.Bloom, shared: bloom.Bloom):
                     batch.column(0),
                     pa.array(classes, pa.int64()),
                     pa.array(sizes, pa.int64()),
+                    pa.array(rares, pa.int64()),
                     text.nested(np.concatenate([none, *tokens]).view(np.int64), [len(t) for t in tokens], pa.int64()),
                     text.nested(
                         np.concatenate([np.zeros(0, np.int8), *counts]).astype(np.int8), [len(c) for c in counts], pa.int8()
                     ),
                 ],
-                names=["doc_id", "class", "n", "tokens", "parts"],
+                names=["doc_id", "class", "n", "rare", "tokens", "parts"],
             )
 
     return run
@@ -180,22 +188,18 @@ def _needed_sets(needed: bloom.Bloom):
 
 
 def _regions(tokens: DataFrame) -> DataFrame:
-    """(region, node, n): members of necessary shingles, one region for each set of members."""
-    mark = F.xxhash64("node")
-    signed = tokens.groupBy("h").agg(
-        F.count("*").alias("size"),
-        F.bit_xor(mark).alias("x"),
-        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    """(region, node, n, rare): documents that share a necessary shingle, by its first pivot."""
+    first = tokens.groupBy("h").agg(
+        F.count("*").alias("size"), F.min(F.struct("rare", "n", "node")).alias("first")
     )
-    chosen = signed.where("size > 1").groupBy("size", "x", "y").agg(F.min("h").alias("h"))
-    chosen = materialise(chosen.select("h"), "regions")
-    return tokens.join(chosen, "h").select(F.col("h").alias("region"), "node", "n")
+    first = materialise(first.where("size > 1").select("h", F.col("first.node").alias("region")), "regions")
+    return tokens.join(first, "h").select("region", "node", "n", "rare").distinct()
 
 
 def _pivots(known: DataFrame, wanted: int) -> DataFrame:
     """(region, pivot, pivot_n, pivot_comp): `wanted` members of each region, those of small components first."""
     sizes = materialise(known.groupBy("region", "comp").agg(F.count("*").alias("size")), "sizes")
-    order = Window.partitionBy("region").orderBy("size", "comp", "node")
+    order = Window.partitionBy("region").orderBy("size", "rare", "n", "node")
     return (
         known.join(sizes, ["region", "comp"])
         .withColumn("place", F.row_number().over(order))
@@ -266,10 +270,10 @@ def _measured(near: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    members = members.select("region", "node", "n")
+    members = members.select("region", "node", "n", "rare")
     if labels is None:
         return members.withColumn("comp", F.col("node"))
-    return members.join(labels, "node", "left").select("region", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    return members.join(labels, "node", "left").select("region", "node", "n", "rare", F.coalesce("comp", "node").alias("comp"))
 
 
 def _left(known: DataFrame, pivots: DataFrame, faced: DataFrame, tested: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -298,24 +302,25 @@ def _left(known: DataFrame, pivots: DataFrame, faced: DataFrame, tested: DataFra
         .union(pivots.select("region", F.col("pivot")))
         .distinct()
     )
-    return materialise(known.select("region", "node", "n").join(materialise(gone, "gone"), ["region", "node"], "left_anti"), "members")
+    return materialise(known.select("region", "node", "n", "rare").join(materialise(gone, "gone"), ["region", "node"], "left_anti"), "members")
 
 
 def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, class, n, ...) and labels (node, comp) of classes that link with others, or None."""
-    found = materialise(docs.select("text").mapInArrow(_common, "h bigint").distinct(), "common")
-    common = bloom.build(found, "h", log2_bits)
+    counted = docs.select("text").mapInArrow(_common, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = materialise(counted, "common")
+    common = [bloom.build(counted.where(F.col("n") >= least), "h", log2_bits) for least in STEPS]
     prefixes = docs.select("text").mapInArrow(_prefixes(common), "h bigint").groupBy("h").agg(F.count("*").alias("rows"))
     shared = bloom.build(materialise(prefixes.where("rows > 1").select("h"), "shared"), "h", log2_bits)
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = materialise(
         docs.select("doc_id", "text").mapInArrow(
-            _documents(common, shared), f"doc_id {kind}, class bigint, n bigint, tokens array<bigint>, parts array<tinyint>"
+            _documents(common, shared), f"doc_id {kind}, class bigint, n bigint, rare bigint, tokens array<bigint>, parts array<tinyint>"
         ),
         "documents",
     )
     tokens = materialise(
-        base.select(F.explode("tokens").alias("h"), F.col("class").alias("node"), "n").distinct(), "tokens"
+        base.select(F.explode("tokens").alias("h"), F.col("class").alias("node"), "n", "rare").distinct(), "tokens"
     )
     members = materialise(_regions(tokens), "members")
     nodes = members.select("node").distinct()
@@ -337,7 +342,7 @@ def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataF
         )
         if known.isEmpty():
             break
-        pivots = materialise(_pivots(known, 4 ** (level + 1) if level else 1), "pivots")
+        pivots = materialise(_pivots(known, 4 << level if level else 1), "pivots")
         faced = materialise(_faced(known, pivots), "faced")
         pairs = faced.where(F.col("low") <= EPSILON).select("a", "b", "n_a", "n_b").distinct()
         if tested is not None:
