@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from gridpanel.llm import bloom, text
 from gridpanel.llm.components import components
-from gridpanel.llm.scratch import delete, materialise
+from gridpanel.llm.scratch import delete, free_name, materialise
 
 SHINGLE = 5
 EPSILON = 0.25
@@ -412,7 +412,13 @@ def classes(docs: DataFrame, log2_bits: int = LOG2_BITS) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents that carry their component's id, with all their columns, and those without an id."""
-    others = classes(docs).where("doc_id != component_id").select("doc_id").distinct()
-    others = materialise(others, "others")
-    return docs.join(others, docs["doc_id"] == others["doc_id"], "left_anti")
+    """One row of each component with all its columns: the least doc_id, null last, and the first row of it.
+
+    Rows are told apart by a number, so rows that share a doc_id, or have none, stay or leave one by one.
+    """
+    row = free_name(docs, "row_number")
+    held = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    others = classes(held.select(key.alias("doc_id"), "text")).where("doc_id != component_id")
+    others = materialise(others.select(F.col("doc_id.row").alias("other")), "others")
+    return held.join(others, held[row] == others["other"], "left_anti").drop(row)

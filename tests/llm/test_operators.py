@@ -406,6 +406,18 @@ def test_classes_equal_all_pairs(spark, docs, corpus, empty, ragged):
     assert odd == [(False, 1, 1, 1), (False, 1, 2, 1), (False, 1, 2, 1), (False, 2, 0, 2), (True, 0, 0, 0), (True, 0, 0, 0), (True, 0, 2, 1)]
 
 
+def test_one_row_of_each_component_stays(spark):
+    """A repeated doc_id neither takes its other text along nor keeps copies; rows without an id are compared, too."""
+    rng = random.Random(12)
+    a, b, c = (brute.prose(rng, 60, 10**6) for _ in range(3))
+    near = lambda t: t + " end"
+    rows = [(3, b), (5, a), (5, near(b)), (9, near(a)), (9, a), (3, b), (None, a), (None, c), (None, c), (None, near(c)), (None, None), (5, "")]
+    kept = jaccard.representatives(documents(spark, rows).repartition(3)).collect()
+    texts = Counter((r.doc_id, r.text) for r in kept)
+    assert [n for (i, t), n in texts.items() if i is None and t in (c, near(c))] == [1]
+    assert {k: n for k, n in texts.items() if k[1] not in (c, near(c))} == {(3, b): 1, (5, a): 1, (None, None): 1, (5, ""): 1}
+
+
 def test_filters_of_any_size_give_the_same(spark, docs, corpus):
     """Filters that are full let everything through, and the joins decide."""
     expected = {i: v[1] for i, v in brute.components(dict(corpus)).items()}
