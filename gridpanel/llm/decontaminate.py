@@ -233,7 +233,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns.
 
-    Documents leave by doc_id: rows that share one leave together if any of them is contaminated.
+    A row leaves by doc_id and the digest of its text, which decides alone, so rows that share
+    a doc_id, or have none, stay or leave one by one.
     """
-    bad = materialise(contamination(docs, items).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    digest = F.md5(docs["text"].cast("binary"))
+    keyed = docs.select(F.struct(docs["doc_id"].alias("id"), digest.alias("digest")).alias("doc_id"), docs["text"])
+    bad = contamination(keyed, items).where("contaminated").select("doc_id.id", "doc_id.digest").distinct()
+    bad = materialise(bad, "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["id"]) & (digest == bad["digest"]), "left_anti")

@@ -183,6 +183,15 @@ def test_contamination_equals_brute_force(spark, corpus, docs, empty, ragged):
     assert {r.doc_id for r in kept.collect()} == {i for i, v in got.items() if not v[-1]}
 
 
+def test_rows_leave_one_by_one(spark):
+    """Rows without a doc_id, or with a repeated one, are judged by their own text."""
+    item = " ".join(f"b{i}" for i in range(13))
+    rows = [(None, item), (None, "clean words"), (None, None), (7, item), (7, "other clean words"), (7, item), (8, "more")]
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = decontaminate.decontaminated(documents(spark, rows), benchmark)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(r for r in rows if r[1] != item)
+
+
 # 4 mixing
 
 
