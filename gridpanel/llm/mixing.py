@@ -12,6 +12,9 @@ slots of its source says which block it takes: the rank modulo the number of blo
 source is used up before any of its blocks returns. Any stretch of the mix holds each source in
 its share up to a few blocks.
 
+Whole documents (`mixed`) follow the targets themselves: target words of each source, read around
+in its row, so that no source is too small for a block.
+
 Ranks and running sums are distributed: they are taken within parts of a source or of the
 schedule, whose totals are summed up in a table of parts. Only the table of sources, one row
 each, is ordered in one task.
@@ -23,7 +26,7 @@ is taken; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel.llm.scratch import free_name, materialise
@@ -41,10 +44,10 @@ SLOTS = 1 << 15
 CELLS = 1 << 10
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, size): words of each text."""
+def measured(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(row, doc_id, source, size): words of each text; rows are numbered here if `row` is not given."""
     return docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
         "doc_id",
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -160,8 +163,12 @@ def block_words(sources: DataFrame) -> tuple[int, int]:
 
 
 def mix(docs: DataFrame, most: int = 3, seed: int = 1) -> DataFrame:
-    """One row per document: size, its source's size and target, words taken and full passes made over it."""
-    sizes = materialise(measured(docs), "sizes")
+    """One row per document: size, its source's size and target, words taken and, as `copies`, passes of the target over it."""
+    return _mix(measured(docs), most, seed).drop("row")
+
+
+def _mix(sizes: DataFrame, most: int, seed: int) -> DataFrame:
+    sizes = materialise(sizes, "sizes")
     sources = materialise(targets(sizes, most), "sources")
     block, n_slots = block_words(sources)
     laid = materialise(laid_out(sizes, sources, seed), "laid")
@@ -177,29 +184,34 @@ def mix(docs: DataFrame, most: int = 3, seed: int = 1) -> DataFrame:
     taken = (
         pieces.join(uses, ["number", "block_no"], "left")
         .groupBy("row", "doc_id", "number", "start", "size")
-        .agg(
-            F.sum(F.greatest(overlap, F.lit(0)) * times).cast("long").alias("taken"),
-            F.min_by(times, "block_no").alias("copies"),
-        )
+        .agg(F.sum(F.greatest(overlap, F.lit(0)) * times).cast("long").alias("taken"))
     )
     return taken.join(sources, "number").select(
-        "doc_id", "source", "size", "source_size", "target", "taken", "copies"
+        "row", "doc_id", "source", "size", "source_size", "target", "taken", _passes().alias("copies")
     )
 
 
+def _passes() -> Column:
+    """How often the target's words, read around in the row of the source, begin the document; blocks play no part.
+
+    A source with a target has one word of it at least, so that its first document is in the mix.
+    """
+    words = F.when(F.col("target") > 0, F.greatest(F.round("target").cast("long"), F.lit(1))).otherwise(F.lit(0))
+    whole = F.floor(words / F.greatest("source_size", F.lit(1))).cast("long")
+    return whole + (F.col("start") < words - whole * F.col("source_size")).cast("long")
+
+
 def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as the mix passes over its first block.
+    """The documents of the mix with all their columns, each as often as its source's target passes over its first word.
 
-    Rows that share a doc_id share the mean of their passes, rounded.
+    Rows are told apart by a number, so rows that share a doc_id, or have none, have copies of their own.
     """
-    copies = materialise(
-        mix(docs, seed=seed).groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias("copies")).where("copies > 0"),
-        "copies",
-    )
-    id_, times = free_name(docs, "mixed_id"), free_name(docs, "mixed_times")
-    wanted = copies.select(F.col("doc_id").alias(id_), F.col("copies").alias(times))
+    row, times = free_name(docs, "mixed_row"), free_name(docs, "mixed_times")
+    held = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    copies = _mix(measured(held, F.col(row)), 3, seed).where("copies > 0")
+    wanted = materialise(copies.select(F.col("row").alias("of"), F.col("copies").cast("int").alias(times)), "copies")
     return (
-        docs.join(wanted, docs["doc_id"].eqNullSafe(F.col(id_)))
+        held.join(wanted, held[row] == wanted["of"])
         .withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
-        .select(*[docs[f"`{c}`"] for c in docs.columns])
+        .select(*[held[f"`{c}`"] for c in docs.columns])
     )

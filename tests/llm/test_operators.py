@@ -232,6 +232,28 @@ def test_mix_meets_targets(docs, corpus, empty, ragged):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_rows_of_one_id_are_taken_one_by_one(spark):
+    """The second source has half of its words taken; its rows have no id or share the id of the first source's rows."""
+    rows = [(None if i % 2 else 1, f"p{i} q r s", s) for s, n in (("a", 400), ("b", 400)) for i in range(n)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    copies = Counter((r.source, r.text) for r in mixing.mixed(table).collect())
+    by = {s: sum(n for (source, _), n in copies.items() if source == s) for s in "ab"}
+    targets = {r.source: r.target / 4 for r in mixing.targets(mixing.measured(table)).collect()}
+    assert by == {s: pytest.approx(targets[s], abs=1) for s in "ab"}
+
+
+def test_small_sources_meet_their_targets_beside_long_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 16)
+    sizes = {"a": 60_000, "b": 4_100, "c": 900, "d": 20}
+    rows = [(i, " ".join(["w"] * 10), s) for s, n in sizes.items() for i in range(n // 10)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sources = mixing.targets(mixing.measured(table))
+    assert mixing.block_words(sources)[0] == 4063
+    got = Counter(r.source for r in mixing.mixed(table).collect())
+    for r in sources.collect():
+        assert 10 * got[r.source] == pytest.approx(r.target, abs=10), r
+
+
 def test_schedule_is_even(spark, docs):
     sources = mixing.targets(mixing.measured(docs))
     slots = mixing.schedule(sources, 4000, 5).toPandas()
