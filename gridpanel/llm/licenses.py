@@ -9,8 +9,11 @@ window that shares at least min(w, 9) words with it. What meets is only a candid
 the text's windows are then matched exactly, and a template is reported if at least 75 % of its
 shingles occur in the candidate windows or the windows next to them.
 
-A Bloom filter of fixed size over the templates' bands keeps text windows that cannot match
-from the shuffle; templates may be few or many.
+Templates of fewer than 9 words have fewer than 5 shingles, too few among the 12 of a window to
+rely on a meeting: they have no bands, and all shingles of a text are matched with theirs exactly.
+
+Bloom filters of fixed size over the templates' bands and the short templates' shingles keep what
+cannot match from the shuffle; templates may be few or many.
 
 Defined results: a null or empty text holds no license; a template without words matches
 nothing, one of fewer than five words is one shingle; equal templates all match; rows that
@@ -31,6 +34,8 @@ from gridpanel.llm.scratch import materialise
 
 SHINGLE, WINDOW, STRIDE, BANDS = 5, 16, 8, 48
 SHARE = 0.75
+#: Shingles from which a template is looked for by bands.
+BANDED = 5
 
 #: Well-known public license notices.
 NOTICES = {
@@ -78,8 +83,8 @@ def _minima(keys: np.ndarray, spans: int, stride: int) -> np.ndarray:
     stop = np.minimum(at + spans, len(keys))
     out = np.empty((BANDS, len(at)), np.uint64)
     for band in range(BANDS):
-        seed = np.uint64(((2 * band + 1) * 0xC2B2AE3D27D4EB4F) & ((1 << 64) - 1))
-        hashed = (keys ^ (seed >> np.uint64(7))) * (seed | np.uint64(1))
+        seed = text.factor(band)
+        hashed = (keys ^ (seed >> np.uint64(7))) * seed
         hashed ^= hashed >> np.uint64(32)
         # Minima over [at, stop) by doubling: two overlapping powers of two cover a window.
         width, low = 1, hashed
@@ -106,7 +111,8 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             keys = _keys(words.hash[words.of(i)])
             shingles.append(np.unique(keys).view(np.int64))
-            bands.append(np.unique(_minima(keys, _PER_WINDOW, 1)).view(np.int64) if len(keys) else keys.view(np.int64))
+            banded = len(shingles[-1]) >= BANDED
+            bands.append(np.unique(_minima(keys, _PER_WINDOW, 1)).view(np.int64) if banded else np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -117,8 +123,9 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _scan(filter_: bloom.Bloom, lengths: list[int]):
-    """Windows that may match: (row, bands that the filter holds, shingles around)."""
+def _scan(filter_: bloom.Bloom, short: bloom.Bloom, lengths: list[int]):
+    """What may match: windows (row, bands that the filter holds, shingles around), and (row, no bands, shingles
+    that short templates may have)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,20 +134,26 @@ def _scan(filter_: bloom.Bloom, lengths: list[int]):
                 data = everything[offsets[lo] : offsets[hi]]
                 words = text.words(data, offsets[lo : hi + 1] - offsets[lo], text.ALNUM)
                 rows, bands, shingles = [], [], []
+                none = np.zeros(0, np.int64)
                 for i in range(hi - lo):
                     hashes = words.hash[words.of(i)]
                     for size in lengths:
                         keys = text.shingles(hashes, size)
-                        if not len(keys):
-                            continue
-                        own = _minima(keys, _PER_WINDOW, STRIDE)
-                        held = filter_.holds(own.ravel()).reshape(own.shape)
-                        for w in np.flatnonzero(held.any(axis=0)):
-                            first = max(0, (w - 1) * STRIDE)
+                        keys = np.unique(keys[short.holds(keys)])
+                        if len(keys):
                             rows.append(lo + i)
-                            bands.append(own[held[:, w], w].view(np.int64))
-                            shingles.append(np.unique(keys[first : (w + 1) * STRIDE + _PER_WINDOW]).view(np.int64))
-                none = np.zeros(0, np.int64)
+                            bands.append(none)
+                            shingles.append(keys.view(np.int64))
+                    keys = text.shingles(hashes, SHINGLE)
+                    if not len(keys):
+                        continue
+                    own = _minima(keys, _PER_WINDOW, STRIDE)
+                    held = filter_.holds(own.ravel()).reshape(own.shape)
+                    for w in np.flatnonzero(held.any(axis=0)):
+                        first = max(0, (w - 1) * STRIDE)
+                        rows.append(lo + i)
+                        bands.append(own[held[:, w], w].view(np.int64))
+                        shingles.append(np.unique(keys[first : (w + 1) * STRIDE + _PER_WINDOW]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(rows, pa.int64())),
@@ -162,9 +175,11 @@ def matches(rows: DataFrame, templates: DataFrame, log2_bits: int = 20) -> DataF
         "templates",
     )
     by_band = cut.select("license", F.explode("bands").alias("band"))
-    by_shingle = cut.select("license", F.explode("shingles").alias("shingle"))
+    by_shingle = cut.select("license", F.size("bands").alias("n_bands"), F.explode("shingles").alias("shingle"))
     totals = cut.select("license", F.size("shingles").alias("n_shingles"))
     filter_ = bloom.build(by_band.select("band").distinct(), "band", log2_bits)
+    unbanded = by_shingle.where("n_bands = 0").select("license", "shingle")
+    short_filter = bloom.build(unbanded.select("shingle").distinct(), "shingle", log2_bits)
     short = [
         r[0]
         for r in templates.select(
@@ -177,19 +192,22 @@ def matches(rows: DataFrame, templates: DataFrame, log2_bits: int = 20) -> DataF
     kind = rows.schema["row"].dataType.simpleString()
     windows = materialise(
         rows.select("row", "text").mapInArrow(
-            _scan(filter_, sorted(short) or [SHINGLE]), f"row {kind}, bands array<bigint>, shingles array<bigint>"
+            _scan(filter_, short_filter, sorted(short)), f"row {kind}, bands array<bigint>, shingles array<bigint>"
         ),
         "windows",
     ).withColumn("window", F.monotonically_increasing_id())
     candidates = (
-        windows.select("row", "window", "shingles", F.explode("bands").alias("band"))
+        windows.where("size(bands) > 0")
+        .select("row", "window", "shingles", F.explode("bands").alias("band"))
         .join(by_band, "band")
         .groupBy("row", "window", "license")
         .agg(F.any_value("shingles").alias("shingles"))
     )
+    near = candidates.select("row", "license", F.explode("shingles").alias("shingle"))
+    exact = windows.where("size(bands) = 0").select("row", F.explode("shingles").alias("shingle"))
     return (
-        candidates.select("row", "license", F.explode("shingles").alias("shingle"))
-        .join(by_shingle, ["license", "shingle"])
+        near.join(by_shingle.select("license", "shingle"), ["license", "shingle"])
+        .unionByName(exact.join(unbanded, "shingle"))
         .groupBy("row", "license")
         .agg(F.count_distinct("shingle").alias("held"))
         .join(totals, "license")

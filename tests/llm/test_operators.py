@@ -422,6 +422,21 @@ def test_licenses_equal_containment(spark, docs, corpus, empty, ragged):
     assert licenses.scan(ragged, templates).count() == 7
 
 
+def test_short_notices_are_never_missed(spark):
+    """Templates of one to eight words in many texts, whole and, with four shingles, with a word at an end changed."""
+    rng = random.Random(21)
+    known = {n: [f"t{n}x{k}" for k in range(n)] for n in range(1, 9)}
+    templates = spark.createDataFrame([(str(n), " ".join(v)) for n, v in known.items()], "license string, text string")
+    rows = []
+    for i in range(4000):
+        n = i % 8 + 1
+        notice = known[n][:-1] + ["other"] if n == 8 and i % 16 > 7 else known[n]
+        tail = brute.prose(rng, 20, 10**6) if i % 3 else ""
+        rows.append((i, f"{brute.prose(rng, rng.randrange(10, 40), 10**6)} {' '.join(notice)} {tail}"))
+    got = {r.doc_id: r.licenses for r in licenses.scan(documents(spark, rows), templates).collect()}
+    assert got == {i: str(i % 8 + 1) for i in range(4000)}
+
+
 # 10 n-gram Jaccard join
 
 
