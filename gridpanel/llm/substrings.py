@@ -1,10 +1,13 @@
 """Substring deduplication by sliding spans of sentences.
 
-A sentence ends behind a word that ends in `.`, `!` or `?`, at a line break, and, in a sentence
-of more than LONG words, behind words chosen by their hash, so that long runs without
-punctuation break at the same words wherever they stand. From every sentence on, the shortest
-run of three sentences and ten words at least, or of fifty words at least, is a span; its
-lower-cased words are hashed, blanks ignored. A span that
+A sentence ends behind a word that ends in `.`, `!`, `?` or such a mark of another script, at a line
+break, and, where no sentence ends within LONG / 2 words, behind words chosen by their hash: the
+least in any run of NEAR words, so that long runs without punctuation break at least every NEAR
+words, and at the same words wherever they stand. No choice depends on words further away than
+LONG / 2, so a passage of some 60 words or more has whole spans whatever stands around it. In scripts
+without blanks (`text.unspaced`) each character is a word, of half the weight. From every
+sentence on, the shortest run of three sentences and ten words at least, or of fifty words at
+least, is a span; its lower-cased words are hashed, blanks ignored. A span that
 occurs again, in whatever document, is repeated; its first occurrence, by (doc_id, place),
 stays, and the sentences of all others go.
 
@@ -35,9 +38,53 @@ RUN = 3
 LEAST_WORDS = 10
 ENOUGH_WORDS = 50
 LONG = 24
+NEAR = 8
 
 _ENDS = np.isin(np.arange(256), list(b".!?"))
 _BREAK = np.isin(np.arange(256), list(b"\n\r"))
+#: Marks beyond ASCII, by their length in bytes: Greek, Armenian, Arabic, Indic, Burmese, Ethiopic, Khmer, CJK.
+_MARKS: dict[int, list[int]] = {}
+for _mark in "\u037e\u0589\u061f\u06d4\u0964\u0965\u104a\u104b\u1362\u1367\u17d4\u17d5\u203c\u203d\u2047\u2048\u2049\u3002\uff01\uff0e\uff1f\uff61":
+    _MARKS.setdefault(len(_mark.encode()), []).append(int.from_bytes(_mark.encode()))
+
+
+def _ending(data: np.ndarray, words: text.Words) -> np.ndarray:
+    """Whether a sentence ends behind each word by its last character."""
+    ends = _ENDS[data[words.end - 1]]
+    other = np.flatnonzero(data[words.end - 1] >= 0x80)
+    for length, marks in _MARKS.items():
+        held = other[words.end[other] - words.start[other] >= length]
+        code = np.zeros(len(held), np.int64)
+        for k in range(length, 0, -1):
+            code = code << 8 | data[words.end[held] - k]
+        ends[held] |= np.isin(code, marks)
+    return ends
+
+
+def _chosen(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Words that are the least, the last of equals, of some run of NEAR words, with no begin of a sentence around."""
+    n, half = len(hashes), LONG // 2
+    out = np.zeros(n, dtype=bool)
+    if n <= LONG:
+        return out
+    # Words half ... n - half - 1 whose surroundings, half words to each side, are one sentence.
+    sums = np.zeros(n + 1, np.int64)
+    np.cumsum(begins, out=sums[1:])
+    places = np.arange(half, n - half)
+    free = places[sums[places + half + 1] == sums[places - half + 1]]
+    if not len(free):
+        return out
+    # A word is the least of some run of NEAR if so many words in a row around it, with itself, are not less.
+    before, after = np.zeros(len(free), np.int64), np.zeros(len(free), np.int64)
+    open_before, open_after = np.ones(len(free), dtype=bool), np.ones(len(free), dtype=bool)
+    own = hashes[free]
+    for k in range(1, NEAR):
+        open_before &= hashes[free - k] >= own
+        open_after &= hashes[free + k] > own
+        before += open_before
+        after += open_after
+    out[free[before + after + 1 >= NEAR]] = True
+    return out
 
 
 def sentence_starts(data: np.ndarray, words: text.Words) -> np.ndarray:
@@ -45,20 +92,22 @@ def sentence_starts(data: np.ndarray, words: text.Words) -> np.ndarray:
     n = len(words.start)
     if not n:
         return np.zeros(0, np.int64)
-    ends = _ENDS[data[words.end - 1]]
     breaks = np.zeros(len(data) + 1, np.int32)
     np.cumsum(_BREAK[data], out=breaks[1:])
     gap = breaks[np.append(words.start[1:], len(data))] > breaks[words.end]
     begins = np.zeros(n, dtype=bool)
-    begins[1:] = (ends | gap)[:-1]
+    begins[1:] = (_ending(data, words) | gap)[:-1]
     begins[words.first[:-1][words.first[:-1] < n]] = True
-    at = np.flatnonzero(begins)
-    length = np.repeat(np.diff(np.append(at, n)), np.diff(np.append(at, n)))
-    chosen = (length > LONG) & (words.hash % np.uint64(8) == 0)
-    begins[1:] |= chosen[:-1]
+    begins[1:] |= _chosen(words.hash, begins)[:-1]
     return np.flatnonzero(begins)
 
 
+def _half(data: np.ndarray, words: text.Words) -> np.ndarray:
+    """Whether each word is a character of a script without blanks, which counts as half a word."""
+    alone = text.unspaced(data)
+    return np.zeros(len(words.start), dtype=bool) if alone is None else alone[words.start] > 0
+
+
 def spans(data: np.ndarray, words: text.Words):
     """(text number, sentence number in it, sentences, hash, second hash) of every span."""
     starts = sentence_starts(data, words)
@@ -68,8 +117,11 @@ def spans(data: np.ndarray, words: text.Words):
     # The first sentence of each text, to number sentences within it.
     first_of = np.searchsorted(starts, words.first)
     lo = np.arange(len(starts))
-    hi = np.maximum(lo + RUN, np.searchsorted(stops, starts + LEAST_WORDS))
-    hi = np.minimum(hi, np.searchsorted(stops, starts + ENOUGH_WORDS))
+    weight = np.zeros(n + 1, np.int64)
+    np.cumsum(np.where(_half(data, words), 1, 2), out=weight[1:])
+    reached = weight[stops]
+    hi = np.maximum(lo + RUN, np.searchsorted(reached, weight[starts] + 2 * LEAST_WORDS))
+    hi = np.minimum(hi, np.searchsorted(reached, weight[starts] + 2 * ENOUGH_WORDS))
     whole = hi <= first_of[owner + 1]
     lo, hi = lo[whole], hi[whole]
     a, b = stops[lo], stops[hi]
@@ -86,7 +138,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, text.Words]
     everything, offsets = text.column_bytes(column)
     for lo, hi in text.groups_of_texts(offsets):
         data = everything[offsets[lo] : offsets[hi]]
-        yield lo, hi, data, text.words(data, offsets[lo : hi + 1] - offsets[lo], text.SPACED)
+        yield lo, hi, data, text.words(data, offsets[lo : hi + 1] - offsets[lo], text.SPACED, text.unspaced(data))
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,8 +93,29 @@ def _pieces(data: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
-    """All words of texts that lie one after another in `data`."""
+def unspaced(data: np.ndarray) -> np.ndarray | None:
+    """Length in bytes of each character of a script without blanks, at its first byte, 0 elsewhere; None without any.
+
+    Han, kana and their punctuation, full- and half-width forms, Thai, Lao, Tibetan, Burmese and Khmer.
+    """
+    if not len(data) or data.max() < 0xE0:
+        return None
+    second = np.append(data[1:], np.uint8(0))
+    among = lambda lo, hi: (second >= lo) & (second <= hi)
+    three = (data >= 0xE3) & (data <= 0xE9)
+    three |= (data == 0xE0) & (second >= 0xB8)
+    three |= (data == 0xE1) & (among(0x80, 0x82) | among(0x9E, 0x9F))
+    three |= (data == 0xEF) & (among(0xA4, 0xAB) | among(0xBC, 0xBE))
+    four = (data == 0xF0) & among(0xA0, 0xB3)
+    size = 3 * three.astype(np.uint8) + 4 * four.astype(np.uint8)
+    return size if size.any() else None
+
+
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, alone: np.ndarray | None = None) -> Words:
+    """All words of texts that lie one after another in `data`.
+
+    Where `alone` is the length of a character, that character is a word.
+    """
     starts, ends, hashes = [], [], []
     inverse = pow(_BASE, -1, 1 << 64)
     for at, to in _pieces(data, table):
@@ -109,6 +130,15 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
         last[:-1] &= ~inside[1:]
         cuts = cuts[cuts > 0] - 1
         last[cuts] = inside[cuts]
+        if alone is not None:
+            own = np.flatnonzero(alone[at:to])
+            begin[own] = True
+            behind = own + alone[at:to][own]
+            last[behind - 1] = True
+            behind = behind[behind < len(codes)]
+            begin[behind] = inside[behind]
+            before = own[own > 0] - 1
+            last[before] = inside[before]
         s, e = np.flatnonzero(begin), np.flatnonzero(last) + 1
         n = len(codes)
         sums = np.zeros(n + 1, dtype=np.uint64)

@@ -160,6 +160,35 @@ def test_spans_equal_loops(docs, corpus):
     assert {r.doc_id: r.n_removed for r in got} == {i: len(covered[i]) for i in ids}
 
 
+def test_passages_in_running_text_are_found(spark):
+    """A passage of 64 words without marks, set into other running text, loses words wherever it stands."""
+    rng = random.Random(31)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(64))
+    around = lambda n: " ".join(f"o{rng.randrange(10**9)}" for _ in range(n))
+    rows = [(i, " ".join([around(i % 9 * 5), passage, around(i % 7 * 6)]).strip()) for i in range(63)]
+    rows += [(100 + i, f"{around(5)}. {passage}. {around(5)}") for i in range(5)]
+    got = {r.doc_id: r for r in substrings.deduplicate(documents(spark, rows)).collect()}
+    assert got[0].n_removed == 0
+    assert [(i, got[i].n_removed, got[i].first_docs) for i, _ in rows if i and (got[i].n_removed < 3 or got[i].first_docs[0] != 0)] == []
+
+
+def test_scripts_without_blanks_have_spans(spark):
+    rng = random.Random(32)
+    run = lambda lo, hi, n: "".join(chr(rng.randrange(lo, hi)) for _ in range(n))
+    han = [run(0x4E00, 0x9F00, 12) + mark for mark in "。！？。"]
+    thai = run(0x0E01, 0x0E2E, 150)
+    hindi = " ".join(" ".join(run(0x0915, 0x0939, 4) for _ in range(5)) + "।" for _ in range(4))
+    arabic = " ".join(" ".join(run(0x0628, 0x063A, 4) for _ in range(5)) + "؟" for _ in range(4))
+    odd = lambda: run(0x4E00, 0x9F00, 20) + "。"
+    rows = [(1, "".join(han)), (2, odd() + "".join(han) + odd()), (3, thai), (4, thai)]
+    rows += [(5, hindi), (6, f"x {hindi}"), (7, f"one. {hindi} two"), (8, arabic), (9, f"one. {arabic} two"), (10, odd() + odd())]
+    got = {r.doc_id: r for r in substrings.deduplicate(documents(spark, rows)).collect()}
+    texts = dict(rows)
+    assert got[2].text == texts[2].replace("".join(han), "") and got[4].text == ""
+    assert got[7].text == "one. two" and got[9].text == "one. two"
+    assert all(got[i].n_removed == 0 for i in (1, 3, 5, 8, 10)) and got[6].n_removed == 3
+
+
 # 3 benchmark decontamination
 
 
