@@ -10,7 +10,10 @@ language with the lowest cross-entropy per character.
 Rejection is calibrated on labelled documents that the model did not see: a document is
 rejected if its cross-entropy exceeds the mean of its language by `z` standard deviations,
 whose square is a / n + b for n characters (a: variance of a character, b: variance between
-documents, of which the standard deviation counts as 5 % of the mean at least). Languages without such documents reject nothing.
+documents, of which the standard deviation counts as 5 % of the mean at least). A language with
+fewer than ten such documents is calibrated on its whole sample, in FOLDS parts, each scored by a model of the
+others; one that even so has fewer than two takes the moments of all languages' documents together, and
+without any such document, what is less likely than even odds over ALPHABET characters is rejected.
 
 The model is fitted on a sample that is bounded in expectation: `sample_docs` labelled
 documents per language, drawn by a hash of doc_id, with their whole texts. Grams are counted by
@@ -38,6 +41,8 @@ from gridpanel.llm import text as texts
 ORDER = 4
 SAMPLE_DOCS = 512
 FIT_SHARE = 0.8
+#: A language with fewer calibration documents is calibrated in so many parts of its whole sample.
+CALIBRATED, FOLDS = 10, 5
 #: Characters never seen share the weight of one in so many.
 ALPHABET = 1 << 10
 PIECE = 1 << 19
@@ -265,14 +270,7 @@ def _sample(labelled: DataFrame, sample_docs: int) -> DataFrame:
 def fit(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, z: float = 6.0) -> Model:
     """A calibrated model from rows (doc_id, lang, text)."""
     sample = _sample(labelled.where("lang is not null"), sample_docs)
-    counts = (
-        sample.where(F.col("part") < FIT_SHARE)
-        .select("lang", "text")
-        .mapInArrow(_count(order), "lang string, k int, gram bigint, suffix bigint, history bigint, n bigint")
-        .groupBy("lang", "k", "gram")
-        .agg(F.min("suffix").alias("suffix"), F.min("history").alias("history"), F.sum("n").alias("n"))
-        .toPandas()
-    )
+    counts = _counts(sample.where(F.col("part") < FIT_SHARE), order)
     if not len(counts):
         return Model([], order, [], [], [], {}, z)
     model = estimate(counts, order)
@@ -284,12 +282,58 @@ def fit(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
         .agg(F.avg("p.entropy"), F.coalesce(F.var_pop("p.entropy"), F.lit(0.0)), F.avg("p.spread"), F.count("*"))
         .collect()
     )
+    moments = {r[0]: tuple(r)[1:] for r in checked if r[4] >= CALIBRATED}
+    few = [lang for lang in model.langs if lang not in moments]
+    if few:
+        moments |= _crossed(sample.where(F.col("lang").isin(few)), model)
+    pooled = _pooled(list(moments.values()))
+    limits = {lang: moments[lang] if lang in moments and moments[lang][3] > 1 else pooled for lang in model.langs}
     # A few documents say little about the spread between documents: at least 5 % of the mean.
-    model.limits = {r[0]: (r[1], max(r[2], (0.05 * r[1]) ** 2), r[3]) for r in checked if r[4] >= 10}
+    model.limits = {lang: (m, max(v, (0.05 * m) ** 2), w) if n else (m, v, w) for lang, (m, v, w, n) in limits.items()}
     model.z = z
     return model
 
 
+def _counts(sample: DataFrame, order: int) -> pd.DataFrame:
+    return (
+        sample.select("lang", "text")
+        .mapInArrow(_count(order), "lang string, k int, gram bigint, suffix bigint, history bigint, n bigint")
+        .groupBy("lang", "k", "gram")
+        .agg(F.min("suffix").alias("suffix"), F.min("history").alias("history"), F.sum("n").alias("n"))
+        .toPandas()
+    )
+
+
+def _crossed(sample: DataFrame, model: Model) -> dict[str, tuple[float, float, float, int]]:
+    """Moments of languages with small samples: each part scored by a model of the other parts, if all agree on it."""
+    whole, found = predictor(model), []
+    part = F.floor(F.col("part") * FOLDS)
+    for fold in range(FOLDS):
+        counts = _counts(sample.where(part != fold), model.order)
+        if not len(counts):
+            continue
+        scored = sample.where(part == fold).select(
+            "lang", whole("text").alias("q"), predictor(estimate(counts, model.order))("text").alias("p")
+        )
+        found.append(scored.where("p.lang = lang and q.lang = lang").select("lang", "p.entropy", "p.spread").toPandas())
+    if not found:
+        return {}
+    by = pd.concat(found).groupby("lang")
+    return {
+        lang: (own.entropy.mean(), own.entropy.var(ddof=0), own.spread.mean(), len(own)) for lang, own in by
+    }
+
+
+def _pooled(moments: list[tuple[float, float, float, int]]) -> tuple[float, float, float, int]:
+    """Moments of all documents together."""
+    n = sum(m[3] for m in moments)
+    if not n:
+        return float(np.log(ALPHABET)), 0.0, 0.0, 0
+    mean = sum(m[0] * m[3] for m in moments) / n
+    between = sum((m[1] + (m[0] - mean) ** 2) * m[3] for m in moments) / n
+    return mean, between, sum(m[2] * m[3] for m in moments) / n, n
+
+
 _RESULT = "lang string, score double, rejected boolean, entropy double, spread double, n bigint"
 
 

@@ -372,6 +372,23 @@ def test_language_is_recognised(spark, empty, ragged):
     assert language.identify(ragged).count() == 7
 
 
+def test_a_rare_language_rejects_too(spark):
+    """A label of 24 documents keeps its own and rejects what is none of them; one of three documents has a limit."""
+    rng = random.Random(14)
+    word = lambda parts: "".join(rng.choice(parts) for _ in range(rng.randrange(1, 4)))
+    prose = lambda parts, n=60: " ".join(word(parts) for _ in range(n))
+    common, rare, single = ["the", "ing", "tion", "ou"], ["ћа", "ње", "ро", "ви"], ["ka", "lo", "mi"]
+    rows = [(i, prose(common), "xx") for i in range(300)] + [(1000 + i, prose(rare), "yy") for i in range(24)]
+    noise = "".join(chr(rng.randrange(0x0400, 0x0450)) if rng.random() < 0.8 else " " for _ in range(900))
+    rows += [(5000, noise, None), (5001, "漢字 かな " * 90, None), (5002, prose(["qj", "xz", "vk", "wp"]), None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(table).collect()}
+    assert [i for i, _, lang in rows if lang and (got[i].rejected or got[i].lang_pred != lang)] == []
+    assert [got[i].lang_pred for i in (5000,)] == ["yy"] and all(got[i].rejected for i in (5000, 5001, 5002))
+    model = language.fit(spark.createDataFrame([(i, prose(single), "zz") for i in range(3)], "doc_id bigint, text string, lang string"))
+    assert set(model.limits) == set(model.langs)
+
+
 # 7 WARC
 
 
