@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from gridpanel.functions.scalars import exponential_decay
 from gridpanel.operators.order_stats import null_safe_join
 
-# Rates tried at first, in multiples of one over the range of x.
+# Rates tried at first, in multiples of one over the group's range of x.
 RATES = sorted([*np.geomspace(1e-2, 700, 48), *(-np.geomspace(1e-2, 30, 16))])
+# Beyond them rates grow by the same factor, up to those for which one gap of x is all there is to see.
+GROWTH = (700 / 1e-2) ** (1 / 47)
+LAST = 40.0
 # Every round divides the bracket around the best rate into so many steps.
 STEPS = 64
 # Brackets shrink by 32 each round, from about a quarter of the rate to a billionth of it.
@@ -35,11 +38,28 @@ def _points(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     )
 
 
+def _placed(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Points with their group's first and last x, `_x0` and `_x1`, and the gaps beside them, `_g0` and `_g1`."""
+    ends = null_safe_join(
+        points, points.groupBy(*by).agg(F.min("_x").alias("_x0"), F.max("_x").alias("_x1")), by, "inner"
+    )
+    gaps = ends.groupBy(*by).agg(
+        F.max("_x0").alias("_x0"),
+        F.max("_x1").alias("_x1"),
+        (F.min(F.when(F.col("_x") > F.col("_x0"), F.col("_x"))) - F.max("_x0")).alias("_g0"),
+        (F.max("_x1") - F.max(F.when(F.col("_x") < F.col("_x1"), F.col("_x")))).alias("_g1"),
+    )
+    return null_safe_join(points, gaps, by, "inner")
+
+
 def _best(tried: DataFrame, by: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
     """(group, n, _m, a, b, c, carried): the best of the tried rates `_b`; for a given rate the rest is linear."""
     n, e, y = F.col("_n"), F.col("_e"), F.col("_y")
+    # Exponentials are 1 where they are largest, so that none of them overflows and not all vanish.
+    origin = F.when(F.col("_b") > 0, F.col("_x0")).otherwise(F.col("_x1"))
     sums = (
-        tried.withColumn("_e", F.exp(-F.col("_b") * F.col("_x")))
+        tried.withColumn("_o", origin)
+        .withColumn("_e", F.exp(-F.col("_b") * (F.col("_x") - F.col("_o"))))
         .groupBy(*by, "_b")
         .agg(
             F.sum(n).alias("n"),
@@ -47,6 +67,7 @@ def _best(tried: DataFrame, by: Sequence[str], carried: Sequence[str] = ()) -> D
             F.sum(n * e * e).alias("ee"),
             F.sum(n * y).alias("y"),
             F.sum(n * e * y).alias("ey"),
+            F.max("_o").alias("_o"),
             *[F.max(c).alias(c) for c in carried],
         )
     )
@@ -55,7 +76,7 @@ def _best(tried: DataFrame, by: Sequence[str], carried: Sequence[str] = ()) -> D
     a = F.try_divide(F.col("ey") - F.col("e") * F.col("y") / F.col("n"), spread)
     fit = F.struct(
         (a * a * spread).alias("gain"),
-        a.alias("a"),
+        (a * F.exp(F.col("_b") * F.col("_o"))).alias("a"),
         F.col("_b").alias("b"),
         ((F.col("y") - a * F.col("e")) / F.col("n")).alias("c"),
     )
@@ -68,18 +89,28 @@ def _best(tried: DataFrame, by: Sequence[str], carried: Sequence[str] = ()) -> D
     return best.select(*by, "n", "_m", *[F.col(f"_t.{p}").alias(p) for p in AT], *carried)
 
 
+def _beyond(rate: float, gap: str) -> Column:
+    """Rates that go on from `rate` over the range by GROWTH, until LAST over the gap."""
+    span = F.col("_x1") - F.col("_x0")
+    more = F.ceil(F.log(F.greatest(LAST * span / (abs(rate) * F.col(gap)), F.lit(1.0))) / float(np.log(GROWTH)))
+    steps = F.when(more > 0, F.sequence(F.lit(1), more.cast("int")))
+    return F.coalesce(F.transform(steps, lambda i: rate / span * F.pow(F.lit(GROWTH), i)), F.array().cast("array<double>"))
+
+
 def _bracketed(points: DataFrame, by: Sequence[str]) -> DataFrame:
     """The best of the first rates, and its neighbours `_lo` and `_hi`; NULL beyond the first and last rate."""
-    span = points.agg(F.greatest(F.max("_x") - F.min("_x"), F.lit(1e-12)).alias("s")).scalar()
-    rates = F.array(*[F.lit(float(r)) / F.col("_s") for r in RATES])
-    rated = points.withColumn("_s", span)
-    best = _best(rated.withColumn("_b", F.explode(rates)), by, ["_s"])
+    span = F.greatest(F.col("_x1") - F.col("_x0"), F.lit(1e-12))
+    rates = F.concat(
+        F.array(*[F.lit(float(r)) / span for r in RATES]), _beyond(RATES[-1], "_g0"), _beyond(RATES[0], "_g1")
+    )
+    around = ["_x0", "_x1", "_g0", "_g1"]
+    best = _best(points.withColumn("_b", F.explode(rates)), by, around)
     return best.withColumns(
         {
             "_lo": F.array_max(F.filter(rates, lambda r: r < F.col("b"))),
             "_hi": F.array_min(F.filter(rates, lambda r: r > F.col("b"))),
         }
-    ).drop("_s")
+    ).drop(*around)
 
 
 def _narrowed(points: DataFrame, state: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -138,8 +169,8 @@ def fit_decay(
 ) -> DataFrame:
     """a * exp(-b x) + c by least squares, per group.
 
-    For a given rate b the rest is a line, so only b is searched: over 64 rates of both signs
-    first, then six times within the bracket around the best, which leaves a billionth of it. (A
+    For a given rate b the rest is a line, so only b is searched: first over rates of both signs, from
+    a hundredth of one over the group's range of x to forty over its first (for growth, last) gap, then six times within the bracket around the best, which leaves a billionth of it. (A
     library fitter would start at 1, 1, 1 and may end in another local minimum.) Rows with equal
     x are added up first; each round is one aggregate for all groups, whose brackets are rows of
     a table, and nothing runs before the result is asked for. One row per group: a, b, c, their
@@ -149,7 +180,7 @@ def fit_decay(
     `converged` is false.
     """
     keys = list(by) or ["_all"]
-    points = _points(df if by else df.withColumn("_all", F.lit(1)), x, y, keys)
+    points = _placed(_points(df if by else df.withColumn("_all", F.lit(1)), x, y, keys), keys)
     state = _bracketed(points, keys)
     for _ in range(ROUNDS):
         state = _narrowed(points, state, keys)

@@ -288,8 +288,18 @@ def _(v):
            where csmo_fact is not null and Nof_Mths is not null group by 1""",
 )
 def _(v):
-    """Residuals of the fit are orthogonal to its derivatives; so they are, trivially, where there is no fit."""
-    rows = v("panel")
+    """Residuals of the fit are orthogonal to its derivatives.
+
+    A missing fit counts as 0 only if no rate between the least and the largest of some fits best.
+    """
+    rows = v("panel").filter("csmo_fact is not null and Nof_Mths is not null")
+    tried = [-30.0, -10.0, -3.0, -1.0, -0.1, 0.1, 1.0, 3.0, 10.0, 30.0, 100.0]
+    ends = rows.groupBy("rural_urban").agg(F.min("Nof_Mths").alias("lo"), F.max("Nof_Mths").alias("hi"))
+    scaled = (F.col("Nof_Mths") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    r2 = [F.coalesce(F.regr_r2("csmo_fact", F.exp(-r * scaled)), F.lit(0.0)) for r in tried]
+    shape = rows.join(ends, "rural_urban").groupBy("rural_urban").agg(F.array(*r2).alias("r2"))
+    inner = F.greatest(F.get("r2", F.lit(0)), F.get("r2", F.lit(len(tried) - 1))) < F.array_max("r2")
+    due = shape.select("rural_urban", F.when(inner, 1.0).otherwise(0.0).alias("missing"))
     fits = curves.fit_decay(rows, by=["rural_urban"])
     at = rows.join(fits.select("rural_urban", "a", "b", "c"), "rural_urban")
     x, slope = F.col("Nof_Mths"), F.exp(-F.col("b") * F.col("Nof_Mths"))
@@ -298,9 +308,9 @@ def _(v):
     share = [
         (F.sum(off * g) / F.sqrt(F.sum(off * off) * F.sum(g * g))).alias(name) for name, g in gradient.items()
     ]
-    table = at.groupBy("rural_urban").agg(*share)
+    table = at.groupBy("rural_urban").agg(*share).join(due, "rural_urban")
     return table.select(
-        "rural_urban", *[(F.round(F.coalesce(F.col(n), F.lit(0.0)), 3) + 0.0).alias(n) for n in gradient]
+        "rural_urban", *[(F.round(F.coalesce(F.col(n), F.col("missing")), 3) + 0.0).alias(n) for n in gradient]
     )
 
 

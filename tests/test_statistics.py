@@ -305,3 +305,16 @@ def test_decay_recovers_its_parameters(spark):
     assert np.isclose(got["p"].r_squared, 1 - ss / ((fitted - p.csmo_fact.mean()) ** 2).sum(), rtol=1e-6)
     fitted_rows = curves.fitted_curve(df, fits, by=["s"]).filter("s = 'p'").toPandas()
     assert np.allclose(np.sort(fitted_rows.fitted), np.sort(fitted))
+
+
+def test_fast_decay_beside_a_long_range(spark):
+    """One far x, in another group or in its own, does not keep a fast decay from being found."""
+    rows = [("far", float(i), float(80 * np.exp(-0.001 * i) + 5)) for i in range(0, 3001, 10)]
+    for name, rate in {"fast": 1.5, "steep": 0.7}.items():
+        rows += [(name, float(i), float(60 * np.exp(-rate * i) + 20)) for i in range(1, 61)]
+    rows += [("steep", 3000.0, 20.0)]
+    df = spark.createDataFrame(rows, "s string, Nof_Mths double, csmo_fact double")
+    got = {r.s: r for r in curves.fit_decay(df, by=["s"]).collect()}
+    assert all(got[s].converged for s in ("far", "fast", "steep"))
+    assert np.allclose([got[s].b for s in ("far", "fast", "steep")], [0.001, 1.5, 0.7], rtol=1e-4)
+    assert np.allclose([got[s].a for s in ("far", "fast", "steep")], [80, 60, 60], rtol=1e-3)
