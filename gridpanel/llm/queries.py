@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from gridpanel.llm import (
     decontaminate,
     exact_dedup,
+    hard_negatives,
     jaccard,
     language,
     licenses,
+    merkle,
     mixing,
+    quality,
     sharding,
     substrings,
     token_counts,
@@ -192,3 +195,118 @@ def op9(documents: DataFrame) -> DataFrame:
 @_query("op10_jaccard_join", "documents")
 def op10(documents: DataFrame) -> DataFrame:
     return jaccard.classes(documents)
+
+
+HARD_NEGATIVES_SQL = """
+with v as (
+       select cast(vec_id as bigint) as vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+              list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+       from embeddings
+       where label is not null and embedding is not null
+         and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     s as (
+       select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+              cast(list_inner_product(a.q, b.q) as bigint) as score
+       from v a join v b on a.vec_id <> b.vec_id
+       where a.vec_id % 100 = 0),
+     p as (
+       select anchor_id, other_id as positive_id, score as positive_score
+       from s where same
+       qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over best as int) as rank, other_id as negative_id, positive_score,
+       score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and score <= positive_score and 80 * positive_score <= 100 * score
+window best as (partition by p.anchor_id, positive_id order by score desc, other_id)
+qualify row_number() over best <= 5"""
+
+
+@_query("op11_hard_negatives", "embeddings", sql=HARD_NEGATIVES_SQL)
+def op11(embeddings: DataFrame) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.quantised(embeddings.withColumn("label", label))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+_FIELD = "coalesce(strlen(cast({0} as varchar)) || ':' || cast({0} as varchar), '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: CRC-32 of the decimal doc_id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(
+    list_transform(string_split(cast(doc_id as varchar), ''), lambda ch: cast(ascii(ch) as bigint)),
+    lambda crc, b: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, xor(crc, b)),
+    cast(4294967295 as bigint)))"""
+
+
+def _climb_sql(name: str, nodes: str) -> str:
+    """CTEs of a tree for each `source` of nodes (source, place, digest, n), all levels, and its runs of children."""
+    return f"""
+     {name} as (
+       select source, 0 as level, place, digest, n from {nodes}
+       union all
+       select source, level + 1, place // 3, sha256(string_agg(digest, '' order by place)), (n + 2) // 3
+       from {name} where n > 1 group by source, level, place // 3, n),
+     {name}_runs as (
+       select source, level, place // 3 as parent, list(digest order by place) as run
+       from {name} where n > 1 group by source, level, place // 3)"""
+
+
+def _proof_sql(name: str, tree: str, leaves: str) -> str:
+    """CTE that takes leaves (id, source, place, acc, proof) level by level to the root."""
+    return f"""
+     {name} as (
+       select id, source, 0 as level, place, acc, proof from {leaves}
+       union all
+       select id, p.source, p.level + 1, parent,
+              sha256(array_to_string(run[:place % 3] || [acc] || run[place % 3 + 2:], '')),
+              proof || array_to_string(run[:place % 3] || run[place % 3 + 2:], '')
+       from {name} p join {tree}_runs r on p.source is not distinct from r.source and p.level = r.level and place // 3 = parent)"""
+
+
+MERKLE_SQL = f"""
+with recursive docs as (
+       select *, row_number() over (order by doc_id) as id, {_CRC} % 2 = 0 as tampered from documents),
+     digests as (
+       select id, doc_id, source, {_leaf_sql("text")} as leaf,
+              case when tampered then {_leaf_sql("replace(text, chr(10), '')")} else {_leaf_sql("text")} end as changed
+       from docs),
+     leaves as (
+       select *, leaf as digest, count(*) over (partition by source) as n,
+              row_number() over (partition by source order by doc_id, leaf) - 1 as place
+       from digests),{_climb_sql("up", "leaves")},
+     subroots as (select source as name, digest as subroot from up where n = 1),
+     tops as (
+       select name, subroot as digest, 0 as source, count(*) over () as n,
+              row_number() over (order by name nulls first) - 1 as place
+       from subroots),{_climb_sql("top", "tops")},
+     root as (select digest as root from top where n = 1),
+     first as (select id, source, place, changed as acc, '' as proof from leaves),{_proof_sql("below", "up", "first")},
+     highest as (select id, arg_max(acc, level) as acc, arg_max(proof, level) as proof from below group by id),
+     second as (
+       select id, 0 as source, tops.place, acc, proof
+       from highest join leaves using (id) join tops on leaves.source is not distinct from tops.name),{_proof_sql("above", "top", "second")},
+     ends as (select id, arg_max(acc, level) as folded_root, arg_max(proof, level) as proof from above group by id)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded_root, folded_root = root as verified
+from ends join leaves using (id) join subroots on source is not distinct from name, root"""
+
+
+@_query("op12_merkle_manifest", "documents", sql=MERKLE_SQL)
+def op12(documents: DataFrame) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    proofs = merkle.manifest(documents, F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text")))
+    return proofs.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+        merkle.folded(F.col("changed"), F.col("steps")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@_query("op13_quality_classifier", "documents", "labels")
+def op13(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    return quality.classify(documents, labels)
