@@ -1,12 +1,13 @@
 """Exact order statistics that never hold a large group in one task.
 
 Rows are counted by (group, value) with map-side combination, so repeated values cost one row;
-sums, means, deviations and extremes come from the same counts. The counts fall into ranges on a
-logarithmic scale, 65,536 to a doubling, which fit values of any size and do not depend on the
-data. Ranges are passed over by their counts, and only those that hold a wanted rank are
-sorted: a window orders the ranges of a group (65,536 for each doubling between its least and
-greatest value at most), or the distinct values of one range. There is one path for groups of all sizes, and
-nothing runs before the result is asked for.
+sums, means, deviations and extremes come from the same counts. Ranks are found by radix selection: a double
+becomes a long in the same order, and counts are added up by its leading bits, the first 16 of all values
+(TOP), then 12 more (FINE). Digits are passed over by their counts, and only within those that hold a
+wanted rank are values sorted. Digits of more than FULL different values are counted once more by their next
+18 bits first, so that at most 2 ** 18 rows are ever sorted together, however close the values lie; where no digit
+is that full, the last step has no rows and adaptive execution leaves it out. There is one path for groups of all
+sizes, and nothing runs before the result is asked for.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ranges per doubling of a value.
-RANGES = 1 << 16
+# Bits of a key below each digit: of 16 bits, 12, 18, and values themselves.
+TOP, FINE, LAST = 48, 36, 18
+# Different values of one digit that are sorted together.
+FULL = 1 << 16
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -40,84 +43,150 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), keep_missing
     return counts if keep_missing else counts.filter(F.col(value).isNotNull())
 
 
-def _range(value: Column) -> Column:
-    """Number of the range of a value: rising with it, and symmetric around zero."""
+def order_key(value: Column) -> Column:
+    """The double as a long in the same order: its bits, negative for negative values."""
     size = F.abs(value)
-    scale = F.when(size == float("inf"), float(1 << 11)).otherwise(F.log2(size))
-    step = F.floor((scale + 1100) * RANGES).cast("long")
-    return F.when(value == 0, 0).when(value > 0, step).otherwise(-step).cast("long")
+    near = F.least(F.floor(F.log2(size)).cast("double"), F.lit(1023.0))
+    # The logarithm is rounded, the powers of two it is put right by are not.
+    power = (
+        near
+        - F.when(F.pow(F.lit(2.0), near) > size, 1).otherwise(0)
+        + F.when(F.pow(F.lit(2.0), near + 1) <= size, 1).otherwise(0)
+    )
+    share = (size / F.pow(F.lit(2.0), power) - 1) * float(1 << 52)
+    bits = (
+        F.when(size == float("inf"), F.lit(2047 << 52))
+        .when(size < 2.0**-1022, (size * 2.0**537 * 2.0**537).cast("long"))
+        .otherwise((power + 1023).cast("long") * F.lit(1 << 52) + share.cast("long"))
+    )
+    return F.when(value < 0, -bits).otherwise(bits)
 
 
 def _anchor(at: Column) -> Column:
-    """A value near those of a range, from the number of the range alone."""
-    size = F.pow(F.lit(2.0), F.least(F.abs(at) / RANGES - 1100, F.lit(1000.0)))
-    return F.when(at == 0, 0.0).when(at > 0, size).otherwise(-size)
+    """A value near those of a digit, from its number alone."""
+    key = F.least(F.abs(at), F.lit(2000 << (52 - FINE)))
+    power = F.shiftright(key, 52 - FINE) - 1023
+    share = key.bitwiseAND(F.lit((1 << (52 - FINE)) - 1)) / float(1 << (52 - FINE))
+    size = (1 + share) * F.pow(F.lit(2.0), power.cast("double"))
+    return F.when(at < 0, -size).otherwise(size)
+
+
+def _holds(start: Column, n: Column, wanted: Mapping[str, Column] | None) -> Column:
+    """Whether one of the wanted ranks is among `n` rows behind the first `start`."""
+    if wanted is None:
+        return F.lit(True)
+    return reduce(Column.__or__, [(start <= rank) & (rank < start + n) for rank in wanted.values()])
 
 
-def _ranges(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per (group, range): rows, rows before it, and the group's statistics on every row.
+def _ranges(counts: DataFrame, by: Sequence[str], wanted: Mapping[str, Column] | None) -> DataFrame:
+    """Per (group, digit `_at`): rows, different values, rows before it, and the group's statistics on every row.
 
-    Rows without a value are a range of their own, `_at` NULL, that holds no rank.
+    Rows without a value are a digit of their own, `_at` NULL, that holds no rank; it is only kept for
+    a group without any values.
     """
     n, off = F.col("n"), F.col("_v") - _anchor(F.col("_at"))
-    sums = counts.groupBy(*by, "_at").agg(
+    fine = counts.groupBy(*by, "_top", "_at").agg(
         F.sum("n").alias("_all"),
+        F.count("_v").alias("_distinct"),
         F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"),
-        # Around a value of the range, squares and sums do not cancel.
+        # Around a value of the digit, squares and sums do not cancel.
         F.sum(n * off).alias("_d"),
         F.sum(n * off * off).alias("_q"),
     )
     known = F.col("_at").isNotNull()
-    sums = sums.withColumns(
-        {"_in": F.when(known, F.col("_all")).otherwise(0), "_a": F.when(known, _anchor(F.col("_at")))}
+    fine = fine.withColumns(
+        {
+            "_in": F.when(known, F.col("_all")).otherwise(0),
+            "_m": F.when(known, _anchor(F.col("_at")) + F.col("_d") / F.col("_all")),
+            "_s": F.col("_q") - F.col("_d") * F.col("_d") / F.col("_all"),
+        }
+    )
+    inside = Window.partitionBy(*by, "_top")
+    earlier = inside.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    fine = fine.withColumns(
+        {
+            "_within": F.coalesce(F.sum("_in").over(earlier), F.lit(0)),
+            "_middle": F.try_divide(F.sum(F.col("_m") * F.col("_in")).over(inside), F.sum("_in").over(inside)),
+        }
+    )
+    away = F.col("_m") - F.col("_middle")
+    top = fine.groupBy(*by, "_top").agg(
+        F.sum("_all").alias("_all"),
+        F.sum("_in").alias("_in"),
+        F.min("_lo").alias("_lo"),
+        F.max("_hi").alias("_hi"),
+        F.max("_middle").alias("_m"),
+        F.sum(F.col("_s") + F.col("_in") * away * away).alias("_s"),
     )
     group = Window.partitionBy(*by)
-    earlier = group.orderBy(F.col("_at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    table = sums.withColumns(
+    earlier = group.orderBy(F.col("_top").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    top = top.withColumns(
         {
-            "_before": F.coalesce(F.sum("_in").over(earlier), F.lit(0)),
+            "_first": F.coalesce(F.sum("_in").over(earlier), F.lit(0)),
             "rows": F.sum("_all").over(group),
             "total": F.sum("_in").over(group),
             "min": F.min("_lo").over(group),
             "max": F.max("_hi").over(group),
         }
     )
-    table = table.withColumn(
-        "mean", F.try_divide(F.sum(F.col("_a") * F.col("_in") + F.col("_d")).over(group), F.col("total"))
-    )
-    away = F.col("_a") - F.col("mean")
-    squares = F.sum(F.col("_q") + 2 * away * F.col("_d") + F.col("_in") * away * away).over(group)
-    return table.withColumn(
+    top = top.withColumn("mean", F.try_divide(F.sum(F.col("_m") * F.col("_in")).over(group), F.col("total")))
+    away = F.col("_m") - F.col("mean")
+    squares = F.sum(F.col("_s") + F.col("_in") * away * away).over(group)
+    top = top.withColumn(
         "std",
         F.when(F.col("total") > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (F.col("total") - 1))),
-    ).drop("_all", "_lo", "_hi", "_d", "_q", "_a")
+    )
+    none = F.col("_top").isNull() & (F.col("total") == 0) if wanted is not None else F.lit(False)
+    top = top.filter(none | (F.col("_top").isNotNull() & _holds(F.col("_first"), F.col("_in"), wanted)))
+    top = top.select(*by, "_top", "_first", *STATISTICS)
+    fine = fine.select(*by, "_top", "_at", "_in", "_distinct", "_within")
+    both = null_safe_join(fine, top, [*by, "_top"], "inner").withColumn("_before", F.col("_first") + F.col("_within"))
+    return both.filter(F.col("_at").isNull() | _holds(F.col("_before"), F.col("_in"), wanted)).drop(
+        "_top", "_first", "_within"
+    )
 
 
 STATISTICS = ("rows", "total", "mean", "std", "min", "max")
 
 
+def _split(counts: DataFrame, full: DataFrame, by: Sequence[str], wanted: Mapping[str, Column] | None) -> DataFrame:
+    """The digits of 18 more bits, `_at`, within full ones, with the same columns."""
+    kids = null_safe_join(counts, full.drop("_in", "_distinct"), [*by, "_at"], "inner")
+    kids = kids.groupBy(*by, "_at", F.shiftright("_key", LAST).alias("_next")).agg(
+        F.sum("n").alias("_in"), *[F.max(c).alias(c) for c in ("_before", *STATISTICS)]
+    )
+    earlier = Window.partitionBy(*by, "_at").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
+    kids = kids.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
+    kids = kids.filter(_holds(F.col("_before"), F.col("_in"), wanted))
+    return kids.drop("_at").withColumnRenamed("_next", "_at")
+
+
 def _located(
     counts: DataFrame, value: str, by: Sequence[str], wanted: Mapping[str, Column] | None
 ) -> DataFrame:
     """Value counts (by, _v, n) with rows up to each value as `cum` and the group's statistics.
 
-    With `wanted`, numbers of rows counted from 0 in terms of `total`, only the ranges
+    With `wanted`, numbers of rows counted from 0 in terms of `total`, only the digits
     that hold one of them are kept, and a group without values keeps a row.
     """
     by = list(by)
-    counts = counts.select(*by, F.col(value).alias("_v"), "n").withColumn("_at", _range(F.col("_v")))
-    ranges = _ranges(counts, by)
-    if wanted is None:
-        ranges = ranges.filter(F.col("_at").isNotNull())
-    else:
-        start = F.col("_before")
-        holds = [(start <= rank) & (rank < start + F.col("_in")) for rank in wanted.values()]
-        ranges = ranges.filter((F.col("total") == 0) | reduce(Column.__or__, holds))
-    kept = null_safe_join(counts, ranges, [*by, "_at"], "inner")
-    within = Window.partitionBy(*by, "_at").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    return kept.withColumn("cum", F.col("_before") + F.sum("n").over(within)).select(
-        *by, "_v", "n", "cum", *[F.col(s).alias(f"_{s}") for s in STATISTICS]
+    counts = counts.select(*by, F.col(value).alias("_v"), "n").withColumn("_key", order_key(F.col("_v")))
+    counts = counts.withColumns({"_top": F.shiftright("_key", TOP), "_at": F.shiftright("_key", FINE)})
+    ranges = _ranges(counts, by, wanted)
+    full = F.col("_distinct") > FULL
+
+    def summed(counts: DataFrame, digits: DataFrame) -> DataFrame:
+        digits = digits.select(*by, "_at", "_before", *STATISTICS)
+        kept = null_safe_join(counts.drop("_top", "_key"), digits, [*by, "_at"], "inner")
+        within = Window.partitionBy(*by, "_at").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        return kept.withColumn("cum", F.col("_before") + F.sum("n").over(within)).select(
+            *by, "_v", "n", "cum", *[F.col(s).alias(f"_{s}") for s in STATISTICS]
+        )
+
+    last = counts.withColumn("_at", F.shiftright("_key", LAST))
+    return summed(counts, ranges.filter(~full)).unionByName(
+        summed(last, _split(counts, ranges.filter(full), by, wanted))
     )
 
 

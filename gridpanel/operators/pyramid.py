@@ -1,23 +1,23 @@
-"""A pyramid of grid cells over items with bounding boxes, searched by equi-joins.
-
-Every item (a point or a road segment) belongs to one cell per level, by its midpoint;
-a cell has 4 x 4 children and carries the bounding box of its items. A search with a
-known radius starts at the level whose cells are about as wide as the radius, with the
-few cells a circle can touch there; a search without one starts at the root. Each
-further level is an equi-join on the cell; levels with at most 16 ** 4 cells are
-broadcast.
-
-Where the radius is known, the grid is fixed: it divides the globe, its levels follow from
-the radius alone, and nothing is measured beforehand. Coordinates off the globe fall
-into the cells at its rim and change no other cell. Without a radius (the nearest
-item), the extent and the number of levels follow the items, so that a leaf holds few of
-them however many crowd together. Cells that lie wholly inside a search circle are answered
-from their totals without visiting their items.
+"""Grid cells over items with bounding boxes, searched by equi-joins.
+
+The grid divides the globe; nothing is measured beforehand. Coordinates off the globe fall
+into the cells at its rim and change no other cell. Every item (a point or a road segment)
+belongs to one cell per level, by its midpoint, and a cell carries the bounding box of its items.
+
+Where the radius is known, a pyramid has 4 x 4 children to a cell, and its levels follow from the radius
+alone. A search starts at the level whose cells are about as wide as the radius, with the
+few cells a circle can touch there; each further level is an equi-join on the cell. Cells that lie wholly
+inside a search circle are answered from their totals without visiting their items.
+
+Without a radius (the nearest item), a tree of 16 x 16 children to a cell splits only cells that hold too
+many items, so its leaves lie at different depths: many where items crowd together, none
+where there are none, and an item far from all others changes no cell but its own. It is a table of split
+cells and their children; a place finds its own cell in it by the prefixes of its coordinates, and a search follows
+children whose boxes are near enough.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from gridpanel.functions import spatial
 
 BROADCAST_LEVELS = 4  # 16 ** 4 = 65,536 cells at most
-MAX_LEVELS = 12
 LEAF_ITEMS = 64
+# Levels of the tree, 4 bits of each coordinate a level; children of the first two are 65,792 at most.
+TREE_LEVELS, TREE_BITS, TREE_BROADCAST = 7, 4, 2
 # The globe in degrees, and cell numbers that fit one half of a long.
 GLOBE_LOW, GLOBE_SIDE, FINEST = -180.0, 360.0, 15
 # Levels below the one whose cells are about as wide as the radius: 16 to 64 cells across it.
@@ -101,56 +102,107 @@ def radius_grid(items: DataFrame, radius: float, levels: int = RADIUS_LEVELS, bo
     return Pyramid(located, depth, GLOBE_LOW, GLOBE_LOW, GLOBE_SIDE, reach)
 
 
-def build_pyramid(items: DataFrame, leaf_items: int = LEAF_ITEMS) -> Pyramid:
-    """Pyramid over items that carry the box columns.
+@dataclass(frozen=True)
+class Tree:
+    """Items with finest coordinates `_ix`, `_iy`, and a row for each split cell: `_cell`, `_lvl`, its children `_kids`."""
+
+    items: DataFrame
+    split: DataFrame
+
+    def level(self, level: int) -> DataFrame:
+        cells = self.split.filter(F.col("_lvl") == level).select(F.col("_cell").alias("_parent"), "_kids")
+        return F.broadcast(cells) if level < TREE_BROADCAST else cells
+
+
+# A cell of the tree is its level and its two coordinates at that level in one long.
+_HALF = TREE_LEVELS * TREE_BITS
+
+
+def _tree_cell(level: Column, ix: Column, iy: Column) -> Column:
+    return F.shiftleft(level, 2 * _HALF).bitwiseOR(F.shiftleft(ix, _HALF)).bitwiseOR(iy)
+
+
+def _prefixes(levels: range) -> Column:
+    """Cells of finest coordinates at several levels."""
+    shift = lambda level: TREE_BITS * (TREE_LEVELS - level)
+    at = lambda level: (F.shiftright("_ix", shift(level)), F.shiftright("_iy", shift(level)))
+    return F.explode(F.array(*[_tree_cell(F.lit(n).cast("long"), *at(n)) for n in levels])).alias("_cell")
+
+
+def _tree_parent(cell: Column) -> Column:
+    low = F.lit((1 << _HALF) - 1)
+    level, ix, iy = F.shiftright(cell, 2 * _HALF), F.shiftright(cell, _HALF).bitwiseAND(low), cell.bitwiseAND(low)
+    return _tree_cell(level - 1, F.shiftright(ix, TREE_BITS), F.shiftright(iy, TREE_BITS))
+
 
-    Two small aggregates run at once: the extent, and how many items the fullest cell
-    of each level holds. The depth is the first level whose fullest cell holds no more
-    than `leaf_items`, or no more than the finest grid could reach.
+def _finest(x: Column, y: Column) -> dict[str, Column]:
+    depth = TREE_LEVELS * TREE_BITS // 2
+    return {"_ix": _leaf(x, GLOBE_LOW, GLOBE_SIDE, depth), "_iy": _leaf(y, GLOBE_LOW, GLOBE_SIDE, depth)}
+
+
+def build_tree(items: DataFrame, leaf_items: int = LEAF_ITEMS) -> Tree:
+    """Tree over items that carry the box columns; a cell is split if it holds more than `leaf_items`, the root always.
+
+    Cells of the last level are leaves whatever they hold. Nothing runs here.
     """
-    mx, my = _middle("_xlo", "_xhi"), _middle("_ylo", "_yhi")
-    extent = items.agg(
-        F.min(mx).alias("x0"),
-        F.max(mx).alias("x1"),
-        F.min(my).alias("y0"),
-        F.max(my).alias("y1"),
-        F.max(F.greatest(F.col("_xhi") - F.col("_xlo"), F.col("_yhi") - F.col("_ylo"))).alias("w"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
-    if not extent["n"]:
-        zero = F.lit(0).cast("long")
-        return Pyramid(items.withColumns({"_ix": zero, "_iy": zero}), 1, 0.0, 0.0, 1.0, 0.0)
-    side = max(extent["x1"] - extent["x0"], extent["y1"] - extent["y0"], 1e-9) * (1 + 1e-9)
-
-    first = max(1, min(MAX_LEVELS, math.ceil(math.log(max(extent["n"] / leaf_items, 1), 16))))
-    finest = items.groupBy(
-        _leaf(mx, extent["x0"], side, MAX_LEVELS).alias("ix"),
-        _leaf(my, extent["y0"], side, MAX_LEVELS).alias("iy"),
-    ).agg(F.count(F.lit(1)).alias("n"))
-    levels = F.explode(F.sequence(F.lit(first), F.lit(MAX_LEVELS))).alias("level")
-    shift = (F.lit(2) * (F.lit(MAX_LEVELS) - F.col("level"))).cast("int")
-    fullest = (
-        finest.select(levels, "ix", "iy", "n")
-        .groupBy(
-            "level",
-            F.call_function("shiftright", "ix", shift).alias("cx"),
-            F.call_function("shiftright", "iy", shift).alias("cy"),
-        )
-        .agg(F.sum("n").alias("n"))
-        .groupBy("level")
-        .agg(F.max("n").alias("n"))
-        .collect()
+    located = items.withColumns(_finest(_middle("_xlo", "_xhi"), _middle("_ylo", "_yhi")))
+    boxes = [F.min("_xlo").alias("_xlo"), F.min("_ylo").alias("_ylo"), F.max("_xhi").alias("_xhi"), F.max("_yhi").alias("_yhi")]
+    # Items of one finest cell combine first, so a cell is copied to its levels and not each of its items.
+    cells = located.groupBy("_ix", "_iy").agg(F.count(F.lit(1)).alias("_n"), *boxes)
+    nodes = cells.select(_prefixes(range(1, TREE_LEVELS + 1)), "_n", *BOX)
+    nodes = nodes.groupBy("_cell").agg(F.sum("_n").alias("_n"), *boxes)
+    level = F.shiftright("_cell", 2 * _HALF)
+    leaf = (F.col("_n") <= leaf_items) | (level == TREE_LEVELS)
+    kid = F.struct(F.col("_cell").alias("cell"), leaf.alias("leaf"), *BOX)
+    # The level is an aggregate, so that all levels are read from one shuffle of cells.
+    parents = nodes.groupBy(_tree_parent(F.col("_cell")).alias("_cell")).agg(
+        F.max(level - 1).alias("_lvl"), F.sum("_n").alias("_n"), F.collect_list(kid).alias("_kids")
     )
-    most = {row["level"]: row["n"] for row in fullest}
-    goal = max(leaf_items, most[MAX_LEVELS])
-    depth = min(level for level, n in most.items() if n <= goal)
-    located = items.withColumns(
-        {
-            "_ix": _leaf(mx, extent["x0"], side, depth),
-            "_iy": _leaf(my, extent["y0"], side, depth),
-        }
-    )
-    return Pyramid(located, depth, extent["x0"], extent["y0"], side, extent["w"] / 2)
+    return Tree(located, parents.filter((F.col("_n") > leaf_items) | (F.col("_lvl") == 0)))
+
+
+def _box(kid: Column) -> list[Column]:
+    return [kid[b] for b in BOX]
+
+
+def tree_bound(centers: DataFrame, tree: Tree) -> DataFrame:
+    """Centers (`_x`, `_y`) with `_r`, a distance within which each has at least one item; none without items.
+
+    Of the split cells that a center lies in, found by its prefixes, each child has an item no further
+    than its far corner.
+    """
+    far = F.array_min(F.transform("_kids", lambda k: spatial.box_max_sq("_x", "_y", *_box(k))))
+    placed = centers.withColumns(_finest(F.col("_x"), F.col("_y")))
+    top, rest = range(TREE_BROADCAST), range(TREE_BROADCAST, TREE_LEVELS)
+
+    def bounds(levels: range, cells: DataFrame) -> DataFrame:
+        return placed.select("_x", "_y", _prefixes(levels)).join(cells, "_cell").select("_x", "_y", far.alias("_far"))
+
+    upper = tree.split.filter(F.col("_lvl") < TREE_BROADCAST)
+    lower = tree.split.filter(F.col("_lvl") >= TREE_BROADCAST)
+    found = bounds(top, F.broadcast(upper)).union(bounds(rest, lower))
+    return found.groupBy("_x", "_y").agg((F.sqrt(F.min("_far")) * SLACK).alias("_r"))
+
+
+def tree_leaves(centers: DataFrame, tree: Tree) -> DataFrame:
+    """(`_x`, `_y`, `_cell`) of the leaves whose boxes lie within `_r` of a center."""
+    reach_sq = F.col("_r") * F.col("_r") * SLACK
+    at = ["_x", "_y", "_r"]
+    front = centers.select(*at, F.lit(0).cast("long").alias("_cell"), F.lit(False).alias("_leaf"))
+    for level in range(TREE_LEVELS):
+        near = F.filter("_kids", lambda k: spatial.box_min_sq("_x", "_y", *_box(k)) <= reach_sq)
+        below = F.transform(near, lambda k: F.struct(k["cell"].alias("_cell"), k["leaf"].alias("_leaf")))
+        # A leaf found above stays as it is.
+        same = F.array(F.struct("_cell", "_leaf"))
+        match = (F.col("_cell") == F.col("_parent")) & ~F.col("_leaf")
+        joined = front.join(tree.level(level), match, "left")
+        front = joined.select(*at, F.inline(F.when(F.col("_leaf"), same).otherwise(below)))
+    return front.select("_x", "_y", "_cell")
+
+
+def tree_items(tree: Tree, columns: Sequence[str]) -> DataFrame:
+    """Items at the cells of all levels; only that of its leaf is ever asked for."""
+    return tree.items.select(_prefixes(range(1, TREE_LEVELS + 1)), *columns)
 
 
 def spread(centers: DataFrame) -> DataFrame:
@@ -184,41 +236,28 @@ def search(
     centers: DataFrame,
     pyramid: Pyramid,
     keep: Sequence[str],
-    radius: float | str,
+    radius: float,
     inner_share: float | None = None,
 ) -> DataFrame:
     """Cells within reach of every center (`_x`, `_y`).
 
-    `radius` is one number for all centers, or the name of a column. Result columns:
-    `keep`, `_x`, `_y`, `_r`, `_lvl`, `_cell`, `_whole`. Leaf cells whose items must be
+    Result columns: `keep`, `_x`, `_y`, `_r`, `_lvl`, `_cell`, `_whole`. Leaf cells whose items must be
     tested have `_whole` false. With `inner_share`, cells below the start level that lie
     within that share of the radius are returned as `_whole` and not descended into.
     """
     at = [*keep, "_x", "_y", "_r"]
     reach_sq = F.col("_r") * F.col("_r") * SLACK
-    if isinstance(radius, str):
-        start = 1
-        front = centers.select(*keep, "_x", "_y", F.col(radius).alias("_r"))
-        top = pyramid.nodes(1).agg(F.collect_list(F.struct("_child", *BOX)).alias("kids"))
-        near = F.filter(
-            "_kids",
-            lambda k: spatial.box_min_sq("_x", "_y", *[k[b] for b in BOX]) <= reach_sq,
-        )
-        front = front.withColumn("_kids", top.scalar()).select(
-            *at, F.explode(F.transform(near, lambda k: k["_child"])).alias("_cell")
-        )
-    else:
-        start = start_level(pyramid, radius)
-        reach = F.col("_r") * SLACK + pyramid.reach
-        front = centers.withColumn("_r", F.lit(radius))
-        front = front.select(
-            *at,
-            F.explode(_touched(pyramid, start, "_x", pyramid.x0, reach)).alias("_cx"),
-            _touched(pyramid, start, "_y", pyramid.y0, reach).alias("_cys"),
-        )
-        front = front.select(*at, "_cx", F.explode("_cys").alias("_cy")).select(
-            *at, F.shiftleft("_cx", 32).bitwiseOR(F.col("_cy")).alias("_cell")
-        )
+    start = start_level(pyramid, radius)
+    reach = F.col("_r") * SLACK + pyramid.reach
+    front = centers.withColumn("_r", F.lit(radius))
+    front = front.select(
+        *at,
+        F.explode(_touched(pyramid, start, "_x", pyramid.x0, reach)).alias("_cx"),
+        _touched(pyramid, start, "_y", pyramid.y0, reach).alias("_cys"),
+    )
+    front = front.select(*at, "_cx", F.explode("_cys").alias("_cy")).select(
+        *at, F.shiftleft("_cx", 32).bitwiseOR(F.col("_cy")).alias("_cell")
+    )
     front = front.select(
         *at, F.lit(start).alias("_lvl"), "_cell", F.lit(False).alias("_whole")
     )
@@ -275,38 +314,3 @@ def with_totals(
         .withColumn("_whole", F.lit(True))
     )
     return items.unionByName(totals, allowMissingColumns=True)
-
-
-def nearest_bound(centers: DataFrame, pyramid: Pyramid) -> DataFrame:
-    """Centers with `_r`, a distance within which each has at least one item.
-
-    One cell is followed down per center: the nearest child, known from an array of at
-    most 16 children. The bound is the least far corner of any cell seen on the way.
-    """
-    columns = centers.columns
-    front = centers.withColumn("_far", F.lit(float("inf")))
-    for level in range(1, pyramid.depth + 1):
-        kids = F.collect_list(F.struct("_child", *BOX)).alias("_kids")
-        if level == 1:
-            front = front.withColumn("_kids", pyramid.nodes(level).agg(kids).scalar())
-        else:
-            below = pyramid.nodes(level).groupBy("_parent").agg(kids)
-            below = F.broadcast(below) if level <= BROADCAST_LEVELS else below
-            front = front.join(below, F.col("_cell") == F.col("_parent"))
-        rated = F.transform(
-            "_kids",
-            lambda k: F.struct(
-                spatial.box_min_sq("_x", "_y", *[k[b] for b in BOX]).alias("near"),
-                spatial.box_max_sq("_x", "_y", *[k[b] for b in BOX]).alias("far"),
-                k["_child"].alias("cell"),
-            ),
-        )
-        front = (
-            front.withColumn("_rated", rated)
-            .select(
-                *columns,
-                F.array_min("_rated")["cell"].alias("_cell"),
-                F.least("_far", F.array_min(F.col("_rated.far"))).alias("_far"),
-            )
-        )
-    return front.select(*columns, (F.sqrt("_far") * SLACK).alias("_r"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel import constants as C
@@ -13,28 +13,127 @@ from gridpanel.functions import dates, scalars, spatial
 ALL_STATS = ("mean", "sum", "max", "min", "std", "median", "pixels_count", "pixels_nonzero")
 
 
-def _stat(name: str, value: Column) -> Column:
-    """One statistic of the valid pixels of a buffer, 0 where there are none."""
-    built = {
-        "mean": F.avg(value),
-        "sum": F.sum(value),
-        "max": F.max(value),
-        "min": F.min(value),
-        "std": F.stddev_pop(value),
-        # A buffer holds a bounded number of pixels, so its values fit in memory.
-        "median": F.percentile(value, F.lit(0.5)),
-        "pixels_count": F.count(value),
-        "pixels_nonzero": F.count(F.when(value > 0, value)),
-    }[name]
-    return F.coalesce(built, F.lit(0))
-
-
 def _tiles(at: str, reach: float, side: float) -> Column:
     return F.sequence(
         F.floor((F.col(at) - reach) / side), F.floor((F.col(at) + reach) / side)
     )
 
 
+def pixel_rows(pixels: DataFrame, side: float, keys: Sequence[str] = ()) -> DataFrame:
+    """One row for each pixel row of a tile: `keys`, `_tx`, `_ty`, `lat_c`, `_base` and `_cells`.
+
+    Cells lie in order of longitude, each with the sum (`s`) and the squares' sum (`q`) of all values up to it, less
+    the first value of the row, `_base`, so that they stay small, and how many of them are positive (`p`).
+    Pixels meet `_cells` once; whatever lies between two places of a row is a difference.
+    """
+    tiled = pixels.select(
+        *keys,
+        "lon_c",
+        "lat_c",
+        F.col("value").cast("double").alias("value"),
+        F.floor(F.col("lon_c") / side).alias("_tx"),
+        F.floor(F.col("lat_c") / side).alias("_ty"),
+    )
+    line = [*keys, "_tx", "_ty", "lat_c"]
+    order = Window.partitionBy(*line).orderBy("lon_c", "value")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    tiled = tiled.withColumns({"_i": F.row_number().over(order), "_base": F.first("value").over(upto)})
+    off = F.col("value") - F.col("_base")
+    cells = tiled.withColumns(
+        {
+            "s": F.sum(off).over(upto),
+            "q": F.sum(off * off).over(upto),
+            "p": F.sum((F.col("value") > 0).cast("int")).over(upto),
+        }
+    )
+    cell = F.struct(F.col("lon_c").alias("x"), F.col("_i").alias("i"), F.col("value").alias("v"), "s", "q", "p")
+    return cells.groupBy(*line).agg(
+        F.any_value("_base").alias("_base"), F.array_sort(F.collect_list(cell)).alias("_cells")
+    )
+
+
+def _first_place(cells: Column, holds) -> Column:
+    """The first place, from 1, whose cell passes a test that all cells behind it pass, too; one behind the last if none does."""
+    n = F.size(cells)
+    halvings = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(n + 1)).cast("int")))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["lo"] + at["hi"], 1)
+        passed = holds(F.get(cells, middle - 1))
+        return (
+            F.when(at["lo"] >= at["hi"], at)
+            .when(passed, F.struct(at["lo"].alias("lo"), middle.alias("hi")))
+            .otherwise(F.struct((middle + 1).alias("lo"), at["hi"].alias("hi")))
+        )
+
+    return F.aggregate(halvings, F.struct(F.lit(1).alias("lo"), (n + 1).alias("hi")), halve, lambda at: at["lo"])
+
+
+def _piece(reach: float) -> Column:
+    """What one pixel row adds to a buffer: the cells between the two places where the polygon's rim cuts it."""
+    cells, dy = F.col("_cells"), F.col("lat_c") - F.col("_y")
+    inside = lambda c: spatial.in_buffer(c["x"] - F.col("_x"), dy, reach)
+    first = _first_place(cells, lambda c: (c["x"] > F.col("_x")) | inside(c))
+    behind = _first_place(cells, lambda c: (c["x"] > F.col("_x")) & ~inside(c))
+    return F.struct(first.alias("first"), (behind - first).alias("n"))
+
+
+def _sums(piece: str, stats: Sequence[str]) -> Column:
+    """Count, mean, squares around it and positive values of a piece; its values if they are asked for."""
+    first, n = F.col(piece)["first"], F.col(piece)["n"]
+    last, before = F.get("_cells", first + n - 2), F.get("_cells", F.when(first > 1, first - 2))
+    least = lambda name: last[name] - F.coalesce(before[name], F.lit(0))
+    off = least("s")
+    fields = [
+        n.alias("n"),
+        (F.col("_base") + off / n).alias("mean"),
+        (F.col("_base") * n + off).alias("sum"),
+        F.greatest(F.lit(0.0), least("q") - off * off / n).alias("squares"),
+        least("p").alias("p"),
+    ]
+    values = F.transform(F.slice("_cells", first, n), lambda c: c["v"])
+    own = {"max": F.array_max(values), "min": F.array_min(values), "median": values}
+    fields += [own[name].alias(name) for name in own if name in stats]
+    return F.when(n > 0, F.struct(*fields))
+
+
+def _merged(rows: Column) -> Column:
+    """Count, mean and squares of several pieces together, without large numbers that cancel."""
+
+    def add(all_: Column, row: Column) -> Column:
+        n, gap = all_["n"] + row["n"], row["mean"] - all_["mean"]
+        return F.struct(
+            n.alias("n"),
+            (all_["mean"] + gap * row["n"] / n).alias("mean"),
+            (all_["squares"] + row["squares"] + gap * gap * all_["n"] * row["n"] / n).alias("squares"),
+        )
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    return F.aggregate(rows, start, add, lambda a: F.sqrt(a["squares"] / F.when(a["n"] > 0, a["n"])))
+
+
+def _stat(name: str, rows: str) -> Column:
+    """One statistic of the pieces of a buffer."""
+    piece = F.col(rows)
+    count = F.sum(piece["n"])
+    if name == "median":
+        # A buffer holds a bounded number of pixels, so its values fit in memory.
+        values = F.array_sort(F.flatten(F.collect_list(piece["median"])))
+        half = (F.size(values) - 1) / 2
+        pick = lambda at: F.get(values, at.cast("int"))
+        return (pick(F.floor(half)) + pick(F.ceil(half))) / 2
+    if name in ("max", "min"):
+        return (F.max if name == "max" else F.min)(piece[name])
+    return {
+        "mean": F.sum(piece["sum"]) / count,
+        "sum": F.sum(piece["sum"]),
+        # One piece for each pixel row of the buffer.
+        "std": _merged(F.collect_list(piece)),
+        "pixels_count": count,
+        "pixels_nonzero": F.sum(piece["p"]),
+    }[name]
+
+
 def zonal_stats(
     points: DataFrame,
     pixels: DataFrame,
@@ -49,12 +148,13 @@ def zonal_stats(
 ) -> DataFrame:
     """Statistics of the pixels whose centre lies in the buffer, one row per point.
 
-    Pixel values from `nodata` up to `max_valid` count. With several buffer sizes the
-    columns are named `{prefix}{stat}_{size}m` and the pixels are joined only once, at
+    Finite pixel values from `nodata` up to `max_valid` count. With several buffer sizes the
+    columns are named `{prefix}{stat}_{size}m` and the rasters are joined only once, at
     the largest size. With `year`, points and pixels meet on that column as well.
 
-    Pixels and points meet on tiles as wide as the largest buffer, so a point is copied
-    to at most four tiles and its candidates are reduced before any shuffle.
+    Points meet pixel rows, not pixels: the buffer polygon is convex, so it covers one
+    interval of each row, found by halving, and its sums are differences of two cells. Rows
+    are cut at tiles as wide as the largest buffer, so a point is copied to at most four.
     """
     sizes = [meters] if isinstance(meters, (int, float)) else sorted(meters)
     many = not isinstance(meters, (int, float))
@@ -69,26 +169,22 @@ def zonal_stats(
     tiled = places.select(
         "*", F.explode(_tiles("_x", slack, side)).alias("_tx"), _tiles("_y", slack, side).alias("_t")
     ).select("_x", "_y", *on_year, "_tx", F.explode("_t").alias("_ty"))
-    valid = F.col("value") >= nodata
+    value = F.col("value")
+    valid = (value >= nodata) & (value < float("inf")) & (value > float("-inf"))
     if max_valid is not None:
-        valid = valid & (F.col("value") <= max_valid)
-    cells = pixels.filter(valid).select(
-        *on_year,
-        "lon_c",
-        "lat_c",
-        "value",
-        F.floor(F.col("lon_c") / side).alias("_tx"),
-        F.floor(F.col("lat_c") / side).alias("_ty"),
-    )
-    dx, dy = F.col("lon_c") - F.col("_x"), F.col("lat_c") - F.col("_y")
-    hits = tiled.join(cells, [*on_year, "_tx", "_ty"]).filter(spatial.in_buffer(dx, dy, reach))
-    columns = {}
-    for size in sizes:
-        inside = spatial.in_buffer(dx, dy, spatial.radius_degrees(size))
-        value = F.when(inside, F.col("value")) if size != max(sizes) else F.col("value")
-        for name in stats:
-            columns[f"{prefix}{name}_{size}m" if many else f"{prefix}{name}"] = _stat(name, value)
-    summed = hits.groupBy("_x", "_y", *on_year).agg(*[c.alias(n) for n, c in columns.items()])
+        valid = valid & (value <= max_valid)
+    rows = pixel_rows(pixels.filter(valid), side, on_year)
+    met = tiled.join(rows, [*on_year, "_tx", "_ty"]).filter(F.abs(F.col("lat_c") - F.col("_y")) <= slack)
+    met = met.withColumns({f"_p{i}": _piece(spatial.radius_degrees(size)) for i, size in enumerate(sizes)})
+    # The largest buffer holds the others.
+    met = met.filter(F.col(f"_p{len(sizes) - 1}.n") > 0)
+    met = met.select("_x", "_y", *on_year, *[_sums(f"_p{i}", stats).alias(f"_s{i}") for i in range(len(sizes))])
+    columns = {
+        f"{prefix}{name}_{size}m" if many else f"{prefix}{name}": _stat(name, f"_s{i}")
+        for i, size in enumerate(sizes)
+        for name in stats
+    }
+    summed = met.groupBy("_x", "_y", *on_year).agg(*[c.alias(n) for n, c in columns.items()])
     joined = at.join(summed, ["_x", "_y", *on_year], "left")
     located = F.col("_x").isNotNull() & F.col("_y").isNotNull()
     return joined.select(

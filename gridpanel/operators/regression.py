@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from gridpanel import constants as C
 from gridpanel.functions import tails
 from gridpanel.operators.moments import (
-    CustomerProducts,
+    PanelProducts,
     cross_products,
     least_squares,
     trace_product,
@@ -222,18 +222,20 @@ def fit_family(
     specs: Mapping[str, Spec],
     id_col: str = "nis_rad",
     by: Sequence[str] = (),
+    own: str | None = None,
 ) -> dict[tuple, Fit]:
     """All models of a family, for every group of `by`; keys are (group..., spec, model).
 
-    The models share one set of cross products over all their variables. Where values
-    are missing, each model has its own rows, those complete in its variables.
+    Four jobs, however many groups and models there are: means, one table of products, its totals, and
+    the matrices of all random-effects models together. Where values are missing, each model has its own rows,
+    those complete in its variables. With `own`, a column of names of models, a row serves only that model.
     """
     for spec in specs.values():
         if set(spec.models) - set(MODELS) or spec.method not in COMPONENTS:
             raise ValueError(f"unknown model or method: {spec}")
     variables = list(dict.fromkeys(x for spec in specs.values() for x in spec.xs))
     numbers = [F.col(f"`{c}`").cast("double").alias(c) for c in [*variables, y]]
-    keys = [c for c in dict.fromkeys([*by, id_col]) if c not in (*variables, y)]
+    keys = [c for c in dict.fromkeys([*by, id_col, *([own] if own else [])]) if c not in (*variables, y)]
     rows = df.select(*keys, *numbers).dropna(subset=[y]).persist()
     try:
         found = rows.agg(
@@ -243,52 +245,68 @@ def fit_family(
         ).first()
         # Any constant would do for centring; it keeps the sums small.
         means = {c: found[f"m_{c}"] or 0.0 for c in [*variables, y]}
-        if all(found[f"n_{c}"] == found["_n"] for c in variables):
-            return _fit_complete(rows, y, specs, means, id_col, by)
-        fits = {}
-        for name, spec in specs.items():
-            complete = rows.dropna(subset=list(spec.xs))
-            fits.update(_fit_complete(complete, y, {name: spec}, means, id_col, by))
-        return fits
+        whole = {name: reduce(Column.__and__, [F.col(x).isNotNull() for x in spec.xs], F.lit(True)) for name, spec in specs.items()}
+        if own:
+            fitting = [(F.col(own) == name) & complete for name, complete in whole.items()]
+            sets = rows.filter(reduce(Column.__or__, fitting)).withColumn("_set", F.col(own))
+        elif all(found[f"n_{c}"] == found["_n"] for c in variables):
+            sets = rows.withColumn("_set", F.lit(""))
+        else:
+            names = F.array(*[F.when(complete, F.lit(name)) for name, complete in whole.items()])
+            sets = rows.withColumn("_set", F.explode(F.array_compact(names)))
+        return _fit_sets(sets, y, variables, specs, means, id_col, by)
     finally:
         rows.unpersist()
 
 
-def _fit_complete(
+def _fit_sets(
     rows: DataFrame,
     y: str,
+    variables: Sequence[str],
     specs: Mapping[str, Spec],
     means: Mapping[str, float],
     id_col: str,
     by: Sequence[str],
 ) -> dict[tuple, Fit]:
-    variables = list(dict.fromkeys(x for spec in specs.values() for x in spec.xs))
-    columns = [F.lit(1.0), *[F.col(c) - F.lit(means[c]) for c in [*variables, y]]]
-    ids = rows.groupBy(*by, id_col).agg(
-        F.count(F.lit(1)).cast("double").alias("_t"),
-        *[F.avg(c).alias(c) for c in [*variables, y]],
-    )
-    whole = cross_products(rows, columns, by)
-    per_id = CustomerProducts(ids, columns, "_t", by)
-    fits = {}
-    for group, a_all in whole.items():
-        shared = {
-            "b1": per_id.total(lambda t: t, group),
-            "b2": per_id.total(lambda t: 1.0, group),
-            "s2": per_id.total(lambda t: t * t, group),
-        }
-        for name, spec in specs.items():
-            at = [0, *[variables.index(x) + 1 for x in spec.xs], len(variables) + 1]
+    """Fits from rows whose `_set` names the model they serve, or is empty for all of them."""
+    # A variable that a model does not have may be missing in its rows; its products are not looked at.
+    columns = [F.lit(1.0), *[F.coalesce(F.col(c) - F.lit(means[c]), F.lit(0.0)) for c in [*variables, y]]]
+    products = PanelProducts(rows, columns, id_col, [*by, "_set"])
+    todo = {}
+    for (*group, served), parts in products.totals().items():
+        for name in [served] if served else specs:
+            at = [0, *[variables.index(x) + 1 for x in specs[name].xs], len(variables) + 1]
             pick = np.ix_(at, at)
-            parts = {"a": a_all[pick], **{k: m[pick] for k, m in shared.items()}}
-            centre = [*[means[x] for x in spec.xs], means[y]]
-            for model in spec.models:
-                fit = _fit_one(model, spec, parts, centre, group, per_id, pick)
-                fits[(*group, name, model)] = fit
+            todo[(*group, served, name)] = (pick, {k: m[pick] for k, m in parts.items()})
+    components = {}
+    for key, (_, parts) in todo.items():
+        spec = specs[key[-1]]
+        if "random" in spec.models:
+            a, b1, b2, s2 = (parts[k] for k in ("a", "b1", "b2", "s2"))
+            components[key] = COMPONENTS[spec.method](a, b1, s2, a[0, 0], b2[0, 0])
+    pulled = {}
+    if components:
+        numbers = [(*key, float(s_e), float(s_u)) for key, (s_e, s_u) in components.items()]
+        pulled = products.weighted(numbers, ["_se", "_su"], _pulled_weights)
+    fits = {}
+    for key, (pick, parts) in todo.items():
+        name, group = key[-1], key[:-2]
+        centre = [*[means[x] for x in specs[name].xs], means[y]]
+        own = {k: m[pick] for k, m in pulled.get(key, {}).items()}
+        for model in specs[name].models:
+            fits[(*group, name, model)] = _fit_one(
+                model, specs[name], parts, centre, group, components.get(key), own
+            )
     return fits
 
 
-def _fit_one(model, spec, parts, means, group, per_id, pick) -> Fit:
+def _pulled_weights(t: Column, s_e: Column, s_u: Column) -> dict[str, Column]:
+    """Weights of the products that random effects take off, and of what is left of the means."""
+    h = _pull(t, s_e, s_u)
+    return {"off": (2 * h - h * h) * t, "left": (1 - h) * t}
+
+
+def _fit_one(model, spec, parts, means, group, components, pulled) -> Fit:
     a, b1, b2 = parts["a"], parts["b1"], parts["b2"]
     n_rows, n_ids = a[0, 0], b2[0, 0]
     terms = [CONSTANT, *spec.xs]
@@ -301,20 +319,13 @@ def _fit_one(model, spec, parts, means, group, per_id, pick) -> Fit:
     if model == "between":
         tss = b2[-1, -1] - b2[0, -1] ** 2 / n_ids
         return _solve(model, terms, b2, n_ids, n_ids, tss, means, group)
-    s_e, s_u = COMPONENTS[spec.method](a, b1, parts["s2"], n_rows, n_ids)
-
-    def pulled(t):
-        h = _pull(t, s_e, s_u)
-        return (2 * h - h * h) * t
-
-    gram = a - per_id.total(pulled, group)[pick]
+    gram, left = a - pulled["off"], pulled["left"]
     # Squares of the transformed outcome around its mean, before centring by m.
-    left = per_id.total(lambda t: (1 - _pull(t, s_e, s_u)) * t, group)[pick]
     m = means[-1]
     squares = gram[-1, -1] + 2 * m * gram[0, -1] + m * m * gram[0, 0]
     tss = squares - (left[0, -1] + m * left[0, 0]) ** 2 / n_rows
     fit = _solve(model, terms, gram, n_rows, n_rows, tss, means, group)
-    fit.s_e, fit.s_u = s_e, s_u
+    fit.s_e, fit.s_u = components
     return fit
 
 
@@ -466,12 +477,12 @@ def subsamples(
         d.replace("_dummy", ""): Spec(tuple(_controls(df, [d], controls)), method="walhus")
         for d in dummies
     }
-    fits = fit_family(rows, y, specs, by=["_dummy", "_level"])
+    fits = fit_family(rows, y, specs, by=["_level"], own="_dummy")
     return {
-        f"{name}.{level.lower()}": fits[(name, level, name, "random")]
+        f"{name}.{level.lower()}": fits[(level, name, "random")]
         for name in specs
         for level in ("Low", "High")
-        if (name, level, name, "random") in fits
+        if (level, name, "random") in fits
     }
 
 

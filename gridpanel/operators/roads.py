@@ -50,15 +50,14 @@ def nearest_segment_distance(
 ) -> DataFrame:
     """Distance in degrees from every point to the nearest segment of any class.
 
-    A first descent bounds each point's distance; a second one visits only the leaf
-    cells within that bound. Points without coordinates, or no segments at all: NULL.
+    The tree of segments bounds each point's distance first; then only leaves
+    within that bound are visited. Points without coordinates, or no segments at all: NULL.
     """
-    grid = pyr.build_pyramid(_distinct_segments(segments), leaf_items)
+    tree = pyr.build_tree(_distinct_segments(segments), leaf_items)
     at, centers = _places(points, key, xy)
-    found = pyr.search(pyr.nearest_bound(centers, grid), grid, [], "_r")
-    items = pyr.leaf_items(grid, ENDS)
+    found = pyr.tree_leaves(pyr.tree_bound(centers, tree), tree)
     nearest = (
-        found.join(items, ["_lvl", "_cell", "_whole"])
+        found.join(pyr.tree_items(tree, ENDS), "_cell")
         .groupBy("_x", "_y")
         .agg(F.min(spatial.segment_distance("_x", "_y", *ENDS)).alias(out))
     )

@@ -125,14 +125,45 @@ def test_gaps_leave_each_model_its_own_rows(rows, toy):
     assert family[("b", "pooling")].n == (toy.Nof_Mths != 3).sum()
 
 
-def test_customer_products_take_any_weight(rows):
-    ids = rows.groupBy("nis_rad").agg(F.count(F.lit(1)).cast("double").alias("t"), F.avg("x1").alias("x1"))
-    made = moments.CustomerProducts(ids, [F.lit(1.0), F.col("x1")], "t")
-    known = ids.toPandas()
-    means = np.column_stack([np.ones(len(known)), known.x1])
-    for weight in (lambda t: t, lambda t: 1.0, lambda t: (1 / (1 + t)) ** 0.5):
-        w = np.array([weight(t) for t in known.t])
-        assert np.allclose(made.total(weight, ()), (means * w[:, None]).T @ means)
+def test_products_of_all_groups_take_any_weight(rows):
+    grouped = rows.withColumn("g", F.when(F.col("nis_rad") < 12, "p"))  # the other group has no name
+    made = moments.PanelProducts(grouped, [F.lit(1.0), F.col("x1")], "nis_rad", ["g"])
+    known = grouped.groupBy("g", "nis_rad").agg(F.count(F.lit(1)).alias("t"), F.avg("x1").alias("x1")).toPandas()
+    totals = made.totals()
+    asked = [("p", "one", 2.0), (None, "one", 2.0), (None, "two", 5.0)]
+    found = made.weighted(asked, ["_k"], lambda t, k: {"w": 1 / (k + t)})
+    assert set(found) == {key[:2] for key in asked}
+    for (g, label, k) in asked:
+        part = known[known.g.isna()] if g is None else known[known.g == g]
+        means = np.column_stack([np.ones(len(part)), part.x1])
+        for name, w in (("b1", part.t), ("b2", part.t**0), ("s2", part.t**2)):
+            assert np.allclose(totals[(g,)][name], (means * w.values[:, None]).T @ means)
+        assert np.allclose(found[(g, label)]["w"], (means / (k + part.t.values[:, None])).T @ means)
+
+
+def test_a_row_may_serve_one_model_only(rows):
+    copies = rows.withColumn("own", F.explode(F.array(F.lit("a"), F.lit("b")))).filter("own = 'a' or Nof_Mths < 5")
+    copies = copies.withColumn("x1", F.when(F.col("own") == "a", F.col("x1")))
+    specs = {"a": regression.Spec(("x1",), ("pooling", "random")), "b": regression.Spec(("x2",), ("pooling", "random"))}
+    family = regression.fit_family(copies, "y", specs, own="own")
+    early = rows.filter("Nof_Mths < 5")
+    for model in ("pooling", "random"):
+        assert np.allclose(family[("a", model)].coefficients, regression.panel_fit(rows, "y", ["x1"], model).coefficients)
+        assert np.allclose(family[("b", model)].coefficients, regression.panel_fit(early, "y", ["x2"], model).coefficients)
+
+
+def test_a_family_takes_four_jobs(spark, rows):
+    grouped = rows.withColumn("g", F.col("nis_rad") % 6)
+    specs = {name: regression.Spec(("x1", "x2"), ("pooling", "within", "random")) for name in "abc"}
+    regression.panel_fit(rows, "y", ["x1"], "pooling")  # starts whatever has to be started
+    tracker, group = spark.sparkContext.statusTracker(), "family"
+    spark.sparkContext.setJobGroup(group, "jobs of a family")
+    regression.fit_family(grouped, "y", specs, by=["g"])
+    many = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup(group + "1", "jobs of one model")
+    regression.fit_family(rows, "y", {"a": specs["a"]})
+    one = len(tracker.getJobIdsForGroup(group + "1"))
+    assert many <= one + 2  # a stage more of adaptive execution at most, not one job per group or model
 
 
 def test_newey_west_equals_loops(rows, toy):

@@ -192,6 +192,38 @@ def test_nearest_segment_equals_brute_force(spark, road_case, leaf):
     assert np.allclose(got.distance_to_road.values, brute_distance(left, seg).min(axis=1), atol=1e-12)
 
 
+def test_tree_splits_only_full_cells(spark):
+    rng = np.random.default_rng(2)
+    town = pd.DataFrame({"_xlo": 36.7 + rng.random(3000) * 0.01, "_ylo": -1.2 + rng.random(3000) * 0.01})
+    town = town.assign(_xhi=town._xlo, _yhi=town._ylo)
+    lone = pd.DataFrame({c: [v] for c, v in zip(pyramid.BOX, (-70.0, 10.0, -70.0, 10.0))})
+    off = pd.DataFrame({c: [5e7] for c in pyramid.BOX})
+
+    def leaves(frame):
+        tree = pyramid.build_tree(spark.createDataFrame(frame), 16)
+        kids = tree.split.select("_lvl", F.inline("_kids")).filter("leaf")
+        held = pyramid.tree_items(tree, ["_xlo"]).join(kids.withColumnRenamed("cell", "_cell"), "_cell")
+        return {(r._cell, r._lvl): r["count"] for r in held.groupBy("_cell", "_lvl").count().collect()}
+
+    alone, both = leaves(town), leaves(pd.concat([town, lone, off]))
+    assert sum(both.values()) == 3002 and max(both.values()) <= 16
+    # Items far off have shallow leaves of their own and change nothing else.
+    assert {k: v for k, v in both.items() if k in alone} == alone
+    assert sorted(level for _, level in set(both) - set(alone)) == [0, 0]
+    assert max(level for _, level in alone) > 3
+
+
+def test_nearest_segment_with_a_far_coordinate(spark, road_case):
+    left, seg = road_case
+    wild = pd.DataFrame({"ROADCLASS": ["A"], "x1": [5e7], "y1": [5e7], "x2": [5e7], "y2": [5e7 + 1]})
+    got = roads.nearest_segment_distance(
+        spark.createDataFrame(left), spark.createDataFrame(pd.concat([seg, wild])), leaf_items=8
+    ).toPandas().sort_values("NIS_RAD")
+    assert np.allclose(got.distance_to_road.values, brute_distance(left, seg).min(axis=1), atol=1e-12)
+    none = roads.nearest_segment_distance(spark.createDataFrame(left), spark.createDataFrame(seg).limit(0)).collect()
+    assert len(none) == len(left) and all(r.distance_to_road is None for r in none)
+
+
 @pytest.mark.parametrize("levels", [1, 3])
 def test_lengths_equal_brute_force(spark, road_case, levels):
     left, seg = road_case
@@ -291,6 +323,33 @@ def test_zonal_stats_equal_numpy(spark):
                 assert math.isclose(row[f"p_std_{size}m"], v.std(), abs_tol=1e-9)
 
 
+def test_pixel_rows_with_gaps_repeats_and_odd_values(spark):
+    rng = np.random.default_rng(9)
+    x, y = np.meshgrid(36.6 + np.arange(40) * 0.003, -1.3 + np.arange(40) * 0.003)
+    pixels = pd.DataFrame({"lon_c": x.ravel(), "lat_c": y.ravel(), "value": 1e6 + rng.integers(-3, 9, 1600)})
+    pixels = pixels[rng.random(1600) < 0.7]
+    pixels = pd.concat([pixels, pixels.head(50), pixels.tail(9).assign(value=[np.nan, np.inf, -np.inf] * 3)])
+    points = pd.DataFrame({"NIS_RAD": range(12), "LON": 36.6 + rng.random(12) * 0.12, "LAT": -1.3 + rng.random(12) * 0.12})
+    points.loc[0, ["LON", "LAT"]] = pixels.iloc[0][["lon_c", "lat_c"]].values
+    got = raster.zonal_stats(
+        spark.createDataFrame(points), spark.createDataFrame(pixels), [700, 1500], nodata=0
+    ).toPandas().sort_values("NIS_RAD")
+    good = pixels[np.isfinite(pixels.value)]
+    for size in (700, 1500):
+        r = size / 110540
+        for i, p in enumerate(points.itertuples()):
+            dx, dy = good.lon_c - p.LON, good.lat_c - p.LAT
+            step = 2 * np.pi / 64
+            inside = np.hypot(dx, dy) * np.cos(np.mod(np.arctan2(dy, dx), step) - step / 2) < r * np.cos(step / 2)
+            v = good.value[inside].values
+            row = got.iloc[i]
+            assert row[f"pixels_count_{size}m"] == len(v)
+            if len(v):
+                expected = (v.mean(), v.sum(), v.max(), v.min(), v.std(), np.median(v))
+                found = [row[f"{s}_{size}m"] for s in raster.ALL_STATS[:6]]
+                assert np.allclose(found, expected, rtol=1e-12, atol=1e-7)
+
+
 def test_equally_close_years_take_the_earlier(spark):
     bills = spark.createDataFrame([(1, 2015), (2, 2030), (3, None)], "nis_rad long, year int")
     pixels = spark.createDataFrame([(2016,), (2014,)], "year int")

@@ -318,3 +318,39 @@ def test_fast_decay_beside_a_long_range(spark):
     assert all(got[s].converged for s in ("far", "fast", "steep"))
     assert np.allclose([got[s].b for s in ("far", "fast", "steep")], [0.001, 1.5, 0.7], rtol=1e-4)
     assert np.allclose([got[s].a for s in ("far", "fast", "steep")], [80, 60, 60], rtol=1e-3)
+
+
+def test_order_keys_follow_the_doubles(spark):
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    odd = [0.0, 5e-324, -5e-324, 2.0**-1022, 1.0, 2.0, 1.9999999999999998, 1.7976931348623157e308, np.inf, -np.inf]
+    values = np.concatenate([bits.view(np.float64), -bits.view(np.float64), odd, 2.0 ** np.arange(-1074, 1024)])
+    values = np.unique(values[~np.isnan(values)] + 0.0)
+    df = spark.createDataFrame(pd.DataFrame({"x": values}))
+    got = df.select("x", order_stats.order_key(F.col("x")).alias("k")).toPandas().sort_values("x")
+    whole = np.where(got.x < 0, -np.abs(got.x.values).view(np.int64), np.abs(got.x.values).view(np.int64))
+    assert (got.k.values == whole).all()
+
+
+def test_close_values_are_split_until_few_are_sorted_together(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "FULL", 64)
+    values = 1e12 + np.arange(5000)
+    df = spark.createDataFrame(pd.DataFrame({"g": ["a"] * 5000 + ["b"] * 3, "x": [*values, 1.0, 2.0, 4.0]}))
+    probs = {"q1": 0.25, "q2": 0.5, "q3": 0.9}
+    got = {r.g: r for r in order_stats.exact_quantiles(df, "x", probs, ["g"]).collect()}
+    for name, p in probs.items():
+        assert got["a"][name] == np.quantile(values, p)
+        assert got["b"][name] == pytest.approx(np.quantile([1.0, 2.0, 4.0], p))
+    cum = order_stats.cumulative_counts(df.filter("g = 'a'"), "x").toPandas().sort_values("x")
+    assert (cum["cum"].values == np.arange(1, 5001)).all()
+    # What is sorted together shares all but 18 bits, or is a digit that is not full.
+    keys = df.withColumn("k", order_stats.order_key(F.col("x")))
+    fullest = keys.groupBy(F.shiftright("k", order_stats.LAST)).count().agg(F.max("count")).first()[0]
+    assert fullest <= 1 << 18
+
+
+def test_deviation_of_large_close_values(spark):
+    values = 1e12 + np.arange(2000)
+    df = spark.createDataFrame(pd.DataFrame({"x": values}))
+    got = order_stats.grouped_statistics(df, "x", [], {"m": 0.5}, {"s": "std", "a": "mean"}).first()
+    assert got.s == pytest.approx(np.std(values, ddof=1), rel=1e-6) and got.a == values.mean()
