@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpanel.llm.scratch import materialise
+from gridpanel.llm.scratch import delete, materialise
 
 
 def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -35,10 +35,12 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         )
         moves = materialise(seen, "moves")
         if moves.isEmpty():
+            delete(both, moves)
             return now
         # A component moves to the least neighbour; if that one moves too, follow it as well.
         then = moves.select(F.col("comp").alias("to"), F.col("to").alias("then"))
         jump = moves.join(then, "to", "left").select("comp", F.coalesce("then", "to").alias("to"))
-        now = materialise(
+        before, now = now, materialise(
             now.join(jump, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels"
         )
+        delete(before, moves)

@@ -113,7 +113,7 @@ def _counted(sets: list[np.ndarray]) -> pa.RecordBatch:
 
 def _prefixes(common: list[bloom.Bloom]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (lot for whole in batches for lot in text.lots(whole, 0)):
             out = [np.zeros(0, np.uint64)]
             for _, found in _sets(batch.column(0)):
                 out.append(_prefix(found, common)[0])
@@ -139,7 +139,7 @@ def _documents(common: list[bloom.Bloom], shared: bloom.Bloom):
     """(doc_id, class, n, rare, tokens, parts): necessary shingles that another document may have, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (lot for whole in batches for lot in text.lots(whole, 1)):
             classes, sizes, rares, tokens, counts = [], [], [], [], []
             for _, found in _sets(batch.column(1)):
                 prefix, rare = _prefix(found, common)
@@ -174,15 +174,15 @@ def _needed_sets(needed: bloom.Bloom):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             rows = np.flatnonzero(needed.holds(keys))
-            sets = [found for _, found in _sets(batch.column(1).take(pa.array(rows)))]
-            none = np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([_class(s) for s in sets], pa.int64()),
-                    text.nested(np.concatenate([none, *sets]).view(np.int64), [len(s) for s in sets], pa.int64()),
-                ],
-                names=["class", "shingles"],
-            )
+            for lot in text.lots(batch.take(pa.array(rows)), 1):
+                sets = [found for _, found in _sets(lot.column(1))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([_class(s) for s in sets], pa.int64()),
+                        text.nested(np.concatenate(sets).view(np.int64), [len(s) for s in sets], pa.int64()),
+                    ],
+                    names=["class", "shingles"],
+                )
 
     return run
 
@@ -292,7 +292,8 @@ def _left(known: DataFrame, pivots: DataFrame, faced: DataFrame, tested: DataFra
     else:
         same = F.lit(False)
     rows = materialise(rows.withColumn("same", same).select("region", "pivot", "node", "d", "exact", "same"), "windows")
-    nearest = rows.where("not same").groupBy("region", "pivot").agg(F.min("d").alias("nearest"))
+    # One row for each pivot that still faces others: small beside the members it is joined with.
+    nearest = materialise(rows.where("not same").groupBy("region", "pivot").agg(F.min("d").alias("nearest")), "nearest")
     gone = (
         rows.where("same and exact")
         .join(nearest, ["region", "pivot"], "left")
@@ -302,7 +303,10 @@ def _left(known: DataFrame, pivots: DataFrame, faced: DataFrame, tested: DataFra
         .union(pivots.select("region", F.col("pivot")))
         .distinct()
     )
-    return materialise(known.select("region", "node", "n", "rare").join(materialise(gone, "gone"), ["region", "node"], "left_anti"), "members")
+    gone = materialise(gone, "gone")
+    left = materialise(known.select("region", "node", "n", "rare").join(gone, ["region", "node"], "left_anti"), "members")
+    delete(rows, gone, nearest)
+    return left
 
 
 def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataFrame]:
@@ -319,10 +323,12 @@ def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataF
         ),
         "documents",
     )
+    delete(counted)
     tokens = materialise(
         base.select(F.explode("tokens").alias("h"), F.col("class").alias("node"), "n", "rare").distinct(), "tokens"
     )
     members = materialise(_regions(tokens), "members")
+    delete(tokens)
     nodes = members.select("node").distinct()
     leaders = materialise(
         base.where("size(parts) > 0")
@@ -342,23 +348,28 @@ def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataF
         )
         if known.isEmpty():
             break
+        delete(members)
         pivots = materialise(_pivots(known, 4 << level if level else 1), "pivots")
         faced = materialise(_faced(known, pivots), "faced")
         pairs = faced.where(F.col("low") <= EPSILON).select("a", "b", "n_a", "n_b").distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        bounded = materialise(_bounded(materialise(pairs, "pairs"), leaders), "bounded")
+        pairs = materialise(pairs, "pairs")
+        bounded = materialise(_bounded(pairs, leaders), "bounded")
+        delete(pairs)
         near = bounded.where(_NEAR)
         sets = _with_sets(docs, near, leaders, sets, log2_bits)
         measured = _far(bounded)
         if sets is not None:
             measured = measured.union(_measured(near, sets))
         measured = materialise(measured, "measured")
+        delete(bounded)
         tested = measured if tested is None else tested.union(measured)
         edges = measured.where("linked").select("a", "b")
         if not edges.isEmpty():
             labels = components(edges, labels)
         members = _left(known, pivots, faced, tested, labels)
+        delete(known, pivots, faced)
         level += 1
     if sets is not None:
         delete(sets)

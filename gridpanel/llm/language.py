@@ -256,13 +256,15 @@ def estimate(counts: pd.DataFrame, order: int) -> Model:
 
 def _sample(labelled: DataFrame, sample_docs: int) -> DataFrame:
     """About `sample_docs` rows per language, and for each a hash in [0, 1) that splits off the calibration part."""
-    rates = labelled.groupBy("lang").agg((F.lit(float(sample_docs)) / F.count("*")).alias("rate"))
+    sizes = labelled.groupBy("lang").count().collect()  # one row for each language
+    if not sizes:
+        return labelled.select("lang", "text", F.lit(0.0).alias("part"))
+    rates = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(sample_docs) / r["count"])])
     unit = lambda seed: F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
+    # Rows are drawn where they are read, so no text is shuffled.
     return (
-        labelled.select("doc_id", "lang", "text")
-        .where("doc_id is not null")
-        .join(rates.withColumnRenamed("lang", "of"), F.col("lang") == F.col("of"))
-        .where(unit(3) < F.col("rate"))
+        labelled.where("doc_id is not null")
+        .where(unit(3) < F.element_at(rates, F.col("lang")))
         .select("lang", "text", unit(4).alias("part"))
     )
 

@@ -5,15 +5,15 @@ words. No target exceeds `most` times its source's words; what is above goes to
 weight. With every source below or at its cap this is one level L with target = min(weight * L,
 cap), which sorting by cap / weight gives in closed form.
 
-Blocks: each source's documents are shuffled by a hash and laid end to end, and the row of
-words is cut every `block` words. Schedule: slot i of the mix gets the point frac(i * golden
-ratio), the cumulative targets say which source owns that point, and the slot's rank among the
-slots of its source says which block it takes: the rank modulo the number of blocks, so that a
-source is used up before any of its blocks returns. Any stretch of the mix holds each source in
-its share up to a few blocks.
+Blocks: each source's documents are shuffled by a hash and laid end to end in a row of words, which is
+read around, block after block, until the source's target is reached; a source's number of slots is
+what its target needs, the last one cut short. Schedule: slot i of the mix gets the point frac(i * golden
+ratio), the cumulative numbers of slots say which source owns that point, and the slot's rank among the
+slots of its source says which block it takes. Any stretch of the mix holds each source in its share up to a few
+blocks. A source that has all its slots leaves later points empty; TRIES points for each slot are enough for all
+sources to get theirs. Blocks change the order of the mix, never how much is taken.
 
-Whole documents (`mixed`) follow the targets themselves: target words of each source, read around
-in its row, so that no source is too small for a block.
+Whole documents (`mixed`) are as often in the mix as its slots begin them.
 
 Ranks and running sums are distributed: they are taken within parts of a source or of the
 schedule, whose totals are summed up in a table of parts. Only the table of sources, one row
@@ -33,29 +33,37 @@ from gridpanel.llm.scratch import free_name, materialise
 
 #: Weights in the order of the sources.
 WEIGHTS = (5, 2, 1)
-#: Points are multiples of 2**-31, one step is the golden ratio's fraction in that unit, made odd.
+#: Points are multiples of 2**-31. A step is the number next to the golden ratio's fraction whose continued fraction has no
+#: term above 3, so that 5 * n points in a row leave no interval of length 1 / n empty.
 POINTS = 1 << 31
-STEP = 1327217885
+STEP = 1327220129
 WORD = r"[^\x20\x09-\x0D]+"
-#: About so many blocks make up a mix, of at least one and at most so many words.
-BLOCKS, LONGEST_BLOCK = 1 << 18, 1 << 12
+#: Words of a block; beyond 2**29 blocks in a mix, choose longer ones.
+BLOCK = 1 << 12
+#: Points for each slot of the mix.
+TRIES = 5
 PART_ROWS = 1 << 12
 SLOTS = 1 << 15
 CELLS = 1 << 10
 
 
 def measured(docs: DataFrame, row: Column | None = None) -> DataFrame:
-    """(row, doc_id, source, size): words of each text; rows are numbered here if `row` is not given."""
+    """(row, doc_id, source, size, digest): words of each text; rows are numbered here if `row` is not given."""
     return docs.select(
         (F.monotonically_increasing_id() if row is None else row).alias("row"),
         "doc_id",
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64("text").alias("digest"),
     )
 
 
 def targets(sizes: DataFrame, most: int = 3) -> DataFrame:
-    """(source, source_size, n_docs, number, target) from (doc_id, source, size)."""
+    """(source, source_size, n_docs, number, target, words) from (doc_id, source, size).
+
+    `words` is the target as a whole number, at least one word of a source that has any. One row for each source is ordered in one
+    task.
+    """
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     everything = Window.partitionBy(F.lit(0))
     by_name = everything.orderBy(F.col("source").asc_nulls_last())
@@ -72,12 +80,15 @@ def targets(sizes: DataFrame, most: int = 3) -> DataFrame:
         .withColumn("level", (F.col("total") - F.coalesce("capped", F.lit(0))) / F.col("open"))
         .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "number", "level"))).over(everything)["level"])
     )
+    target = F.least(F.col("weight") * F.col("level"), F.col("cap").cast("double"))
+    words = F.when(F.col("source_size") > 0, F.greatest(F.round(target).cast("long"), F.lit(1))).otherwise(F.lit(0))
     return weighed.select(
         "source",
         "source_size",
         "n_docs",
         "number",
-        F.least(F.col("weight") * F.col("level"), F.col("cap").cast("double")).alias("target"),
+        target.alias("target"),
+        words.cast("long").alias("words"),
     )
 
 
@@ -97,13 +108,14 @@ def laid_out(sizes: DataFrame, sources: DataFrame, seed: int = 1) -> DataFrame:
         "size",
         "number",
         "row",
+        "digest",
         F.md5(F.concat_ws("/", F.col("doc_id").cast("string"), F.lit(str(seed))).cast("binary")).alias("key"),
         n_parts.alias("n_parts"),
     ).withColumn("part", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.col("n_parts")))
     parts = _running(
         numbered.groupBy("number", "part").agg(F.sum("size").alias("words")), ["number"], "part", "words", "before"
     ).select("number", "part", "before")
-    within = Window.partitionBy("number", "part").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("number", "part").orderBy("key", "size", "digest", "row").rowsBetween(Window.unboundedPreceding, 0)
     return (
         numbered.withColumn("to", F.sum("size").over(within))
         .join(parts, ["number", "part"])
@@ -111,22 +123,20 @@ def laid_out(sizes: DataFrame, sources: DataFrame, seed: int = 1) -> DataFrame:
     )
 
 
-def schedule(sources: DataFrame, n_slots: int, block: int, most: int = 3) -> DataFrame:
-    """(slot, number, rank, block_no): which block of which source each slot of the mix takes.
+def schedule(sources: DataFrame, n_slots: int, block: int) -> DataFrame:
+    """(slot, number, rank, since, upto): the words of its source's row, read around, that each slot of the mix takes.
 
-    A slot past the last permitted pass over its source stays empty and is left out.
+    `n_slots` is the number of all sources' slots together.
     """
     spark = sources.sparkSession
     in_order = Window.partitionBy(F.lit(0)).orderBy("number")
     shares = (
-        sources.withColumn("to", F.sum("target").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("all", F.sum("target").over(Window.partitionBy(F.lit(0))))
-        .withColumn("to", F.round(F.col("to") / F.col("all") * POINTS).cast("long"))
+        sources.withColumn("quota", F.ceil(F.col("words") / block))
+        .withColumn("to", F.sum("quota").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("to", F.floor(F.col("to") / F.lit(float(max(n_slots, 1))) * POINTS).cast("long"))
         .withColumn("from", F.coalesce(F.lag("to").over(in_order), F.lit(0).cast("long")))
         .where("from < to")
-        .withColumn("n_blocks", F.ceil(F.col("source_size") / block))
-        .withColumn("allowed", F.floor(most * F.col("source_size") / block))
-        .select("number", "from", "to", "n_blocks", "allowed")
+        .select("number", "from", "to", "quota", "words")
     )
     # Points and shares meet in equal cells of the unit interval, so the join is on the cell.
     width = POINTS // CELLS
@@ -135,12 +145,12 @@ def schedule(sources: DataFrame, n_slots: int, block: int, most: int = 3) -> Dat
     )
     point = (F.col("id") % POINTS * STEP) % POINTS
     slots = (
-        spark.range(n_slots)
+        spark.range(TRIES * n_slots)
         .select(F.col("id").alias("slot"), point.alias("point"))
         .withColumn("cell", F.floor(F.col("point") / width))
         .join(cells, "cell")
         .where("point >= from and point < to")
-        .select("slot", "number", "n_blocks", "allowed", F.floor(F.col("slot") / SLOTS).alias("part"))
+        .select("slot", "number", "quota", "words", F.floor(F.col("slot") / SLOTS).alias("part"))
     )
     parts = _running(
         slots.groupBy("number", "part").agg(F.count("*").alias("n")), ["number"], "part", "n", "before"
@@ -150,59 +160,82 @@ def schedule(sources: DataFrame, n_slots: int, block: int, most: int = 3) -> Dat
         slots.withColumn("rank", F.row_number().over(within) - 1)
         .join(parts, ["number", "part"])
         .withColumn("rank", F.col("rank") + F.col("before"))
-        .where("rank < allowed or allowed = 0 and rank < n_blocks")
-        .select("slot", "number", "rank", (F.col("rank") % F.col("n_blocks")).alias("block_no"))
+        .where("rank < quota")
+        .select(
+            "slot",
+            "number",
+            "rank",
+            (F.col("rank") * block).alias("since"),
+            F.least((F.col("rank") + 1) * block, F.col("words")).alias("upto"),
+        )
     )
 
 
-def block_words(sources: DataFrame) -> tuple[int, int]:
-    """Words of a block and number of slots, from the total of all sources."""
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, min(LONGEST_BLOCK, total // BLOCKS))
-    return block, -(-total // block)
+def _places(slots: DataFrame, sources: DataFrame, block: int) -> DataFrame:
+    """(number, block_no, places): for each block of a row the ranges of words, array of (lo, hi), that slots take of it.
 
+    A slot may run over the row's end several times; as no target is above a few times its source, so are a block's ranges.
+    """
+    size = F.col("source_size")
+    passes = F.explode(F.sequence(F.floor(F.col("since") / size), F.floor((F.col("upto") - 1) / size))).alias("pass")
+    ranges = (
+        slots.join(sources.select("number", "source_size"), "number")
+        .select("number", "since", "upto", "source_size", passes)
+        .select(
+            "number",
+            F.greatest(F.col("since") - F.col("pass") * size, F.lit(0)).alias("lo"),
+            F.least(F.col("upto") - F.col("pass") * size, size).alias("hi"),
+        )
+    )
+    blocks = F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("block_no")
+    return (
+        ranges.select("number", "lo", "hi", blocks)
+        .select(
+            "number",
+            "block_no",
+            F.greatest("lo", F.col("block_no") * block).alias("lo"),
+            F.least("hi", (F.col("block_no") + 1) * block).alias("hi"),
+        )
+        .groupBy("number", "block_no")
+        .agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
+    )
 
-def mix(docs: DataFrame, most: int = 3, seed: int = 1) -> DataFrame:
-    """One row per document: size, its source's size and target, words taken and, as `copies`, passes of the target over it."""
-    return _mix(measured(docs), most, seed).drop("row")
 
+def mix(docs: DataFrame, most: int = 3, seed: int = 1, block: int = BLOCK) -> DataFrame:
+    """One row per document: size, its source's size and target, words taken and, as `copies`, how often the mix begins it."""
+    return _mix(measured(docs), most, seed, block).drop("row")
 
-def _mix(sizes: DataFrame, most: int, seed: int) -> DataFrame:
+
+def _mix(sizes: DataFrame, most: int, seed: int, block: int = BLOCK) -> DataFrame:
     sizes = materialise(sizes, "sizes")
     sources = materialise(targets(sizes, most), "sources")
-    block, n_slots = block_words(sources)
+    n_slots = sources.agg(F.sum(F.ceil(F.col("words") / block))).first()[0] or 0
     laid = materialise(laid_out(sizes, sources, seed), "laid")
-    uses = schedule(sources, n_slots, block, most).groupBy("number", "block_no").agg(F.count("*").alias("times"))
-    last = F.greatest(F.col("start") + F.col("size") - 1, F.col("start"))
+    places = _places(schedule(sources, n_slots, block), sources, block)
+    end = F.col("start") + F.col("size")
+    last = F.greatest(end - 1, F.col("start"))
     pieces = laid.withColumn(
         "block_no", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(last / block)))
     )
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block) - F.greatest(
-        F.col("start"), F.col("block_no") * block
+    overlap = F.aggregate(
+        "places",
+        F.lit(0).cast("long"),
+        lambda n, x: n + F.greatest(F.least(end, x["hi"]) - F.greatest(F.col("start"), x["lo"]), F.lit(0)),
     )
-    times = F.coalesce("times", F.lit(0).cast("long"))
+    begun = F.size(F.filter("places", lambda x: (x["lo"] <= F.col("start")) & (F.col("start") < x["hi"])))
     taken = (
-        pieces.join(uses, ["number", "block_no"], "left")
-        .groupBy("row", "doc_id", "number", "start", "size")
-        .agg(F.sum(F.greatest(overlap, F.lit(0)) * times).cast("long").alias("taken"))
+        pieces.join(places, ["number", "block_no"], "left")
+        .select("row", "doc_id", "number", "size", F.coalesce(overlap, F.lit(0)).alias("n"), F.coalesce(begun, F.lit(0)).alias("begun"))
+        .groupBy("row", "doc_id", "number", "size")
+        .agg(F.sum("n").cast("long").alias("taken"), F.sum("begun").cast("long").alias("copies"))
     )
     return taken.join(sources, "number").select(
-        "row", "doc_id", "source", "size", "source_size", "target", "taken", _passes().alias("copies")
+        "row", "doc_id", "source", "size", "source_size", "target", "taken", "copies"
     )
 
 
-def _passes() -> Column:
-    """How often the target's words, read around in the row of the source, begin the document; blocks play no part.
-
-    A source with a target has one word of it at least, so that its first document is in the mix.
-    """
-    words = F.when(F.col("target") > 0, F.greatest(F.round("target").cast("long"), F.lit(1))).otherwise(F.lit(0))
-    whole = F.floor(words / F.greatest("source_size", F.lit(1))).cast("long")
-    return whole + (F.col("start") < words - whole * F.col("source_size")).cast("long")
-
-
 def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as its source's target passes over its first word.
+    """The documents of the mix with all their columns, each as often as the mix begins it.
 
     Rows are told apart by a number, so rows that share a doc_id, or have none, have copies of their own.
     """

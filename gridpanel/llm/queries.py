@@ -103,32 +103,17 @@ with sized as (
      targets as (
        select source, number, source_size, n_docs, least(weight * chosen.level, cast(cap as double)) as target
        from levels, chosen),
-     size_of_block as (
-       select block, cast(ceil(total / block) as bigint) as n_slots
-       from (select sum(source_size) as total, greatest(1, least(4096, cast(floor(sum(source_size) / 262144) as bigint))) as block from targets)),
-     shares as (
-       select *, cast(round(sum(target) over (order by number rows unbounded preceding) / sum(target) over () * 2147483648) as bigint) as upto
-       from targets),
-     points as (select (cast(slot as hugeint) % 2147483648 * 1327217885) % 2147483648 as point from size_of_block, range(n_slots) as r(slot)),
-     used as (
-       select number, count(*) as n
-       from points join (select number, coalesce(lag(upto) over (order by number), 0) as since, upto from shares) s
-         on point >= since and point < upto
-       group by number),
-     passes as (
-       select t.*, block, cast(ceil(source_size / block) as bigint) as n_blocks,
-              least(coalesce(n, 0), case when 3 * source_size // block = 0 then cast(ceil(source_size / block) as bigint)
-                                         else 3 * source_size // block end) as n
-       from targets t cross join size_of_block left join used using (number)),
+     words as (
+       select *, case when source_size > 0 then greatest(1, cast(round(target) as bigint)) else 0 end as words from targets),
      laid as (
-       select s.doc_id, s.source, s.size, p.source_size, p.target, p.block, p.n_blocks, p.n,
+       select s.doc_id, s.source, s.size, p.source_size, p.target, p.words,
               sum(s.size) over (partition by p.number
-                order by cast('0x' || substr(key, 1, 8) as bigint) % cast(ceil(p.n_docs / 4096) as bigint), key
+                order by cast('0x' || substr(key, 1, 8) as bigint) % cast(ceil(p.n_docs / 4096) as bigint), key, s.size
                 rows unbounded preceding) - s.size as start
-       from sized s join passes p on s.source is not distinct from p.source)
+       from sized s join words p on s.source is not distinct from p.source)
 select doc_id, size, source_size, target,
-       cast(case when size = 0 then 0 else size * (n // n_blocks)
-            + greatest(0, least(start + size, n % n_blocks * block) - start) end as bigint) as taken
+       cast(case when size = 0 then 0 else size * (words // source_size)
+            + greatest(0, least(start + size, words % source_size) - start) end as bigint) as taken
 from laid"""
 
 

@@ -14,20 +14,46 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Tables written by `materialise` and not deleted yet, in order.
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, kind: str = "table") -> DataFrame:
     """Write a table once and read it back: lineage ends here, and lost executors lose nothing."""
     path = new_path(df.sparkSession, kind)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete(df: DataFrame) -> None:
-    """Remove the files of a table made by `materialise` that nothing reads any more."""
-    spark = df.sparkSession
+def _remove(spark: SparkSession, path: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {file.rpartition("/")[0].rpartition("/")[2] for file in df.inputFiles()}
+
+
+def delete(*tables: DataFrame | None) -> None:
+    """Remove the files of tables made by `materialise` that nothing reads any more."""
+    for df in tables:
+        for name in _folders(df) if df is not None else ():
+            for path in [p for p in _WRITTEN if p.rpartition("/")[2] == name]:
+                _remove(df.sparkSession, path)
+                _WRITTEN.remove(path)
+
+
+def release(spark: SparkSession, *kept: DataFrame) -> None:
+    """Remove all tables of `materialise` so far but those that `kept` reads.
+
+    For the begin of a job whose predecessors' results are written: results that are still lazy can't be read afterwards.
+    """
+    needed = {name for df in kept for name in _folders(df)}
+    for path in [p for p in _WRITTEN if p.rpartition("/")[2] not in needed]:
+        _remove(spark, path)
+        _WRITTEN.remove(path)
 
 
 def free_name(df: DataFrame, name: str) -> str:

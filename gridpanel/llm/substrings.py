@@ -228,7 +228,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents with all their columns, repeated sentences cut out, and what was done.
 
     Added: n_sentences, n_removed, and first_docs, the sorted ids of the documents that hold the
-    first occurrences of what was cut out.
+    first occurrences of what was cut out; underscores go in front of a name that the table has already.
     """
     cut_out = F.arrow_udf(_cut, "struct<text: string, n_sentences: int, n_removed: int>")
     removed = repeated_spans(docs).groupBy("doc_id", "content").agg(
@@ -245,7 +245,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     cut = names["cut"]
     return joined.select(
         *[F.col(f"{cut}.text").alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns],
-        F.col(f"{cut}.n_sentences").alias("n_sentences"),
-        F.col(f"{cut}.n_removed").alias("n_removed"),
-        F.coalesce(names["docs"], F.array().cast(kind)).alias("first_docs"),
+        F.col(f"{cut}.n_sentences").alias(free_name(docs, "n_sentences")),
+        F.col(f"{cut}.n_removed").alias(free_name(docs, "n_removed")),
+        F.coalesce(names["docs"], F.array().cast(kind)).alias(free_name(docs, "first_docs")),
     )

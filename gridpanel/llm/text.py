@@ -187,6 +187,12 @@ def groups_of_texts(offsets: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[
         at = to
 
 
+def lots(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces whose texts hold at most `most` bytes, or a single longer text."""
+    for at, to in groups_of_texts(column_bytes(batch.column(column))[1], most):
+        yield batch.slice(at, to - at)
+
+
 def nested(values: np.ndarray, lengths: list[int] | np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """A list column from concatenated values and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)

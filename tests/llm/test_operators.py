@@ -271,27 +271,35 @@ def test_rows_of_one_id_are_taken_one_by_one(spark):
     assert by == {s: pytest.approx(targets[s], abs=1) for s in "ab"}
 
 
-def test_small_sources_meet_their_targets_beside_long_blocks(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCKS", 16)
+def test_small_sources_meet_their_targets_beside_long_blocks(spark):
     sizes = {"a": 60_000, "b": 4_100, "c": 900, "d": 20}
     rows = [(i, " ".join(["w"] * 10), s) for s, n in sizes.items() for i in range(n // 10)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    sources = mixing.targets(mixing.measured(table))
-    assert mixing.block_words(sources)[0] == 4063
+    targets = {r.source: r.target for r in mixing.targets(mixing.measured(table)).collect()}
+    taken = Counter()
+    for r in mixing.mix(table, block=4063).collect():
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r.size
+    assert taken == {source: round(target) for source, target in targets.items()}
     got = Counter(r.source for r in mixing.mixed(table).collect())
-    for r in sources.collect():
-        assert 10 * got[r.source] == pytest.approx(r.target, abs=10), r
+    for source, target in targets.items():
+        assert 10 * got[source] == pytest.approx(target, abs=10)
+    # How the row is cut into blocks changes nothing.
+    assert Counter(mixing.mix(table, block=7).collect()) == Counter(mixing.mix(table, block=4063).collect())
 
 
-def test_schedule_is_even(spark, docs):
+def test_schedule_is_even_and_gives_every_slot(spark, docs):
     sources = mixing.targets(mixing.measured(docs))
-    slots = mixing.schedule(sources, 4000, 5).toPandas()
-    shares = sources.toPandas().set_index("number").target
-    shares = shares / shares.sum()
+    block = 5
+    quota = np.ceil(sources.toPandas().set_index("number").words / block)
+    n = int(quota.sum())
+    slots = mixing.schedule(sources, n, block).toPandas()
     for number, own in slots.groupby("number"):
-        held = np.searchsorted(np.sort(own.slot.to_numpy()), np.arange(0, 4001, 100))
-        assert abs(held - shares[number] * np.arange(0, 4001, 100)).max() < 8
-        assert sorted(own["rank"]) == list(range(len(own)))
+        assert sorted(own["rank"]) == list(range(int(quota[number])))
+        at = np.arange(0, n, 100)
+        held = np.searchsorted(np.sort(own.slot.to_numpy()), at)
+        assert abs(held - quota[number] / n * at).max() < 8
+    assert (slots.upto - slots.since).sum() == sources.agg(F.sum("words")).first()[0]
 
 
 # 5 sharding
