@@ -48,7 +48,7 @@ class Pyramid:
     x0: float
     y0: float
     side: float
-    reach: float | Column  # half the widest item box
+    reach: float  # half the widest item box
 
     def cell(self, level: int) -> Column:
         """Cell id of an item at a level, from its leaf coordinates."""
@@ -83,16 +83,12 @@ def _middle(low: str, high: str) -> Column:
     return (F.col(low) + F.col(high)) / 2
 
 
-def radius_grid(items: DataFrame, radius: float, levels: int = RADIUS_LEVELS, boxes: bool = False) -> Pyramid:
-    """Pyramid for searches with one radius; `boxes` says that items are more than points."""
+def radius_grid(items: DataFrame, radius: float, levels: int = RADIUS_LEVELS, reach: float = 0.0) -> Pyramid:
+    """Pyramid for searches with one radius; `reach` is half of the widest box that an item may have."""
     depth = 0
     while GLOBE_SIDE / 4 ** (depth + 1) >= radius and depth < FINEST:
         depth += 1
     depth = max(1, min(depth + levels, FINEST))
-    reach = 0.0
-    if boxes:
-        width = F.greatest(F.col("_xhi") - F.col("_xlo"), F.col("_yhi") - F.col("_ylo"))
-        reach = items.agg(F.coalesce(F.max(width), F.lit(0.0)) / 2).scalar()
     located = items.withColumns(
         {
             "_ix": _leaf(_middle("_xlo", "_xhi"), GLOBE_LOW, GLOBE_SIDE, depth),

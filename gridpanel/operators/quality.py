@@ -9,60 +9,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel.functions import scalars
-from gridpanel.operators.order_stats import exact_quantiles, grouped_statistics, ranks_of_counts
+from gridpanel.operators.order_stats import grouped_statistics, quantiles_of_counts, ranks_of_counts
+from gridpanel.session import written
+
+
+def value_table(df: DataFrame, group: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """(group, variable, number, other, n): rows per value of every column, counted in one pass.
+
+    Numbers are doubles in `number`, anything else is text in `other`; both are NULL where a value is missing. What a
+    report says of single columns follows from this table alone. `group` is named `_group`.
+    """
+    numeric = set(scalars.numeric_columns(df))
+    none = F.lit(None)
+    cells = [
+        F.struct(
+            F.lit(c).alias("variable"),
+            (F.col(f"`{c}`") if c in numeric else none).cast("double").alias("number"),
+            (none if c in numeric else F.col(f"`{c}`")).cast("string").alias("other"),
+        )
+        for c in columns or df.columns
+    ]
+    by = (F.col(f"`{group}`") if group else none.cast("string")).alias("_group")
+    return (
+        df.select(by, F.inline(F.array(*cells)))
+        .groupBy("_group", "variable", "number", "other")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def _numbers(table: DataFrame, variables: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(by, value, n) of some variables; NaN counts as missing."""
+    value = F.when(~F.isnan("number"), F.col("number") + 0.0).alias("value")
+    return table.filter(F.col("variable").isin(*variables)).groupBy(*by, value).agg(F.sum("n").alias("n"))
 
 
 def validate_panel(
-    df: DataFrame, id_col: str = "nis_rad", time_col: str = "Nof_Mths"
+    df: DataFrame, id_col: str = "nis_rad", time_col: str = "Nof_Mths", table: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """Structure (one row), columns with gaps, and range of every numeric column.
 
-    A missing id or time counts as one value; balanced means every id has every time.
+    A missing id or time counts as one value; balanced means every id has every time. `table` is the
+    value table, if it is there already.
     """
-    def values(column: str):
-        distinct = F.count_distinct(column)
-        return distinct + F.coalesce(F.max(F.col(column).isNull().cast("int")), F.lit(0))
-
-    structure = df.agg(
-        values(id_col).alias("n_individuals"),
-        values(time_col).alias("n_time_periods"),
-        F.count(F.lit(1)).alias("n_observations"),
+    if table is None:
+        table = value_table(df)
+    # Equal values of several groups are one value.
+    values = table.groupBy("variable", "number", "other").agg(F.sum("n").alias("n"))
+    per = values.groupBy("variable").agg(
+        F.count(F.lit(1)).alias("distinct"),
+        F.sum("n").alias("rows"),
+        F.sum(F.when(F.col("number").isNull() & F.col("other").isNull(), F.col("n")).otherwise(0)).alias("missing_count"),
+        F.min("number").alias("min"),
+        F.max("number").alias("max"),
+    )
+    of = lambda name, value: F.coalesce(F.max(F.when(F.col("variable") == name, F.col(value))), F.lit(0))
+    structure = per.agg(
+        of(id_col, "distinct").alias("n_individuals"),
+        of(time_col, "distinct").alias("n_time_periods"),
+        of(id_col, "rows").alias("n_observations"),
     ).withColumn(
         "is_balanced",
         F.col("n_observations") == F.col("n_individuals") * F.col("n_time_periods"),
     )
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-    missing = gaps.unpivot([], df.columns, "variable", "missing_count").filter("missing_count > 0")
     numeric = scalars.numeric_columns(df)
-    bounds = df.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("variable"),
-                    F.min(c).cast("double").alias("min"),
-                    F.max(c).cast("double").alias("max"),
-                )
-                for c in numeric
-            ]
-        ).alias("r")
-    )
     return {
         "structure": structure,
-        "missing": missing,
-        "ranges": bounds.select(F.inline("r")),
+        "missing": per.filter("missing_count > 0").select("variable", "missing_count"),
+        "ranges": per.filter(F.col("variable").isin(*numeric)).select("variable", "min", "max"),
     }
 
 
 def detect_outliers(
-    df: DataFrame, variables: Sequence[str] | None = None, multiplier: float = 1.5
+    df: DataFrame,
+    variables: Sequence[str] | None = None,
+    multiplier: float = 1.5,
+    table: DataFrame | None = None,
 ) -> DataFrame:
     """Values beyond the quartiles by more than `multiplier` interquartile ranges.
 
     The rate is over all rows, those without a value included.
     """
     variables = list(variables or scalars.numeric_columns(df))
-    long = scalars.to_long(df, variables)
-    quartiles = exact_quantiles(long, "value", {"q1": 0.25, "q3": 0.75}, ["variable"])
+    if table is None:
+        table = value_table(df, columns=variables)
+    counts = _numbers(table, variables, ["variable"])
+    quartiles = quantiles_of_counts(counts, "value", {"q1": 0.25, "q3": 0.75}, ["variable"])
     spread = multiplier * (F.col("q3") - F.col("q1"))
     fences = quartiles.select(
         "variable",
@@ -71,33 +102,31 @@ def detect_outliers(
     )
     outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
     # One row of fences per variable.
-    checked = long.join(F.broadcast(fences), "variable", "left")
-    return (
-        checked.groupBy("variable")
-        .agg(
-            F.count_if(outside).alias("n_outliers"),
-            (F.count_if(outside) / F.count(F.lit(1))).alias("outlier_rate"),
-            F.max("lower_bound").alias("lower_bound"),
-            F.max("upper_bound").alias("upper_bound"),
-        )
+    checked = counts.join(F.broadcast(fences), "variable", "left")
+    beyond = F.sum(F.when(outside, F.col("n")).otherwise(0))
+    return checked.groupBy("variable").agg(
+        beyond.alias("n_outliers"),
+        (beyond / F.sum("n")).alias("outlier_rate"),
+        F.max("lower_bound").alias("lower_bound"),
+        F.max("upper_bound").alias("upper_bound"),
     )
 
 
 def summary_stats(
-    df: DataFrame, group: str = "rural_urban", variables: Sequence[str] | None = None
+    df: DataFrame,
+    group: str = "rural_urban",
+    variables: Sequence[str] | None = None,
+    table: DataFrame | None = None,
 ) -> DataFrame:
     """Mean, median, sample deviation, minimum and maximum per variable, and rows, by group."""
     variables = list(variables or scalars.numeric_columns(df, [group]))
-    long = scalars.to_long(df, variables, [group])
-    table = grouped_statistics(
-        long,
-        "value",
-        [group, "variable"],
-        {"median": 0.5},
-        {"mean": "mean", "sd": "std", "min": "min", "max": "max", "n": "rows"},
-    )
+    if table is None:
+        table = value_table(df, group, variables)
+    stats = {"mean": "mean", "sd": "std", "min": "min", "max": "max", "n": "rows"}
+    counts = _numbers(table, variables, ["_group", "variable"])
+    found = quantiles_of_counts(counts, "value", {"median": 0.5}, ["_group", "variable"], stats)
     # Every variable has all rows of a group, so any of them counts the group.
-    wide = table.groupBy(group).agg(
+    wide = found.groupBy(F.col("_group").alias(group)).agg(
         *[
             F.max(F.when(F.col("variable") == v, F.col(s))).alias(f"{v}_{s}")
             for v in variables
@@ -166,17 +195,22 @@ def correlation_matrix(long: DataFrame) -> DataFrame:
 
 
 def quality_report(df: DataFrame, group: str = "rural_urban") -> dict[str, DataFrame]:
-    """Dimensions, panel validation, outliers, correlations, summaries and strong pairs."""
-    validation = validate_panel(df)
+    """Dimensions, panel validation, outliers, correlations, summaries and strong pairs.
+
+    The input is read twice: once for the table of values, which is written to the checkpoint folder and which all
+    parts but the correlations follow from, and once for these.
+    """
+    table = written(value_table(df, group))
     related = correlations(df)
+    first = F.col("variable") == df.columns[0]
     return {
-        "dimensions": df.agg(
-            F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns")
+        "dimensions": table.agg(
+            F.coalesce(F.sum(F.when(first, F.col("n"))), F.lit(0)).alias("rows"), F.lit(len(df.columns)).alias("columns")
         ),
-        **{f"panel_{name}": part for name, part in validation.items()},
-        "outliers": detect_outliers(df),
+        **{f"panel_{name}": part for name, part in validate_panel(df, table=table).items()},
+        "outliers": detect_outliers(df, table=table),
         "correlations": related,
-        "summary_stats": summary_stats(df, group),
+        "summary_stats": summary_stats(df, group, table=table),
         "high_correlations": related.filter(F.abs("correlation") > 0.7),
     }
 
@@ -193,7 +227,8 @@ def report_lines(report: dict[str, DataFrame]) -> DataFrame:
 
     def table(section: int, heading: str, frame: DataFrame, columns: Sequence[str]) -> DataFrame:
         """A heading and column names where the table has rows, and its rows, largest first."""
-        row = F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])
+        shown = [F.format_string("%.6f", c) if kind == "double" else F.col(c).cast("string") for c, kind in frame.dtypes if c in columns]
+        row = F.concat_ws(" ", *shown)
         body = frame.select(
             F.lit(section).alias("section"),
             F.abs(F.col(columns[-1]).cast("double")).alias("weight"),

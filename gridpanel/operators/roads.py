@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel import constants as C
@@ -25,7 +25,11 @@ def _distinct_segments(segments: DataFrame, columns: Sequence[str] = ()) -> Data
         F.when(swap, F.col("x1")).otherwise(F.col("x2")).alias("x2"),
         F.when(swap, F.col("y1")).otherwise(F.col("y2")).alias("y2"),
     )
-    return flipped.distinct().withColumns(
+    return _boxed(flipped.distinct())
+
+
+def _boxed(segments: DataFrame) -> DataFrame:
+    return segments.withColumns(
         {
             "_xlo": F.least("x1", "x2"),
             "_ylo": F.least("y1", "y2"),
@@ -35,6 +39,64 @@ def _distinct_segments(segments: DataFrame, columns: Sequence[str] = ()) -> Data
     )
 
 
+# Directions (radians) and offsets (degrees) of lines that agree so far are those of one line.
+DIRECTION_DIGITS, OFFSET_DIGITS = 9, 8
+
+
+def merged_lines(segments: DataFrame, pitch: float, columns: Sequence[str] = ()) -> DataFrame:
+    """The union of the segments of each group of `columns`: stretches that several of them cover are there once.
+
+    Segments are cut where the distance along their line passes a multiple of `pitch`. The pieces of one line and
+    stretch are intervals; in order of their beginnings, one that begins behind all ends so far opens a new
+    interval. A stretch holds a bounded length, so no task holds a whole line, and no piece is
+    longer than `pitch`. Segments without length are left out.
+    """
+    lined = _distinct_segments(segments, columns).filter("x1 != x2 or y1 != y2")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    # Ends are in order of x, then y, so a line has one direction.
+    lined = lined.withColumn("_l", F.hypot(dx, dy)).withColumns({"_ux": dx / F.col("_l"), "_uy": dy / F.col("_l")})
+    along = lambda x, y: F.col("_ux") * F.col(x) + F.col("_uy") * F.col(y)
+    lined = lined.withColumns(
+        {
+            "_turn": F.round(F.atan2("_uy", "_ux"), DIRECTION_DIGITS),
+            "_off": F.round(F.col("_ux") * F.col("y1") - F.col("_uy") * F.col("x1"), OFFSET_DIGITS),
+            "_t1": along("x1", "y1"),
+            "_t2": along("x2", "y2"),
+        }
+    )
+    cut = lined.withColumn("_k", F.explode(F.sequence(F.floor(F.col("_t1") / pitch), F.floor(F.col("_t2") / pitch))))
+
+    def end(t: Column, own: Column, x: str, y: str) -> Column:
+        """A piece's end: the segment's own, or the point where it is cut."""
+        gone = t - F.col("_t1")
+        return F.when(own, F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).otherwise(
+            F.struct((F.col("x1") + gone * F.col("_ux")).alias("x"), (F.col("y1") + gone * F.col("_uy")).alias("y"))
+        )
+
+    low, high = F.col("_k") * pitch, (F.col("_k") + 1) * pitch
+    line = [*columns, "_turn", "_off", "_k"]
+    pieces = cut.select(
+        *line,
+        F.greatest("_t1", low).alias("_from"),
+        F.least("_t2", high).alias("_to"),
+        end(low, F.col("_t1") >= low, "x1", "y1").alias("_a"),
+        end(high, F.col("_t2") <= high, "x2", "y2").alias("_b"),
+    )
+    order = Window.partitionBy(*line).orderBy("_from", "_to")
+    before = F.max("_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = F.when(before.isNull() | (F.col("_from") > before), 1).otherwise(0)
+    numbered = pieces.withColumn("_new", opened).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = numbered.groupBy(*line, "_island").agg(F.min_by("_a", "_from").alias("_a"), F.max_by("_b", "_to").alias("_b"))
+    ends = whole.select(
+        *columns,
+        F.col("_a.x").alias("x1"),
+        F.col("_a.y").alias("y1"),
+        F.col("_b.x").alias("x2"),
+        F.col("_b.y").alias("y2"),
+    )
+    return _boxed(ends)
+
+
 def _places(points: DataFrame, key: str, xy: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
     at = points.select(key, F.col(xy[0]).alias("_x"), F.col(xy[1]).alias("_y"))
     return at, pyr.spread(at.dropna(subset=["_x", "_y"]).select("_x", "_y").distinct())
@@ -76,15 +138,14 @@ def segment_length_in_buffer(
 ) -> DataFrame:
     """Length in degrees of each class within the buffer, and the classes' total.
 
-    0 where no road is near, NULL for points without coordinates. Cells wholly inside
-    a buffer add their total length; only segments of cells on the rim are clipped.
+    0 where no road is near, NULL for points without coordinates. What several roads of a class
+    cover counts once. Roads are cut to pieces no longer than the radius, so one long road widens no search. Cells wholly
+    inside a buffer add their total length; only pieces of cells on the rim are clipped.
     """
     radius = spatial.radius_degrees(meters)
     wanted = segments.filter(F.col(class_col).isin(*classes))
-    lined = _distinct_segments(wanted, [class_col]).withColumn(
-        "_len", spatial.segment_length(*ENDS)
-    )
-    grid = pyr.radius_grid(lined, radius, levels, boxes=True)
+    lined = merged_lines(wanted, radius, [class_col]).withColumn("_len", spatial.segment_length(*ENDS))
+    grid = pyr.radius_grid(lined, radius, levels, radius * (1 + 1e-9) / 2)
     at, centers = _places(points, key, xy)
     found = pyr.search(centers, grid, [], radius, spatial.INNER_SHARE["polygon"])
     items = pyr.leaf_items(grid, [class_col, "_len", *ENDS])

@@ -839,7 +839,38 @@ def _(v):
     return report["high_correlations"]
 
 
-@query("quality_report", "features")
+def _report_sql() -> str:
+    gaps = " union all ".join(
+        f"select '{x}' as variable, count(*) as n from features where {x} is null having count(*) > 0"
+        for x in ("rural_urban", *REPORT_VARS)
+    )
+    fixed = (
+        (0, 0, "'Data Quality Report'"),
+        (0, 1, "'=================='"),
+        (0, 2, "''"),
+        (0, 3, f"'Data Dimensions: ' || n_rows || ' rows x {len(REPORT_VARS) + 1} columns'"),
+        (0, 4, "''"),
+        (1, 0, "'Panel Structure:'"),
+        (1, 1, "'- Individuals: ' || ids"),
+        (1, 2, "'- Time periods: ' || times"),
+        (1, 3, "'- Balanced: ' || upper(cast(n_rows = ids * times as varchar))"),
+        (1, 4, "''"),
+    )
+    top = " union all ".join(f"select {a} as section, {b} as position, {text} as line from st" for a, b, text in fixed)
+    return f"""with ok as (select * from features where {COMPLETE_ROWS}),
+        st as (select count(*) as n_rows, count(distinct nis_rad) as ids, count(distinct Nof_Mths) as times from features),
+        ms as ({gaps}),
+        hc as (select * from ({_corr_sql('ok', REPORT_VARS)}) where abs(correlation) > 0.7)
+        {top}
+        union all select 2, 0, 'Missing Data:' where exists (from ms)
+        union all select 2, 1, 'variable missing_count' where exists (from ms)
+        union all select 2, 2, variable || ' ' || n from ms
+        union all select 3, 0, 'High Correlations (|r| > 0.7):' where exists (from hc)
+        union all select 3, 1, 'var1 var2 correlation' where exists (from hc)
+        union all select 3, 2, var1 || ' ' || var2 || ' ' || format('{{:.6f}}', correlation) from hc"""
+
+
+@query("quality_report", "features", sql=_report_sql())
 def _(v):
     rows = v("features").select("nis_rad", "Nof_Mths", "rural_urban", *QUALITY_VARS)
     return quality.report_lines(quality.quality_report(rows))

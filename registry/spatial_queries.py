@@ -182,12 +182,15 @@ def _(v):
     return roads.nearest_segment_distance(v("locations"), v("road_segments"))
 
 
-def _lengths_sql(meters: float) -> str:
-    return f"""un as (select distinct ROADCLASS, case when (x1, y1) < (x2, y2) then x1 else x2 end as x1,
+UNITED_SQL = """un as (select distinct ROADCLASS, case when (x1, y1) < (x2, y2) then x1 else x2 end as x1,
                case when (x1, y1) < (x2, y2) then y1 else y2 end as y1,
                case when (x1, y1) < (x2, y2) then x2 else x1 end as x2,
                case when (x1, y1) < (x2, y2) then y2 else y1 end as y2
-             from road_segments where ROADCLASS in ('A', 'B')),
+             from road_segments where ROADCLASS in ('A', 'B'))"""
+
+
+def _lengths_sql(meters: float, united: str = UNITED_SQL) -> str:
+    return f"""{united},
         cd as (select l.NIS_RAD, ROADCLASS, x1 - LON as ax, y1 - LAT as ay, x2 - x1 as dx, y2 - y1 as dy
              from locations l join un on least(x1, x2) <= LON + {radius(meters)}
               and greatest(x1, x2) >= LON - {radius(meters)} and least(y1, y2) <= LAT + {radius(meters)}
@@ -220,6 +223,35 @@ def _(v):
     return roads.segment_length_in_buffer(v("locations"), v("road_segments"))
 
 
+# Level roads, each with a second one that begins in its first quarter and ends behind it.
+FLAT_SQL = """select ROADCLASS, least(x1, x2) as x1, y1, greatest(x1, x2) as x2, y1 as y2 from road_segments
+              union all
+              select ROADCLASS, least(x1, x2) + abs(x2 - x1) / 4, y1, greatest(x1, x2) + abs(x2 - x1) / 2, y1
+              from road_segments where road_id % 3 < 2"""
+
+FLAT_UNION_SQL = f"""fl as ({FLAT_SQL}),
+        ob as (select *, max(x2) over (partition by ROADCLASS, y1 order by x1, x2 rows between unbounded preceding and 1 preceding) as done
+               from fl where ROADCLASS in ('A', 'B') and x1 < x2),
+        ib as (select *, sum(case when done is null or x1 > done then 1 else 0 end) over (partition by ROADCLASS, y1 order by x1, x2) as island
+               from ob),
+        un as (select ROADCLASS, min(x1) as x1, any_value(y1) as y1, max(x2) as x2, any_value(y1) as y2
+               from ib group by ROADCLASS, y1, island)"""
+
+
+@query(
+    "overlapping_road_lengths",
+    "locations",
+    "road_segments",
+    sql=f"""with {_lengths_sql(3000, FLAT_UNION_SQL)}
+            select NIS_RAD, {r('road_class_A_length')} as road_class_A_length,
+                   {r('road_class_B_length')} as road_class_B_length,
+                   {r('road_class_A_length + road_class_B_length')} as total_road_length from rl""",
+)
+def _(v):
+    flat = v.args[0].sql(FLAT_SQL.replace("road_segments", "{roads}"), roads=v("road_segments"))
+    return roads.segment_length_in_buffer(v("locations"), flat, 3000)
+
+
 @query(
     "road_features",
     "locations",

@@ -241,6 +241,25 @@ def test_lengths_equal_brute_force(spark, road_case, levels):
     assert np.allclose(got.total_road_length, total)
 
 
+def test_stretches_of_several_roads_count_once(spark):
+    x0, y0, dx, dy = 36.75, -1.25, 3 / 1024, 4 / 1024  # exact in binary
+
+    def piece(a, b, name="A"):
+        return (name, x0 + a * dx, y0 + a * dy, x0 + b * dx, y0 + b * dy)
+
+    rows = [piece(0, 2), piece(1, 3), piece(2, 1), piece(1, 1), piece(5, 6), piece(5.5, 6), piece(0, 1, "B")]
+    rows.append(("A", x0, y0 + dx, x0 + dx, y0 + dx + dy))  # beside them
+    df = spark.createDataFrame(rows, "ROADCLASS string, x1 double, y1 double, x2 double, y2 double")
+    for pitch in (1.0, 0.0071):
+        found = roads.merged_lines(df, pitch, ["ROADCLASS"]).toPandas()
+        length = np.hypot(found.x2 - found.x1, found.y2 - found.y1).groupby(found.ROADCLASS).sum()
+        assert length["A"] == pytest.approx(5 * np.hypot(dx, dy)) and length["B"] == pytest.approx(np.hypot(dx, dy))
+        assert np.hypot(found.x2 - found.x1, found.y2 - found.y1).max() <= pitch * (1 + 1e-12)
+    center = spark.createDataFrame([(1, x0, y0)], "NIS_RAD int, LON double, LAT double")
+    got = roads.segment_length_in_buffer(center, df, 20000).first()
+    assert got.road_class_A_length == pytest.approx(5 * np.hypot(dx, dy))
+
+
 def test_quick_clip_equals_all_sides(spark):
     rng = np.random.default_rng(3)
     n = 20000
