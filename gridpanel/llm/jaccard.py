@@ -226,6 +226,19 @@ def _faced(known: DataFrame, pivots: DataFrame) -> DataFrame:
     )
 
 
+def _needed(table: DataFrame, column: str, pairs: DataFrame, log2_bits: int) -> DataFrame:
+    """Rows whose `column` is an end of a pair (a, b), and few others, told by a Bloom filter before anything is shuffled."""
+    ends = bloom.build(pairs.select(F.explode(F.array("a", "b")).alias("end")), "end", log2_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            yield batch.filter(pa.array(ends.holds(keys)))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    return table.mapInArrow(run, fields)
+
+
 def _bounded(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """(a, b, total, differ) of pairs (a, b, n_a, n_b): sizes together, and how much the parts differ at least."""
     a_parts = parts.select(F.col("node").alias("a"), F.col("parts").alias("a_parts"))
@@ -355,13 +368,13 @@ def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataF
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        bounded = materialise(_bounded(pairs, leaders), "bounded")
+        bounded = materialise(_bounded(pairs, _needed(leaders, "node", pairs, log2_bits)), "bounded")
         delete(pairs)
         near = bounded.where(_NEAR)
         sets = _with_sets(docs, near, leaders, sets, log2_bits)
         measured = _far(bounded)
         if sets is not None:
-            measured = measured.union(_measured(near, sets))
+            measured = measured.union(_measured(near, _needed(sets, "class", near, log2_bits)))
         measured = materialise(measured, "measured")
         delete(bounded)
         tested = measured if tested is None else tested.union(measured)

@@ -45,13 +45,15 @@ def delete(*tables: DataFrame | None) -> None:
                 _WRITTEN.remove(path)
 
 
-def release(spark: SparkSession, *kept: DataFrame) -> None:
-    """Remove all tables of `materialise` so far but those that `kept` reads.
+def tables() -> list[str]:
+    """Paths of the tables of `materialise` that are still there."""
+    return list(_WRITTEN)
 
-    For the begin of a job whose predecessors' results are written: results that are still lazy can't be read afterwards.
-    """
-    needed = {name for df in kept for name in _folders(df)}
-    for path in [p for p in _WRITTEN if p.rpartition("/")[2] not in needed]:
+
+def release(spark: SparkSession, paths: list[str], kept: DataFrame) -> None:
+    """Remove those of the given tables that `kept` does not read."""
+    needed = _folders(kept)
+    for path in [p for p in paths if p in _WRITTEN and p.rpartition("/")[2] not in needed]:
         _remove(spark, path)
         _WRITTEN.remove(path)
 

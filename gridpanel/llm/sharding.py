@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridpanel.llm.scratch import materialise
+from gridpanel.llm.scratch import free_name, materialise
 
 PART_ROWS = 1 << 16
 LEAST_PARTS = 64
@@ -237,3 +237,20 @@ def sharded(docs: DataFrame, shards: int = 40, seed: int = 1) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of all documents."""
     rows = materialise(measured(docs), "sizes")
     return shard(rows, ["doc_id", "size", "text_crc32"], shards, seed)
+
+
+def with_shards(docs: DataFrame, shards: int = 40, seed: int = 1) -> DataFrame:
+    """The documents with all their columns, and size, text_crc32, shard and slot.
+
+    Only sizes and checksums are permuted; the rows themselves are joined once, at the end, by a number of their own. An added name
+    that the table has already gets underscores in front.
+    """
+    row = free_name(docs, "row_number")
+    held = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size")
+    slim = held.select(F.col(row).alias("row"), "doc_id", size, F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    dealt = shard(materialise(slim, "sizes"), ["doc_id", "size", "text_crc32"], shards, seed)
+    added = {c: free_name(docs, c) for c in ("size", "text_crc32", "shard", "slot")}
+    of = free_name(docs, "row_of")
+    dealt = materialise(dealt.select(F.col("row").alias(of), *[F.col(c).alias(n) for c, n in added.items()]), "dealt")
+    return held.join(dealt, held[row] == dealt[of]).drop(row, of)

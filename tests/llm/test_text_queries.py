@@ -76,7 +76,10 @@ def test_pipeline_stages_in_turn(spark):
     copies = Counter(r.doc_id for r in fourth.collect())
     assert set(copies) <= kept and max(copies.values()) <= 3
 
-    last = stage["sharding"](spark, fourth, SF).collect()
+    last = stage["sharding"](spark, fourth, SF)
+    assert last.columns == [*docs.columns, "size", "text_crc32", "shard", "slot", "law"]
+    last = last.collect()
+    assert all(r.text == texts[r.doc_id] for r in last)
     assert Counter(r.doc_id for r in last) == copies
     sizes = Counter(r.shard for r in last)
     assert max(sizes.values()) - min(sizes.get(s, 0) for s in range(40)) <= 1
