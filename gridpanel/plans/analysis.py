@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -11,6 +12,8 @@ from gridpanel import constants as C
 from gridpanel.operators import distributions, growth, panel, quality, regression, segments
 from gridpanel.operators.cleaning import within_tenure
 from gridpanel.operators.regression import Fit
+from gridpanel.plans.stages import Stages
+from gridpanel.session import written
 
 
 def prepare_datasets(
@@ -19,15 +22,16 @@ def prepare_datasets(
     sample_size: int = C.SAMPLE_SIZE,
     rural_share: float = C.RURAL_SHARE,
     seed: int = 1,
+    keep: Callable[[DataFrame], DataFrame] = written,
 ) -> dict[str, dict[str, DataFrame]]:
     """Raw, standardized and log-standardized panels, each urban, rural and combined.
 
-    The nine are filters over the sampled panel, which is kept (memory, then disk) since
+    The nine are filters over the sampled panel, which is written once (`keep`) since
     every table and model of an analysis reads it again.
     """
     cleaned = panel.prepare_panel(raw)
     sampled = panel.balanced_sample(cleaned, sample_size, rural_share, seed)
-    final = panel.merge_gcp(panel.median_dummies(sampled), gcp).persist()
+    final = keep(panel.merge_gcp(panel.median_dummies(sampled), gcp))
     logged = panel.log_transform(final)
     return {
         "raw": panel.split_by_location(final),
@@ -74,15 +78,18 @@ def location_models(name: str, parts: dict[str, DataFrame], fitter) -> dict[str,
 
 @dataclass
 class Analysis:
-    """Everything one run produces; tables are lazy."""
+    """Everything one run produces; tables are lazy, or those that the run's stages committed."""
 
     datasets: dict[str, dict[str, DataFrame]]
     quality: dict[str, DataFrame] = field(default_factory=dict)
     summary_stats: DataFrame | None = None
     plots: dict[str, DataFrame] = field(default_factory=dict)
     models: dict[str, Fit] = field(default_factory=dict)
+    coefficients: DataFrame | None = None
 
-    def model_table(self) -> DataFrame:
+    def model_table(self) -> DataFrame | None:
+        if self.coefficients is not None or not self.models:
+            return self.coefficients
         spark = self.datasets["raw"]["combined"].sparkSession
         return regression.coefficient_table(spark, self.models)
 
@@ -92,9 +99,21 @@ class Analysis:
         out |= {f"quality_{n}": t for n, t in self.quality.items()}
         if self.summary_stats is not None:
             out["summary_stats"] = self.summary_stats
-        if self.models:
-            out["models"] = self.model_table()
-        return out
+        models = self.model_table()
+        return out if models is None else out | {"models": models}
+
+
+def all_models(datasets: dict[str, dict[str, DataFrame]]) -> dict[str, Fit]:
+    """Every family of models, for urban and rural customers."""
+    scaled, logged = datasets["standardized"], datasets["log_standardized"]
+    return {
+        **regression.panel_regression(scaled["combined"]),
+        **location_models("mundlak", scaled, regression.mundlak),
+        **location_models("dummy_effects", scaled, regression.dummy_effects),
+        **location_models("interactions", scaled, regression.interactions),
+        **location_models("subsamples", scaled, regression.subsamples),
+        **location_models("mundlak_log", logged, regression.mundlak),
+    }
 
 
 def analyse(
@@ -104,27 +123,39 @@ def analyse(
     rural_share: float = C.RURAL_SHARE,
     plots: bool = True,
     regressions: bool = True,
+    folder: str | None = None,
+    models: Callable[[dict], dict[str, Fit]] = all_models,
+    only: tuple[str, ...] = ("",),
 ) -> Analysis:
-    """The whole analysis: data sets, quality, summaries, plot tables and models."""
-    datasets = prepare_datasets(raw, gcp, sample_size, rural_share)
+    """The whole analysis: data sets, quality, summaries, plot tables and models.
+
+    With `folder`, each of these is a stage that is committed there once it is written: a run that failed goes on
+    behind its last committed stage, and models are there as their table only. Use a new folder for other inputs.
+    """
+    spark = raw.sparkSession
+    stages = Stages(spark, folder) if folder else None
+
+    def stage(name: str, make: Callable[[], Mapping[str, DataFrame]]) -> dict[str, DataFrame]:
+        return stages.tables(name, make) if stages else dict(make())
+
+    def keep(panel_: DataFrame) -> DataFrame:
+        return stages.tables("panel", lambda: {"panel": panel_})["panel"] if stages else written(panel_)
+
+    datasets = prepare_datasets(raw, gcp, sample_size, rural_share, keep=keep)
     combined = datasets["raw"]["combined"]
-    run = Analysis(
-        datasets,
-        quality=quality.quality_report(combined),
-        summary_stats=quality.summary_stats(combined, variables=list(C.CONTINUOUS_VARS)),
+    run = Analysis(datasets)
+    run.quality = stage("quality", lambda: quality.quality_report(combined))
+    found = stage(
+        "summary", lambda: {"summary": quality.summary_stats(combined, variables=list(C.CONTINUOUS_VARS))}
     )
+    run.summary_stats = found["summary"]
     if plots:
-        run.plots = plot_tables(combined)
-    if regressions:
-        scaled, logged = datasets["standardized"], datasets["log_standardized"]
-        run.models = {
-            **regression.panel_regression(scaled["combined"]),
-            **location_models("mundlak", scaled, regression.mundlak),
-            **location_models("dummy_effects", scaled, regression.dummy_effects),
-            **location_models("interactions", scaled, regression.interactions),
-            **location_models("subsamples", scaled, regression.subsamples),
-            **location_models("mundlak_log", logged, regression.mundlak),
-        }
+        run.plots = stage("plots", lambda: plot_tables(combined, only=only))
+    if regressions and stages:
+        made = stage("models", lambda: {"models": regression.coefficient_table(spark, models(datasets))})
+        run.coefficients = made["models"]
+    elif regressions:
+        run.models = models(datasets)
     return run
 
 
@@ -140,13 +171,17 @@ def quick_analysis(raw: DataFrame, gcp: DataFrame, sample_size: int = 10000) ->
     )
 
 
-def plots_only(raw: DataFrame, gcp: DataFrame) -> dict[str, DataFrame]:
-    combined = prepare_datasets(raw, gcp)["raw"]["combined"]
+def plots_only(
+    raw: DataFrame, gcp: DataFrame, sample_size: int = C.SAMPLE_SIZE, rural_share: float = C.RURAL_SHARE
+) -> dict[str, DataFrame]:
+    combined = prepare_datasets(raw, gcp, sample_size, rural_share)["raw"]["combined"]
     return plot_tables(combined, only=("median_", "distribution_", "segment_fsp_dummy"))
 
 
-def regressions_only(raw: DataFrame, gcp: DataFrame) -> dict[str, Fit]:
-    scaled = prepare_datasets(raw, gcp)["standardized"]
+def regressions_only(
+    raw: DataFrame, gcp: DataFrame, sample_size: int = C.SAMPLE_SIZE, rural_share: float = C.RURAL_SHARE
+) -> dict[str, Fit]:
+    scaled = prepare_datasets(raw, gcp, sample_size, rural_share)["standardized"]
     models = {
         **regression.panel_regression(scaled["combined"]),
         **location_models("mundlak", scaled, regression.mundlak),

@@ -38,6 +38,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Tables of `written` that are still there, in order.
+_TEMPORARY: list[str] = []
+
+
+def temporary_tables() -> list[str]:
+    return list(_TEMPORARY)
+
+
+def drop_temporary(spark: SparkSession, kept: list[str]) -> None:
+    """Remove the tables of `written` but those kept; nothing may read them any more."""
+    for path in [p for p in _TEMPORARY if p not in kept]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _TEMPORARY.remove(path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The table, written once below the checkpoint folder and read back.
 
@@ -46,4 +62,5 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TEMPORARY.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

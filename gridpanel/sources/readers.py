@@ -55,6 +55,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(system.exists(hadoop))
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, if it is there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(hadoop, True)
+
+
 def union_parts(parts: Sequence[DataFrame]) -> DataFrame | None:
     """Union by name; columns a part lacks are NULL."""
     whole = None

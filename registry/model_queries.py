@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
 from gridpanel import constants as C
 from gridpanel.operators import clustering, curves, panel, regression, segments
 from gridpanel.plans import analysis
+from gridpanel.session import ensure_checkpoint_dir
 from registry.base import query, r
 from registry.panel_queries import PREPARED_SQL
 
@@ -314,6 +317,92 @@ def _(v):
     )
 
 
+# The panel of an analysis that takes every stratum whole.
+WHOLE_SQL = f"""{PREPARED_SQL}, ids as (
+              select nis_rad, rural_urban, Year_of_connection from prep group by 1, 2, 3
+              having count(*) - (max(Nof_Mths) - min(Nof_Mths)) >= 0),
+            fin as (select p.*, g.GCP from prep p join gcp g on p.nis_rad = g.nis_rad and p.Nof_Mths = g.Nof_Mths
+                  where g.GCP is not null and p.nis_rad in (select nis_rad from ids))"""
+
+
+def _whole(raw) -> dict:
+    """Sample size and rural share that take all customers."""
+    customers = panel.complete_customers(panel.prepare_panel(raw))
+    counts = {row["rural_urban"]: row["count"] for row in customers.groupBy("rural_urban").count().collect()}
+    total = sum(counts.values())
+    return {"sample_size": total, "rural_share": counts.get("Rural", 0) / total}
+
+
+_COMPLETE = " and ".join(f"{x} is not null" for x in (*C.CONTINUOUS_VARS, C.OUTCOME) if x != "GDP")
+
+@query(
+    "analysis_in_stages",
+    "features",
+    "gcp",
+    sql=f"""with {WHOLE_SQL},
+            ls as (select rural_urban, count(*) as n from fin where {_COMPLETE} group by 1)
+            select 'quality_dimensions' as part, count(*) as figure from fin
+            union all select 'summary_stats', count(distinct rural_urban) from fin
+            union all select 'plot_median_consumption', count(distinct Nof_Mths) from fin where Nof_Mths < 120
+            union all select 'plot_median_by_location', count(distinct (rural_urban, Nof_Mths)) from fin where Nof_Mths < 120
+            union all select 'plot_histogram_population', count(population) from fin
+            union all select 'models_' || m || '_' || lower(substr(rural_urban, 1, 1)), n from ls
+              cross join (select unnest(['pool', 're', 'fe']) as m)""",
+)
+def _(v):
+    # The second run finds every stage committed and reads it.
+    spark = v.args[0]
+    folder, whole = f"{ensure_checkpoint_dir(spark)}/analysis-{uuid.uuid4().hex}", _whole(v("features"))
+    run = partial(
+        analysis.analyse,
+        v("features"),
+        v("gcp"),
+        folder=folder,
+        only=("median_", "histogram_population"),
+        models=lambda data: regression.panel_regression(data["standardized"]["combined"]),
+        **whole,
+    )
+    run()
+    found = run().tables()
+    rows = lambda name: found[name].agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("figure"))
+    counted = found["plot_histogram_population"].agg(
+        F.lit("plot_histogram_population").alias("part"), F.sum("count").cast("long").alias("figure")
+    )
+    models = found["models"].groupBy(F.concat(F.lit("models_"), "model").alias("part")).agg(F.max("n").alias("figure"))
+    return (
+        found["quality_dimensions"]
+        .select(F.lit("quality_dimensions").alias("part"), F.col("rows").alias("figure"))
+        .unionByName(rows("summary_stats"))
+        .unionByName(rows("plot_median_consumption"))
+        .unionByName(rows("plot_median_by_location"))
+        .unionByName(counted)
+        .unionByName(models)
+    )
+
+
+@query(
+    "analysis_plots",
+    "features",
+    "gcp",
+    sql=f"""with {WHOLE_SQL},
+            md as (select Nof_Mths, {r('median(csmo_fact)')} as median from fin where Nof_Mths < 120 group by 1),
+            ml as (select rural_urban, Nof_Mths, {r('median(csmo_fact)')} as median from fin where Nof_Mths < 120 group by 1, 2)
+            select 'all' as rural_urban, Nof_Mths, median from md union all select * from ml""",
+)
+def _(v):
+    raw = v("features")
+    tables = analysis.plots_only(raw, v("gcp"), **_whole(raw))
+    both = tables["median_consumption"].withColumn("rural_urban", F.lit("all"))
+    both = both.unionByName(tables["median_by_location"])
+    return both.select("rural_urban", "Nof_Mths", F.col("Median").alias("median"))
+
+
+@query("analysis_models", "features", "gcp")
+def _(v):
+    raw = v("features")
+    return _table(v, analysis.regressions_only(raw, v("gcp"), **_whole(raw)))
+
+
 @query(
     "prepared_datasets",
     "features",
@@ -330,12 +419,7 @@ def _(v):
 def _(v):
     # As many customers as there are: every stratum is taken whole.
     raw = v("features")
-    customers = panel.complete_customers(panel.prepare_panel(raw))
-    sizes = customers.groupBy("rural_urban").count().collect()
-    counts = {row["rural_urban"]: row["count"] for row in sizes}
-    total = sum(counts.values())
-    share = counts.get("Rural", 0) / total
-    data = analysis.prepare_datasets(raw, v("gcp"), total, share)
+    data = analysis.prepare_datasets(raw, v("gcp"), **_whole(raw))
     return data["raw"]["combined"].groupBy("rural_urban").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("csmo_fact").alias("kwh"), F.sum("GDP").alias("gdp")
     )

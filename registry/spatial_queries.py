@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridpanel.functions import scalars
-from gridpanel.operators import proximity, raster, roads
+from gridpanel.operators import cleaning, panel, proximity, raster, roads
 from gridpanel.plans import features as plan
 from gridpanel.sources import readers
 from registry.base import query, r, yyyymm
@@ -520,3 +520,83 @@ def _(v):
         F.max("lights_mean").alias("lights_mean"),
         F.max("electrified_structures").alias("electrified_structures"),
     )
+
+
+# ---------------------------------------------------------------- from features to the panel of the analysis
+
+
+def _own_places(text: str) -> str:
+    """The SQL of a feature around billed customers' own places."""
+    return text.replace("locations l", "billed l")
+
+
+PANEL_SQL = f"""with billed as (select * from customers_all where NIS_RAD in (select nis_rad from bills)),
+    h as ({_own_places(FSP_TYPES_SQL)} {radius(500)}),
+    pv as (select NIS_RAD, count(*) filter (factype = 'LARGE') as fsp from h group by 1),
+    ts as (select l.NIS_RAD, count(*) as total from billed l
+           join (select LAT, LON from customers_all union all select LAT, LON from tx_data) s
+             on abs(s.LON - l.LON) < 0.1 and abs(s.LAT - l.LAT) < 0.1
+            and {inside_sql('s.LON - l.LON', 's.LAT - l.LAT', 500)} group by 1),
+    {_own_places(DISTANCE_SQL)}, {_own_places(_yearly_sql(500))}, {_structures_sql(500)},
+    mo as (select b.nis_rad, mths, sum(csmo_fact) as csmo_fact, max(distance_to_road) as road, max(coalesce(fsp, 0)) as fsp,
+             max(coalesce(yearly."sum", 0)) as population, max(coalesce(yearly."mean", 0)) as lights,
+             max(electrified_structures) as es, max(coalesce(total, 0)) as total
+           from (select i.*, year(f_fact) as year,
+                        cast(trunc(epoch(cast(f_fact as timestamp) - installation) / (30.436875 * 86400)) as int) as mths
+                 from bills i join customers_all c on i.nis_rad = c.NIS_RAD where installation is not null) b
+           left join pv on b.nis_rad = pv.NIS_RAD left join ts on b.nis_rad = ts.NIS_RAD left join ds on b.nis_rad = ds.NIS_RAD
+           left join yearly on b.nis_rad = yearly.nis_rad and b.year = yearly.year
+           left join es on b.nis_rad = es.nis_rad and b.period = es.period
+           where mths >= 0 group by 1, 2),
+    cal as (select nis_rad, unnest(range(min(mths), max(mths) + 1)) as mths from mo group by 1),
+    fi as (select cal.nis_rad, cal.mths, csmo_fact, {', '.join(
+        f'last_value({c} ignore nulls) over (partition by cal.nis_rad order by cal.mths rows unbounded preceding) as {c}'
+        for c in ('road', 'fsp', 'population', 'lights', 'es', 'total'))}
+           from cal left join mo on cal.nis_rad = mo.nis_rad and cal.mths = mo.mths),
+    sh as (select *, case when total > 0 then 100 * es / total end as share from fi)"""
+
+
+@query(
+    "panel_from_features",
+    "bills",
+    "fsp",
+    "road_segments",
+    "raster_pixels",
+    "customers_all",
+    "tx_data",
+    sql=f"""{PANEL_SQL}
+            select nis_rad, mths as Nof_Mths, csmo_fact, {r('road * 111.32')} as min_dist2_road, cast(fsp as double) as fsp,
+                   {r('population')} as population, {r('greatest(lights, 0)')} as Night_Lights, {r('share')} as Electrification,
+                   total as total_structs
+            from sh where nis_rad not in (select nis_rad from sh where share > 100)""",
+)
+def _(v):
+    """Features around customers' own places, assembled to bills, aligned to months of tenure and prepared."""
+    places, bills = v("customers_all"), v("bills")
+    structures = places.select("LAT", "LON").unionByName(v("tx_data").select("LAT", "LON"))
+    providers = v("fsp").withColumn("factype", F.when(F.col("factype") == "LARGE", "SACCO").otherwise(F.col("factype")))
+    sets = plan.extract_features(
+        bills,
+        places,
+        providers,
+        v("raster_pixels"),
+        v("road_segments"),
+        v("raster_pixels"),
+        places,
+        v("tx_data"),
+        structures=structures,
+    )
+    wanted = ["SACCO", "population", "distance_to_road", "lights_mean", "electrified_structures", "total_structs"]
+    table = plan.assemble_features(cleaning.add_tenure(bills, places), places, *sets.values())
+    prepared = panel.prepare_panel(plan.tenure_panel(table, wanted))
+    return prepared.select(
+        "nis_rad",
+        "Nof_Mths",
+        "csmo_fact",
+        "min_dist2_road",
+        "fsp",
+        "population",
+        "Night_Lights",
+        "Electrification",
+        "total_structs",
+    )
