@@ -11,6 +11,11 @@ hold are counted, and the order puts the rarer ones first in five steps, so that
 set of documents that share such a shingle with its first pivot: the set with the fewest rare shingles,
 which in a group of copies is one with few changes of its own, near the middle of the group.
 
+Leads. Two linked documents are left to the region of the first shingle they share. What stands before it in the order
+is not shared, so a document's place of its first region shingle bounds the size of any intersection from above: its
+`lead`. A member stays in a region only while another component has a member there whose size and lead allow a link;
+these are told by the least size and the greatest lead in each of eight bands of sizes per doubling.
+
 Join. In every region a pivot is compared with all members that no link has joined to it yet.
 Members within EPSILON join the pivot's component. Then the triangle inequality is a window: a
 member y of the pivot p's component can only link with an x outside of it if
@@ -21,9 +26,9 @@ as many at each level. No pair is ever compared within a component, so a group o
 one comparison per member, and every pair that could be a link either is compared, is excluded
 by the triangle inequality or by sizes, or lies within one component.
 
-Before sets are compared, pairs are tested against the distances to 256 further pivots: the
-counts of a set's shingles in 256 parts of the hash range change by at most one per shingle added
-or removed, so the sum of their differences bounds the symmetric difference from below.
+Before sets are compared, pairs are tested by sketches: a set's shingles are dealt into parts by their hash,
+four or more parts to a shingle, and one bit tells whether a part holds an odd number of them. A
+shingle added or removed turns one bit, so the number of bits that differ bounds the symmetric difference from below.
 
 Equal sets are one class from the start. Sets are 64-bit hashes. Only the sets of pairs that pass the
 bounds are computed again and written, from one document of each class; a Bloom
@@ -49,7 +54,10 @@ from gridpanel.llm.scratch import delete, free_name, materialise
 
 SHINGLE = 5
 EPSILON = 0.25
-PARTS = 256
+#: Bits of the longest sketch, as a power of 2.
+LOG2_SKETCH = 15
+#: Tokens passed on at once.
+LOT = 1 << 20
 #: Occurrences that make a shingle commoner by one step; what COMMON texts of a batch hold is counted.
 STEPS = (3, 12, 48, 192, 768)
 COMMON = STEPS[0]
@@ -76,13 +84,13 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _prefix(shingles: np.ndarray, common: list[bloom.Bloom]) -> tuple[np.ndarray, int]:
-    """The necessary shingles of a set, first in the order (how common, hash), and how many of all are rare."""
+    """The necessary shingles of a set in the order (how common, hash), and how many of all are rare."""
     n = len(shingles)
     length = n - -(-3 * n // 4) + 1 if n else 0
     step = np.zeros(n, np.int8)
     for filter_ in common:
         step += filter_.holds(shingles)
-    return shingles[np.sort(np.argsort(step, kind="stable")[:length])], int((step == 0).sum())
+    return shingles[np.argsort(step, kind="stable")[:length]], int((step == 0).sum())
 
 
 def _longs(hashes: np.ndarray) -> pa.Array:
@@ -111,17 +119,6 @@ def _counted(sets: list[np.ndarray]) -> pa.RecordBatch:
     )
 
 
-def _prefixes(common: list[bloom.Bloom]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (lot for whole in batches for lot in text.lots(whole, 0)):
-            out = [np.zeros(0, np.uint64)]
-            for _, found in _sets(batch.column(0)):
-                out.append(_prefix(found, common)[0])
-            yield pa.RecordBatch.from_arrays([_longs(np.concatenate(out))], names=["h"])
-
-    return run
-
-
 def _class(shingles: np.ndarray) -> int:
     """A hash of the set; sets are sorted."""
     import xxhash
@@ -129,44 +126,77 @@ def _class(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-def _parts(shingles: np.ndarray) -> np.ndarray:
-    """Shingles in each part of the hash range, 127 at most, which keeps differences from growing."""
-    part = (shingles >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
-    return np.minimum(np.bincount(part, minlength=PARTS), 127)
+def _sketch(shingles: np.ndarray) -> bytes:
+    """One bit for each part of the hashes: whether it holds an odd number of shingles."""
+    bits = 1 << min(max((4 * len(shingles)).bit_length(), 8), LOG2_SKETCH)
+    part = (shingles & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(part, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def _documents(common: list[bloom.Bloom], shared: bloom.Bloom):
-    """(doc_id, class, n, rare, tokens, parts): necessary shingles that another document may have, too."""
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, total, differ): bits of the pairs' sketches that differ; halves of a longer one are added first."""
+    for batch in batches:
+        differ = np.zeros(len(batch), np.int64)
+        for i, (one, other) in enumerate(zip(batch.column(3), batch.column(4))):
+            x, y = np.frombuffer(one.as_buffer(), np.uint8), np.frombuffer(other.as_buffer(), np.uint8)
+            x, y = (x, y) if len(x) >= len(y) else (y, x)
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            differ[i] = np.bitwise_count(x ^ y).sum()
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(differ)], names=["a", "b", "total", "differ"])
+
+
+def _documents(common: list[bloom.Bloom]):
+    """(doc_id, class, n, rare, tokens, sketch): tokens are the necessary shingles in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (lot for whole in batches for lot in text.lots(whole, 1)):
-            classes, sizes, rares, tokens, counts = [], [], [], [], []
+            classes, sizes, rares, tokens, sketches = [], [], [], [], []
             for _, found in _sets(batch.column(1)):
                 prefix, rare = _prefix(found, common)
-                prefix = prefix[shared.holds(prefix)]
                 classes.append(_class(found))
                 sizes.append(len(found))
                 rares.append(rare)
                 tokens.append(prefix)
-                counts.append(_parts(found) if len(prefix) else ())
-            none = np.zeros(0, np.uint64)
+                sketches.append(_sketch(found))
+            flat = np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(classes, pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array(rares, pa.int64()),
-                    text.nested(np.concatenate([none, *tokens]).view(np.int64), [len(t) for t in tokens], pa.int64()),
-                    text.nested(
-                        np.concatenate([np.zeros(0, np.int8), *counts]).astype(np.int8), [len(c) for c in counts], pa.int8()
-                    ),
+                    text.nested(flat, [len(t) for t in tokens], pa.int64()),
+                    pa.array(sketches, pa.binary()),
                 ],
-                names=["doc_id", "class", "n", "rare", "tokens", "parts"],
+                names=["doc_id", "class", "n", "rare", "tokens", "sketch"],
             )
 
     return run
 
 
+def _shared_tokens(shared: bloom.Bloom):
+    """(h, node, n, rare, lead) of tokens that another document may have, too, from (class, n, rare, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            hashes = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            node, n, rare = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for lo, hi in text.groups_of_texts(ends, LOT):
+                found = hashes[ends[lo] : ends[hi]]
+                held = np.flatnonzero(shared.holds(found.view(np.uint64)))
+                row = np.repeat(np.arange(lo, hi), lengths[lo:hi])[held]
+                lead = n[row] - (held + ends[lo] - ends[row])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in (found[held], node[row], n[row], rare[row], lead)],
+                    names=["h", "node", "n", "rare", "lead"],
+                )
+
+    return run
+
+
 def _needed_sets(needed: bloom.Bloom):
     """(class, shingles) of documents whose key the filter holds."""
 
@@ -187,13 +217,40 @@ def _needed_sets(needed: bloom.Bloom):
     return run
 
 
+#: Linked sets of n and m shingles share 3/7 of n + m at least.
+_LINKABLE = "7 * least({lead}, {other_lead}) >= 3 * ({n} + {other_n})"
+
+
 def _regions(tokens: DataFrame) -> DataFrame:
-    """(region, node, n, rare): documents that share a necessary shingle, by its first pivot."""
+    """(region, node, n, rare, lead): documents that share a necessary shingle, by its first pivot."""
     first = tokens.groupBy("h").agg(
-        F.count("*").alias("size"), F.min(F.struct("rare", "n", "node")).alias("first")
+        F.count("*").alias("size"),
+        F.min(F.struct("rare", "n", "node")).alias("first"),
+        F.min("n").alias("least_n"),
+        F.max("lead").alias("most_lead"),
+    )
+    first = first.where("size > 1").select("h", F.col("first.node").alias("region"), "least_n", "most_lead")
+    first = materialise(first, "regions")
+    # A partner has three quarters of the size at least.
+    linkable = _LINKABLE.format(lead="lead", other_lead="most_lead", n="n", other_n="greatest(least_n, 0.75 * n)")
+    found = tokens.join(first, "h").where(linkable)
+    return found.groupBy("region", "node", "n", "rare").agg(F.max("lead").alias("lead"))
+
+
+def _linkable(members: DataFrame) -> DataFrame:
+    """Members that may link with one of another component of their region, as far as sizes and leads tell."""
+    bands = members.groupBy("region", F.floor(8 * F.log2("n")).alias("band")).agg(
+        F.min("n").alias("other_n"), F.max("lead").alias("other_lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
-    first = materialise(first.where("size > 1").select("h", F.col("first.node").alias("region")), "regions")
-    return tokens.join(first, "h").select("region", "node", "n", "rare").distinct()
+    regions = bands.groupBy("region").agg(
+        F.collect_list(F.struct("other_n", "other_lead", "lo", "hi")).alias("bands"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+    )
+    regions = materialise(regions.where("lo != hi").select("region", "bands"), "active")
+    linkable = _LINKABLE.format(lead="lead", other_lead="s.other_lead", n="n", other_n="s.other_n")
+    other = f"exists(bands, s -> (s.lo != comp or s.hi != comp) and {linkable})"
+    return members.join(regions, "region").where(other).drop("bands")
 
 
 def _pivots(known: DataFrame, wanted: int) -> DataFrame:
@@ -228,7 +285,8 @@ def _faced(known: DataFrame, pivots: DataFrame) -> DataFrame:
 
 def _needed(table: DataFrame, column: str, pairs: DataFrame, log2_bits: int) -> DataFrame:
     """Rows whose `column` is an end of a pair (a, b), and few others, told by a Bloom filter before anything is shuffled."""
-    ends = bloom.build(pairs.select(F.explode(F.array("a", "b")).alias("end")), "end", log2_bits)
+    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
+    ends = bloom.build(ends, "end", log2_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,13 +297,13 @@ def _needed(table: DataFrame, column: str, pairs: DataFrame, log2_bits: int) ->
     return table.mapInArrow(run, fields)
 
 
-def _bounded(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b, total, differ) of pairs (a, b, n_a, n_b): sizes together, and how much the parts differ at least."""
-    a_parts = parts.select(F.col("node").alias("a"), F.col("parts").alias("a_parts"))
-    b_parts = parts.select(F.col("node").alias("b"), F.col("parts").alias("b_parts"))
-    differ = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
-    joined = pairs.join(b_parts, "b").join(a_parts, "a")
-    return joined.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), differ.alias("differ"))
+def _bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, total, differ) of pairs (a, b, n_a, n_b): sizes together, and how much the sets differ at least."""
+    a_sketch = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("a_sketch"))
+    b_sketch = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("b_sketch"))
+    joined = pairs.join(b_sketch, "b").join(a_sketch, "a")
+    joined = joined.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), "a_sketch", "b_sketch")
+    return joined.mapInArrow(_differ, "a bigint, b bigint, total bigint, differ bigint")
 
 
 #: Linked pairs differ in a seventh of their sizes together at most.
@@ -253,7 +311,7 @@ _NEAR = "total >= 7 * differ"
 
 
 def _far(bounded: DataFrame) -> DataFrame:
-    """(a, b, d, exact, linked) of pairs that the parts exclude; d is a lower bound."""
+    """(a, b, d, exact, linked) of pairs that the sketches exclude; d is a lower bound."""
     most = (F.col("total") - F.col("differ")) / 2
     lower = 1 - most / (F.col("total") - most)
     return bounded.where(f"not {_NEAR}").select(
@@ -283,10 +341,10 @@ def _measured(near: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    members = members.select("region", "node", "n", "rare")
+    members = members.select("region", "node", "n", "rare", "lead")
     if labels is None:
         return members.withColumn("comp", F.col("node"))
-    return members.join(labels, "node", "left").select("region", "node", "n", "rare", F.coalesce("comp", "node").alias("comp"))
+    return members.join(labels, "node", "left").select(*members.columns, F.coalesce("comp", "node").alias("comp"))
 
 
 def _left(known: DataFrame, pivots: DataFrame, faced: DataFrame, tested: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -317,7 +375,7 @@ def _left(known: DataFrame, pivots: DataFrame, faced: DataFrame, tested: DataFra
         .distinct()
     )
     gone = materialise(gone, "gone")
-    left = materialise(known.select("region", "node", "n", "rare").join(gone, ["region", "node"], "left_anti"), "members")
+    left = materialise(known.drop("comp").join(gone, ["region", "node"], "left_anti"), "members")
     delete(rows, gone, nearest)
     return left
 
@@ -327,38 +385,34 @@ def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataF
     counted = docs.select("text").mapInArrow(_common, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     counted = materialise(counted, "common")
     common = [bloom.build(counted.where(F.col("n") >= least), "h", log2_bits) for least in STEPS]
-    prefixes = docs.select("text").mapInArrow(_prefixes(common), "h bigint").groupBy("h").agg(F.count("*").alias("rows"))
-    shared = bloom.build(materialise(prefixes.where("rows > 1").select("h"), "shared"), "h", log2_bits)
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = materialise(
         docs.select("doc_id", "text").mapInArrow(
-            _documents(common, shared), f"doc_id {kind}, class bigint, n bigint, rare bigint, tokens array<bigint>, parts array<tinyint>"
+            _documents(common), f"doc_id {kind}, class bigint, n bigint, rare bigint, tokens array<bigint>, sketch binary"
         ),
         "documents",
     )
     delete(counted)
-    tokens = materialise(
-        base.select(F.explode("tokens").alias("h"), F.col("class").alias("node"), "n", "rare").distinct(), "tokens"
+    rows = base.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count("*").alias("rows"))
+    held = materialise(rows.where("rows > 1").select("h"), "shared")
+    shared = bloom.build(held, "h", log2_bits)
+    delete(held)
+    tokens = base.select("class", "n", "rare", "tokens").mapInArrow(
+        _shared_tokens(shared), "h bigint, node bigint, n bigint, rare bigint, lead bigint"
     )
+    tokens = materialise(tokens.distinct(), "tokens")
     members = materialise(_regions(tokens), "members")
     delete(tokens)
     nodes = members.select("node").distinct()
     leaders = materialise(
-        base.where("size(parts) > 0")
-        .groupBy(F.col("class").alias("node"))
-        .agg(F.min("doc_id").alias("doc_id"), F.any_value("parts").alias("parts"))
+        base.groupBy(F.col("class").alias("node"))
+        .agg(F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch"))
         .join(nodes, "node", "left_semi"),
         "leaders",
     )
     labels, sets, tested, level = None, None, None, 0
     while True:
-        known = _labelled(members, labels)
-        active = (
-            known.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-        )
-        known = materialise(
-            known.join(materialise(active.select("region"), "active"), "region", "left_semi"), "known"
-        )
+        known = materialise(_linkable(_labelled(members, labels)), "known")
         if known.isEmpty():
             break
         delete(members)
