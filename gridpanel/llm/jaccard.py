@@ -14,7 +14,8 @@ which in a group of copies is one with few changes of its own, near the middle o
 Leads. Two linked documents are left to the region of the first shingle they share. What stands before it in the order
 is not shared, so a document's place of its first region shingle bounds the size of any intersection from above: its
 `lead`. A member stays in a region only while another component has a member there whose size and lead allow a link;
-these are told by the least size and the greatest lead in each of eight bands of sizes per doubling.
+these are told by the least size and the greatest lead in each of BANDS bands of sizes per doubling, some
+thousand bands at most.
 
 Join. In every region a pivot is compared with all members that no link has joined to it yet.
 Members within EPSILON join the pivot's component. Then the triangle inequality is a window: a
@@ -56,12 +57,15 @@ SHINGLE = 5
 EPSILON = 0.25
 #: Bits of the longest sketch, as a power of 2.
 LOG2_SKETCH = 15
+BANDS = 64
 #: Tokens passed on at once.
 LOT = 1 << 20
 #: Occurrences that make a shingle commoner by one step; what COMMON texts of a batch hold is counted.
 STEPS = (3, 12, 48, 192, 768)
 COMMON = STEPS[0]
 LOG2_BITS = 24
+#: Bits of the largest filter, 32 MB, as a power of 2.
+MOST_BITS = 28
 
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -223,13 +227,15 @@ _LINKABLE = "7 * least({lead}, {other_lead}) >= 3 * ({n} + {other_n})"
 
 def _regions(tokens: DataFrame) -> DataFrame:
     """(region, node, n, rare, lead): documents that share a necessary shingle, by its first pivot."""
+    # Copies are rows of one node, so that a shingle is shared where two nodes hold it.
     first = tokens.groupBy("h").agg(
-        F.count("*").alias("size"),
         F.min(F.struct("rare", "n", "node")).alias("first"),
+        F.min("node").alias("lo"),
+        F.max("node").alias("hi"),
         F.min("n").alias("least_n"),
         F.max("lead").alias("most_lead"),
     )
-    first = first.where("size > 1").select("h", F.col("first.node").alias("region"), "least_n", "most_lead")
+    first = first.where("lo != hi").select("h", F.col("first.node").alias("region"), "least_n", "most_lead")
     first = materialise(first, "regions")
     # A partner has three quarters of the size at least.
     linkable = _LINKABLE.format(lead="lead", other_lead="most_lead", n="n", other_n="greatest(least_n, 0.75 * n)")
@@ -239,7 +245,7 @@ def _regions(tokens: DataFrame) -> DataFrame:
 
 def _linkable(members: DataFrame) -> DataFrame:
     """Members that may link with one of another component of their region, as far as sizes and leads tell."""
-    bands = members.groupBy("region", F.floor(8 * F.log2("n")).alias("band")).agg(
+    bands = members.groupBy("region", F.floor(BANDS * F.log2("n")).alias("band")).agg(
         F.min("n").alias("other_n"), F.max("lead").alias("other_lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
     regions = bands.groupBy("region").agg(
@@ -254,21 +260,23 @@ def _linkable(members: DataFrame) -> DataFrame:
 
 
 def _pivots(known: DataFrame, wanted: int) -> DataFrame:
-    """(region, pivot, pivot_n, pivot_comp): `wanted` members of each region, those of small components first."""
+    """(region, pivot, pivot_n, pivot_lead, pivot_comp): `wanted` members of each region, those of small components first."""
     sizes = materialise(known.groupBy("region", "comp").agg(F.count("*").alias("size")), "sizes")
     order = Window.partitionBy("region").orderBy("size", "rare", "n", "node")
     return (
         known.join(sizes, ["region", "comp"])
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= wanted)
-        .select("region", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp"))
+        .withColumnsRenamed({"node": "pivot", "n": "pivot_n", "lead": "pivot_lead", "comp": "pivot_comp"})
+        .select("region", "pivot", "pivot_n", "pivot_lead", "pivot_comp")
     )
 
 
 def _faced(known: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(region, pivot, node, a, b, n_a, n_b, low): members of other components than the pivot's.
+    """(region, pivot, node, a, b, n_a, n_b, low, linkable): members of other components than the pivot's.
 
-    (a, b) is the pair in order, `low` a lower bound of its distance from the sizes.
+    (a, b) is the pair in order, `low` a lower bound of its distance from the sizes; leads do not bound the distance,
+    but a pair that is not `linkable` by them is no link, or one of another region.
     """
     first = F.col("pivot") < F.col("node")
     return known.join(pivots, "region").where("comp != pivot_comp").select(
@@ -280,6 +288,7 @@ def _faced(known: DataFrame, pivots: DataFrame) -> DataFrame:
         F.when(first, F.col("pivot_n")).otherwise(F.col("n")).alias("n_a"),
         F.when(first, F.col("n")).otherwise(F.col("pivot_n")).alias("n_b"),
         (1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")).alias("low"),
+        F.expr(_LINKABLE.format(lead="lead", other_lead="pivot_lead", n="n", other_n="pivot_n")).alias("linkable"),
     )
 
 
@@ -395,12 +404,14 @@ def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataF
     delete(counted)
     rows = base.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count("*").alias("rows"))
     held = materialise(rows.where("rows > 1").select("h"), "shared")
-    shared = bloom.build(held, "h", log2_bits)
+    # Sixteen bits a shingle keep most others out, up to MOST_BITS; a fuller filter lets more rows into the regions' shuffles.
+    wide = min(max(log2_bits, (16 * held.count()).bit_length()), MOST_BITS)
+    shared = bloom.build(held, "h", wide)
     delete(held)
     tokens = base.select("class", "n", "rare", "tokens").mapInArrow(
         _shared_tokens(shared), "h bigint, node bigint, n bigint, rare bigint, lead bigint"
     )
-    tokens = materialise(tokens.distinct(), "tokens")
+    tokens = materialise(tokens, "tokens")
     members = materialise(_regions(tokens), "members")
     delete(tokens)
     nodes = members.select("node").distinct()
@@ -418,7 +429,7 @@ def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataF
         delete(members)
         pivots = materialise(_pivots(known, 4 << level if level else 1), "pivots")
         faced = materialise(_faced(known, pivots), "faced")
-        pairs = faced.where(F.col("low") <= EPSILON).select("a", "b", "n_a", "n_b").distinct()
+        pairs = faced.where((F.col("low") <= EPSILON) & F.col("linkable")).select("a", "b", "n_a", "n_b").distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
