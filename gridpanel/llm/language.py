@@ -46,6 +46,8 @@ CALIBRATED, FOLDS = 10, 5
 #: Characters never seen share the weight of one in so many.
 ALPHABET = 1 << 10
 PIECE = 1 << 19
+#: Texts that are held as strings at once.
+LOT = 256
 SPACE = 32
 NONE = "und"
 
@@ -172,10 +174,10 @@ class Model:
         if n_langs:
             for lo, hi in _lots([len(p) for p in pieces]):
                 joined = np.concatenate([x for p in pieces[lo:hi] for x in (pad, p)])
-                logp = self.log_probabilities(joined).astype(np.float64)
+                logp = self.log_probabilities(joined)
                 at = len(pad)
                 for p, owner in zip(pieces[lo:hi], owners[lo:hi]):
-                    own = logp[at + 1 : at + len(p)]  # the leading space is given
+                    own = logp[at + 1 : at + len(p)].astype(np.float64)  # the leading space is given
                     sums[owner] += own.sum(axis=0)
                     squares[owner] += np.einsum("ij,ij->j", own, own)
                     at += len(p) + len(pad)
@@ -347,7 +349,7 @@ def predictor(model: Model):
 
     @F.arrow_udf(_RESULT)
     def predict(column: pa.Array) -> pa.Array:
-        rows = shipped.value.score(column.to_pylist())
+        rows = [row for at in range(0, len(column), LOT) for row in shipped.value.score(column.slice(at, LOT).to_pylist())]
         columns = list(zip(*rows)) if rows else [[]] * 6
         kinds = [pa.string(), pa.float64(), pa.bool_(), pa.float64(), pa.float64(), pa.int64()]
         names = ["lang", "score", "rejected", "entropy", "spread", "n"]
