@@ -46,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel.llm import bloom, text
@@ -130,24 +130,12 @@ def _class(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-def _sketch(shingles: np.ndarray) -> bytes:
-    """One bit for each part of the hashes: whether it holds an odd number of shingles."""
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each part of the hashes: whether it holds an odd number of shingles; 64 bits to a number."""
     bits = 1 << min(max((4 * len(shingles)).bit_length(), 8), LOG2_SKETCH)
     part = (shingles & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits((np.bincount(part, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, total, differ): bits of the pairs' sketches that differ; halves of a longer one are added first."""
-    for batch in batches:
-        differ = np.zeros(len(batch), np.int64)
-        for i, (one, other) in enumerate(zip(batch.column(3), batch.column(4))):
-            x, y = np.frombuffer(one.as_buffer(), np.uint8), np.frombuffer(other.as_buffer(), np.uint8)
-            x, y = (x, y) if len(x) >= len(y) else (y, x)
-            while len(x) > len(y):
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            differ[i] = np.bitwise_count(x ^ y).sum()
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(differ)], names=["a", "b", "total", "differ"])
+    odd = (np.bincount(part, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
 
 
 def _documents(common: list[bloom.Bloom]):
@@ -171,7 +159,7 @@ def _documents(common: list[bloom.Bloom]):
                     pa.array(sizes, pa.int64()),
                     pa.array(rares, pa.int64()),
                     text.nested(flat, [len(t) for t in tokens], pa.int64()),
-                    pa.array(sketches, pa.binary()),
+                    text.nested(np.concatenate([np.zeros(0, np.int64), *sketches]), [len(k) for k in sketches], pa.int64()),
                 ],
                 names=["doc_id", "class", "n", "rare", "tokens", "sketch"],
             )
@@ -311,8 +299,19 @@ def _bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     a_sketch = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("a_sketch"))
     b_sketch = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("b_sketch"))
     joined = pairs.join(b_sketch, "b").join(a_sketch, "a")
-    joined = joined.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), "a_sketch", "b_sketch")
-    return joined.mapInArrow(_differ, "a bigint, b bigint, total bigint, differ bigint")
+
+    def as_short(name: str, other: str) -> Column:
+        """A sketch as long as the other one: sizes of a pair allow for one halving, which adds the halves' bits."""
+        half = F.size(name) / 2
+        halves = [F.slice(name, start, half.cast("int")) for start in (F.lit(1), (half + 1).cast("int"))]
+        halved = F.zip_with(*halves, lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(name) > F.size(other), halved).otherwise(F.col(name))
+
+    turned = F.zip_with(
+        as_short("a_sketch", "b_sketch"), as_short("b_sketch", "a_sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")
+    )
+    differ = F.aggregate(turned, F.lit(0).cast("long"), lambda s, x: s + x)
+    return joined.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), differ.alias("differ"))
 
 
 #: Linked pairs differ in a seventh of their sizes together at most.
@@ -397,7 +396,7 @@ def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = materialise(
         docs.select("doc_id", "text").mapInArrow(
-            _documents(common), f"doc_id {kind}, class bigint, n bigint, rare bigint, tokens array<bigint>, sketch binary"
+            _documents(common), f"doc_id {kind}, class bigint, n bigint, rare bigint, tokens array<bigint>, sketch array<bigint>"
         ),
         "documents",
     )
