@@ -46,6 +46,8 @@ CALIBRATED, FOLDS = 10, 5
 #: Characters never seen share the weight of one in so many.
 ALPHABET = 1 << 10
 PIECE = 1 << 19
+#: Characters of several texts that are scored together; a longer text is scored by itself, in parts of PIECE.
+GROUP = 1 << 16
 #: Texts that are held as strings at once.
 LOT = 256
 SPACE = 32
@@ -157,7 +159,7 @@ class Model:
         for value in values:
             group.append(characters(value))
             total += len(group[-1]) + self.order
-            if total > PIECE:
+            if total > GROUP:
                 out += self._score_group(group)
                 group, total = [], 0
         return out + self._score_group(group)
@@ -200,7 +202,7 @@ class Model:
 def _lots(lengths: list[int]) -> Iterator[tuple[int, int]]:
     at, total = 0, 0
     for i, n in enumerate(lengths):
-        if total and total + n > PIECE:
+        if total and total + n > GROUP:
             yield at, i
             at, total = i, 0
         total += n
