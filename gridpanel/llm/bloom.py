@@ -49,9 +49,9 @@ def build(df: DataFrame, column: str, log2_bits: int = 22) -> Bloom:
         .select(at.alias("at"))
         .groupBy(F.shiftright("at", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-        .toPandas()
+        .toArrow()
     )
     bits = np.zeros(1 << (log2_bits - 6), dtype=np.uint64)
     if len(words):
-        bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+        bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return Bloom(bits, log2_bits)
