@@ -24,11 +24,17 @@ TOP, FINE, LAST = 48, 36, 18
 FULL = 1 << 16
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join in which NULL keys match each other; keys of the left side are kept."""
+def null_safe_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", merge: bool = False
+) -> DataFrame:
+    """Equi-join in which NULL keys match each other; keys of the left side are kept.
+
+    `merge` keeps both sides from being broadcast. Before a count has run, Spark takes its size from that of the
+    compressed columns it reads, which may be a tenth of its rows and less.
+    """
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
     condition = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
-    joined = left.join(renamed, reduce(Column.__and__, condition), how)
+    joined = left.join(renamed.hint("merge") if merge else renamed, reduce(Column.__and__, condition), how)
     return joined.drop(*[f"_r_{c}" for c in on])
 
 
@@ -141,7 +147,7 @@ def _ranges(counts: DataFrame, by: Sequence[str], wanted: Mapping[str, Column] |
     top = top.filter(none | (F.col("_top").isNotNull() & _holds(F.col("_first"), F.col("_in"), wanted)))
     top = top.select(*by, "_top", "_first", *STATISTICS)
     fine = fine.select(*by, "_top", "_at", "_in", "_distinct", "_within")
-    both = null_safe_join(fine, top, [*by, "_top"], "inner").withColumn("_before", F.col("_first") + F.col("_within"))
+    both = null_safe_join(fine, top, [*by, "_top"], "inner", merge=True).withColumn("_before", F.col("_first") + F.col("_within"))
     return both.filter(F.col("_at").isNull() | _holds(F.col("_before"), F.col("_in"), wanted)).drop(
         "_top", "_first", "_within"
     )
@@ -152,7 +158,7 @@ STATISTICS = ("rows", "total", "mean", "std", "min", "max")
 
 def _split(counts: DataFrame, full: DataFrame, by: Sequence[str], wanted: Mapping[str, Column] | None) -> DataFrame:
     """The digits of 18 more bits, `_at`, within full ones, with the same columns."""
-    kids = null_safe_join(counts, full.drop("_in", "_distinct"), [*by, "_at"], "inner")
+    kids = null_safe_join(counts, full.drop("_in", "_distinct"), [*by, "_at"], "inner", merge=True)
     kids = kids.groupBy(*by, "_at", F.shiftright("_key", LAST).alias("_next")).agg(
         F.sum("n").alias("_in"), *[F.max(c).alias(c) for c in ("_before", *STATISTICS)]
     )
@@ -178,7 +184,7 @@ def _located(
 
     def summed(counts: DataFrame, digits: DataFrame) -> DataFrame:
         digits = digits.select(*by, "_at", "_before", *STATISTICS)
-        kept = null_safe_join(counts.drop("_top", "_key"), digits, [*by, "_at"], "inner")
+        kept = null_safe_join(counts.drop("_top", "_key"), digits, [*by, "_at"], "inner", merge=True)
         within = Window.partitionBy(*by, "_at").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
         return kept.withColumn("cum", F.col("_before") + F.sum("n").over(within)).select(
             *by, "_v", "n", "cum", *[F.col(s).alias(f"_{s}") for s in STATISTICS]

@@ -176,7 +176,8 @@ def _rank_moments(rows: DataFrame, variables: Sequence[str], pairs) -> DataFrame
     ranked = counted
     for v in variables:
         counts = counted.groupBy(v).agg(F.sum("_n").alias("n"))
-        ranked = ranked.join(ranks_of_counts(counts, v, f"_rank_{v}"), v)
+        # A row per different value, which no size read from the input's columns tells: never broadcast.
+        ranked = ranked.join(ranks_of_counts(counts, v, f"_rank_{v}").hint("merge"), v)
     off = {v: F.col(f"_rank_{v}") - F.col("_middle") for v in variables}
     return ranked.withColumn("_middle", middle).agg(
         *[(F.sum(F.col("_n") * off[a] * off[b]) / F.sum("_n")).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)],

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -354,3 +356,19 @@ def test_deviation_of_large_close_values(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": values}))
     got = order_stats.grouped_statistics(df, "x", [], {"m": 0.5}, {"s": "std", "a": "mean"}).first()
     assert got.s == pytest.approx(np.std(values, ddof=1), rel=1e-6) and got.a == values.mean()
+
+
+def joins_of(df):
+    """Kinds of joins in the plan before it runs, as Spark chooses them from the sizes of files."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return set(re.findall(r"(BroadcastHash|SortMerge|ShuffledHash)Join", plan))
+
+
+def test_counts_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    rows = [("a", float(i)) for i in range(5)] + [("b", 7.0), (None, 1.0)]
+    spark.createDataFrame(rows, "g string, v double").write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    found = order_stats.exact_quantiles(read, "v", {"m": 0.5}, ["g"])
+    assert joins_of(found) == {"SortMerge"}
+    assert {(r["g"], r["m"]) for r in found.collect()} == {("a", 2.0), ("b", 7.0), (None, 1.0)}
+    assert joins_of(quality.correlations(read.withColumn("w", F.col("v") * 2), ["v", "w"], "spearman")) == {"SortMerge"}
