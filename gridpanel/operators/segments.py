@@ -16,6 +16,7 @@ from gridpanel.operators.order_stats import (
     quantiles_of_counts,
     value_counts,
 )
+from gridpanel.session import written
 
 
 def consumption_summary(df: DataFrame, by: str = "nis_rad", value: str = "csmo_fact") -> DataFrame:
@@ -40,8 +41,13 @@ def consumption_tiers(
     value: str = "Mean_Kwh",
     out: str = "segment",
 ) -> DataFrame:
-    """Low up to the first cut, Medium up to the second, else High; NULL stays NULL."""
-    limits = exact_quantiles(summary, value, {"c0": cuts[0], "c1": cuts[1]})
+    """Low up to the first cut, Medium up to the second, else High; NULL stays NULL.
+
+    The summary and its limits are written when this is called: quantiles name their input several times, so those of
+    quantiles of a summary that itself consists of quantiles would make a plan that grows with the product of all.
+    """
+    summary = written(summary)
+    limits = written(exact_quantiles(summary, value, {"c0": cuts[0], "c1": cuts[1]}))
     limits = limits.select(F.struct("c0", "c1").alias("cuts")).scalar()
     tier = (
         F.when(F.col(value) <= limits["c0"], "Low")

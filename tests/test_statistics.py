@@ -372,3 +372,11 @@ def test_counts_of_a_small_file_are_not_broadcast(spark, tmp_path):
     assert joins_of(found) == {"SortMerge"}
     assert {(r["g"], r["m"]) for r in found.collect()} == {("a", 2.0), ("b", 7.0), (None, 1.0)}
     assert joins_of(quality.correlations(read.withColumn("w", F.col("v") * 2), ["v", "w"], "spearman")) == {"SortMerge"}
+
+
+def test_segments_of_tiers_keep_their_plan_small(spark):
+    bills = spark.createDataFrame([(i, 3, float(i)) for i in range(1, 11)], "nis_rad long, Nof_Mths int, csmo_fact double")
+    tiers = segments.consumption_tiers(segments.consumption_summary(bills))
+    assert len(tiers._jdf.queryExecution().analyzed().toString().splitlines()) < 40
+    report = {r.segment: (r.customer_count, r.median_consumption) for r in segments.segment_report(bills, tiers).collect()}
+    assert report == {"Low": (3, 2.0), "Medium": (4, 5.5), "High": (3, 9.0)}
