@@ -10,6 +10,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridpanel.session import written
+
 
 def scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns to mean 0 and population deviation 1; constants to 0."""
@@ -48,7 +50,9 @@ def kmeans_scan(
     """
     columns = list(columns)
     rows = df.select(key, *columns).dropna(subset=columns)
-    scaled = scale(rows, columns)
+    # Written, so that each of many short rounds takes as many tasks as the rows' bytes need, not one per shuffle partition
+    # of what made them; in order of keys, so that the draws meet rows in the same order in every run.
+    scaled = written(scale(rows, columns).orderBy(key))
     data = VectorAssembler(inputCols=columns, outputCol="features").transform(scaled)
     data = data.select(key, "features", *columns).persist()
     scores, labels = [], []

@@ -380,3 +380,9 @@ def test_segments_of_tiers_keep_their_plan_small(spark):
     assert len(tiers._jdf.queryExecution().analyzed().toString().splitlines()) < 40
     report = {r.segment: (r.customer_count, r.median_consumption) for r in segments.segment_report(bills, tiers).collect()}
     assert report == {"Low": (3, 2.0), "Medium": (4, 5.5), "High": (3, 9.0)}
+
+
+def test_rounds_of_clustering_take_few_tasks(spark):
+    df = spark.createDataFrame([(i, float(i), float(i % 3)) for i in range(30)], "nis_rad long, a double, b double").repartition(64)
+    _, labels = clustering.kmeans_scan(df, ["a", "b"], ks=[1])
+    assert labels.rdd.getNumPartitions() < 64 and labels.count() == 30
