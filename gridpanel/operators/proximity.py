@@ -44,7 +44,7 @@ def _weights_around(
     inside = spatial.INSIDE_TESTS[shape](
         F.col("_xlo") - F.col("_x"), F.col("_ylo") - F.col("_y"), F.col("_r")
     )
-    hits = found.join(targets, ["_lvl", "_cell", "_whole"]).filter(F.col("_whole") | inside)
+    hits = found.join(pyr.unbroadcast(targets), ["_lvl", "_cell", "_whole"]).filter(F.col("_whole") | inside)
     return hits.groupBy("_x", "_y", *by).agg(F.sum(weight).alias(weight))
 
 
@@ -78,7 +78,7 @@ def count_in_radius(
     centers = at.dropna(subset=["_x", "_y"]).select("_x", "_y").distinct()
     counts = _weights_around(centers, places, meters, shape, groups, "n", levels)
     if by and not pivot:
-        return at.join(counts, ["_x", "_y"]).select(key, by, "n")
+        return at.join(pyr.unbroadcast(counts), ["_x", "_y"]).select(key, by, "n")
     if by:
         if values is None:
             # The groups of the points, not of the hits; each becomes a column.
@@ -88,7 +88,7 @@ def count_in_radius(
         names = [c for c in wide.columns if c not in ("_x", "_y")]
     else:
         wide, names = counts, ["n"]
-    joined = at.join(wide, ["_x", "_y"], "left")
+    joined = at.join(pyr.unbroadcast(wide), ["_x", "_y"], "left")
     return joined.select(key, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in names])
 
 
@@ -125,13 +125,13 @@ def points_in_buffer(
         F.col("_xlo") - F.col("_x"), F.col("_ylo") - F.col("_y"), F.col("_r")
     )
     items = pyr.leaf_items(grid, [*names, "_xlo", "_ylo"])
-    return found.join(items, ["_lvl", "_cell", "_whole"]).filter(inside).select(key, *names)
+    return found.join(pyr.unbroadcast(items), ["_lvl", "_cell", "_whole"]).filter(inside).select(key, *names)
 
 
 def match_transformers(customers: DataFrame, transformers: DataFrame) -> DataFrame:
     """Customers standing on a transformer's exact coordinates, once per transformer."""
     sites = transformers.groupBy("LAT", "LON").agg(F.count(F.lit(1)).alias("_tx"))
-    matched = customers.join(sites, ["LAT", "LON"])
+    matched = customers.join(pyr.unbroadcast(sites), ["LAT", "LON"])
     return matched.withColumn("_tx", F.explode(F.sequence(F.lit(1), F.col("_tx")))).drop("_tx")
 
 
@@ -143,11 +143,11 @@ def _structure_weights(
     matches = (
         customers.groupBy("LAT", "LON", *by)
         .agg(F.count(F.lit(1)).alias("_c"))
-        .join(sites, ["LAT", "LON"])
+        .join(pyr.unbroadcast(sites), ["LAT", "LON"])
         .select("LAT", "LON", *by, (F.col("_c") * F.col("n")).alias("n"))
     )
     labels = transformers.select(F.col("tx_id").alias("_tx"))
-    others = customers.join(labels, F.col("NIS_RAD") == F.col("_tx"), "left_anti")
+    others = customers.join(pyr.unbroadcast(labels), F.col("NIS_RAD") == F.col("_tx"), "left_anti")
     if first:
         others = others.groupBy("LAT", "LON").agg(F.min(first).alias(first))
     else:
@@ -204,7 +204,7 @@ def electrified_structures(
     around = _weights_around(
         centers, additions, meters, "polygon", ["installation"], "n", levels
     )
-    steps = at.join(around, ["_x", "_y"]).select(
+    steps = at.join(pyr.unbroadcast(around), ["_x", "_y"]).select(
         "nis_rad", F.col("installation").alias("period"), "n", F.lit(False).alias("_asked")
     )
     zeros = asked.select("nis_rad", "period", F.lit(0).alias("n"), F.lit(True).alias("_asked"))

@@ -39,6 +39,15 @@ BOX = ("_xlo", "_ylo", "_xhi", "_yhi")
 SLACK = 1.0 + 1e-12
 
 
+def unbroadcast(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data, kept from being broadcast.
+
+    Before a join has run, Spark takes a side's size from the compressed columns that it reads, without the copies that
+    explode makes of its rows.
+    """
+    return side.hint("merge")
+
+
 @dataclass(frozen=True)
 class Pyramid:
     """Items with their leaf coordinates `_ix`, `_iy` and box columns."""
@@ -70,7 +79,7 @@ class Pyramid:
         leaves = self.items.groupBy("_ix", "_iy").agg(*box)
         parent = self.cell(level - 1).alias("_parent")
         nodes = leaves.groupBy(parent, self.cell(level).alias("_child")).agg(*box)
-        return F.broadcast(nodes) if level <= BROADCAST_LEVELS else nodes
+        return F.broadcast(nodes) if level <= BROADCAST_LEVELS else unbroadcast(nodes)
 
 
 def _leaf(value: Column, low: float, side: float, depth: int) -> Column:
@@ -107,7 +116,7 @@ class Tree:
 
     def level(self, level: int) -> DataFrame:
         cells = self.split.filter(F.col("_lvl") == level).select(F.col("_cell").alias("_parent"), "_kids")
-        return F.broadcast(cells) if level < TREE_BROADCAST else cells
+        return F.broadcast(cells) if level < TREE_BROADCAST else unbroadcast(cells)
 
 
 # A cell of the tree is its level and its two coordinates at that level in one long.
@@ -176,7 +185,7 @@ def tree_bound(centers: DataFrame, tree: Tree) -> DataFrame:
 
     upper = tree.split.filter(F.col("_lvl") < TREE_BROADCAST)
     lower = tree.split.filter(F.col("_lvl") >= TREE_BROADCAST)
-    found = bounds(top, F.broadcast(upper)).union(bounds(rest, lower))
+    found = bounds(top, F.broadcast(upper)).union(bounds(rest, unbroadcast(lower)))
     return found.groupBy("_x", "_y").agg((F.sqrt(F.min("_far")) * SLACK).alias("_r"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridpanel import constants as C
 from gridpanel.functions import dates, scalars, spatial
+from gridpanel.operators.pyramid import unbroadcast
 
 ALL_STATS = ("mean", "sum", "max", "min", "std", "median", "pixels_count", "pixels_nonzero")
 
@@ -174,7 +175,7 @@ def zonal_stats(
     if max_valid is not None:
         valid = valid & (value <= max_valid)
     rows = pixel_rows(pixels.filter(valid), side, on_year)
-    met = tiled.join(rows, [*on_year, "_tx", "_ty"]).filter(F.abs(F.col("lat_c") - F.col("_y")) <= slack)
+    met = tiled.join(unbroadcast(rows), [*on_year, "_tx", "_ty"]).filter(F.abs(F.col("lat_c") - F.col("_y")) <= slack)
     met = met.withColumns({f"_p{i}": _piece(spatial.radius_degrees(size)) for i, size in enumerate(sizes)})
     # The largest buffer holds the others.
     met = met.filter(F.col(f"_p{len(sizes) - 1}.n") > 0)
@@ -185,7 +186,7 @@ def zonal_stats(
         for name in stats
     }
     summed = met.groupBy("_x", "_y", *on_year).agg(*[c.alias(n) for n, c in columns.items()])
-    joined = at.join(summed, ["_x", "_y", *on_year], "left")
+    joined = at.join(unbroadcast(summed), ["_x", "_y", *on_year], "left")
     located = F.col("_x").isNotNull() & F.col("_y").isNotNull()
     return joined.select(
         key,

@@ -119,11 +119,11 @@ def nearest_segment_distance(
     at, centers = _places(points, key, xy)
     found = pyr.tree_leaves(pyr.tree_bound(centers, tree), tree)
     nearest = (
-        found.join(pyr.tree_items(tree, ENDS), "_cell")
+        found.join(pyr.unbroadcast(pyr.tree_items(tree, ENDS)), "_cell")
         .groupBy("_x", "_y")
         .agg(F.min(spatial.segment_distance("_x", "_y", *ENDS)).alias(out))
     )
-    return at.join(nearest, ["_x", "_y"], "left").select(key, out)
+    return at.join(pyr.unbroadcast(nearest), ["_x", "_y"], "left").select(key, out)
 
 
 def segment_length_in_buffer(
@@ -150,7 +150,7 @@ def segment_length_in_buffer(
     found = pyr.search(centers, grid, [], radius, spatial.INNER_SHARE["polygon"])
     items = pyr.leaf_items(grid, [class_col, "_len", *ENDS])
     targets = pyr.with_totals(items, grid, radius, [class_col], "_len")
-    hits = found.join(targets, ["_lvl", "_cell", "_whole"])
+    hits = found.join(pyr.unbroadcast(targets), ["_lvl", "_cell", "_whole"])
     clipped = spatial.with_clipped_length(hits, "_clip", "_x", "_y", "_r", ENDS)
     hits = clipped.withColumn(
         "_part", F.when(F.col("_whole"), F.col("_len")).otherwise(F.col("_clip"))
@@ -159,7 +159,7 @@ def segment_length_in_buffer(
     sums = hits.groupBy("_x", "_y").agg(
         *[F.sum(F.when(F.col(class_col) == c, F.col("_part"))).alias(n) for c, n in names.items()]
     )
-    joined = at.join(sums, ["_x", "_y"], "left")
+    joined = at.join(pyr.unbroadcast(sums), ["_x", "_y"], "left")
     located = F.col("_x").isNotNull() & F.col("_y").isNotNull()
     filled = joined.select(
         key, *[F.when(located, F.coalesce(F.col(n), F.lit(0.0))).alias(n) for n in names.values()]
@@ -179,4 +179,4 @@ def road_features(
     lengths = segment_length_in_buffer(points, segments, key=key, **kwargs)
     if kind == "lengths":
         return lengths
-    return nearest_segment_distance(points, segments, key).join(lengths, key, "left")
+    return nearest_segment_distance(points, segments, key).join(pyr.unbroadcast(lengths), key, "left")

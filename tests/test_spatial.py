@@ -390,3 +390,21 @@ def test_pixels_at_the_edge_and_unknown_values(spark):
     )
     rows = {r.NIS_RAD: (r.X, r.Y, r.classification, r.binary) for r in got.collect()}
     assert rows == {1: (959, 1215, "Rural", "Rural"), 2: (0, 0, None, "Urban")}
+
+
+def test_growing_sides_of_small_files_are_not_broadcast(spark, tmp_path):
+    """Only the tree's upper levels are; sizes of files say nothing of copies that explode makes."""
+    roads_at, points_at = str(tmp_path / "roads"), str(tmp_path / "points")
+    spark.createDataFrame([("A", 36.0, -1.0, 36.01, -1.0)], "ROADCLASS string, x1 double, y1 double, x2 double, y2 double").write.parquet(roads_at)
+    spark.createDataFrame([(1, -1.001, 36.005)], "NIS_RAD long, LAT double, LON double").write.parquet(points_at)
+    points, segments = spark.read.parquet(points_at), spark.read.parquet(roads_at)
+
+    def broadcasts(df):
+        return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+    nearest = roads.nearest_segment_distance(points, segments)
+    lengths = roads.segment_length_in_buffer(points, segments)
+    assert broadcasts(nearest) <= pyramid.TREE_BROADCAST + 1 and broadcasts(lengths) == 0
+    assert broadcasts(proximity.points_in_buffer(points, points, 500)) == 0
+    assert nearest.first()["distance_to_road"] == pytest.approx(0.001)
+    assert lengths.first()["total_road_length"] == pytest.approx(0.01)
