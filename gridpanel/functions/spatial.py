@@ -109,16 +109,61 @@ def _share_by_sides() -> Column:
     )
 
 
+def _with_crossings(df: DataFrame) -> DataFrame:
+    """Add `_in` and `_out`, where between 0 and 1 a segment with `_ring` enters and leaves the polygon; not in order if it doesn't."""
+    step = 2 * math.pi / C.BUFFER_SIDES
+    ring, pick = F.col("_ring"), lambda column: F.when(F.col("_ring"), column).otherwise(0.0)
+    at = df.withColumn("_root", pick(F.sqrt("_do"))).withColumns(
+        {
+            "_t0": pick((-F.col("_root") - F.col("_ad")) / F.col("_dd")),
+            "_t1": pick((F.col("_root") - F.col("_ad")) / F.col("_dd")),
+            # Towards larger or smaller angles.
+            "_turn": F.when(F.col("_ax") * F.col("_dy") - F.col("_ay") * F.col("_dx") < 0, -1.0).otherwise(1.0),
+        }
+    )
+
+    def middle(t: str) -> Column:
+        """Angle of the middle of the side where the line meets the outer circle."""
+        angle = F.atan2(F.col("_ay") + F.col(t) * F.col("_dy"), F.col("_ax") + F.col(t) * F.col("_dx"))
+        return pick((F.floor(angle / step) + 0.5) * step)
+
+    at = at.withColumns({"_m0": middle("_t0"), "_m1": middle("_t1")})
+    at = at.withColumns({f"_{f}{i}": pick(fn(f"_m{i}")) for i in (0, 1) for f, fn in (("c", F.cos), ("s", F.sin))})
+    turn, cos, sin = F.col("_turn"), math.cos(step), math.sin(step)
+    sides = {}
+    for i, back in ((0, 1.0), (1, -1.0)):
+        c, s = F.col(f"_c{i}"), F.col(f"_s{i}")
+        # The side itself and that of the sector further inside, by turning its normal.
+        normals = (c, s), (c * cos - back * turn * s * sin, s * cos + back * turn * c * sin)
+        for j, (nx, ny) in enumerate(normals):
+            sides[f"_v{i}{j}"] = nx * F.col("_dx") + ny * F.col("_dy")
+            sides[f"_w{i}{j}"] = F.col("_h") - (nx * F.col("_ax") + ny * F.col("_ay"))
+    at = at.withColumns(sides)
+
+    def hit(i: int, j: int) -> Column:
+        speed, room = F.col(f"_v{i}{j}"), F.col(f"_w{i}{j}")
+        if i == 0:
+            return F.when(speed < 0, room / speed).otherwise(0.0)
+        # A line along a side and outside of it never is in the polygon.
+        return F.when(speed > 0, room / speed).when((speed == 0) & (room < 0), -1.0).otherwise(1.0)
+
+    return at.withColumns(
+        {
+            "_in": F.when(ring, F.greatest(F.lit(0.0), F.col("_t0"), hit(0, 0), hit(0, 1))),
+            "_out": F.when(ring, F.least(F.lit(1.0), F.col("_t1"), hit(1, 0), hit(1, 1))),
+        }
+    )
+
+
 def with_clipped_length(
     df: DataFrame, out: str, px: str, py: str, radius: str, ends: Sequence[str], grazing=True
 ) -> DataFrame:
     """Add the length of the part of each segment inside the buffer polygon around (px, py).
 
-    The segment is a + t * d, t in [0, 1], around the centre. A line that cuts the
-    polygon's inner circle enters through a side between the points where it meets the
-    outer and the inner circle, which lie in the same or in neighbouring sectors; only
-    those two sides are looked at, and two more for the exit. Lines that graze the rim
-    are bounded by all sides. `grazing=False` bounds every segment by all sides.
+    A segment with both ends in the polygon's inner circle counts whole, one that stays outside the outer circle
+    not at all. Another one is a + t * d, t in [0, 1], around the centre: its line passes the ring between the two
+    circles within half a sector's angle on each way, so the side of the sector where it meets the outer circle and that of
+    the sector before it (on the way out; behind it on the way in) bound it. `grazing=False` bounds every segment by all sides.
     """
     step = 2 * math.pi / C.BUFFER_SIDES
     x1, y1, x2, y2 = (F.col(c) for c in ends)
@@ -139,54 +184,19 @@ def with_clipped_length(
             "_aa": F.col("_ax") * F.col("_ax") + F.col("_ay") * F.col("_ay"),
         }
     )
-    squared = F.col("_ad") * F.col("_ad")
-    at = at.withColumns(
-        {
-            "_do": squared - F.col("_dd") * (F.col("_aa") - F.col(radius) * F.col(radius)),
-            "_di": squared - F.col("_dd") * (F.col("_aa") - F.col("_h") * F.col("_h")),
-        }
-    )
-    outer, inner = (F.sqrt(F.greatest(F.lit(0.0), F.col(n))) for n in ("_do", "_di"))
-
-    def sector(root: Column) -> Column:
-        t = (root - F.col("_ad")) / F.when(F.col("_dd") > 0, F.col("_dd"))
-        angle = F.atan2(F.col("_ay") + t * F.col("_dy"), F.col("_ax") + t * F.col("_dx"))
-        return F.floor(angle / step)
-
-    def bound(k: Column) -> Column:
-        nx, ny = F.cos((k + 0.5) * step), F.sin((k + 0.5) * step)
-        speed = nx * F.col("_dx") + ny * F.col("_dy")
-        room = F.col("_h") - (nx * F.col("_ax") + ny * F.col("_ay"))
-        return F.struct(speed.alias("speed"), (room / F.when(speed != 0, speed)).alias("hit"))
-
-    # As arrays: written out, the generated method would be too long for the JVM to compile.
-    at = at.withColumn("_k", F.transform(F.array(-outer, -inner, inner, outer), sector))
-    at = at.withColumn("_b", F.transform("_k", bound))
-
-    def hit(i: int) -> Column:
-        side = F.get("_b", F.lit(i))
-        ahead = side["speed"] < 0 if i < 2 else side["speed"] > 0
-        return F.when(ahead, side["hit"])
-
-    def gap(first: int, second: int) -> Column:
-        turn = F.get("_k", F.lit(second)) - F.get("_k", F.lit(first))
-        return F.pmod(turn, F.lit(C.BUFFER_SIDES))
-
-    near = (0, 1, C.BUFFER_SIDES - 1)
-    clear = (
-        (F.col("_di") > 0)
-        & gap(0, 1).isin(*near)
-        & gap(2, 3).isin(*near)
-        & F.coalesce(hit(0), hit(1)).isNotNull()
-        & F.coalesce(hit(2), hit(3)).isNotNull()
-    )
-    entry = F.greatest(F.lit(0.0), F.greatest(hit(0), hit(1)))
-    leave = F.least(F.lit(1.0), F.least(hit(2), hit(3)))
-    easy = F.greatest(F.lit(0.0), leave - entry)
+    at = at.withColumn("_do", F.col("_ad") * F.col("_ad") - F.col("_dd") * (F.col("_aa") - F.col(radius) * F.col(radius)))
     share = F.when(F.col("_do").isNull() | (F.col("_do") <= 0), F.lit(0.0))
-    if grazing:
-        share = share.when(F.coalesce(clear, F.lit(False)), easy)
-    share = share.otherwise(_share_by_sides())
+    if not grazing:
+        return at.withColumn(out, share.otherwise(_share_by_sides()) * F.sqrt("_dd")).select(*keep, out)
+    # Square of the distance of the far end, which is a + d.
+    bb = F.col("_aa") + 2 * F.col("_ad") + F.col("_dd")
+    reach_sq, inner_sq = F.col(radius) * F.col(radius), F.col("_h") * F.col("_h") * (1 - 1e-12)
+    behind = (F.col("_ad") >= 0) & (F.col("_aa") >= reach_sq)
+    ahead = (F.col("_ad") + F.col("_dd") <= 0) & (bb >= reach_sq)
+    share = share.when(behind | ahead, F.lit(0.0)).when((F.col("_aa") < inner_sq) & (bb < inner_sq), F.lit(1.0))
+    at = at.withColumn("_easy", share)
+    at = _with_crossings(at.withColumn("_ring", F.col("_easy").isNull()))
+    share = F.coalesce("_easy", F.greatest(F.lit(0.0), F.col("_out") - F.col("_in")))
     return at.withColumn(out, share * F.sqrt("_dd")).select(*keep, out)
 
 
