@@ -38,14 +38,14 @@ def _weights_around(
     """
     radius = spatial.radius_degrees(meters)
     grid = pyr.radius_grid(_boxed(points, "_px", "_py", [*by, weight]), radius, levels)
-    found = pyr.search(pyr.spread(centers), grid, [], radius, spatial.INNER_SHARE[shape])
-    items = pyr.leaf_items(grid, [*by, weight, "_xlo", "_ylo"])
-    targets = pyr.with_totals(items, grid, radius, by, weight)
+    found = pyr.search_items(pyr.spread(centers), grid, [], radius, spatial.INNER_SHARE[shape], by, [weight], weight)
     inside = spatial.INSIDE_TESTS[shape](
-        F.col("_xlo") - F.col("_x"), F.col("_ylo") - F.col("_y"), F.col("_r")
+        F.col("_item._xlo") - F.col("_x"), F.col("_item._ylo") - F.col("_y"), F.col("_r")
+    )
+    hits = found.filter(F.col("_whole") | inside)
+    return hits.groupBy("_x", "_y", *by).agg(
+        F.sum(F.when(F.col("_whole"), F.col("_sum")).otherwise(F.col(f"_item.{weight}"))).alias(weight)
     )
-    hits = found.join(pyr.unbroadcast(targets), ["_lvl", "_cell", "_whole"]).filter(F.col("_whole") | inside)
-    return hits.groupBy("_x", "_y", *by).agg(F.sum(weight).alias(weight))
 
 
 def count_in_radius(
@@ -120,12 +120,11 @@ def points_in_buffer(
     at = centers.dropna(subset=list(left_xy)).select(
         key, F.col(left_xy[0]).alias("_x"), F.col(left_xy[1]).alias("_y")
     )
-    found = pyr.search(pyr.spread(at), grid, [key], radius)
+    found = pyr.search_items(pyr.spread(at), grid, [key], radius, spatial.INNER_SHARE[shape], [], names)
     inside = spatial.INSIDE_TESTS[shape](
-        F.col("_xlo") - F.col("_x"), F.col("_ylo") - F.col("_y"), F.col("_r")
+        F.col("_item._xlo") - F.col("_x"), F.col("_item._ylo") - F.col("_y"), F.col("_r")
     )
-    items = pyr.leaf_items(grid, [*names, "_xlo", "_ylo"])
-    return found.join(pyr.unbroadcast(items), ["_lvl", "_cell", "_whole"]).filter(inside).select(key, *names)
+    return found.filter(F.col("_whole") | inside).select(key, *[F.col(f"_item.`{n}`").alias(n) for n in names])
 
 
 def match_transformers(customers: DataFrame, transformers: DataFrame) -> DataFrame:

@@ -34,6 +34,8 @@ TREE_LEVELS, TREE_BITS, TREE_BROADCAST = 7, 4, 2
 GLOBE_LOW, GLOBE_SIDE, FINEST = -180.0, 360.0, 15
 # Levels below the one whose cells are about as wide as the radius: 16 to 64 cells across it.
 RADIUS_LEVELS = 3
+# Items that one row of a block holds, in expectation.
+BLOCK_ITEMS = 4096
 BOX = ("_xlo", "_ylo", "_xhi", "_yhi")
 # Pruning must not lose a point to rounding.
 SLACK = 1.0 + 1e-12
@@ -243,8 +245,9 @@ def search(
     keep: Sequence[str],
     radius: float,
     inner_share: float | None = None,
+    deepest: int | None = None,
 ) -> DataFrame:
-    """Cells within reach of every center (`_x`, `_y`).
+    """Cells within reach of every center (`_x`, `_y`), of the last level or of `deepest`.
 
     Result columns: `keep`, `_x`, `_y`, `_r`, `_lvl`, `_cell`, `_whole`. Leaf cells whose items must be
     tested have `_whole` false. With `inner_share`, cells below the start level that lie
@@ -266,7 +269,7 @@ def search(
     front = front.select(
         *at, F.lit(start).alias("_lvl"), "_cell", F.lit(False).alias("_whole")
     )
-    for level in range(start + 1, pyramid.depth + 1):
+    for level in range(start + 1, (pyramid.depth if deepest is None else deepest) + 1):
         near = spatial.box_min_sq("_x", "_y", *BOX) <= reach_sq
         nodes = pyramid.nodes(level)
         match = F.col("_cell") == F.col("_parent")
@@ -289,6 +292,60 @@ def search(
     return front
 
 
+def _blocks(pyramid: Pyramid, level: int, by: Sequence[str], columns: Sequence[str], weight: str | None) -> DataFrame:
+    """(`_cell`, `by`, box, `_sum`, `_kids`): cells of a level with all below them, nested down to the items.
+
+    A row holds the items of one group, some BLOCK_ITEMS of them; a cell of more has several rows, by a hash of the places.
+    """
+    boxes = [F.min("_xlo").alias("_xlo"), F.min("_ylo").alias("_ylo"), F.max("_xhi").alias("_xhi"), F.max("_yhi").alias("_yhi")]
+    total = F.sum(weight) if weight else F.count(F.lit(1))
+    items = pyramid.items.withColumn("_cell", pyramid.cell(level))
+    counts = items.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ITEMS).alias("_rows"))
+    row = F.pmod(F.xxhash64(*BOX), F.col("_rows"))
+    key = ["_cell", "_row", *by]
+    nested = items.join(unbroadcast(counts), "_cell").withColumn("_row", row).repartition(*key)
+    item = F.struct(*dict.fromkeys([*columns, *BOX]))
+    nested = nested.groupBy(*key, "_ix", "_iy").agg(F.collect_list(item).alias("_kids"), total.alias("_sum"), *boxes)
+    for _ in range(level, pyramid.depth):
+        up = [F.shiftright(i, 2).alias(i) for i in ("_ix", "_iy")]
+        kid = F.struct(*BOX, "_sum", "_kids")
+        nested = nested.groupBy(*key, *up).agg(F.collect_list(kid).alias("_kids"), F.sum("_sum").alias("_sum"), *boxes)
+    return nested.select("_cell", *by, *BOX, "_sum", "_kids")
+
+
+def search_items(
+    centers: DataFrame,
+    pyramid: Pyramid,
+    keep: Sequence[str],
+    radius: float,
+    inner_share: float,
+    by: Sequence[str],
+    columns: Sequence[str],
+    weight: str | None = None,
+) -> DataFrame:
+    """Items in cells within reach of every center: `keep`, `_x`, `_y`, `_r`, `by`, `_whole`, `_sum` and the struct `_item`.
+
+    Centers are joined with cells a level below the start level, which carry what lies below them, so no step further down is
+    shuffled: a center meets some dozen cells there, but thousands of leaves. Where `_whole` is true, the item is inside for
+    certain; with `weight`, the rest of a cell that is inside then comes as one row with the sum of its weights and no item.
+    """
+    level = min(start_level(pyramid, radius) + 1, pyramid.depth)
+    at = [*keep, "_x", "_y", "_r"]
+    front = search(centers, pyramid, keep, radius, deepest=level).select(*at, "_cell")
+    near = spatial.box_min_sq("_x", "_y", *BOX) <= F.col("_r") * F.col("_r") * SLACK
+    inner = spatial.box_max_sq("_x", "_y", *BOX) < F.col("_r") * F.col("_r") * (inner_share**2) / SLACK
+    found = front.join(unbroadcast(_blocks(pyramid, level, by, columns, weight)), "_cell")
+    found = found.filter(near).withColumn("_whole", inner)
+    below = F.explode_outer(F.when(~F.col("_whole"), F.col("_kids"))) if weight else F.explode("_kids")
+    for _ in range(level, pyramid.depth):
+        kids = found.select(*at, *by, "_whole", "_sum", below.alias("_kid"))
+        found = kids.select(
+            *at, *by, "_whole", *[F.col(f"_kid.{b}") for b in BOX], F.coalesce("_kid._sum", "_sum").alias("_sum"), "_kid._kids"
+        )
+        found = found.filter(F.col("_whole") | near).withColumn("_whole", F.col("_whole") | inner)
+    return found.select(*at, *by, "_whole", "_sum", below.alias("_item"))
+
+
 def leaf_items(pyramid: Pyramid, columns: Sequence[str]) -> DataFrame:
     return pyramid.items.select(
         F.lit(pyramid.depth).alias("_lvl"),

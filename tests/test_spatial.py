@@ -74,6 +74,37 @@ def test_pairs_equal_brute_force(spark, places):
     assert set(zip(pairs.NIS_RAD, pairs.pid)) == expected and len(pairs) == len(expected)
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("shape", ["circle", "polygon"])
+def test_full_blocks_have_several_rows(spark, places, monkeypatch, shape):
+    left, right = places
+    monkeypatch.setattr(pyramid, "BLOCK_ITEMS", 16)
+    sides = spark.createDataFrame(left), spark.createDataFrame(right)
+    got = {r.NIS_RAD: r.n for r in proximity.count_in_radius(*sides, 500, shape=shape).collect()}
+    pairs = proximity.points_in_buffer(*sides, 500, shape, right_xy=("Lon", "Lat")).groupBy("NIS_RAD").count().collect()
+    dx = right.Lon.values[None] - left.LON.values[:, None]
+    dy = right.Lat.values[None] - left.LAT.values[:, None]
+    if shape == "circle":
+        inside = np.sqrt(dx**2 + dy**2) <= R500
+    else:
+        inside = half_planes(dx.ravel(), dy.ravel(), R500).reshape(dx.shape)
+    assert got == dict(enumerate(inside.sum(axis=1)))
+    assert {r.NIS_RAD: r["count"] for r in pairs} == {i: n for i, n in got.items() if n}
+
+
+def test_finer_cells_are_not_joined_with_centers(spark, places):
+    """Cells below the blocks come along with them: no center is shuffled to each of its leaves."""
+    left, right = (spark.createDataFrame(t) for t in places)
+    for run in (
+        lambda levels: proximity.count_in_radius(left, right, 500, levels=levels),
+        lambda levels: proximity.points_in_buffer(left, right, 500, right_xy=("Lon", "Lat"), levels=levels),
+    ):
+        assert _plan(run(4)).count("Join ") == _plan(run(2)).count("Join ")
+
+
 def test_polygon_column_equals_half_planes(spark):
     rng = np.random.default_rng(1)
     angle, share = rng.random(20000) * 2 * np.pi, 0.995 + rng.random(20000) * 0.01
