@@ -103,9 +103,14 @@ class Analysis:
         return out if models is None else out | {"models": models}
 
 
+def _scaled_once(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The parts of a scaled panel, which is written: every family of models reads it several times."""
+    return panel.split_by_location(written(parts["combined"]))
+
+
 def all_models(datasets: dict[str, dict[str, DataFrame]]) -> dict[str, Fit]:
     """Every family of models, for urban and rural customers."""
-    scaled, logged = datasets["standardized"], datasets["log_standardized"]
+    scaled, logged = (_scaled_once(datasets[kind]) for kind in ("standardized", "log_standardized"))
     return {
         **regression.panel_regression(scaled["combined"]),
         **location_models("mundlak", scaled, regression.mundlak),
@@ -181,7 +186,7 @@ def plots_only(
 def regressions_only(
     raw: DataFrame, gcp: DataFrame, sample_size: int = C.SAMPLE_SIZE, rural_share: float = C.RURAL_SHARE
 ) -> dict[str, Fit]:
-    scaled = prepare_datasets(raw, gcp, sample_size, rural_share)["standardized"]
+    scaled = _scaled_once(prepare_datasets(raw, gcp, sample_size, rural_share)["standardized"])
     models = {
         **regression.panel_regression(scaled["combined"]),
         **location_models("mundlak", scaled, regression.mundlak),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridpanel import constants as C
 from gridpanel.operators import clustering, curves, panel, regression, segments
 from gridpanel.plans import analysis
-from gridpanel.session import ensure_checkpoint_dir
+from gridpanel.session import ensure_checkpoint_dir, written
 from registry.base import query, r
 from registry.panel_queries import PREPARED_SQL
 
@@ -23,9 +23,9 @@ def _prepared(v):
 
 
 def _dummied(v):
-    return panel.standardize(
-        panel.median_dummies(_prepared(v)), [C.OUTCOME, *C.CONTINUOUS_VARS]
-    )
+    """Written at each step, since the next one reads it several times."""
+    prepared = written(panel.prepare_panel(written(v("features"))))
+    return written(panel.standardize(panel.median_dummies(prepared), [C.OUTCOME, *C.CONTINUOUS_VARS]))
 
 
 def _table(v, fits):
@@ -399,7 +399,7 @@ def _(v):
 
 @query("analysis_models", "features", "gcp")
 def _(v):
-    raw = v("features")
+    raw = written(v("features"))
     return _table(v, analysis.regressions_only(raw, v("gcp"), **_whole(raw)))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gridpanel.functions import tails
 from gridpanel.operators import moments, panel, regression
+from gridpanel.plans import analysis
+from registry import model_queries
 
 XS = ["x1", "x2", "z"]
 
@@ -256,3 +258,25 @@ def test_dummy_models(spark):
     assert crossed["population_x_structs"].terms[-1] == "population_dummyHigh:total_structs_dummyHigh"
     table = regression.coefficient_table(spark, effects)
     assert {"fsp", "NL"} <= set(regression.compare(table).columns)
+
+
+def test_models_read_a_written_panel(spark):
+    """Their many passes over the panel find it written and make it from the bills no more than once."""
+    months = spark.range(48).select(
+        (F.col("id") % 4).alias("nis_rad"),
+        F.floor(F.col("id") / 4).cast("int").alias("Nof_Mths"),
+        F.when(F.col("id") % 4 < 2, "Urban").otherwise("Rural").alias("rural_urban"),
+        F.lit(2014).alias("Year_of_connection"),
+        *[
+            (F.col("id") * factor % 11).cast("double").alias(name)
+            for factor, name in enumerate(
+                ["csmo_fact", "min_dist2_road", "SACCO", "population", "total_structs", "Night_Lights", "GDP"], 3
+            )
+        ],
+        (F.col("id") % 5 / 10).alias("Electrification"),
+    )
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    dummied = model_queries._dummied(lambda name: months.distinct())
+    assert dummied.count() == 48 and "Aggregate" not in plan(dummied)
+    scaled = analysis._scaled_once({"combined": panel.standardize(panel.prepare_panel(months))})
+    assert scaled["urban"].count() == 24 and "Aggregate" not in plan(scaled["urban"]) + plan(scaled["combined"])
