@@ -6,7 +6,7 @@ metric, is at most EPSILON = 0.25. The result is the connected components of the
 Regions. Between unrelated texts every distance is 1, so a Voronoi diagram of a few pivots over
 all documents would replicate everything everywhere (2 * EPSILON reaches 1 from 0.5 on). Space is
 therefore first cut by necessary shingles: under any order of all shingles, two linked
-documents share one of the first |x| - ceil(0.75 |x|) + 1 of each. Shingles that three texts of some batch
+documents share one of the first |x| - ceil(0.75 |x|) + 1 of each. Shingles that three texts of some lot
 hold are counted, and the order puts the rarer ones first in five steps, so that common passages rarely decide. A region is the
 set of documents that share such a shingle with its first pivot: the set with the fewest rare shingles,
 which in a group of copies is one with few changes of its own, near the middle of the group.
@@ -52,6 +52,7 @@ from pyspark.sql import functions as F
 from gridpanel.llm import bloom, text
 from gridpanel.llm.components import components
 from gridpanel.llm.scratch import delete, free_name, materialise
+from gridpanel.session import arrow_batches
 
 SHINGLE = 5
 EPSILON = 0.25
@@ -60,7 +61,9 @@ LOG2_SKETCH = 15
 BANDS = 64
 #: Tokens passed on at once.
 LOT = 1 << 20
-#: Occurrences that make a shingle commoner by one step; what COMMON texts of a batch hold is counted.
+#: Size of the batches of texts and sets that Python gets.
+BATCH_BYTES = "4m"
+#: Occurrences that make a shingle commoner by one step; what COMMON texts of a lot hold is counted.
 STEPS = (3, 12, 48, 192, 768)
 COMMON = STEPS[0]
 LOG2_BITS = 24
@@ -102,25 +105,26 @@ def _longs(hashes: np.ndarray) -> pa.Array:
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that COMMON texts of a batch hold."""
+    """Shingles that COMMON texts of a lot hold; lots do not end with batches."""
+    kept, size = [], 0
     for batch in batches:
-        kept, size = [], 0
         for _, found in _sets(batch.column(0)):
             kept.append(found)
             size += len(found)
             if size > 1 << 21:
                 yield _counted(kept)
                 kept, size = [], 0
-        if kept:
-            yield _counted(kept)
+    if kept:
+        yield _counted(kept)
 
 
 def _counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-    found, counts = np.unique(np.concatenate(sets), return_counts=True)
-    again = counts >= COMMON
-    return pa.RecordBatch.from_arrays(
-        [_longs(found[again]), pa.array(counts[again].astype(np.int64))], names=["h", "n"]
-    )
+    found = np.concatenate(sets)
+    found.sort()
+    # Only what comes often enough gets a count, so that no count of every shingle is held.
+    again = np.unique(found[: 1 - COMMON][found[COMMON - 1 :] == found[: 1 - COMMON]])
+    counts = np.searchsorted(found, again, "right") - np.searchsorted(found, again, "left")
+    return pa.RecordBatch.from_arrays([_longs(again), pa.array(counts.astype(np.int64))], names=["h", "n"])
 
 
 def _class(shingles: np.ndarray) -> int:
@@ -390,6 +394,11 @@ def _left(known: DataFrame, pivots: DataFrame, faced: DataFrame, tested: DataFra
 
 def links(docs: DataFrame, log2_bits: int = LOG2_BITS) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, class, n, ...) and labels (node, comp) of classes that link with others, or None."""
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return _links(docs, log2_bits)
+
+
+def _links(docs: DataFrame, log2_bits: int) -> tuple[DataFrame, DataFrame]:
     counted = docs.select("text").mapInArrow(_common, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     counted = materialise(counted, "common")
     common = [bloom.build(counted.where(F.col("n") >= least), "h", log2_bits) for least in STEPS]

@@ -281,9 +281,7 @@ def fit(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
         return Model([], order, [], [], [], {}, z)
     model = estimate(counts, order)
     checked = (
-        sample.where(F.col("part") >= FIT_SHARE)
-        .select("lang", predictor(model)("text").alias("p"))
-        .where("p.lang = lang")
+        _hits(sample.where(F.col("part") >= FIT_SHARE), predictor(model))
         .groupBy("lang")
         .agg(F.avg("p.entropy"), F.coalesce(F.var_pop("p.entropy"), F.lit(0.0)), F.avg("p.spread"), F.count("*"))
         .collect()
@@ -300,6 +298,15 @@ def fit(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
     return model
 
 
+def _hits(sample: DataFrame, *predictors) -> DataFrame:
+    """(lang, p) of texts whose language all predictors find; p is what the last one says."""
+    # Spark would move the filter below the columns and run functions that it takes for deterministic in both places,
+    # in Python workers of their own.
+    found = [f.asNondeterministic()("text").alias(f"p{k}") for k, f in enumerate(predictors)]
+    rightly = " and ".join(f"p{k}.lang = lang" for k in range(len(found)))
+    return sample.select("lang", *found).where(rightly).select("lang", F.col(f"p{len(found) - 1}").alias("p"))
+
+
 def _counts(sample: DataFrame, order: int) -> pd.DataFrame:
     return (
         sample.select("lang", "text")
@@ -318,10 +325,8 @@ def _crossed(sample: DataFrame, model: Model) -> dict[str, tuple[float, float, f
         counts = _counts(sample.where(part != fold), model.order)
         if not len(counts):
             continue
-        scored = sample.where(part == fold).select(
-            "lang", whole("text").alias("q"), predictor(estimate(counts, model.order))("text").alias("p")
-        )
-        found.append(scored.where("p.lang = lang and q.lang = lang").select("lang", "p.entropy", "p.spread").toPandas())
+        hits = _hits(sample.where(part == fold), whole, predictor(estimate(counts, model.order)))
+        found.append(hits.select("lang", "p.entropy", "p.spread").toPandas())
     if not found:
         return {}
     by = pd.concat(found).groupby("lang")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,6 +398,28 @@ def test_a_rare_language_rejects_too(spark):
     assert set(model.limits) == set(model.langs)
 
 
+def test_calibration_scores_each_text_once(spark, monkeypatch):
+    """A filter on what a function found must not run the function again in Python workers of its own."""
+    rng, scored, plain = random.Random(21), spark.sparkContext.accumulator(0), language.predictor
+    rows = [(i, " ".join(rng.choice(("the", "ing", "ou")) for _ in range(30)), "xx") for i in range(300)]
+
+    def counting(model):
+        score = plain(model).func
+
+        @F.arrow_udf(language._RESULT)
+        def predict(column: pa.Array) -> pa.Array:
+            scored.add(len(column))
+            return score(column)
+
+        return predict
+
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    calibrating = language._sample(table, 512).where(F.col("part") >= language.FIT_SHARE).count()
+    monkeypatch.setattr(language, "predictor", counting)
+    assert language.fit(table).limits["xx"][2] > 0
+    assert scored.value == calibrating > 10
+
+
 # 7 WARC
 
 
@@ -535,3 +558,42 @@ def test_near_copies_without_a_common_pivot(spark):
     rows += [(100 + i, " ".join(base[i * 9 : i * 9 + 60])) for i in range(30)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(documents(spark, rows)).collect()}
     assert got == brute.components(dict(rows))
+
+
+def test_python_gets_small_batches(spark, monkeypatch):
+    """Texts and sets of 12 MB come to Python in pieces; the session's own limit holds again afterwards."""
+    rng, largest = random.Random(22), spark.sparkContext.accumulator(0)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(800))) for i in range(1400)]
+    rows += [(5000 + i, t + " end") for i, t in rows[:700]]
+
+    def watched(make):
+        def run(batches):
+            def passed():
+                for batch in batches:
+                    largest.add(int(batch.nbytes > 8 << 20))
+                    yield batch
+
+            return make(passed())
+
+        return run
+
+    for name in ("_documents", "_needed_sets", "_shared_tokens"):
+        monkeypatch.setattr(jaccard, name, lambda *a, f=getattr(jaccard, name): watched(f(*a)))
+    monkeypatch.setattr(jaccard, "_common", watched(jaccard._common))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = {r.doc_id: r.component_id for r in jaccard.classes(documents(spark, rows).repartition(1)).collect()}
+    assert got == {i: i % 5000 for i, _ in rows}
+    assert largest.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_common_shingles_are_counted_over_batches():
+    """Lots do not end with batches, and what fewer than COMMON texts hold is left out."""
+    texts = ["a b c d e f", "a b c d e", "z y x w v", "a b c d e", "z y x w v", ""]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t])], names=["text"]) for t in texts]
+    found = [r for batch in jaccard._common(iter(batches)) for r in batch.to_pylist()]
+    assert [r["n"] for r in found] == [3]
+    lots = [np.sort(np.array(x, np.uint64)) for x in ([1, 2, 3], [2, 3], [2, 3, 9], [9], [2])]
+    assert jaccard._counted(lots).to_pylist() == [{"h": 2, "n": 4}, {"h": 3, "n": 3}]
+    for few in ([], [7], [7, 7]):
+        assert jaccard._counted([np.array(few, np.uint64)]).num_rows == 0
