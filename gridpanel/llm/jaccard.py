@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from gridpanel.llm import bloom, text
 from gridpanel.llm.components import components
-from gridpanel.llm.scratch import delete, free_name, materialise
+from gridpanel.llm.scratch import beside, delete, free_name, materialise
 from gridpanel.session import arrow_batches
 
 SHINGLE = 5
@@ -513,9 +513,9 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by a number, so rows that share a doc_id, or have none, stay or leave one by one.
     """
-    row = free_name(docs, "row_number")
+    row, first = free_name(docs, "row_number"), free_name(docs, "row_stays")
     held = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
-    others = classes(held.select(key.alias("doc_id"), "text")).where("doc_id != component_id")
-    others = materialise(others.select(F.col("doc_id.row").alias("other")), "others")
-    return held.join(others, held[row] == others["other"], "left_anti").drop(row)
+    found = classes(held.select(key.alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id.row").alias(row), (F.col("doc_id") == F.col("component_id")).alias(first))
+    return beside(held, row, found, first).where(F.col(first)).drop(row, first)

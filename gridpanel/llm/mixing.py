@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridpanel.llm.scratch import free_name, materialise
+from gridpanel.llm.scratch import beside, free_name, materialise
 
 #: Weights in the order of the sources.
 WEIGHTS = (5, 2, 1)
@@ -241,10 +241,10 @@ def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
     """
     row, times = free_name(docs, "mixed_row"), free_name(docs, "mixed_times")
     held = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    copies = _mix(measured(held, F.col(row)), 3, seed).where("copies > 0")
-    wanted = materialise(copies.select(F.col("row").alias("of"), F.col("copies").cast("int").alias(times)), "copies")
+    copies = _mix(measured(held, F.col(row)), 3, seed).select(F.col("row").alias(row), F.col("copies").cast("int").alias(times))
     return (
-        held.join(wanted, held[row] == wanted["of"])
+        beside(held, row, copies, times)
+        .where(F.col(times) > 0)
         .withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
-        .select(*[held[f"`{c}`"] for c in docs.columns])
+        .drop(row, times)
     )

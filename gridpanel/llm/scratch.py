@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridpanel.session import ensure_checkpoint_dir
 
@@ -14,6 +15,8 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Numbers of rows in one array of `beside`, as a power of 2.
+LOG2_BLOCK = 10
 #: Tables written by `materialise` and not deleted yet, in order.
 _WRITTEN: list[str] = []
 
@@ -64,3 +67,22 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def beside(table: DataFrame, row: str, values: DataFrame, value: str) -> DataFrame:
+    """A written table, numbered by `monotonically_increasing_id` in `row`, with the column `value` of (row, value).
+
+    Every row needs its value. Values lie in arrays, one for each block of successive numbers, and take a few bits a row when
+    written, so Spark can broadcast them beside far more rows than by (row, value); beyond that, rows are shuffled by their blocks.
+    """
+    block, of = free_name(table, "block"), free_name(table, "block_of")
+    packed = (
+        values.select(F.shiftright(row, LOG2_BLOCK).alias(of), row, value)
+        .groupBy(of)
+        .agg(F.array_sort(F.collect_list(F.struct(row, value))).alias(value))
+        .select(of, F.transform(value, lambda x: x[value]).alias(value))
+    )
+    packed = materialise(packed, "beside")
+    place = F.col(row).bitwiseAND(F.lit((1 << LOG2_BLOCK) - 1)).cast("int")
+    joined = table.withColumn(block, F.shiftright(row, LOG2_BLOCK)).join(packed, F.col(block) == F.col(of))
+    return joined.withColumn(value, F.get(value, place)).drop(block, of)

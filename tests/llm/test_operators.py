@@ -17,6 +17,7 @@ from gridpanel.llm import (
     language,
     licenses,
     mixing,
+    scratch,
     sharding,
     substrings,
     token_counts,
@@ -289,6 +290,43 @@ def test_small_sources_meet_their_targets_beside_long_blocks(spark):
     assert Counter(mixing.mix(table, block=7).collect()) == Counter(mixing.mix(table, block=4063).collect())
 
 
+def test_texts_stay_where_they_are(spark):
+    """What a mix or the representatives need of 60,000 rows is small enough to meet the texts without a shuffle of these."""
+    table = spark.range(60_000).selectExpr("id as doc_id", "concat('a b c ', id) as text", "cast(id % 3 as string) as source").repartition(7)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "128k")
+        found = mixing.mixed(table)
+        plan = found._jdf.queryExecution().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        copies = Counter(r.doc_id for r in found.collect())
+        assert copies == Counter({r.doc_id: r.copies for r in mixing.mix(table).collect() if r.copies})
+        kept = jaccard.representatives(table.where("doc_id < 20000"))
+        plan = kept._jdf.queryExecution().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert kept.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_values_beside_their_rows(spark):
+    """Rows in odd partitions, some empty, meet their own values, whether these are broadcast or shuffled."""
+    table = spark.range(5000).selectExpr("id", "id * 7 as `block`", "cast(null as string) as `a.b`").repartition(3, "id")
+    table = table.where("id % 11 != 3").union(table.limit(0)).union(table.where("id < 1")).withColumn("row", F.monotonically_increasing_id())
+    held = scratch.materialise(table, "rows")
+    values = held.selectExpr("row", "if(id % 5 = 0, null, id * 3) as v").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    expected = Counter({(i, 7 * i, None, None if i % 5 == 0 else 3 * i): 1 + (i < 1) for i in range(5000) if i % 11 != 3})
+    try:
+        for most in ("10m", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            got = scratch.beside(held, "row", values, "v")
+            assert got.columns == [*held.columns, "v"]
+            assert Counter(tuple(r) for r in got.drop("row").collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_schedule_is_even_and_gives_every_slot(spark, docs):
     sources = mixing.targets(mixing.measured(docs))
     block = 5
