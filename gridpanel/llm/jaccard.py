@@ -13,7 +13,8 @@ which in a group of copies is one with few changes of its own, near the middle o
 
 Leads. Two linked documents are left to the region of the first shingle they share. What stands before it in the order
 is not shared, so a document's place of its first region shingle bounds the size of any intersection from above: its
-`lead`. A member stays in a region only while another component has a member there whose size and lead allow a link;
+`lead`. Sets that link share 3/7 of their sizes together, 6/7 of the smaller one, so that shingle lies in the first seventh of the
+smaller set: shingles that lie there in no document lead to no region, and are told when they are counted. A member stays in a region only while another component has a member there whose size and lead allow a link;
 these are told by the least size and the greatest lead in each of BANDS bands of sizes per doubling, some
 thousand bands at most.
 
@@ -28,10 +29,11 @@ one comparison per member, and every pair that could be a link either is compare
 by the triangle inequality or by sizes, or lies within one component.
 
 Before sets are compared, pairs are tested by sketches: a set's shingles are dealt into parts by their hash,
-four or more parts to a shingle, and one bit tells whether a part holds an odd number of them. A
+two or more parts to a shingle, and one bit tells whether a part holds an odd number of them. A
 shingle added or removed turns one bit, so the number of bits that differ bounds the symmetric difference from below.
 
-Equal sets are one class from the start. Sets are 64-bit hashes. Only the sets of pairs that pass the
+Equal sets are one class from the start, and one row of each class takes part: what copies share only with each other is
+never shuffled, as a filter of these rows tells before (the few copies that it lets through change nothing). Sets are 64-bit hashes. Only the sets of pairs that pass the
 bounds are computed again and written, from one document of each class; a Bloom
 filter of fixed size names these documents.
 
@@ -66,6 +68,8 @@ BATCH_BYTES = "4m"
 #: Occurrences that make a shingle commoner by one step; what COMMON texts of a lot hold is counted.
 STEPS = (3, 12, 48, 192, 768)
 COMMON = STEPS[0]
+#: What a shingle in the first seventh of a set counts besides 1: more than there are sets.
+INNER = 1 << 32
 LOG2_BITS = 24
 #: Bits of the largest filter, 32 MB, as a power of 2.
 MOST_BITS = 28
@@ -136,7 +140,7 @@ def _class(shingles: np.ndarray) -> int:
 
 def _sketch(shingles: np.ndarray) -> np.ndarray:
     """One bit for each part of the hashes: whether it holds an odd number of shingles; 64 bits to a number."""
-    bits = 1 << min(max((4 * len(shingles)).bit_length(), 8), LOG2_SKETCH)
+    bits = 1 << min(max((2 * len(shingles)).bit_length(), 8), LOG2_SKETCH)
     part = (shingles & np.uint64(bits - 1)).astype(np.int64)
     odd = (np.bincount(part, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
@@ -171,11 +175,33 @@ def _documents(common: list[bloom.Bloom]):
     return run
 
 
-def _shared_tokens(shared: bloom.Bloom):
-    """(h, node, n, rare, lead) of tokens that another document may have, too, from (class, n, rare, tokens)."""
+def _holding(batch: pa.RecordBatch, filters: dict[str, bloom.Bloom]) -> pa.RecordBatch:
+    """Rows whose keys, by the names of their columns, the filters hold."""
+    for column, filter_ in filters.items():
+        keys = batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        batch = batch.filter(pa.array(filter_.holds(keys)))
+    return batch
+
+
+def _tokens(firsts: bloom.Bloom):
+    """(h, n): tokens of the first row of each class, from (n, tokens, key); n counts 1, and INNER more in the first seventh."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (_holding(whole, {"key": firsts}) for whole in batches):
+            n = batch.column("n").to_numpy(zero_copy_only=False)
+            lengths = batch.column("tokens").value_lengths().to_numpy(zero_copy_only=False)
+            place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            inner = 7 * place <= np.repeat(n, lengths)
+            yield pa.RecordBatch.from_arrays([batch.column("tokens").flatten(), pa.array(1 + INNER * inner)], names=["h", "n"])
+
+    return run
+
+
+def _shared_tokens(firsts: bloom.Bloom, shared: bloom.Bloom):
+    """(h, node, n, rare, lead) of tokens that another class may have, too, from (class, n, rare, tokens, key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (_holding(whole, {"key": firsts}) for whole in batches):
             lengths = batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(lengths)])
             hashes = batch.column(3).flatten().to_numpy(zero_copy_only=False)
@@ -284,20 +310,38 @@ def _faced(known: DataFrame, pivots: DataFrame) -> DataFrame:
     )
 
 
-def _needed(table: DataFrame, column: str, pairs: DataFrame, log2_bits: int) -> DataFrame:
-    """Rows whose `column` is an end of a pair (a, b), and few others, told by a Bloom filter before anything is shuffled."""
-    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
-    ends = bloom.build(ends, "end", log2_bits)
+def _wide(n: int, log2_bits: int) -> int:
+    """Bits of a filter of n keys, as a power of 2: sixteen a key keep most others out, up to MOST_BITS."""
+    return min(max(log2_bits, (16 * n).bit_length()), MOST_BITS)
+
+
+def _held(table: DataFrame, filters: dict[str, bloom.Bloom]) -> DataFrame:
+    """Rows that the filters hold, told before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            yield batch.filter(pa.array(ends.holds(keys)))
+            yield _holding(batch, filters)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
     return table.mapInArrow(run, fields)
 
 
+def _needed(table: DataFrame, column: str, pairs: DataFrame, log2_bits: int) -> DataFrame:
+    """Rows whose `column` is an end of a pair (a, b), and few others."""
+    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
+    return _held(table, {column: bloom.build(ends, "end", log2_bits)})
+
+
+def _firsts(base: DataFrame, log2_bits: int) -> bloom.Bloom:
+    """A filter of the keys of one row of each class, of the least doc_id where there is one."""
+    # Only numbers of rows are shuffled; a key is a hash of the number.
+    row = F.coalesce(F.min_by("row", "doc_id"), F.min("row"))
+    rows = materialise(base.groupBy("class").agg(row.alias("row")).select(F.xxhash64("row").alias("key")), "firsts")
+    firsts = bloom.build(rows, "key", _wide(rows.count(), log2_bits))
+    delete(rows)
+    return firsts
+
+
 def _bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """(a, b, total, differ) of pairs (a, b, n_a, n_b): sizes together, and how much the sets differ at least."""
     a_sketch = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("a_sketch"))
@@ -406,29 +450,32 @@ def _links(docs: DataFrame, log2_bits: int) -> tuple[DataFrame, DataFrame]:
     base = materialise(
         docs.select("doc_id", "text").mapInArrow(
             _documents(common), f"doc_id {kind}, class bigint, n bigint, rare bigint, tokens array<bigint>, sketch array<bigint>"
-        ),
+        ).withColumn("row", F.monotonically_increasing_id()),
         "documents",
     )
     delete(counted)
-    rows = base.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count("*").alias("rows"))
-    held = materialise(rows.where("rows > 1").select("h"), "shared")
-    # Sixteen bits a shingle keep most others out, up to MOST_BITS; a fuller filter lets more rows into the regions' shuffles.
-    wide = min(max(log2_bits, (16 * held.count()).bit_length()), MOST_BITS)
-    shared = bloom.build(held, "h", wide)
+    firsts, key = _firsts(base, log2_bits), F.xxhash64("row").alias("key")
+    rows = base.select("n", "tokens", key).mapInArrow(_tokens(firsts), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    held = materialise(rows.where(f"n > {INNER} + 1").select("h"), "shared")
+    # A fuller filter lets more rows into the regions' shuffles.
+    shared = bloom.build(held, "h", _wide(held.count(), log2_bits))
     delete(held)
-    tokens = base.select("class", "n", "rare", "tokens").mapInArrow(
-        _shared_tokens(shared), "h bigint, node bigint, n bigint, rare bigint, lead bigint"
+    tokens = base.select("class", "n", "rare", "tokens", key).mapInArrow(
+        _shared_tokens(firsts, shared), "h bigint, node bigint, n bigint, rare bigint, lead bigint"
     )
     tokens = materialise(tokens, "tokens")
     members = materialise(_regions(tokens), "members")
     delete(tokens)
-    nodes = members.select("node").distinct()
+    nodes = materialise(members.select("node").distinct(), "nodes")
+    filters = {"node": bloom.build(nodes, "node", _wide(nodes.count(), log2_bits)), "key": firsts}
     leaders = materialise(
-        base.groupBy(F.col("class").alias("node"))
+        _held(base.select(F.col("class").alias("node"), "doc_id", "sketch", key), filters)
+        .groupBy("node")
         .agg(F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch"))
         .join(nodes, "node", "left_semi"),
         "leaders",
     )
+    delete(nodes)
     labels, sets, tested, level = None, None, None, 0
     while True:
         known = materialise(_linkable(_labelled(members, labels)), "known")

@@ -625,6 +625,37 @@ def test_python_gets_small_batches(spark, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
 
 
+def test_copies_share_nothing(spark, monkeypatch):
+    """Rows of one text are one set: what only they hold, or what no set has early enough, does not reach the regions."""
+    rng, seen = random.Random(23), []
+
+    def watched(tokens, f=jaccard._regions):
+        seen.append(tokens.count())
+        return f(tokens)
+
+    monkeypatch.setattr(jaccard, "_regions", watched)
+    rows = [(i, t) for i, t in enumerate([brute.prose(rng, 60, 10**6) for _ in range(20)] * 15)]
+    rows += [(None, rows[0][1])] * 5 + [(1, rows[1][1])] * 5
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.classes(documents(spark, rows).repartition(4)).collect())
+    assert got == Counter((i, 0 if i is None else i % 20) for i, _ in rows)
+    assert seen == [0]
+    # 56 shingles and 15 necessary ones; a copy of one changed word shares all but a few, in the first 9 places at most.
+    near = [(1000 + i, t + " end") for i, t in rows[:20]]
+    got = {r.doc_id: r.component_id for r in jaccard.classes(documents(spark, rows[:300] + near)).collect()}
+    assert got == {i: i % 1000 % 20 for i, _ in rows[:300] + near}
+    assert 20 * 2 * 5 < seen[1] < 20 * 2 * 12
+
+
+def test_sets_link_by_a_shingle_that_only_the_smaller_one_has_early(spark):
+    """All pairs of sets of 24 to 40 shingles that begin or end differently, at the edge of 0.75."""
+    rng, rows = random.Random(24), []
+    for k in range(40):
+        base = brute.prose(rng, 40, 10**6).split()
+        rows += [(10 * k + j, " ".join(base[(j % 3) * (k % 4) : 40 - j * (k % 5)])) for j in range(4)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(documents(spark, rows)).collect()}
+    assert got == brute.components(dict(rows))
+
+
 def test_common_shingles_are_counted_over_batches():
     """Lots do not end with batches, and what fewer than COMMON texts hold is left out."""
     texts = ["a b c d e f", "a b c d e", "z y x w v", "a b c d e", "z y x w v", ""]
