@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridpanel import constants as C
 from gridpanel.functions import spatial
+from gridpanel.functions.clipping import lengths_in_cell
 from gridpanel.operators import pyramid as pyr
 
 ENDS = ("x1", "y1", "x2", "y2")
@@ -39,6 +42,8 @@ def _boxed(segments: DataFrame) -> DataFrame:
     )
 
 
+# Levels below the start level, whose cells are about as wide as the radius, where points meet roads.
+CELLS_BELOW = 2
 # Directions (radians) and offsets (degrees) of lines that agree so far are those of one line.
 DIRECTION_DIGITS, OFFSET_DIGITS = 9, 8
 
@@ -139,22 +144,20 @@ def segment_length_in_buffer(
     """Length in degrees of each class within the buffer, and the classes' total.
 
     0 where no road is near, NULL for points without coordinates. What several roads of a class
-    cover counts once. Roads are cut to pieces no longer than the radius, so one long road widens no search. Cells wholly
-    inside a buffer add their total length; only pieces of cells on the rim are clipped.
+    cover counts once. Roads are cut to pieces no longer than the radius, so one long road widens no search. Points meet cells
+    some way below the radius, and `clipping.buffer_lengths` adds up the roads of a cell for all points that reach it.
     """
     radius = spatial.radius_degrees(meters)
     wanted = segments.filter(F.col(class_col).isin(*classes))
-    lined = merged_lines(wanted, radius, [class_col]).withColumn("_len", spatial.segment_length(*ENDS))
+    lined = merged_lines(wanted, radius, [class_col])
     grid = pyr.radius_grid(lined, radius, levels, radius * (1 + 1e-9) / 2)
     at, centers = _places(points, key, xy)
-    found = pyr.search(centers, grid, [], radius, spatial.INNER_SHARE["polygon"])
-    items = pyr.leaf_items(grid, [class_col, "_len", *ENDS])
-    targets = pyr.with_totals(items, grid, radius, [class_col], "_len")
-    hits = found.join(pyr.unbroadcast(targets), ["_lvl", "_cell", "_whole"])
-    clipped = spatial.with_clipped_length(hits, "_clip", "_x", "_y", "_r", ENDS)
-    hits = clipped.withColumn(
-        "_part", F.when(F.col("_whole"), F.col("_len")).otherwise(F.col("_clip"))
-    )
+    level = min(pyr.start_level(grid, radius) + CELLS_BELOW, grid.depth)
+    front = pyr.search(centers, grid, [], radius, deepest=level).select("_cell", "_x", "_y")
+    pieces = grid.items.select(grid.cell(level).alias("_cell"), class_col, *ENDS)
+    parts = T.StructType([*front.schema.fields[1:], pieces.schema[class_col], T.StructField("_part", T.DoubleType())])
+    run = lengths_in_cell(radius, class_col, ENDS, to_arrow_schema(parts))
+    hits = front.groupBy("_cell").cogroup(pieces.groupBy("_cell")).applyInArrow(run, parts)
     names = {c: f"road_class_{c}_length" for c in classes}
     sums = hits.groupBy("_x", "_y").agg(
         *[F.sum(F.when(F.col(class_col) == c, F.col("_part"))).alias(n) for c, n in names.items()]

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridpanel.functions import scalars, spatial
+from gridpanel.functions import clipping, scalars, spatial
 from gridpanel.operators import proximity, pyramid, raster, roads
 
 R500 = 500 / 110540
@@ -309,6 +309,35 @@ def test_quick_clip_equals_all_sides(spark):
     assert both.select(F.max(F.abs(F.col("q") - F.col("s")))).first()[0] < 1e-12
 
 
+@pytest.mark.parametrize("cells", [1, 3, 16, 32])
+def test_lengths_of_many_segments_equal_all_sides(cells):
+    """Sums over cells equal a clip of each pair, along sides, upright and level, off the rim and for places among the segments."""
+    rng = np.random.default_rng(4)
+    n, r = 600, 500 / 110540
+    turn = rng.random(n) * 2 * np.pi
+    turn[:200] = (rng.integers(0, 64, 200) + 0.5) * 2 * np.pi / 64 + np.pi / 2
+    turn[200:260] = rng.integers(0, 4, 60) * np.pi / 2
+    length = np.where(rng.random(n) < 0.05, 0.0, rng.random(n) * r)
+    seg = pd.DataFrame({"x1": 36.6 + rng.random(n) * r, "y1": -1.5 + rng.random(n) * r})
+    seg["x2"], seg["y2"] = seg.x1 + length * np.cos(turn), seg.y1 + length * np.sin(turn)
+    left = pd.DataFrame({"LON": 36.6 + (rng.random(200) * 5 - 2) * r, "LAT": -1.5 + (rng.random(200) * 5 - 2) * r})
+    left.loc[0] = [np.nan, 0.0]
+    seg.loc[n] = [36.6, -1.5, np.nan, -1.5]
+    kind = rng.integers(0, 3, n + 1)
+    got = clipping.buffer_lengths(seg.to_numpy().T, kind, 3, left.LON.values, left.LAT.values, r, cells)
+    whole = brute_length(left.drop(0), seg.drop(n), r)
+    expected = np.column_stack([whole[:, kind[:n] == k].sum(axis=1) for k in range(3)])
+    assert np.allclose(got[1:], expected, rtol=0, atol=1e-12) and (got[0] == 0).all()
+    assert (expected.max(axis=0) > 0).all() and (expected.min(axis=0) == 0).all()
+
+
+def test_pairs_of_points_and_roads_are_no_rows(spark, road_case):
+    """A road on the rim of a buffer is no row of its own for every point."""
+    left, seg = (spark.createDataFrame(f) for f in road_case)
+    plan = _plan(roads.segment_length_in_buffer(left, seg, 2000))
+    assert "FlatMapCoGroupsInArrow" in plan
+
+
 def test_road_features_by_kind(spark, road_case):
     left, seg = (spark.createDataFrame(f) for f in road_case)
     assert roads.road_features(left, seg, "distances").columns == ["NIS_RAD", "distance_to_road"]
