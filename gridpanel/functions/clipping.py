@@ -1,4 +1,4 @@
-"""Lengths of many segments inside the buffer polygons around many places, without a clip for each pair.
+"""Lengths of many segments inside the buffer polygons around many places, without a clip for each pair; nearest segments.
 
 Segments are cut at the lines of a grid, so a piece lies in one cell. Seen from a place, most cells that its polygon's rim crosses lie
 within the sector of one side. There the polygon is a half-plane, and the length inside of all pieces of a cell depends on one number,
@@ -269,3 +269,30 @@ def lengths_in_cell(radius: float, kind: str, ends: tuple[str, ...], schema: pa.
         return pa.concat_tables(found) if found else schema.empty_table()
 
     return run
+
+
+def nearest_in_cell(ends: tuple[str, ...], schema: pa.Schema):
+    """For `applyInArrow`: the distance (`_x`, `_y`, `_near`) from the places of a cell to the nearest of its segments, NULL without any."""
+
+    def run(places: pa.Table, segments: pa.Table) -> pa.Table:
+        cx, cy = (places.column(c).to_numpy() for c in ("_x", "_y"))
+        lines = np.stack([segments.column(c).to_numpy() for c in ends])
+        x1, y1, x2, y2 = lines[:, np.isfinite(lines).all(axis=0)]
+        dx, dy = x2 - x1, y2 - y1
+        squares = dx * dx + dy * dy
+        inverse = np.divide(1.0, squares, out=np.zeros(squares.size), where=squares > 0)
+        nearest = np.full(cx.size, np.inf)
+        wide = min(max(1, x1.size), CHUNK)
+        for low in range(0, x1.size, wide):
+            some = slice(low, low + wide)
+            for at in range(0, cx.size, max(1, CHUNK // wide)):
+                rows = slice(at, at + max(1, CHUNK // wide))
+                ax, ay = cx[rows, None] - x1[some], cy[rows, None] - y1[some]
+                along = np.clip((ax * dx[some] + ay * dy[some]) * inverse[some], 0.0, 1.0)
+                ax -= along * dx[some]
+                ay -= along * dy[some]
+                nearest[rows] = np.fmin(nearest[rows], (ax * ax + ay * ay).min(axis=1))
+        near = pa.array(np.sqrt(nearest), mask=~np.isfinite(nearest))
+        return pa.Table.from_arrays([pa.array(cx), pa.array(cy), near], schema=schema)
+
+    return run

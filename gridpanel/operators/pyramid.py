@@ -9,7 +9,8 @@ alone. A search starts at the level whose cells are about as wide as the radius,
 few cells a circle can touch there; each further level is an equi-join on the cell. Cells that lie wholly
 inside a search circle are answered from their totals without visiting their items.
 
-Without a radius (the nearest item), a tree of 16 x 16 children to a cell splits only cells that hold too
+Without a radius (the nearest segment), segments are sorted into the cells of one size that they pass through, and most places find
+the nearest within their own. For the others, a tree of 16 x 16 children to a cell holds the cells that are passed; it splits only cells that hold too
 many items, so its leaves lie at different depths: many where items crowd together, none
 where there are none, and an item far from all others changes no cell but its own. It is a table of split
 cells and their children; a place finds its own cell in it by the prefixes of its coordinates, and a search follows
@@ -34,6 +35,8 @@ TREE_LEVELS, TREE_BITS, TREE_BROADCAST = 7, 4, 2
 GLOBE_LOW, GLOBE_SIDE, FINEST = -180.0, 360.0, 15
 # Levels below the one whose cells are about as wide as the radius: 16 to 64 cells across it.
 RADIUS_LEVELS = 3
+# Cells that segments pass through: 2 ** 15 to a side of the globe, some 1.2 km wide.
+PASSED_BITS = 15
 # Items that one row of a block holds, in expectation.
 BLOCK_ITEMS = 4096
 BOX = ("_xlo", "_ylo", "_xhi", "_yhi")
@@ -192,7 +195,7 @@ def tree_bound(centers: DataFrame, tree: Tree) -> DataFrame:
 
 
 def tree_leaves(centers: DataFrame, tree: Tree) -> DataFrame:
-    """(`_x`, `_y`, `_cell`) of the leaves whose boxes lie within `_r` of a center."""
+    """(`_x`, `_y`, `_r`, `_cell`) of the leaves whose boxes lie within `_r` of a center."""
     reach_sq = F.col("_r") * F.col("_r") * SLACK
     at = ["_x", "_y", "_r"]
     front = centers.select(*at, F.lit(0).cast("long").alias("_cell"), F.lit(False).alias("_leaf"))
@@ -204,7 +207,7 @@ def tree_leaves(centers: DataFrame, tree: Tree) -> DataFrame:
         match = (F.col("_cell") == F.col("_parent")) & ~F.col("_leaf")
         joined = front.join(tree.level(level), match, "left")
         front = joined.select(*at, F.inline(F.when(F.col("_leaf"), same).otherwise(below)))
-    return front.select("_x", "_y", "_cell")
+    return front.select(*at, "_cell")
 
 
 def tree_items(tree: Tree, columns: Sequence[str]) -> DataFrame:
@@ -212,6 +215,69 @@ def tree_items(tree: Tree, columns: Sequence[str]) -> DataFrame:
     return tree.items.select(_prefixes(range(1, TREE_LEVELS + 1)), *columns)
 
 
+def _passed(value: Column, low: float) -> Column:
+    return F.least(F.lit(2**PASSED_BITS - 1), F.greatest(F.lit(0), F.floor((value - low) / _PASSED_SIDE))).cast("long")
+
+
+_PASSED_SIDE = GLOBE_SIDE / 2**PASSED_BITS
+
+
+def passed_cell(x: Column, y: Column) -> Column:
+    """Cell of a place, of those that segments are sorted into."""
+    return F.shiftleft(_passed(x, GLOBE_LOW), 32).bitwiseOR(_passed(y, GLOBE_LOW))
+
+
+def rim_distance(x: Column, y: Column) -> Column:
+    """How far a place is from the rim of its cell; negative off the globe, and a little less than true."""
+    gaps = []
+    for value in (x, y):
+        low = GLOBE_LOW + _passed(value, GLOBE_LOW) * _PASSED_SIDE
+        gaps += [value - low, low + _PASSED_SIDE - value]
+    return F.least(*gaps) - 1e-12
+
+
+def passed_cells(segments: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Segments (x1, y1, x2, y2), boxed, once for each cell they pass through: `_cell`, `columns` and the box of what lies in it.
+
+    Boxes are a little too wide, so no point of a segment is lost to rounding. A segment through many cells is as many rows.
+    """
+    slack = lambda value: (F.abs(value) + 1) * 1e-13
+    xlo, xhi = F.col("_xlo"), F.col("_xhi")
+    across = segments.withColumns({"_i0": _passed(xlo, GLOBE_LOW), "_i1": _passed(xhi, GLOBE_LOW)})
+    across = across.withColumn("_i", F.explode(F.sequence("_i0", "_i1")))
+    edge = GLOBE_LOW + F.col("_i") * _PASSED_SIDE
+    across = across.withColumns(
+        {
+            "_a": F.when(F.col("_i") == F.col("_i0"), xlo).otherwise(edge),
+            "_b": F.when(F.col("_i") == F.col("_i1"), xhi).otherwise(edge + _PASSED_SIDE),
+        }
+    )
+    # One column of cells holds a whole segment, whichever way it leans.
+    alone = F.col("_i0") == F.col("_i1")
+    height = lambda x: F.col("y1") + (F.col(x) - F.col("x1")) * ((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
+    across = across.withColumns({"_ya": F.when(~alone, height("_a")), "_yb": F.when(~alone, height("_b"))})
+    low, high = F.least("_ya", "_yb"), F.greatest("_ya", "_yb")
+    across = across.withColumns(
+        {
+            "_c": F.when(alone, F.col("_ylo")).otherwise(F.greatest(low - slack(low), F.col("_ylo"))),
+            "_d": F.when(alone, F.col("_yhi")).otherwise(F.least(high + slack(high), F.col("_yhi"))),
+        }
+    )
+    across = across.withColumns({"_j0": _passed(F.col("_c"), GLOBE_LOW), "_j1": _passed(F.col("_d"), GLOBE_LOW)})
+    cells = across.withColumn("_j", F.explode(F.sequence("_j0", "_j1")))
+    edge = GLOBE_LOW + F.col("_j") * _PASSED_SIDE
+    below = F.when(F.col("_j") == F.col("_j0"), F.col("_c")).otherwise(edge)
+    above = F.when(F.col("_j") == F.col("_j1"), F.col("_d")).otherwise(edge + _PASSED_SIDE)
+    return cells.select(
+        F.shiftleft("_i", 32).bitwiseOR(F.col("_j")).alias("_cell"),
+        *columns,
+        (F.col("_a") - slack(F.col("_a"))).alias("_xlo"),
+        (below - slack(below)).alias("_ylo"),
+        (F.col("_b") + slack(F.col("_b"))).alias("_xhi"),
+        (above + slack(above)).alias("_yhi"),
+    )
+
+
 def spread(centers: DataFrame) -> DataFrame:
     """Centers over all shuffle partitions, whatever their size in bytes.
 

@@ -11,8 +11,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridpanel import constants as C
 from gridpanel.functions import spatial
-from gridpanel.functions.clipping import lengths_in_cell
+from gridpanel.functions.clipping import lengths_in_cell, nearest_in_cell
 from gridpanel.operators import pyramid as pyr
+from gridpanel.session import written
 
 ENDS = ("x1", "y1", "x2", "y2")
 
@@ -117,17 +118,27 @@ def nearest_segment_distance(
 ) -> DataFrame:
     """Distance in degrees from every point to the nearest segment of any class.
 
-    The tree of segments bounds each point's distance first; then only leaves
-    within that bound are visited. Points without coordinates, or no segments at all: NULL.
+    A point meets the segments that pass through its own cell. Where none does, or the nearest of them is further than the
+    cell's rim, the point visits the other cells within reach, which a tree of all cells with segments bounds; no pair
+    of a point and a segment is shuffled. The points with what they found in their own cells, and the boxes of cells, are written once
+    when this is called. Points without coordinates, or no segments at all: NULL.
     """
-    tree = pyr.build_tree(_distinct_segments(segments), leaf_items)
+    passed = pyr.passed_cells(_distinct_segments(segments), ENDS)
+    pieces = passed.select("_cell", *ENDS).groupBy("_cell")
     at, centers = _places(points, key, xy)
-    found = pyr.tree_leaves(pyr.tree_bound(centers, tree), tree)
-    nearest = (
-        found.join(pyr.unbroadcast(pyr.tree_items(tree, ENDS)), "_cell")
-        .groupBy("_x", "_y")
-        .agg(F.min(spatial.segment_distance("_x", "_y", *ENDS)).alias(out))
-    )
+    schema = T.StructType([*centers.schema.fields, T.StructField("_near", T.DoubleType())])
+    run, home = nearest_in_cell(ENDS, to_arrow_schema(schema)), pyr.passed_cell(F.col("_x"), F.col("_y"))
+    own = written(centers.withColumn("_cell", home).groupBy("_cell").cogroup(pieces).applyInArrow(run, schema))
+    left = own.filter(F.col("_near").isNull() | (F.col("_near") > pyr.rim_distance(F.col("_x"), F.col("_y"))))
+    boxes = [f(b).alias(b) for f, b in zip((F.min, F.min, F.max, F.max), pyr.BOX)]
+    tree = pyr.build_tree(written(passed.groupBy(F.col("_cell").alias("_at")).agg(*boxes)), leaf_items)
+    bound = pyr.tree_bound(left, tree).join(pyr.unbroadcast(left), ["_x", "_y"])
+    bound = bound.select("_x", "_y", F.least("_r", F.col("_near") * pyr.SLACK).alias("_r"))
+    within = pyr.tree_leaves(bound, tree).join(pyr.unbroadcast(pyr.tree_items(tree, ["_at", *pyr.BOX])), "_cell")
+    within = within.filter(spatial.box_min_sq("_x", "_y", *pyr.BOX) <= F.col("_r") * F.col("_r") * pyr.SLACK)
+    others = within.filter(F.col("_at") != home).select(F.col("_at").alias("_cell"), "_x", "_y")
+    met = others.groupBy("_cell").cogroup(pieces).applyInArrow(run, schema)
+    nearest = own.unionByName(met).groupBy("_x", "_y").agg(F.min("_near").alias(out))
     return at.join(pyr.unbroadcast(nearest), ["_x", "_y"], "left").select(key, out)
 
 

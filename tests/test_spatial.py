@@ -244,6 +244,25 @@ def test_tree_splits_only_full_cells(spark):
     assert max(level for _, level in alone) > 3
 
 
+def test_nearest_segment_across_cells(spark):
+    """Roads through many cells, points near a rim or in cells without a road; no point is a row for each leaf or road near it."""
+    rng = np.random.default_rng(6)
+    side = 360 / 2**pyramid.PASSED_BITS
+    start = np.array([36.6, -1.5]) + rng.random((60, 2)) * 30 * side
+    seg = pd.DataFrame({"x1": start[:, 0], "y1": start[:, 1]})
+    seg["x2"], seg["y2"] = seg.x1 + rng.normal(size=60) * 4 * side, seg.y1 + rng.normal(size=60) * 4 * side
+    seg.loc[:9, "x2"], seg.loc[10:19, "y2"] = seg.x1, seg.y1
+    column, row = np.floor((36.6 + 180) / side) + np.arange(40) % 30, np.floor((-1.5 + 180) / side) + np.arange(40) % 29
+    rim = np.column_stack([column * side - 180, row * side - 180]) + (rng.random((40, 2)) - 0.5) * 1e-6
+    points = np.concatenate([np.array([36.6, -1.5]) + rng.random((200, 2)) * 30 * side, rim])
+    left = pd.DataFrame({"NIS_RAD": range(240), "LON": points[:, 0], "LAT": points[:, 1]})
+    got = roads.nearest_segment_distance(spark.createDataFrame(left), spark.createDataFrame(seg))
+    plan = _plan(got)
+    found = got.toPandas().sort_values("NIS_RAD").distance_to_road.values
+    assert np.allclose(found, brute_distance(left, seg).min(axis=1), rtol=0, atol=1e-12)
+    assert "FlatMapCoGroupsInArrow" in plan
+
+
 def test_nearest_segment_with_a_far_coordinate(spark, road_case):
     left, seg = road_case
     wild = pd.DataFrame({"ROADCLASS": ["A"], "x1": [5e7], "y1": [5e7], "x2": [5e7], "y2": [5e7 + 1]})
