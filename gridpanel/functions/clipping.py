@@ -22,7 +22,7 @@ NX, NY = np.cos(_NORMALS), np.sin(_NORMALS)
 # Cells along one side of the grid at most, and numbers handled together.
 MOST_CELLS, CHUNK = 32, 1 << 15
 # Segments and places of a cell handled together.
-SEGMENTS, PLACES = 1 << 14, 1 << 16
+SEGMENTS, PLACES = 1 << 13, 1 << 16
 # Pieces that lean less than this against a side have no ramp but are clipped by it.
 FLAT = 1e-3
 
@@ -102,12 +102,21 @@ def buffer_lengths(ends: np.ndarray, kind: np.ndarray, kinds: int, cx: np.ndarra
     if not x1.size or not cx.size:
         return out
     if cells is None:
-        cells = min(MOST_CELLS, 1 << max(0, round(math.log2(max(1.0, math.sqrt(x1.size) / 6)))))
+        cells = min(MOST_CELLS, 1 << max(0, round(math.log2(max(1.0, math.sqrt(x1.size) / 3)))))
     # Near the segments, numbers are small and sums of them exact enough.
     ox, oy = min(x1.min(), x2.min()), min(y1.min(), y2.min())
     x1, x2, y1, y2, cx, cy = x1 - ox, x2 - ox, y1 - oy, y2 - oy, cx - ox, cy - oy
     width = max(x1.max(), x2.max(), y1.max(), y2.max()) * (1 + 1e-9) / cells or 1.0
     inner = radius * math.cos(STEP / 2)
+    east, north = max(x1.max(), x2.max()), max(y1.max(), y2.max())
+    far = np.hypot(np.maximum(cx, east - cx), np.maximum(cy, north - cy))
+    near = np.hypot(np.maximum(np.maximum(-cx, cx - east), 0), np.maximum(np.maximum(-cy, cy - north), 0))
+    whole = far < inner * (1 - 1e-12)
+    out[whole] = np.bincount(kind, np.hypot(x2 - x1, y2 - y1), kinds)
+    reached = np.flatnonzero(~whole & (near < radius * (1 + 1e-12)))
+    if not reached.size:
+        return out
+    result, out, cx, cy = out, np.zeros((reached.size, kinds)), cx[reached], cy[reached]
 
     row, t0, t1, ix = _cut(x1, x2, np.zeros(x1.size), np.ones(x1.size), width, cells)
     sub, t0, t1, iy = _cut(y1[row], y2[row], t0, t1, width, cells)
@@ -246,7 +255,24 @@ def buffer_lengths(ends: np.ndarray, kind: np.ndarray, kinds: int, cx: np.ndarra
             out[:, g] += np.bincount(pairs[0], np.where(back, rest[at] - below, below), out.shape[0])
             if flats.size:
                 clip(pairs, g, flat_begin, flats)
-    return np.maximum(out, 0.0)
+    result[reached] = np.maximum(out, 0.0)
+    return result
+
+
+def _near_each_other(lines: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the segments in parts of at most SEGMENTS, by where their middles lie."""
+    n = lines.shape[1]
+    if n <= SEGMENTS:
+        return [np.arange(n)]
+    side = math.ceil(math.sqrt(n / SEGMENTS))
+    block = np.zeros(n, dtype=np.int64)
+    for middle in (lines[0] + lines[2], lines[1] + lines[3]):
+        low, high = np.nanmin(middle), np.nanmax(middle)
+        place = (middle - low) / (high - low or 1.0) * side
+        block = block * side + np.clip(np.nan_to_num(place), 0, side - 1).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    blocks = np.split(order, np.flatnonzero(np.diff(block[order])) + 1)
+    return [b[at : at + SEGMENTS] for b in blocks for at in range(0, b.size, SEGMENTS)]
 
 
 def lengths_in_cell(radius: float, kind: str, ends: tuple[str, ...], schema: pa.Schema):
@@ -256,12 +282,11 @@ def lengths_in_cell(radius: float, kind: str, ends: tuple[str, ...], schema: pa.
         cx, cy = (places.column(c).to_numpy() for c in ("_x", "_y"))
         codes = segments.column(kind).combine_chunks().dictionary_encode()
         lines, code = np.stack([segments.column(c).to_numpy() for c in ends]), codes.indices.to_numpy()
-        names, found = codes.dictionary, []
+        names, found, blocks = codes.dictionary, [], _near_each_other(lines)
         for at in range(0, cx.size, PLACES):
             x, y = cx[at : at + PLACES], cy[at : at + PLACES]
             part = np.zeros((x.size, len(names)))
-            for low in range(0, code.size, SEGMENTS):
-                some = slice(low, low + SEGMENTS)
+            for some in blocks:
                 part += buffer_lengths(lines[:, some], code[some], len(names), x, y, radius)
             place, which = np.nonzero(part)
             columns = [x[place], y[place], names.take(pa.array(which)), part[place, which]]

@@ -43,8 +43,8 @@ def _boxed(segments: DataFrame) -> DataFrame:
     )
 
 
-# Levels below the start level, whose cells are about as wide as the radius, where points meet roads.
-CELLS_BELOW = 2
+# Levels below the start level, whose cells are at least as wide as the radius, where points meet roads.
+CELLS_BELOW = 1
 # Directions (radians) and offsets (degrees) of lines that agree so far are those of one line.
 DIRECTION_DIGITS, OFFSET_DIGITS = 9, 8
 

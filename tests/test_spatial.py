@@ -350,6 +350,16 @@ def test_lengths_of_many_segments_equal_all_sides(cells):
     assert (expected.max(axis=0) > 0).all() and (expected.min(axis=0) == 0).all()
 
 
+def test_many_segments_are_handled_in_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    lines = np.concatenate([rng.random((2, 500)), rng.random((2, 500))])
+    monkeypatch.setattr(clipping, "SEGMENTS", 40)
+    parts = clipping._near_each_other(lines)
+    assert sorted(np.concatenate(parts)) == list(range(500)) and max(p.size for p in parts) <= 40
+    same = clipping._near_each_other(np.ones((4, 100)))
+    assert sorted(np.concatenate(same)) == list(range(100)) and max(p.size for p in same) <= 40
+
+
 def test_pairs_of_points_and_roads_are_no_rows(spark, road_case):
     """A road on the rim of a buffer is no row of its own for every point."""
     left, seg = (spark.createDataFrame(f) for f in road_case)
